@@ -33,7 +33,7 @@ def chunks(text: str) -> list[str]:
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash and displace: n keys to 0..n-1, a displacement per bucket of about four keys."""
+    """Minimal perfect hash by hash and displace: n keys to 0..n-1, a displacement per bucket of about four keys, or the slot of a lone key."""
 
     def __init__(self, keys: list[bytes]):
         import xxhash
@@ -47,14 +47,20 @@ class PerfectHash:
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.m + 1))
         self.shift, self.slot = np.zeros(self.m, np.int64), np.full(n, -1, np.int64)
-        free = np.ones(n, bool)
+        free, spare = np.ones(n, bool), None
         for b in np.argsort(-np.diff(edges), kind="stable"):
             own = order[edges[b] : edges[b + 1]]
             if not len(own):
                 break
+            if len(own) == 1:  # buckets come by falling size: the rest take the free slots one by one
+                if spare is None:
+                    spare = iter(np.flatnonzero(free).tolist())
+                at = next(spare)
+                self.shift[b], self.slot[at] = -1 - at, own[0]
+                continue
             d = 0
             while True:
-                at = (hi[own] + d * (step[own] | 1) + d * d) % n
+                at = self.place(hi[own], step[own], d)
                 if free[at].all() and len(set(at.tolist())) == len(at):
                     break
                 d += 1
@@ -67,7 +73,11 @@ class PerfectHash:
 
         x = xxhash.xxh3_128_intdigest(key)
         d = self.shift[(x & 0xFFFFFFFF) % self.m]
-        return self.slot[((x >> 32 & 0xFFFFFFFF) + d * (x >> 64 & 0xFFFFFFFF | 1) + d * d) % self.n]
+        return self.slot[-1 - d if d < 0 else self.place(x >> 32 & 0xFFFFFFFF, x >> 64 & 0xFFFFFFFF, d)]
+
+    def place(self, hi, step, d: int):
+        """The d-th choice of a slot; under 2^62, so alike for arrays and integers."""
+        return ((hi ^ (d * 0x9E3779B1 & 0xFFFFFFFF)) * (step & 0x3FFFFFFF | 1) >> 20) % self.n
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
