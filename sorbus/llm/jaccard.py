@@ -27,6 +27,7 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 BITS = 512
 BLOCK = 2_000
+BROADCAST_KEYS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -44,18 +45,19 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set_id, n, arr): the sorted shingle hashes as bytes, and a 128-bit name of the set; no text."""
+    """(doc_id, set_id, n, arr, bits): the sorted shingle hashes, a 128-bit name of the set and its bitmap; no text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            arrs = [s.tobytes() for s in sets_of(texts_of(part.column("text")), k)]
+            found = sets_of(texts_of(part.column("text")), k)
+            arrs, bits = [s.tobytes() for s in found], pa.array([bitmap(s) for s in found], pa.binary())
             ids = pa.array([xxhash.xxh3_128_digest(a) for a in arrs], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(a) // 8 for a in arrs], pa.int64()), pa.array(arrs, pa.binary())], names=["doc_id", "set_id", "n", "arr"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(a) // 8 for a in arrs], pa.int64()), pa.array(arrs, pa.binary()), bits], names=["doc_id", "set_id", "n", "arr", "bits"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, arr binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, arr binary, bits binary")
 
 
 def prefixes(reps: DataFrame, percent: int) -> DataFrame:
@@ -71,20 +73,21 @@ def prefixes(reps: DataFrame, percent: int) -> DataFrame:
     return map_arrow(reps.where("n > 0"), run, "tok long, rep long, n long")
 
 
+def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df with these keys; the keys go to all executors if they number at most BROADCAST_KEYS."""
+    keys = shared(keys)
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def links(reps: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of the representatives (rep, n, arr) that link."""
     pre = prefixes(reps.select("rep", "n", "arr"), percent)
     often = shared(pre.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
-    # Only representatives with a shared prefix shingle go on, with their bitmaps.
     live = shared(pre.join(often, "tok").select("tok", "rep", "n", "c"))
-    bits = map_arrow(
-        reps.join(live.select("rep").distinct(), "rep").select("rep", "arr"),
-        lambda b: iter([pa.RecordBatch.from_arrays([b.column("rep"), pa.array([bitmap(np.frombuffer(a, np.uint64)) for a in b.column("arr").to_pylist()], pa.binary())], names=["rep", "bits"])]),
-        "rep long, bits binary",
-    )
+    bits = reps.select("rep", "n", "bits").distinct()
     # Size bands: sizes that can link are at most one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001))).cast("long")
-    rows = live.withColumn("band", band).join(bits, "rep")
+    rows = live.withColumn("band", band).join(bits, ["rep", "n"])
     # A tile holds a band and the next lower one: each set is a right side in its own and a left side in the one above.
     # A hot tile is cut into g x g blocks: its members are dealt to g rows and g columns of a grid of pairs of blocks.
     load = live.withColumn("band", band).groupBy("tok", "band").agg(F.count("*").alias("m"))
@@ -133,7 +136,8 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
             yield from found(held)
 
     pairs = shared(spread.select("tok", "tile", "i", "j", "rep", "n", "side", "bits").mapInArrow(compare, "src long, dst long").distinct())
-    arrs = reps.select("rep", "arr")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+    arrs = shared(only(reps.select("rep", "arr"), ends, ["rep"]))
     both = pairs.join(arrs.withColumnsRenamed({"rep": "src", "arr": "a"}), "src").join(arrs.withColumnsRenamed({"rep": "dst", "arr": "b"}), "dst")
 
     def exact(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     prepare(docs.sparkSession)
     sets = shared(set_table(docs.where("doc_id is not null"), k))
     names = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = sets.join(names.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"]).select(F.col("doc_id").alias("rep"), "n", "arr")
+    reps = only(sets, names.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "arr", "bits")
     comps = connected_components(shared(links(reps, percent)))
     member = names.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     return sets.select("doc_id", "set_id", "n").join(member, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
