@@ -25,7 +25,7 @@ from sorbus.operators.graph import connected_components, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-BITS = 512
+BITS = 256
 BLOCK = 2_000
 BROADCAST_KEYS = 500_000
 
@@ -84,44 +84,46 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     pre = prefixes(reps.select("rep", "n", "arr"), percent)
     often = shared(pre.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
     live = shared(pre.join(often, "tok").select("tok", "rep", "n", "c"))
-    bits = reps.select("rep", "n", "bits").distinct()
-    # Size bands: sizes that can link are at most one band apart.
+    # A light shingle is one tile, whose size bands are cut where it is compared. A hot one has a tile per size band, which
+    # holds a band and the next lower one (sizes that can link are at most one band apart), each in g x g blocks.
+    light = live.where(F.col("c") <= BLOCK).select("tok", F.lit(-1).cast("long").alias("tile"), "rep", "n", F.lit(2).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001))).cast("long")
-    rows = live.withColumn("band", band).join(bits, ["rep", "n"])
-    # A tile holds a band and the next lower one: each set is a right side in its own and a left side in the one above.
-    # A hot tile is cut into g x g blocks: its members are dealt to g rows and g columns of a grid of pairs of blocks.
-    load = live.withColumn("band", band).groupBy("tok", "band").agg(F.count("*").alias("m"))
-    grid = shared(load.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).where("g > 1").select("tok", "band", "g"))
-    up = rows.select("tok", F.col("band").alias("tile"), F.lit(0).alias("low"), "rep", "n", "bits").union(rows.select("tok", (F.col("band") + 1).alias("tile"), F.lit(1).alias("low"), "rep", "n", "bits"))
-    g = F.coalesce("g", F.lit(1))
-    up = up.join(grid.withColumnRenamed("band", "tile"), ["tok", "tile"], "left").withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    col = up.select("tok", "tile", "low", "rep", "n", "bits", F.lit(0).alias("side"), "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    right = col.where("low = 0").select("tok", "tile", "rep", "n", "bits", F.lit(1).alias("side"), F.col("other").alias("i"), F.col("own").alias("j"))
-    left = col.select("tok", "tile", "rep", "n", "bits", "side", F.col("own").alias("i"), F.col("other").alias("j"))
-    tiles = left.union(right)
+    hot = live.where(F.col("c") > BLOCK).withColumn("band", band)
+    g = F.ceil(F.count("*") / BLOCK).cast("int").alias("g")
+    up = hot.select("tok", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(0).alias("low")), F.struct((F.col("band") + 1).alias("tile"), F.lit(1).alias("low")))).alias("x"), "rep", "n").select("tok", "x.*", "rep", "n")
+    up = up.join(up.groupBy("tok", "tile").agg(g), ["tok", "tile"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    col = up.select("tok", "tile", "low", "rep", "n", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    right = col.where("low = 0").select("tok", "tile", "rep", "n", F.lit(1).alias("side"), F.col("other").alias("i"), F.col("own").alias("j"))
+    left = col.select("tok", "tile", "rep", "n", F.lit(0).alias("side"), F.col("own").alias("i"), F.col("other").alias("j"))
+    bits = reps.select("rep", "n", "bits").distinct()
+    tiles = light.union(left).union(right).join(only(bits, live.select("rep").distinct(), ["rep"]), ["rep", "n"])
     spread = tiles.repartition(F.col("tok"), F.col("tile"), F.col("i"), F.col("j")).sortWithinPartitions("tok", "tile", "i", "j", "side", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
         def found(rows):
+            rows.sort(key=lambda r: (r[2], r[1]))
             sides = np.array([r[2] for r in rows])
             rep, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            if not sides.any() or sides.all() or len(rows) < 3 and rep[0] == rep[-1]:
-                return
             bit = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-            a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+            one = sides[0] == 2
+            a, b = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
             for x in range(0, len(b), 64):
                 y = b[x : x + 64]
-                far = np.zeros((len(a), len(y)), np.int64)
+                # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
+                lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
+                hi = np.searchsorted(n[a], n[y[-1]] if one else n[y[-1]] * 100 // percent, "right")
+                z = a[lo:hi]
+                far = np.zeros((len(z), len(y)), np.int64)
                 for w in range(bit.shape[1]):
-                    far += np.bitwise_count(bit[a, w][:, None] ^ bit[y, w][None, :])
-                na, ny = n[a][:, None], n[y][None, :]
+                    far += np.bitwise_count(bit[z, w][:, None] ^ bit[y, w][None, :])
+                na, ny = n[z][:, None], n[y][None, :]
                 most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
-                ok = (100 * most >= percent * (na + ny - most)) & (rep[a][:, None] != rep[y][None, :])
+                ok = (100 * most >= percent * (na + ny - most)) & (rep[z][:, None] != rep[y][None, :])
                 p, q = np.nonzero(ok)
                 if len(p):
-                    s, d = rep[a[p]], rep[y[q]]
+                    s, d = rep[z[p]], rep[y[q]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], names=["src", "dst"])
 
         for batch in batches:
