@@ -25,7 +25,7 @@ from sorbus.operators.graph import connected_components, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-BITS = 256
+BITS = 512
 BLOCK = 2_000
 BROADCAST_KEYS = 500_000
 
@@ -80,7 +80,7 @@ def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def links(reps: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of the representatives (rep, n, arr) that link."""
+    """(src, dst) of representatives (rep, n, arr, bits) that link: enough of the links to connect all that are connected."""
     pre = prefixes(reps.select("rep", "n", "arr"), percent)
     often = shared(pre.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
     live = shared(pre.join(often, "tok").select("tok", "rep", "n", "c"))
@@ -138,19 +138,28 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
             yield from found(held)
 
     pairs = shared(spread.select("tok", "tile", "i", "j", "rep", "n", "side", "bits").mapInArrow(compare, "src long, dst long").distinct())
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
-    arrs = shared(only(reps.select("rep", "arr"), ends, ["rep"]))
-    both = pairs.join(arrs.withColumnsRenamed({"rep": "src", "arr": "a"}), "src").join(arrs.withColumnsRenamed({"rep": "dst", "arr": "b"}), "dst")
-
-    def exact(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * same >= percent * (len(a) + len(b) - same))
-        yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep))
-
-    return map_arrow(both.select("src", "dst", "a", "b"), exact, "src long, dst long")
+    def exact(some: DataFrame) -> DataFrame:
+        ends = some.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+        arrs = shared(only(reps.select("rep", "arr"), ends, ["rep"]))
+        both = some.join(arrs.withColumnsRenamed({"rep": "src", "arr": "a"}), "src").join(arrs.withColumnsRenamed({"rep": "dst", "arr": "b"}), "dst")
+
+        def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * same >= percent * (len(a) + len(b) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep))
+
+        return shared(map_arrow(both.select("src", "dst", "a", "b"), check, "src long, dst long"))
+
+    # One candidate per set is checked first; of the others only those whose ends these links have not connected yet.
+    known = exact(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
+    comps = connected_components(known)
+    at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = pairs.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    rest = shared(rest.where("of_src is null or of_dst is null or of_src != of_dst").select("src", "dst").join(known, ["src", "dst"], "left_anti"))
+    return known.union(exact(rest))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
