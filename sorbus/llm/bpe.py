@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
 A text is cut before every single space that has no white space on either side. No pre-token spans such a cut, so each
-chunk is encoded alone; chunks repeat a lot and a bounded cache holds their ids. Within a chunk not yet cached there are
-two tiers: a minimal perfect hash over the vocabulary resolves each pre-token that is itself a token; the others are
-merged with a heap over a linked list of bytes.
+chunk is encoded alone. Arrow cuts a block of texts, finds its distinct chunks and lays their ids out again; a bounded
+cache holds the ids of chunks between blocks. Within a chunk not yet cached there are two tiers: a minimal perfect hash
+over the vocabulary resolves each pre-token that is itself a token; the others are merged with a heap over a linked list
+of bytes.
 
 Null text counts as empty: no ids. A text may hold any code point; what cannot be decoded as UTF-8 alone (ids cut within
 a character) comes back as the same bytes. Extra columns pass through except those named like the new column.
@@ -14,22 +15,57 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorbus.llm.common import prepare, table, texts_of
+from sorbus.llm.common import prepare, table
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"^\s| \s|\s | $")
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = rf"^{SPACE}| {SPACE}|{SPACE} | $"
+BLOCK_BYTES = 4_000_000
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of a text; all but the first lack the one space that stands before them."""
-    return CUT.split(text) if ODD.search(text) else text.split(" ")
+def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most BLOCK_BYTES of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def encode_texts(texts: pa.Array, first: Callable[[list[str]], list[bytes]], later: Callable[[list[str]], list[bytes]]) -> pa.Array:
+    """The ids of each text as bytes. `first` encodes distinct chunks that open a text, `later` those after a space.
+
+    Texts in which a space has white space beside it are cut by a regular expression, all others at each space.
+    """
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, ODD)
+    made, order = [], np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+    for some in (pc.split_pattern(texts.filter(pc.invert(odd)), " "), pa.array([CUT.split(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))):
+        if not len(some):
+            continue
+        edges, flat = some.offsets.to_numpy().astype(np.int64), some.flatten()
+        coded, opens = flat.dictionary_encode(), flat.take(pa.array(edges[:-1])).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = pa.array(later(words) + first(opens.dictionary.to_pylist()), pa.large_binary())
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[edges[:-1]] = len(words) + opens.indices.to_numpy()
+        out = ids.take(pa.array(which))
+        ends = np.frombuffer(out.buffers()[1], np.int64)[edges]
+        made.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends), out.buffers()[2]]))
+    if not made:
+        return pa.array([], pa.binary())
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return pa.concat_arrays(made).take(pa.array(back)).cast(pa.binary())
 
 
 class PerfectHash:
@@ -95,7 +131,10 @@ class Vocabulary:
         self.ranks = parse_ranks(raw)
         self.tokens = list(self.ranks)
         self.ids = [self.ranks[t] for t in self.tokens]
-        self.by_id = dict(zip(self.ids, self.tokens, strict=True))
+        by_id = [b""] * (max(self.ids, default=-1) + 1)
+        for i, token in zip(self.ids, self.tokens, strict=True):
+            by_id[i] = token
+        self.by_id = pa.array(by_id, pa.large_binary())
         self.find = PerfectHash(self.tokens)
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
@@ -136,15 +175,17 @@ class Vocabulary:
                 self.pieces[word] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = chunks(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return encode_texts(texts, self.first.all, self.later.all)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes that each row of ids stands for."""
+        raw = [x or b"" for x in ids.to_pylist()]
+        edges = np.cumsum([0] + [len(x) // 4 for x in raw])
+        out = self.by_id.take(pa.array(np.frombuffer(b"".join(raw), "<u4")))
+        ends = np.frombuffer(out.buffers()[1], np.int64)[edges] if edges[-1] else edges
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(ends), out.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
 
 
 class Chunks(dict):
@@ -161,6 +202,9 @@ class Chunks(dict):
             self[part] = got
         return got
 
+    def all(self, parts: list[str]) -> list[bytes]:
+        return [self[p] for p in parts]
+
 
 HELD: dict[int, Vocabulary] = {}
 
@@ -195,9 +239,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = pa.array([v.encode(t) for t in texts_of(part.column(text))], pa.binary())
+            for part in blocks(batch, text):
+                ids = v.encode(part.column(text))
                 kept = [(n, part.column(n)) for n in part.schema.names if keep_text or n != text]
                 yield pa.RecordBatch.from_arrays([c for _, c in kept] + [ids], names=[n for n, _ in kept] + [out])
 
@@ -213,9 +256,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                made = pa.array([v.decode(x or b"") for x in part.column(ids).to_pylist()], pa.binary())
+            for part in blocks(batch, ids):
+                made = v.decode(part.column(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
