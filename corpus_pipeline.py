@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return packing.with_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.with_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", pack)]

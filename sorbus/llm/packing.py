@@ -18,23 +18,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from sorbus.llm.bpe import parse_ranks
 from sorbus.llm.common import prepare, table, texts_of
 
 SENTENCE, INSIDE, STEP = 4.0, 12.0, 32
 HELD: dict[str, tuple] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer and the ids of tokens that end a sentence."""
+def tokenizer(path: str, pattern: str):
+    """The encoder of a file of ranks, and the ids of tokens that end a sentence."""
     if path not in HELD:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        ends = np.zeros(t.get_vocab_size() + 1, bool)
-        for token, i in t.get_vocab().items():
-            ends[i] = token[-1:] in ".!?Ċ"
-        HELD[path] = (t, ends)
+        import tiktoken
+
+        ranks = parse_ranks(open(path, "rb").read())
+        ends = np.zeros(max(ranks.values()) + 2, bool)
+        for token, i in ranks.items():
+            ends[i] = token[-1:] in b".!?\n"
+        HELD[path] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends)
     return HELD[path]
 
 
@@ -74,12 +74,15 @@ def candidates(ids: np.ndarray, ends: np.ndarray, lengths: list[int]) -> tuple[n
     return at, price[at]
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, block: int = 1 << 18) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece."""
+def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int = 1, block: int = 1 << 18) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece.
+
+    path: a file of ranks; every match of pattern is encoded apart, and what looks like a special token is text.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, ends = tokenizer(path)
+        tok, ends = tokenizer(path, pattern)
         number = TaskContext.get().partitionId() << 33
         held: list[list] = []  # doc_id, its ids, tokens already out
 
@@ -124,7 +127,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, block: i
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for d, t in zip(part.column("doc_id").to_pylist(), texts_of(part.column("text")), strict=True):
-                    ids = np.array([*tok.encode(t, add_special_tokens=False).ids, end_id], np.int64)
+                    ids = np.append(tok.encode_to_numpy(t, disallowed_special=()).astype(np.int64), end_id)
                     held.append([d, ids, 0])
                     total += len(ids)
                     if total >= block:
@@ -147,4 +150,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return with_digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return with_digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
