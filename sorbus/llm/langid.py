@@ -61,10 +61,34 @@ def states(x: np.ndarray, m: dict, d: str, keep: list | None = None) -> np.ndarr
 
 
 def log_shares(x: np.ndarray, m: dict) -> np.ndarray:
-    """Log-probabilities of the languages per byte: (bytes, rows, classes)."""
-    o = states(x, m, "f") @ m["w"][:HIDDEN] + states(x, m, "b") @ m["w"][HIDDEN:] + m["b"]
-    o -= o.max(2, keepdims=True)
-    return o - np.log(np.exp(o).sum(2, keepdims=True))
+    """Log-probabilities of the languages per byte: (bytes, rows, classes). As `states`, but with little memory moved."""
+    h, n, kind = HIDDEN, len(x), m["w"].dtype
+    half = kind.type(0.5)
+    xt, out = np.ascontiguousarray(x.T), None
+    for k, d in enumerate("fb"):
+        e, u, c = m["e" + d].copy(), m["u" + d] * half, m["c" + d]
+        e[:, : 2 * h] *= half
+        s, held = np.zeros((n, h), kind), np.empty((len(xt), n, h), kind)
+        inp = np.empty((n, 3 * h), kind)
+        for t in range(len(xt)) if d == "f" else range(len(xt) - 1, -1, -1):
+            np.take(e, xt[t], 0, out=inp, mode="clip")
+            gate = s @ u
+            gate += inp[:, : 2 * h]
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= half
+            cand = (gate[:, h:] * s) @ c
+            cand += inp[:, 2 * h :]
+            np.tanh(cand, out=cand)
+            cand -= s
+            cand *= gate[:, :h]
+            held[t] = s = s + cand
+        o = held.reshape(-1, h) @ m["w"][k * h : (k + 1) * h]
+        out = o if out is None else out + o
+    out += m["b"]
+    out -= out.max(1, keepdims=True)
+    out -= np.log(np.exp(out) @ np.ones(out.shape[1], kind))[:, None]
+    return out.reshape(len(xt), n, -1)
 
 
 def gradients(x: np.ndarray, y: np.ndarray, m: dict) -> dict:
@@ -136,9 +160,9 @@ def predict_texts(texts: list[str | None], model: dict | None) -> tuple[list[str
     at = np.cumsum([0] + [len(p) for p in parts])
     x = np.concatenate(parts)
     sums, counts = np.empty((len(x), len(model["classes"]))), (x != PAD).sum(1)
-    for lo in range(0, len(x), 4096):  # bounded memory, whatever a text's length
-        part = x[lo : lo + 4096]
-        sums[lo : lo + 4096] = (log_shares(part, model) * (part != PAD).T[:, :, None]).sum(0)
+    for lo in range(0, len(x), 1024):  # bounded memory, whatever a text's length
+        part = x[lo : lo + 1024]
+        sums[lo : lo + 1024] = (log_shares(part, model) * (part != PAD).T[:, :, None]).sum(0)
     total = np.add.reduceat(sums, at[:-1]) / np.add.reduceat(counts, at[:-1])[:, None]
     p = np.exp(4 * (total - total.max(1, keepdims=True)))
     p /= p.sum(1, keepdims=True)
