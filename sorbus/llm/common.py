@@ -71,14 +71,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, kept between batches up to a bound."""
+    """word, as text or as its bytes in lower case -> 64-bit hash, kept between batches up to a bound."""
 
     LIMIT = 400_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -89,7 +89,7 @@ class WordHashes(dict):
 WORD_HASHES = WordHashes()
 
 
-def ragged(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def ragged(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each list's begin (one more entry than lists)."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     at = np.concatenate([[0], np.cumsum(n)])
