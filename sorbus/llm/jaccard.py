@@ -2,12 +2,16 @@
 
 Texts with the same shingle set are collapsed first, so a group of copies is one representative. Two sets with
 100 |A & B| >= t |A | B| share one of the first n - ceil(t n / 100) + 1 shingles of each in hash order (prefix filter).
-Rows of these prefixes meet by shingle; shingles that only one set has are dropped. The rest form tiles: a shingle, cut
-into blocks by size, and only tiles of sizes that can link are compared. In a tile, bitmaps of parities give an upper
-bound of the overlap by counting bits; what passes is checked by an exact intersection of the sorted shingle arrays.
+Rows of these prefixes meet by shingle, ordered by size; a shingle that one set alone has ends there. The sets of a shingle
+form a tile, or blocks of BLOCK sets each, of which every two whose sizes can link form one; shingles with the same sets
+form it once. In a tile, bitmaps of parities (their length follows the set's size) give an upper bound of the overlap by
+counting bits; what passes is checked by an exact intersection of the sorted shingle arrays, made again from the texts.
+
+First each set's likeliest candidate is checked, then all candidates whose ends these links don't connect already: what
+is left out can't change a group.
 
 Null or wordless text: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one
-shingle. Repeated rows with one id count once for the smallest id. Shingles are compared by 64-bit hashes.
+shingle. Rows that share an id are linked by any of their texts. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ from sorbus.operators.graph import connected_components, shared
 
 BITS = 512
 BLOCK = 2_000
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -38,135 +43,234 @@ def sets_of(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles per bit."""
-    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of shingles per bit; half a bit per shingle at least. Its halves fold into a shorter one."""
+    size = max(BITS, 1 << max(0, (len(s) // 2).bit_length()))
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
-def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set_id, n, arr, bits): the sorted shingle hashes, a 128-bit name of the set and its bitmap; no text."""
+def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, set_id, n, bits, pre): a 128-bit name of the set, its size, bitmap and prefix; no text, no whole set."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             found = sets_of(texts_of(part.column("text")), k)
-            arrs, bits = [s.tobytes() for s in found], pa.array([bitmap(s) for s in found], pa.binary())
-            ids = pa.array([xxhash.xxh3_128_digest(a) for a in arrs], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(a) // 8 for a in arrs], pa.int64()), pa.array(arrs, pa.binary()), bits], names=["doc_id", "set_id", "n", "arr", "bits"])
+            ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
+            pre = pa.array([s[: len(s) - -(-percent * len(s) // 100) + 1].tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary()), pre], names=["doc_id", "set_id", "n", "bits", "pre"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, arr binary, bits binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, bits binary, pre binary")
 
 
-def prefixes(reps: DataFrame, percent: int) -> DataFrame:
+def prefixes(reps: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            arrs = [np.frombuffer(a, np.uint64) for a in part.column("arr").to_pylist()]
-            m = np.array([len(a) - -(-percent * len(a) // 100) + 1 for a in arrs])
-            tok = np.concatenate([a[:x] for a, x in zip(arrs, m, strict=True)]).view(np.int64)
-            rows = pa.array(np.repeat(np.arange(len(arrs)), m))
-            yield pa.RecordBatch.from_arrays([pa.array(tok), part.column("rep").take(rows), part.column("n").take(rows)], names=["tok", "rep", "n"])
+            pre = part.column("pre").to_pylist()
+            rows = pa.array(np.repeat(np.arange(len(pre)), [len(x) // 8 for x in pre]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(pre), np.int64)), part.column("rep").take(rows), part.column("n").take(rows)], names=["tok", "rep", "n"])
 
-    return map_arrow(reps.where("n > 0"), run, "tok long, rep long, n long")
+    return map_arrow(reps.select("rep", "n", "pre"), run, "tok long, rep long, n long")
 
 
-def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def only(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Rows of df with these keys; the keys go to all executors if they number at most BROADCAST_KEYS."""
     keys = shared(keys)
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
-
-
-def links(reps: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of representatives (rep, n, arr, bits) that link: enough of the links to connect all that are connected."""
-    pre = prefixes(reps.select("rep", "n", "arr"), percent)
-    often = shared(pre.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
-    live = shared(pre.join(often, "tok").select("tok", "rep", "n", "c"))
-    # A light shingle is one tile, whose size bands are cut where it is compared. A hot one has a tile per size band, which
-    # holds a band and the next lower one (sizes that can link are at most one band apart), each in g x g blocks.
-    light = live.where(F.col("c") <= BLOCK).select("tok", F.lit(-1).cast("long").alias("tile"), "rep", "n", F.lit(2).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001))).cast("long")
-    hot = live.where(F.col("c") > BLOCK).withColumn("band", band)
-    g = F.ceil(F.count("*") / BLOCK).cast("int").alias("g")
-    up = hot.select("tok", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(0).alias("low")), F.struct((F.col("band") + 1).alias("tile"), F.lit(1).alias("low")))).alias("x"), "rep", "n").select("tok", "x.*", "rep", "n")
-    up = up.join(up.groupBy("tok", "tile").agg(g), ["tok", "tile"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    col = up.select("tok", "tile", "low", "rep", "n", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    right = col.where("low = 0").select("tok", "tile", "rep", "n", F.lit(1).alias("side"), F.col("other").alias("i"), F.col("own").alias("j"))
-    left = col.select("tok", "tile", "rep", "n", F.lit(0).alias("side"), F.col("own").alias("i"), F.col("other").alias("j"))
-    bits = reps.select("rep", "n", "bits").distinct()
-    tiles = light.union(left).union(right).join(only(bits, live.select("rep").distinct(), ["rep"]), ["rep", "n"])
-    spread = tiles.repartition(F.col("tok"), F.col("tile"), F.col("i"), F.col("j")).sortWithinPartitions("tok", "tile", "i", "j", "side", "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def blocks(reps: DataFrame) -> DataFrame:
+    """(tok, part, name, lo, hi, reps): the sets with a shingle, by size, in blocks; part is -1 where there is but one."""
+    rows = prefixes(reps).repartition("tok").sortWithinPartitions("tok", "n", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[bytes] = set()
+        out: list[tuple] = []
+
+        def block(tok: int, part: int, rep: np.ndarray, n: np.ndarray) -> None:
+            name = xxhash.xxh3_128_digest(rep.tobytes())
+            if part < 0:
+                if name in seen:
+                    return
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(name)
+            out.append((tok, part, name, int(n[0]), int(n[-1]), rep))
+
+        def made() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            out.clear()
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            flat = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in cols[5]]).astype(np.int32), pa.array(np.concatenate(cols[5])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)] + [flat], names=["tok", "part", "name", "lo", "hi", "reps"])
+
+        tok = rep = n = np.empty(0, np.int64)
+        part = 0  # of the last group: blocks already out
+
+        def group(lo: int, hi: int, done: int, last: bool) -> tuple[int, int]:
+            """Blocks of rows lo to hi, of which `done` are out before; all rows go if it is the last of the group."""
+            while hi - lo > BLOCK:
+                block(int(tok[lo]), done, rep[lo : lo + BLOCK], n[lo : lo + BLOCK])
+                lo, done = lo + BLOCK, done + 1
+            if last and (done or hi - lo > 1):
+                block(int(tok[lo]), done if done else -1, rep[lo:hi], n[lo:hi])
+            return lo, done
 
-        def found(rows):
-            rows.sort(key=lambda r: (r[2], r[1]))
-            sides = np.array([r[2] for r in rows])
-            rep, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            bit = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-            one = sides[0] == 2
-            a, b = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-            for x in range(0, len(b), 64):
-                y = b[x : x + 64]
-                # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
-                lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
-                hi = np.searchsorted(n[a], n[y[-1]] if one else n[y[-1]] * 100 // percent, "right")
-                z = a[lo:hi]
-                far = np.zeros((len(z), len(y)), np.int64)
-                for w in range(bit.shape[1]):
-                    far += np.bitwise_count(bit[z, w][:, None] ^ bit[y, w][None, :])
-                na, ny = n[z][:, None], n[y][None, :]
-                most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
-                ok = (100 * most >= percent * (na + ny - most)) & (rep[z][:, None] != rep[y][None, :])
+        for batch in batches:
+            tok, rep, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((tok, "tok"), (rep, "rep"), (n, "n")))
+            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
+            for g in np.flatnonzero((np.diff(at)[:-1] > 1) | ((np.arange(len(at) - 2) == 0) & (part > 0))).tolist():
+                group(at[g], at[g + 1], part if g == 0 else 0, True)
+            lo, part = group(at[-2], at[-1], part if len(at) == 2 else 0, False)
+            tok, rep, n = tok[lo:], rep[lo:], n[lo:]
+            if len(out):
+                yield made()
+        if len(tok):
+            group(0, len(tok), part, True)
+        if out:
+            yield made()
+
+    return rows.mapInArrow(run, "tok long, part int, name binary, lo long, hi long, reps array<long>")
+
+
+def fold(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of `size` bytes each, from longer ones."""
+    out = np.zeros((len(bits), size // 8), np.uint64)
+    for i, b in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), 0)
+    return out
+
+
+def candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(src, dst, like) of tile rows (tile, side, rep, n, bits, label): sets that may link and have not the same label.
+
+    With `best`, for each dst and tile only the likeliest src. src comes before dst by size, then by id.
+    """
+    spread = tiles.repartition("tile").sortWithinPartitions("tile", "n", "rep")
+
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, rep, n, label = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
+        if len(label) > 1 and (label == label[0]).all():
+            return
+        one = side[0] == 2
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        bits, held = [r[3] for r in rows], {}
+        width = np.array([len(x) for x in bits])
+        for x in range(0, len(b), 128):
+            y = b[x : x + 128]
+            # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
+            lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
+            z = a[lo : np.searchsorted(n[a], n[y[-1]], "right")]
+            if not len(z):
+                continue
+            size = int(min(width[z].min(), width[y].min()))
+            if size not in held:
+                held[size] = np.zeros((len(rows), size // 8), np.uint64)
+                held[size][width >= size] = fold([w for w in bits if len(w) >= size], size)
+            bit = held[size]
+            far = np.zeros((len(z), len(y)), np.int64)
+            for w in range(bit.shape[1]):
+                far += np.bitwise_count(bit[z, w][:, None] ^ bit[y, w][None, :])
+            na, ny = n[z][:, None], n[y][None, :]
+            most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
+            like = most / (na + ny - most)
+            before = z[:, None] < y[None, :] if one else np.ones((1, 1), bool)
+            ok = (100 * most >= percent * (na + ny - most)) & before & (label[z][:, None] != label[y][None, :])
+            if best:
+                top = np.where(ok, like, -1).argmax(0)
+                q = np.flatnonzero(ok[top, np.arange(len(y))])
+                p = top[q]
+            else:
                 p, q = np.nonzero(ok)
-                if len(p):
-                    s, d = rep[z[p]], rep[y[q]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], names=["src", "dst"])
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[z[p]]), pa.array(rep[y[q]]), pa.array(like[p, q])], names=["src", "dst", "like"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("tok", "tile", "i", "j", "rep", "n", "side", "bits")]
-            for t in zip(*cols, strict=True):
-                if t[:4] != key:
+            for t in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "rep", "n", "bits", "label")), strict=True):
+                if t[0] != key:
                     if len(held) > 1:
                         yield from found(held)
-                    held, key = [], t[:4]
-                held.append(t[4:])
+                    held, key = [], t[0]
+                held.append(t[1:])
         if len(held) > 1:
             yield from found(held)
 
-    pairs = shared(spread.select("tok", "tile", "i", "j", "rep", "n", "side", "bits").mapInArrow(compare, "src long, dst long").distinct())
-    def exact(some: DataFrame) -> DataFrame:
-        ends = some.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
-        arrs = shared(only(reps.select("rep", "arr"), ends, ["rep"]))
-        both = some.join(arrs.withColumnsRenamed({"rep": "src", "arr": "a"}), "src").join(arrs.withColumnsRenamed({"rep": "dst", "arr": "b"}), "dst")
+    made = spread.select("tile", "side", "rep", "n", "bits", "label").mapInArrow(run, "src long, dst long, like double")
+    if best:
+        return made.groupBy("dst").agg(F.max(F.struct("like", "src")).alias("x")).select("x.src", "dst")
+    return made.select("src", "dst").distinct()
 
-        def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep))
 
-        return shared(map_arrow(both.select("src", "dst", "a", "b"), check, "src long, dst long"))
+def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) that link. Shingle arrays are made from the texts of their ends and meet under src."""
+    to = pairs.select(F.col("dst").alias("doc_id"), F.col("src").alias("to")).union(pairs.select("src", "src").distinct())
+    rows = only(docs.select("doc_id", "text"), to, ["doc_id"], "inner").select("to", "doc_id", "text")
 
-    # One candidate per set is checked first; of the others only those whose ends these links have not connected yet.
-    known = exact(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
-    comps = connected_components(known)
-    at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = pairs.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
-    rest = shared(rest.where("of_src is null or of_dst is null or of_src != of_dst").select("src", "dst").join(known, ["src", "dst"], "left_anti"))
-    return known.union(exact(rest))
+    def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            arrs = pa.array([s.tobytes() for s in sets_of(texts_of(part.column("text")), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("to"), pc.cast(pc.not_equal(part.column("to"), part.column("doc_id")), pa.int32()), part.column("doc_id"), arrs], names=["src", "kind", "dst", "arr"])
+
+    spread = map_arrow(rows, arrays, "src long, kind int, dst long, arr binary").repartition("src").sortWithinPartitions("src", "kind")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, []  # the sets of src, more than one if its id is repeated
+        for batch in batches:
+            src, dst = [], []
+            for s, kind, d, arr in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "dst", "arr")), strict=True):
+                b = np.frombuffer(arr, np.uint64)
+                if s != key:
+                    key, first = s, []
+                if not kind:
+                    first.append(b)
+                    continue
+                for a in first:
+                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * same >= percent * (len(a) + len(b) - same):
+                        src.append(s)
+                        dst.append(d)
+                        break
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return shared(spread.select("src", "kind", "dst", "arr").mapInArrow(check, "src long, dst long"))
+
+
+def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst) of representatives (rep, n, bits, pre) that link: enough of the links to connect all that are connected."""
+    made = shared(blocks(reps))
+    one = made.select(F.col("name").alias("tile"), F.lit(2).alias("side"), "reps").dropDuplicates(["tile"])
+    split = made.where("part >= 0")
+    at = lambda x: split.select("tok", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "name", "lo", "hi", "reps")])
+    two = at("a").join(at("b"), "tok").where(f"part_a < part_b and 100 * hi_a >= {percent} * lo_b")
+    two = two.select(F.concat("name_a", "name_b").alias("tile"), "reps_a", "reps_b").dropDuplicates(["tile"])
+    two = two.select("tile", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("reps_a").alias("reps")), F.struct(F.lit(1).alias("side"), F.col("reps_b").alias("reps")))).alias("x")).select("tile", "x.*")
+    rows = one.union(two).select("tile", "side", F.explode("reps").alias("rep"))
+    bits = only(reps.select("rep", "n", "bits"), made.select(F.explode("reps").alias("rep")).distinct(), ["rep"])
+    tiles = only(rows, bits, ["rep"], "inner")
+    known = exact(docs, shared(candidates(tiles.withColumn("label", F.col("rep")), percent, True)), k, percent)
+    comps = connected_components(known).withColumnRenamed("node", "rep")
+    tiles = only(tiles, comps, ["rep"], "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    mixed = tiles.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile")
+    rest = shared(candidates(only(tiles, mixed, ["tile"]), percent, False))
+    return known.union(exact(docs, rest, k, percent))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; a null doc_id is left out."""
     prepare(docs.sparkSession)
-    sets = shared(set_table(docs.where("doc_id is not null"), k))
+    docs = docs.where("doc_id is not null")
+    sets = shared(set_table(docs, k, percent))
     names = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = only(sets, names.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "arr", "bits")
-    comps = connected_components(shared(links(reps, percent)))
+    reps = only(sets, names.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bits", "pre")
+    comps = connected_components(shared(links(docs, reps, k, percent)))
     member = names.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("c"))
     return sets.select("doc_id", "set_id", "n").join(member, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
