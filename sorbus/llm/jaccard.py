@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ from sorbus.operators.graph import connected_components, shared
 
 BITS = 512
 BLOCK = 2_000
+MEET = 128
 BROADCAST_KEYS = 200_000
 
 
@@ -207,40 +207,58 @@ def candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
     return made.select("src", "dst").distinct()
 
 
+def meetings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the sets of pairs meet: (hub, i, j, src, dst) per pair, and (hub, i, j, doc_id) per set and meeting.
+
+    A pair meets at the least set that its src is paired with, so the pairs of a cluster share their sets' arrays. The sets
+    of a hub are dealt into buckets of some MEET; a meeting holds two buckets, however large the hub.
+    """
+    ends = pairs.select(F.col("src").alias("n"), F.col("dst").alias("o")).union(pairs.select("dst", "src"))
+    hubs = ends.groupBy("n").agg(F.min(F.least("n", "o")).alias("hub"))
+    at = pairs.join(hubs.withColumnRenamed("n", "src"), "src")
+    size = at.select("hub", F.explode(F.array("src", "dst")).alias("doc_id")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / MEET).alias("g"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
+    at = shared(at.join(size, "hub").select("hub", bucket("src").alias("i"), bucket("dst").alias("j"), "src", "dst"))
+    return at, at.select("hub", "i", "j", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+
+
 def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) that link. Shingle arrays are made from the texts of their ends and meet under src."""
-    to = pairs.select(F.col("dst").alias("doc_id"), F.col("src").alias("to")).union(pairs.select("src", "src").distinct())
-    rows = only(docs.select("doc_id", "text"), to, ["doc_id"], "inner").select("to", "doc_id", "text")
+    """The pairs (src, dst) that link. Shingle arrays are made from the texts of their ends, once per meeting."""
+    at, to = meetings(pairs)
+    rows = only(docs.select("doc_id", "text"), to, ["doc_id"], "inner").select("hub", "i", "j", "doc_id", "text")
 
     def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
             arrs = pa.array([s.tobytes() for s in sets_of(texts_of(part.column("text")), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("to"), pc.cast(pc.not_equal(part.column("to"), part.column("doc_id")), pa.int32()), part.column("doc_id"), arrs], names=["src", "kind", "dst", "arr"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "i", "j", "doc_id")), arrs], names=["hub", "i", "j", "src", "arr"])
 
-    spread = map_arrow(rows, arrays, "src long, kind int, dst long, arr binary").repartition("src").sortWithinPartitions("src", "kind")
+    made = map_arrow(rows, arrays, "hub long, i int, j int, src long, arr binary")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    both = made.select("hub", "i", "j", F.lit(0).alias("kind"), "src", none("dst", "long"), "arr").union(at.select("hub", "i", "j", F.lit(1), "src", "dst", none("arr", "binary")))
+    spread = both.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, []  # the sets of src, more than one if its id is repeated
+        key, sets = None, {}  # the sets of each id, more than one if it is repeated
         for batch in batches:
             src, dst = [], []
-            for s, kind, d, arr in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "dst", "arr")), strict=True):
-                b = np.frombuffer(arr, np.uint64)
-                if s != key:
-                    key, first = s, []
+            for *here, kind, s, d, arr in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "kind", "src", "dst", "arr")), strict=True):
+                if here != key:
+                    key, sets = here, {}
                 if not kind:
-                    first.append(b)
-                    continue
-                for a in first:
-                    same = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * same >= percent * (len(a) + len(b) - same):
-                        src.append(s)
-                        dst.append(d)
-                        break
+                    sets.setdefault(s, []).append(np.frombuffer(arr, np.uint64))
+                elif any(alike(a, b, percent) for a in sets[s] for b in sets[d]):
+                    src.append(s)
+                    dst.append(d)
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return shared(spread.select("src", "kind", "dst", "arr").mapInArrow(check, "src long, dst long"))
+    return shared(spread.select("hub", "i", "j", "kind", "src", "dst", "arr").mapInArrow(check, "src long, dst long"))
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:

@@ -154,11 +154,12 @@ def test_jaccard(spark, odd, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard"](spark, D).collect()}
     assert got == {d: (len(s[d]), root(d)) for d in ids}
     small = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd, 4, 85).collect()}
-    jaccard.BLOCK, old = 3, jaccard.BLOCK  # every shingle that four sets share is cut into blocks
+    old = jaccard.BLOCK, jaccard.MEET
+    jaccard.BLOCK, jaccard.MEET = 3, 2  # every shingle that four sets share is cut into blocks
     try:
         cut = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard"](spark, D).collect()}
     finally:
-        jaccard.BLOCK = old
+        jaccard.BLOCK, jaccard.MEET = old
     assert cut == got
     assert small[1] == (0, 1) and small[2] == (0, 2) and small[4][1] == 3 and small[7] == (1, 6) and small[9] == (1, 9)
 
