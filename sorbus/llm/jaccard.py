@@ -16,7 +16,7 @@ shingle. Rows that share an id are linked by any of their texts. Shingles are co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +42,9 @@ def sets_of(texts: list[str], k: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles per bit; half a bit per shingle at least. Its halves fold into a shorter one."""
-    size = max(BITS, 1 << max(0, (len(s) // 2).bit_length()))
+def bitmap(s: np.ndarray, per: float = 0.5) -> bytes:
+    """Parity of the number of shingles per bit; `per` bits per shingle at least. Its halves fold into a shorter one."""
+    size = max(BITS, 1 << int(len(s) * per).bit_length())
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
@@ -222,15 +222,18 @@ def meetings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, at.select("hub", "i", "j", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
 
 
-def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) that link. Shingle arrays are made from the texts of their ends, once per meeting."""
+def meet(docs: DataFrame, pairs: DataFrame, k: int, make: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (src, dst) whose sets pass `test` on what `make` gives of each; made from the texts, once per meeting."""
     at, to = meetings(pairs)
     rows = only(docs.select("doc_id", "text"), to, ["doc_id"], "inner").select("hub", "i", "j", "doc_id", "text")
 
     def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
-            arrs = pa.array([s.tobytes() for s in sets_of(texts_of(part.column("text")), k)], pa.binary())
+            texts = texts_of(part.column("text"))
+            new = [i == 0 or t != texts[i - 1] for i, t in enumerate(texts)]  # the rows of one text follow each other
+            own = [make(s) for s in sets_of([t for t, x in zip(texts, new, strict=True) if x], k)]
+            arrs = pa.array([own[i] for i in (np.cumsum(new) - 1).tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "i", "j", "doc_id")), arrs], names=["hub", "i", "j", "src", "arr"])
 
     made = map_arrow(rows, arrays, "hub long, i int, j int, src long, arr binary")
@@ -239,15 +242,15 @@ def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     spread = both.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}  # the sets of each id, more than one if it is repeated
+        key, sets = None, {}  # what each id's set gave; more than one if it is repeated
         for batch in batches:
             src, dst = [], []
             for *here, kind, s, d, arr in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "kind", "src", "dst", "arr")), strict=True):
                 if here != key:
                     key, sets = here, {}
                 if not kind:
-                    sets.setdefault(s, []).append(np.frombuffer(arr, np.uint64))
-                elif any(alike(a, b, percent) for a in sets[s] for b in sets[d]):
+                    sets.setdefault(s, []).append(arr)
+                elif any(test(a, b) for a in sets[s] for b in sets[d]):
                     src.append(s)
                     dst.append(d)
             if src:
@@ -256,9 +259,24 @@ def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return shared(spread.select("hub", "i", "j", "kind", "src", "dst", "arr").mapInArrow(check, "src long, dst long"))
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    same = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * same >= percent * (len(a) + len(b) - same)
+def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) that link: those that a longer bitmap lets pass, then by their sorted arrays."""
+
+    def counted(s: np.ndarray) -> bytes:
+        return len(s).to_bytes(8, "little") + bitmap(s, 4)
+
+    def may(a: bytes, b: bytes) -> bool:
+        size = min(len(a), len(b)) - 8
+        n = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
+        most = (n - int(np.bitwise_count(fold([a[8:]], size) ^ fold([b[8:]], size)).sum())) // 2
+        return 100 * most >= percent * (n - most)
+
+    def alike(a: bytes, b: bytes) -> bool:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        same = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * same >= percent * (len(a) + len(b) - same)
+
+    return meet(docs, meet(docs, pairs, k, counted, may), k, np.ndarray.tobytes, alike)
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
