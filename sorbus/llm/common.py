@@ -73,7 +73,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word, as text or as its bytes in lower case -> 64-bit hash, kept between batches up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 80_000
 
     def __missing__(self, word: str | bytes) -> int:
         import xxhash

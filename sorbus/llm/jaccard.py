@@ -96,7 +96,7 @@ def blocks(reps: DataFrame) -> DataFrame:
             if part < 0:
                 if name in seen:
                     return
-                if len(seen) >= 200_000:
+                if len(seen) >= 50_000:
                     seen.clear()
                 seen.add(name)
             out.append((tok, part, name, int(n[0]), int(n[-1]), rep))
