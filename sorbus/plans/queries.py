@@ -85,9 +85,8 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q16(spark: SparkSession, d: str) -> DataFrame:
-    """Components of orders and parts among early shipments: their sizes."""
-    early = lineitem(spark, d).where("l_shipdate < timestamp'1995-02-01'").select("l_orderkey", "l_partkey")
-    c = components(early, [Effect("l_orderkey"), Effect("l_partkey")])
+    """Components of orders and parts: their sizes."""
+    c = components(lineitem(spark, d), [Effect("l_orderkey"), Effect("l_partkey")])
     sizes = c.groupBy("component").agg(F.count_if(F.col("effect") == 0).alias("n_orders"), F.count_if(F.col("effect") == 1).alias("n_parts"))
     return sizes.groupBy("n_orders", "n_parts").agg(F.count("*").alias("n"))
 

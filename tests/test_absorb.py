@@ -1,4 +1,7 @@
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from sorbus.operators.absorb import Absorber, Effect, components
@@ -69,3 +72,45 @@ def test_oracle(spark, name):
     cols = sorted(want.columns)
     order = lambda f: f[cols].sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, atol=2e-4)
+
+
+def linked(pairs):
+    """Union-find: the root of each node of both sides."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        up[root((0, a))] = root((1, b))
+    return {x: root(x) for x in list(up)}
+
+
+def test_components_of_all_rows(spark, tmp_path):
+    rows = duckdb.sql("select l_orderkey, l_partkey from '/root/testdata/sf0.001/lineitem.parquet'").fetchall()
+    several = [(o, o % 40 * 3 + o % 3) for o in range(200)] + [(o, o % 40 * 3 + o % 2) for o in range(50)] + [(900, 900), (901, 900), (901, 901)]
+    pd.DataFrame(several, columns=["l_orderkey", "l_partkey"]).assign(l_extendedprice=1.0, l_quantity=1.0, l_shipdate=pd.to_datetime("1997-05-05")).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    for d, pairs in (("/root/testdata/sf0.001", rows), (str(tmp_path), several)):
+        sizes = Counter(root for root in linked(pairs).values())
+        orders = Counter(root for (side, _), root in linked(pairs).items() if side == 0)
+        want = Counter((orders[r], n - orders[r]) for r, n in sizes.items())
+        got = QUERIES["q16_components"](spark, d).collect()
+        assert {(r.n_orders, r.n_parts): r.n for r in got} == want and len(got) == len(want)
+    assert sum(want.values()) > 10
+
+
+def test_two_way_coefficients_dense(spark):
+    """q14 against dense least squares, normalised by component: effect 2 has mean 0 over its levels."""
+    rows = duckdb.sql("select user_id, event_type, ln(1 + value) from '/root/testdata/sf0.001/events.parquet'").fetchall()
+    users, types = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    x = np.zeros((len(rows), len(users) + len(types)))
+    for i, (u, t, _) in enumerate(rows):
+        x[i, users.index(u)] = x[i, len(users) + types.index(t)] = 1
+    coef = np.linalg.lstsq(x, np.array([r[2] for r in rows]), rcond=None)[0]
+    assert len(set(linked([r[:2] for r in rows]).values())) == 1
+    shift = coef[len(users) :].mean()
+    want = {(1, str(u)): c + shift for u, c in zip(users, coef)} | {(2, t): c - shift for t, c in zip(types, coef[len(users) :])}
+    got = {(r.effect, r.level): r.coef for r in QUERIES["q14_coef_two_way"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: pytest.approx(v, abs=6e-5) for k, v in want.items()}
