@@ -2,7 +2,7 @@
 
 A vector is coded as a sum of one full-dimensional codeword per book, found by beam search over residual codebooks; its
 code and squared norm are stored. Queries are scored from look-up tables of their inner products with all codewords; the
-best of every block of rows are ranked again on the original vectors, in double precision.
+best sixteenth of every block of rows, 400 at least, is ranked again on the original vectors, in double precision.
 
 Vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no
 part. Ties go to the smaller vec_id. Repeated ids: each row is a candidate for other ids. The codebooks are fitted on at
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sorbus.llm.common import map_arrow, prepare, sample_rows, table
 
-BOOKS, WORDS, BEAM = 8, 64, 8
+BOOKS, WORDS, BEAM = 8, 256, 8
+SHARE = 16
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -49,9 +50,13 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 12)
     books_ = np.array(out)
     for _ in range(2):
         code = encode(x, books_)
-        b = np.zeros((len(x), books * words))
-        b[np.arange(len(x))[:, None], np.arange(books) * words + code] = 1
-        books_ = np.linalg.solve(b.T @ b + 1e-2 * np.eye(books * words), b.T @ x + 1e-2 * books_.reshape(-1, x.shape[1])).reshape(books_.shape)
+        both, total = np.zeros((books, words, books, words)), np.zeros((books, words, x.shape[1]))
+        for m in range(books):
+            np.add.at(total[m], code[:, m], x)
+            for o in range(books):
+                both[m, :, o] = np.bincount(code[:, m] * words + code[:, o], minlength=words**2).reshape(words, words)
+        n = books * words
+        books_ = np.linalg.solve(both.reshape(n, n) + 1e-2 * np.eye(n), (total + 1e-2 * books_).reshape(n, -1)).reshape(books_.shape)
     return books_
 
 
@@ -90,7 +95,7 @@ def index(df: DataFrame, books: np.ndarray) -> DataFrame:
 def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sample: int = 20_000, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k rows of largest inner product.
 
-    The queries go out in blocks of at most `block` (a few MB, whatever the table's size), one pass over the codes each.
+    Of every block of rows a sixteenth, `rerank` rows at least, is ranked again. The queries go out in blocks of at most `block` (a few MB, whatever the table's size), one pass over the codes each.
     """
     spark = prepare(df.sparkSession)
     rows = usable(df)
@@ -120,7 +125,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
                 near = np.zeros((lut.shape[1], len(ids)), np.float32)
                 for m in range(len(lut)):
                     near += lut[m][:, code[:, m]]
-                top = min(rerank, len(ids))
+                top = min(max(rerank, -(-len(ids) // SHARE)), len(ids))
                 pick = np.argpartition(-near, top - 1, 1)[:, :top]
                 for j in range(len(pick)):
                     cand = pick[j][ids[pick[j]] != qid[lo + j]]

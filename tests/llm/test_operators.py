@@ -118,6 +118,27 @@ def test_search_recall(spark):
     assert aq.search(bad.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 20_000])
+def test_search_recall_beyond_the_budget(spark, n):
+    """Isotropic vectors, all in one batch that is far larger than what is ranked again."""
+    x = np.random.default_rng(3).standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, n)
+    try:
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})).coalesce(1)
+        got = aq.search(df, every=200).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(got) == 20 * n // 200
+    hits = 0
+    for q in range(0, n, 200):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.95 * len(got)
+
+
 def test_suffix(spark, odd, texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op6_suffix_dedup"](spark, D).collect()}
     assert got == suffix.brute_force({d: t.encode() for d, t in texts.items()})
