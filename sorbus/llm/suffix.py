@@ -5,7 +5,9 @@ Consecutive strings of one key form a segment. Equal segments collapse to their
 repeats throughout. Under keys with several different segments, or one in which
 the key's gram occurs twice (a short period), the first occurrences are compared by a Burrows-Wheeler
 transform: intervals of suffixes that agree in l bytes are extended backward to l + 1, all intervals of a length at once,
-dropping those of one suffix, until `size`; what is left are exactly the repeated strings.
+dropping those of one suffix, until `size`; what is left are exactly the repeated strings. Segments of more than
+GROUP_BYTES under one key are not compared together: each of their strings gets a second key, a hash of all its bytes,
+and the first of a key stays.
 
 Null text: empty. Texts below `size` bytes keep all. Rows that share a doc_id share their ranges. An empty table: no rows.
 """
@@ -65,6 +67,15 @@ def segments(raw: bytes, size: int) -> list[np.ndarray]:
     return [m[at].view(np.int64), content.view(np.int64), at, end - at, twice]
 
 
+def string_hashes(raw: bytes, size: int) -> np.ndarray:
+    """A hash of every string of `size` bytes."""
+    n = len(raw) - size + 1
+    b, inv = powers(len(raw) + 1)
+    p = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[np.frombuffer(raw, np.uint8)] * b[: len(raw)], out=p[1:])
+    return mix64((p[size:] - p[:n]) * inv[:n]).view(np.int64)
+
+
 def raw_of(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
@@ -157,26 +168,40 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
     firsts = shared(segs.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "pos", "n")).alias("f"), F.count("*").alias("c"), F.max("twice").alias("twice")))
     again = firsts.where("c > 1").select("key", "sh", F.col("f.doc_id").alias("d0"), F.col("f.pos").alias("p0"))
     whole = segs.join(again, ["key", "sh"]).where("doc_id != d0 or pos != p0").select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
-    mixed = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key")
-    own = firsts.join(mixed, "key").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "f.pos", "f.n")).alias("segs"))
+    mixed = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.sum("f.n").alias("total")).where("c > 1 or t").select("key", (F.col("total") > GROUP_BYTES).alias("hot"))
+    own = firsts.join(mixed, "key").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "hot", "f.pos", "f.n")).alias("segs"))
     once = docs.groupBy("doc_id").agg(F.first("text").alias("text"))
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for d, t, found in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("segs").to_pylist(), strict=True):
             raw = raw_of(t)
-            yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in found]), pa.array([d] * len(found)), pa.array([x["pos"] for x in found]), pa.array([raw[x["pos"] : x["pos"] + x["n"]] for x in found], pa.binary())], names=["key", "doc_id", "pos", "raw"])
+            cold = [x for x in found if not x["hot"]]
+            if cold:
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in cold], pa.int64()), pa.nulls(len(cold), pa.int64()), pa.array([d] * len(cold), pa.int64()), pa.array([x["pos"] for x in cold], pa.int64()), pa.array([raw[x["pos"] : x["pos"] + x["n"]] for x in cold], pa.binary())], names=names)
+            for x in found:
+                for lo in range(x["pos"], x["pos"] + x["n"] - size + 1 if x["hot"] else 0, 65_536):
+                    h = string_hashes(raw[lo : min(lo + 65_535 + size, x["pos"] + x["n"])], size)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(h)), pa.array(h), pa.repeat(pa.scalar(d, pa.int64()), len(h)), pa.array(np.arange(lo, lo + len(h))), pa.nulls(len(h), pa.binary())], names=names)
 
-    pieces = map_arrow(once.join(own, "doc_id").select("doc_id", "text", "segs"), cut, "key long, doc_id long, pos long, raw binary").repartition("key").sortWithinPartitions("key")
+    names = ["key", "whole", "doc_id", "pos", "raw"]
+    pieces = map_arrow(once.join(own, "doc_id").select("doc_id", "text", "segs"), cut, "key long, whole long, doc_id long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "pos")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, total = [], None, 0
+        held, key, total, last = [], None, 0, None
 
         def out():
             r = later(held, size)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in r], pa.int64()) for i in range(3)], names=["doc_id", "a", "b"])
 
         for batch in batches:
-            for k, d, p, r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "pos", "raw")), strict=True):
+            hot = batch.filter(batch.column("whole").is_valid())
+            if hot.num_rows:
+                name = np.stack([hot.column(c).to_numpy() for c in ("key", "whole")], 1)
+                again = np.concatenate([[last is not None and bool((name[0] == last).all())], (name[1:] == name[:-1]).all(1)])
+                last, pos = name[-1], hot.column("pos").to_numpy()[again]
+                yield pa.RecordBatch.from_arrays([pa.array(hot.column("doc_id").to_numpy()[again]), pa.array(pos), pa.array(pos + size)], names=["doc_id", "a", "b"])
+            cold = batch.filter(batch.column("whole").is_null())
+            for k, d, p, r in zip(*(cold.column(c).to_pylist() for c in ("key", "doc_id", "pos", "raw")), strict=True):
                 if k != key and total > GROUP_BYTES:
                     yield out()
                     held, total = [], 0

@@ -147,6 +147,24 @@ def test_suffix(spark, odd, texts):
     assert got == {d: v[:3] for d, v in suffix.brute_force({r[0]: (r[1] or "").encode() for r in ROWS}).items()}
 
 
+def test_suffix_of_a_hot_key(spark, monkeypatch):
+    """A phrase in many surroundings: no task compares much more than GROUP_BYTES at once, and the result is the same."""
+    rng = np.random.default_rng(4)
+    junk = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase, long, bound, later = junk(70), junk(130), 20_000, suffix.later
+    rows = [(d, junk(90) + (phrase if d % 2 else long) + junk(90) + ("é" * 300 if d < 5 else "")) for d in range(600)] + [(700, "x" * 30_000), (701, junk(9) + "xy" * 15_000)]
+
+    def bounded(segs, size):
+        assert sum(len(x[2]) for x in segs) <= 2 * bound
+        return later(segs, size)
+
+    monkeypatch.setattr(suffix, "GROUP_BYTES", bound)
+    monkeypatch.setattr(suffix, "later", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeats(df).collect()}
+    assert got == suffix.brute_force({d: t.encode() for d, t in rows})
+
+
 def test_lm(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{D}/documents.parquet'")
