@@ -9,7 +9,8 @@ dropping those of one suffix, until `size`; what is left are exactly the repeate
 GROUP_BYTES under one key are not compared together: each of their strings gets a second key, a hash of all its bytes,
 and the first of a key stays.
 
-Null text: empty. Texts below `size` bytes keep all. Rows that share a doc_id share their ranges. An empty table: no rows.
+Null text: empty. Texts below `size` bytes keep all. A row is its doc_id and its text (`th`, the hash of it): equal rows
+share their ranges, other texts of the same id are documents of their own, ordered by `th`. An empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorbus.llm.common import map_arrow, mix64, prepare, table, texts_of
@@ -82,13 +83,13 @@ def raw_of(text: str) -> bytes:
 
 def segment_table(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id")
+        ids, th = batch.column("doc_id"), batch.column("th")
         for i, t in enumerate(texts_of(batch.column("text"))):
             key, sh, at, n, twice = segments(raw_of(t), size)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sh), pa.repeat(ids[i], len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(twice)], names=["key", "sh", "doc_id", "pos", "n", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sh), pa.repeat(ids[i], len(at)), pa.repeat(th[i], len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(twice)], names=["key", "sh", "doc_id", "th", "pos", "n", "twice"])
 
-    return map_arrow(docs, run, "key long, sh long, doc_id long, pos long, n long, twice boolean")
+    return map_arrow(docs, run, "key long, sh long, doc_id long, th long, pos long, n long, twice boolean")
 
 
 def suffix_array(s: np.ndarray, upto: int) -> np.ndarray:
@@ -138,14 +139,16 @@ def repeated(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return sa[rows], name
 
 
-def later(segs: list[tuple], size: int) -> list[tuple[int, int, int]]:
-    """(doc_id, start, end) of strings in segments (doc_id, pos, bytes) that also start earlier in another one."""
+def later(segs: list[tuple], size: int) -> list[tuple[tuple, int, int]]:
+    """(row, start, end) of strings in segments (row, pos, bytes) that also start earlier in another one."""
     at, name = repeated([x[2] for x in segs], size)
     if not len(at):
         return []
     starts = np.cumsum([0] + [len(x[2]) + 1 for x in segs])
     which = np.searchsorted(starts, at, "right") - 1
-    doc = np.array([x[0] for x in segs], np.int64)[which]
+    rows = sorted({x[0] for x in segs})
+    code = {x: i for i, x in enumerate(rows)}
+    doc = np.array([code[x[0]] for x in segs], np.int64)[which]
     pos = np.array([x[1] for x in segs], np.int64)[which] + at - starts[which]
     order = np.lexsort((pos, doc, name))
     doc, pos, name = doc[order], pos[order], name[order]
@@ -159,39 +162,44 @@ def later(segs: list[tuple], size: int) -> list[tuple[int, int, int]]:
         return []
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)]))
     end = np.concatenate([new[1:], [len(doc)]]) - 1
-    return list(zip(doc[new].tolist(), pos[new].tolist(), (pos[end] + size).tolist(), strict=True))
+    return list(zip([rows[i] for i in doc[new]], pos[new].tolist(), (pos[end] + size).tolist(), strict=True))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
-    """(doc_id, a, b): byte ranges that repeat strings which start earlier."""
+    """(doc_id, th, a, b): byte ranges that repeat strings which start earlier."""
+    docs = docs.withColumn("th", text_hash())
     segs = segment_table(docs, size)
-    firsts = shared(segs.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "pos", "n")).alias("f"), F.count("*").alias("c"), F.max("twice").alias("twice")))
-    again = firsts.where("c > 1").select("key", "sh", F.col("f.doc_id").alias("d0"), F.col("f.pos").alias("p0"))
-    whole = segs.join(again, ["key", "sh"]).where("doc_id != d0 or pos != p0").select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
+    firsts = shared(segs.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("f"), F.count("*").alias("c"), F.max("twice").alias("twice")))
+    again = firsts.where("c > 1").select("key", "sh", F.col("f.doc_id").alias("d0"), F.col("f.th").alias("t0"), F.col("f.pos").alias("p0"))
+    whole = segs.join(again, ["key", "sh"]).where("doc_id != d0 or th != t0 or pos != p0").select("doc_id", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
     mixed = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.sum("f.n").alias("total")).where("c > 1 or t").select("key", (F.col("total") > GROUP_BYTES).alias("hot"))
-    own = firsts.join(mixed, "key").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "hot", "f.pos", "f.n")).alias("segs"))
-    once = docs.groupBy("doc_id").agg(F.first("text").alias("text"))
+    own = firsts.join(mixed, "key").groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th")).agg(F.collect_list(F.struct("key", "hot", "f.pos", "f.n")).alias("segs"))
+    once = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for d, t, found in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("segs").to_pylist(), strict=True):
+        for d, h, t, found in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts_of(batch.column("text")), batch.column("segs").to_pylist(), strict=True):
             raw = raw_of(t)
             cold = [x for x in found if not x["hot"]]
             if cold:
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in cold], pa.int64()), pa.nulls(len(cold), pa.int64()), pa.array([d] * len(cold), pa.int64()), pa.array([x["pos"] for x in cold], pa.int64()), pa.array([raw[x["pos"] : x["pos"] + x["n"]] for x in cold], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in cold], pa.int64()), pa.nulls(len(cold), pa.int64()), pa.array([d] * len(cold), pa.int64()), pa.array([h] * len(cold), pa.int64()), pa.array([x["pos"] for x in cold], pa.int64()), pa.array([raw[x["pos"] : x["pos"] + x["n"]] for x in cold], pa.binary())], names=names)
             for x in found:
                 for lo in range(x["pos"], x["pos"] + x["n"] - size + 1 if x["hot"] else 0, 65_536):
-                    h = string_hashes(raw[lo : min(lo + 65_535 + size, x["pos"] + x["n"])], size)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(h)), pa.array(h), pa.repeat(pa.scalar(d, pa.int64()), len(h)), pa.array(np.arange(lo, lo + len(h))), pa.nulls(len(h), pa.binary())], names=names)
+                    made = string_hashes(raw[lo : min(lo + 65_535 + size, x["pos"] + x["n"])], size)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(made)), pa.array(made), pa.repeat(pa.scalar(d, pa.int64()), len(made)), pa.repeat(pa.scalar(h, pa.int64()), len(made)), pa.array(np.arange(lo, lo + len(made))), pa.nulls(len(made), pa.binary())], names=names)
 
-    names = ["key", "whole", "doc_id", "pos", "raw"]
-    pieces = map_arrow(once.join(own, "doc_id").select("doc_id", "text", "segs"), cut, "key long, whole long, doc_id long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "pos")
+    names = ["key", "whole", "doc_id", "th", "pos", "raw"]
+    pieces = map_arrow(once.join(own, ["doc_id", "th"]).select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "th", "pos")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, total, last = [], None, 0, None
 
         def out():
             r = later(held, size)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in r], pa.int64()) for i in range(3)], names=["doc_id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0][i] for x in r], pa.int64()) for i in range(2)] + [pa.array([x[i] for x in r], pa.int64()) for i in (1, 2)], names=["doc_id", "th", "a", "b"])
 
         for batch in batches:
             hot = batch.filter(batch.column("whole").is_valid())
@@ -199,27 +207,27 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
                 name = np.stack([hot.column(c).to_numpy() for c in ("key", "whole")], 1)
                 again = np.concatenate([[last is not None and bool((name[0] == last).all())], (name[1:] == name[:-1]).all(1)])
                 last, pos = name[-1], hot.column("pos").to_numpy()[again]
-                yield pa.RecordBatch.from_arrays([pa.array(hot.column("doc_id").to_numpy()[again]), pa.array(pos), pa.array(pos + size)], names=["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(hot.column("doc_id").to_numpy()[again]), pa.array(hot.column("th").to_numpy()[again]), pa.array(pos), pa.array(pos + size)], names=["doc_id", "th", "a", "b"])
             cold = batch.filter(batch.column("whole").is_null())
-            for k, d, p, r in zip(*(cold.column(c).to_pylist() for c in ("key", "doc_id", "pos", "raw")), strict=True):
+            for k, d, h, p, r in zip(*(cold.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "raw")), strict=True):
                 if k != key and total > GROUP_BYTES:
                     yield out()
                     held, total = [], 0
                 key = k
-                held.append((d, p, r))
+                held.append(((d, h), p, r))
                 total += len(r)
         if held:
             yield out()
 
-    return whole.union(pieces.mapInArrow(match, "doc_id long, a long, b long"))
+    return whole.union(pieces.mapInArrow(match, "doc_id long, th long, a long, b long"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """docs with `kept` (the remaining bytes), n_bytes, n_removed and n_spans; other columns pass through."""
     prepare(docs.sparkSession)
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans__")
-    spans = ranges(docs.select("doc_id", "text").where("doc_id is not null"), size).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans__"))
-    both = docs.join(spans, "doc_id", "left")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans__", "th__")
+    spans = ranges(docs.select("doc_id", "text").where("doc_id is not null"), size).groupBy("doc_id", F.col("th").alias("th__")).agg(F.collect_list(F.struct("a", "b")).alias("spans__"))
+    both = docs.withColumn("th__", text_hash()).join(spans, ["doc_id", "th__"], "left").drop("th__")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans__"), "kept binary, n_bytes long, n_removed long, n_spans long"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

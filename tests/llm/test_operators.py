@@ -165,6 +165,16 @@ def test_suffix_of_a_hot_key(spark, monkeypatch):
     assert got == suffix.brute_force({d: t.encode() for d, t in rows})
 
 
+def test_suffix_of_two_texts_under_one_id(spark):
+    rng = np.random.default_rng(6)
+    junk = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    a, b, c = junk(400), junk(150), junk(150)
+    twice = b + c + b  # its own repeat must not touch the other text
+    df = spark.createDataFrame([(5, a), (5, twice), (5, twice), (7, junk(30) + a[:250]), (8, c[:120])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(df).collect())
+    assert got == [(5, 400, 0, 0), (5, 450, 150, 1), (5, 450, 150, 1), (7, 280, 250, 1), (8, 120, 120, 1)]
+
+
 def test_lm(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{D}/documents.parquet'")
