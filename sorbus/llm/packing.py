@@ -22,6 +22,7 @@ from sorbus.llm.bpe import parse_ranks
 from sorbus.llm.common import prepare, table, texts_of
 
 SENTENCE, INSIDE, STEP = 4.0, 12.0, 32
+END_OF_TEXT = "<|endoftext|>"  # the added token after the ranks
 HELD: dict[str, tuple] = {}
 
 
@@ -34,7 +35,7 @@ def tokenizer(path: str, pattern: str):
         ends = np.zeros(max(ranks.values()) + 2, bool)
         for token, i in ranks.items():
             ends[i] = token[-1:] in b".!?\n"
-        HELD[path] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends)
+        HELD[path] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: max(ranks.values()) + 1}), ends)
     return HELD[path]
 
 
@@ -77,7 +78,7 @@ def candidates(ids: np.ndarray, ends: np.ndarray, lengths: list[int]) -> tuple[n
 def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int = 1, block: int = 1 << 18) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece.
 
-    path: a file of ranks; every match of pattern is encoded apart, and what looks like a special token is text.
+    path: a file of ranks; every match of pattern is encoded apart, but a literal END_OF_TEXT is the added token.
     """
     prepare(docs.sparkSession)
 
@@ -127,7 +128,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for d, t in zip(part.column("doc_id").to_pylist(), texts_of(part.column("text")), strict=True):
-                    ids = np.append(tok.encode_to_numpy(t, disallowed_special=()).astype(np.int64), end_id)
+                    ids = np.append(tok.encode_to_numpy(t, allowed_special="all").astype(np.int64), end_id)
                     held.append([d, ids, 0])
                     total += len(ids)
                     if total >= block:

@@ -48,6 +48,19 @@ def test_packing(spark, texts):
     assert sum(2048 - n for n in length.values() if n & (n - 1)) < 0.03 * sum(length.values())
 
 
+def test_packing_of_the_added_token(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(p.path("byte_bpe_50k.json"))  # as it is, so the literal token is one id
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "end.<|endoftext|><|endoftext|>\n x <|endoftext"), (4, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN).orderBy("doc_id", "start").collect()
+    ids = defaultdict(list)
+    for r in got:
+        ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert ids == {d: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows} and 50256 in ids[2]
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(30):
