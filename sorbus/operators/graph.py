@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the checkpoint folder that the session names (one is set only where none is)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in which lineage is cut: the one that ``spark.checkpoint.dir`` names.
+
+    Where the session names none, a local session (as in tests) gets a folder of this machine, and a cluster an error,
+    for its executors don't see each other's disks.
+    """
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """df cut from its lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more, rather than at its next rest."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node that `edges` (src, dst) connect to; both of one orderable type.
 
     Loops, repeated and reversed edges count once; rows with a null end are ignored; an empty table gives no rows.
-    Every round shuffles the remaining edges, which are at most as many as given. Raises if `rounds` don't suffice.
+    Every round shuffles the remaining edges, which are at most as many as given; rounds go on until one changes nothing.
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     e = shared(e.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("dst", "src"))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
@@ -33,8 +54,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "src")
         e = small.select(F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("x")).select("x.*")
         e = shared(e.where("src != dst").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("src", "dst").cast("decimal(38,0)"))).first())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if now == before:
             return nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
         before = now
-    raise RuntimeError("components: more rounds needed")
