@@ -22,6 +22,7 @@ from sorbus.llm.common import map_arrow, prepare, sample_rows, table
 
 BOOKS, WORDS, BEAM = 8, 256, 8
 SHARE = 16
+SAMPLE_BYTES = 64 << 20
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -104,7 +105,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common.d
     rows = rows.where(F.size("v") == dim)
-    learned = np.array([r.v for r in sample_rows(rows, "vec_id", sample).collect()], float)
+    learned = np.array([r.v for r in sample_rows(rows, "vec_id", "v", sample, SAMPLE_BYTES)], float)
     coded = index(rows, books := fit(learned)).checkpoint()
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     n_blocks = max(1, -(-asked.count() // (block // 2)))

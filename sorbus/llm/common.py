@@ -7,23 +7,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from sorbus.operators.graph import shared_folder
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where only the driver's path holds it, and make checkpoint() usable.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder is chosen here only where it is unset, as in tests.
+    ``spark.checkpoint.dir`` is read from the session; see shared_folder.
     """
     sc = spark.sparkContext
     held = sc.environment.get("PYTHONPATH", "")
     if ROOT not in held.split(":"):
         sc.environment["PYTHONPATH"] = f"{ROOT}:{held}" if held else ROOT
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_folder(spark)
     return spark
 
 
@@ -52,9 +53,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows, the least by a hash of their key: a bounded sample that follows no file order."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+def sample_rows(df: DataFrame, key: str, value: str, n: int, max_bytes: int) -> list[Row]:
+    """At most n rows of df, of which the column `value` has at most max_bytes in all: those least by a hash of their key.
+
+    Which rows they are is known from hashes and lengths, so the driver gets no other value; a row that does not fit in
+    what is left of max_bytes is passed over. Rows that share a key are taken as far as both bounds allow.
+    """
+    rows = df.count()
+    if not rows or n <= 0:
+        return []
+    h = F.xxhash64(F.col(key), F.lit(20))
+    share = min(1.0, n / rows + 6 * (n**0.5 + 1) / rows)  # beyond the mean by six deviations
+    below = F.lit(True) if share == 1 else h < F.lit(int((share - 0.5) * 2**64))
+    size = F.octet_length(value) if dict(df.dtypes)[value] == "string" else F.size(value) * 8
+    named = df.where(below).select(F.col(key).alias("key"), F.coalesce(size, F.lit(0)).alias("size"), h.alias("h"))
+    left, count, keys = max_bytes, 0, set()
+    for r in named.orderBy("h", "key", "size").limit(2 * n).collect():
+        if count < n and 0 <= r.size <= left:
+            left, count = left - r.size, count + 1
+            keys.add(r.key)
+    if not keys:
+        return []
+    picked = df.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` {dict(df.dtypes)[key]}")
+    out, left = [], max_bytes
+    for r in df.where(below).join(F.broadcast(picked), key, "left_semi").where(size <= max_bytes).orderBy(h, key, size).limit(n).toLocalIterator():
+        held = len(r[value].encode("utf-8", "surrogatepass")) if isinstance(r[value], str) else 8 * len(r[value])
+        if held <= left:
+            left -= held
+            out.append(r)
+    return out
 
 
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)

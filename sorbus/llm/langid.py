@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes are cut into windows; the network labels every byte from states that run forward and backward over
 its window, and the document's probabilities are the mean of the log-probabilities of all positions, turned into shares.
-Trained in numpy by backpropagation through time on at most `max_rows` documents, the least by a hash of the id.
+Trained in numpy by backpropagation through time on the whole texts of at most `max_rows` documents with at most
+`max_bytes` of text, the least by a hash of the id.
 
 Null text, or a text without a letter: `und`, score 0. No labelled row: all `und`. Whole texts count, whatever their length.
 """
@@ -120,7 +121,8 @@ def gradients(x: np.ndarray, y: np.ndarray, m: dict) -> dict:
     return g
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 8, per_doc: int = 4, rate: float = 0.02) -> dict | None:
+def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.02) -> dict | None:
+    """A model of (text, language) rows, from all windows of the texts."""
     classes = sorted({lang for _, lang in rows})
     if not classes:
         return None
@@ -128,9 +130,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, per_doc: int = 4, rate:
     xs, ys = [], []
     for text, lang in rows:
         w = windows(text.encode("utf-8", "surrogatepass"))
-        pick = w[rng.permutation(len(w))[:per_doc]]
-        xs.append(pick)
-        ys += [classes.index(lang)] * len(pick)
+        xs.append(w)
+        ys += [classes.index(lang)] * len(w)
     x, y = np.concatenate(xs), np.array(ys)
     m = new_model(len(classes), rng)
     m1, m2, t = {k: 0 for k in m}, {k: 0 for k in m}, 0
@@ -145,10 +146,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, per_doc: int = 4, rate:
     return {k: v.astype(np.float32) for k, v in m.items()} | {"classes": classes}
 
 
-def learn(docs: DataFrame, max_rows: int = 3000) -> dict | None:
-    """A model from at most max_rows documents with a language outside the held-out fold (collected in that bound)."""
-    rows = sample_rows(docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and text != '' and doc_id is not null").where(~held_out()), "doc_id", max_rows)
-    return train([(r.text, r.lang) for r in rows.collect()])
+def learn(docs: DataFrame, max_rows: int = 3000, max_bytes: int = 3 << 19) -> dict | None:
+    """A model from documents with a language outside the held-out fold: at most max_rows, with max_bytes of text."""
+    known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and text != '' and doc_id is not null")
+    return train([(r.text, r.lang) for r in sample_rows(known.where(~held_out()), "doc_id", "text", max_rows, max_bytes)])
 
 
 def predict_texts(texts: list[str | None], model: dict | None) -> tuple[list[str], list[float]]:
