@@ -5,18 +5,19 @@ Texts with the same shingle set are collapsed first, so a group of copies is one
 Rows of these prefixes meet by shingle, ordered by size; a shingle that one set alone has ends there. The sets of a shingle
 form a tile, or blocks of BLOCK sets each, of which every two whose sizes can link form one; shingles with the same sets
 form it once. In a tile, bitmaps of parities (their length follows the set's size) give an upper bound of the overlap by
-counting bits; what passes is checked by an exact intersection of the sorted shingle arrays, made again from the texts.
+counting bits: short ones first, which leave few rows of few tiles, then long ones. What passes is checked by an exact
+intersection of the sorted shingle arrays, made once more from the texts of the sets that are left.
 
 First each set's likeliest candidate is checked, then all candidates whose ends these links don't connect already: what
 is left out can't change a group.
 
 Null or wordless text: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one
-shingle. Rows that share an id are linked by any of their texts. Shingles are compared by 64-bit hashes.
+shingle. Rows that share an id are one document: it is linked by any of its texts. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorbus.llm.common import map_arrow, prepare, ragged, shingles, table, texts_of
-from sorbus.operators.graph import connected_components, shared
+from sorbus.operators.graph import connected_components, release, shared
 
 BITS = 512
+SHORT, LONG = 0.5, 4  # bits per shingle of the two bitmaps, at least
 BLOCK = 2_000
 MEET = 128
-BROADCAST_KEYS = 200_000
+BROADCAST_KEYS = 200_000  # rows of ids alone, so a few MB
 
 
 def words_of(text: str) -> list[bytes]:
@@ -42,14 +44,14 @@ def sets_of(texts: list[str], k: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def bitmap(s: np.ndarray, per: float = 0.5) -> bytes:
+def bitmap(s: np.ndarray, per: float) -> bytes:
     """Parity of the number of shingles per bit; `per` bits per shingle at least. Its halves fold into a shorter one."""
     size = max(BITS, 1 << int(len(s) * per).bit_length())
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, set_id, n, bits, pre): a 128-bit name of the set, its size, bitmap and prefix; no text, no whole set."""
+    """(doc_id, set_id, n, bits, short, pre): a 128-bit name of the set, its size, bitmaps and prefix; no text, no whole set."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -59,9 +61,9 @@ def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
             found = sets_of(texts_of(part.column("text")), k)
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
             pre = pa.array([s[: len(s) - -(-percent * len(s) // 100) + 1].tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary()), pre], names=["doc_id", "set_id", "n", "bits", "pre"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s, LONG) for s in found], pa.binary()), pa.array([bitmap(s, SHORT) for s in found], pa.binary()), pre], names=["doc_id", "set_id", "n", "bits", "short", "pre"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, bits binary, pre binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, bits binary, short binary, pre binary")
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
@@ -145,65 +147,100 @@ def fold(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def may_link(rows: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, q, like) of the rows (side, rep, n, bits, label) of a tile, sorted by n and rep: places p before q that may link.
+
+    Rows of one label (a negative one is alike with none) aren't compared, nor are rows of the same side 0 or 1.
+    """
+    side, n, label = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 4))
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    bits, held, one = [r[3] for r in rows], {}, side[0] == 2
+    width = np.array([len(x) for x in bits])
+    for x in range(0, len(b), 128):
+        y = b[x : x + 128]
+        # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
+        lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
+        z = a[lo : np.searchsorted(n[a], n[y[-1]], "right")]
+        if not len(z):
+            continue
+        size = int(min(width[z].min(), width[y].min()))
+        if size not in held:
+            held[size] = np.zeros((len(rows), size // 8), np.uint64)
+            held[size][width >= size] = fold([w for w in bits if len(w) >= size], size)
+        bit = held[size]
+        far = np.zeros((len(z), len(y)), np.int64)
+        for w in range(bit.shape[1]):
+            far += np.bitwise_count(bit[z, w][:, None] ^ bit[y, w][None, :])
+        na, ny = n[z][:, None], n[y][None, :]
+        most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
+        before = z[:, None] < y[None, :] if one else np.ones((1, 1), bool)
+        other = (label[z][:, None] != label[y][None, :]) | (label[z][:, None] < 0)
+        p, q = np.nonzero((100 * most >= percent * (na + ny - most)) & before & other)
+        if len(p):
+            yield z[p], y[q], (most / (na + ny - most))[p, q]
+
+
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[tuple]]]:
+    """(tile, its rows (side, rep, n, bits, label)) of batches sorted by tile."""
+    held, key = [], None
+    for batch in batches:
+        for t in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "rep", "n", "bits", "label")), strict=True):
+            if t[0] != key:
+                if len(held) > 1:
+                    yield key, held
+                held, key = [], t[0]
+            held.append(t[1:])
+    if len(held) > 1:
+        yield key, held
+
+
+def in_tiles(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("tile").sortWithinPartitions("tile", "n", "rep").select("tile", "side", "rep", "n", "bits", "label")
+
+
+def flagged(tiles: DataFrame, percent: int) -> DataFrame:
+    """(tile, side, rep): the rows of tiles that may link with another one there, by short bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, rows in by_tile(batches):
+            hit = np.zeros(len(rows), bool)
+            for p, q, _ in may_link(rows, percent):
+                hit[p] = hit[q] = True
+            if hit.any():
+                at = np.flatnonzero(hit).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.binary()), pa.array([rows[i][0] for i in at], pa.int32()), pa.array([rows[i][1] for i in at], pa.int64())], names=["tile", "side", "rep"])
+
+    return in_tiles(tiles.withColumn("label", F.lit(-1))).mapInArrow(run, "tile binary, side int, rep long")
+
+
 def candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(src, dst, like) of tile rows (tile, side, rep, n, bits, label): sets that may link and have not the same label.
+    """(src, dst) of tile rows (tile, side, rep, n, bits, label): sets that may link and have not the same label.
 
-    With `best`, for each dst and tile only the likeliest src. src comes before dst by size, then by id.
+    With `best`, for each dst only the likeliest src. src comes before dst by size, then by id.
     """
-    spread = tiles.repartition("tile").sortWithinPartitions("tile", "n", "rep")
-
-    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        side, rep, n, label = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
-        if len(label) > 1 and (label == label[0]).all():
-            return
-        one = side[0] == 2
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        bits, held = [r[3] for r in rows], {}
-        width = np.array([len(x) for x in bits])
-        for x in range(0, len(b), 128):
-            y = b[x : x + 128]
-            # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
-            lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
-            z = a[lo : np.searchsorted(n[a], n[y[-1]], "right")]
-            if not len(z):
-                continue
-            size = int(min(width[z].min(), width[y].min()))
-            if size not in held:
-                held[size] = np.zeros((len(rows), size // 8), np.uint64)
-                held[size][width >= size] = fold([w for w in bits if len(w) >= size], size)
-            bit = held[size]
-            far = np.zeros((len(z), len(y)), np.int64)
-            for w in range(bit.shape[1]):
-                far += np.bitwise_count(bit[z, w][:, None] ^ bit[y, w][None, :])
-            na, ny = n[z][:, None], n[y][None, :]
-            most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
-            like = most / (na + ny - most)
-            before = z[:, None] < y[None, :] if one else np.ones((1, 1), bool)
-            ok = (100 * most >= percent * (na + ny - most)) & before & (label[z][:, None] != label[y][None, :])
-            if best:
-                top = np.where(ok, like, -1).argmax(0)
-                q = np.flatnonzero(ok[top, np.arange(len(y))])
-                p = top[q]
-            else:
-                p, q = np.nonzero(ok)
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[z[p]]), pa.array(rep[y[q]]), pa.array(like[p, q])], names=["src", "dst", "like"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            for t in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "rep", "n", "bits", "label")), strict=True):
-                if t[0] != key:
-                    if len(held) > 1:
-                        yield from found(held)
-                    held, key = [], t[0]
-                held.append(t[1:])
-        if len(held) > 1:
-            yield from found(held)
-
-    made = spread.select("tile", "side", "rep", "n", "bits", "label").mapInArrow(run, "src long, dst long, like double")
+        seen: set[tuple[int, int]] = set()  # tiles of a group hold many of its pairs again
+        for _, rows in by_tile(batches):
+            if len({r[4] for r in rows}) == 1:
+                continue
+            rep = np.array([r[1] for r in rows], np.int64)
+            for p, q, like in may_link(rows, percent):
+                if best:
+                    order = np.lexsort((rep[p], -like, q))
+                    order = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
+                    p, q, like = p[order], q[order], like[order]
+                pairs = list(zip(rep[p].tolist(), rep[q].tolist(), strict=True))
+                new = np.array([x not in seen for x in pairs])
+                if len(seen) > 300_000:
+                    seen.clear()
+                seen.update(pairs)
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[p[new]]), pa.array(rep[q[new]]), pa.array(like[new])], names=["src", "dst", "like"])
+
+    made = in_tiles(tiles).mapInArrow(run, "src long, dst long, like double")
     if best:
-        return made.groupBy("dst").agg(F.max(F.struct("like", "src")).alias("x")).select("x.src", "dst")
+        return made.groupBy("dst").agg(F.min(F.struct(-F.col("like"), "src")).alias("x")).select("x.src", "dst")
     return made.select("src", "dst").distinct()
 
 
@@ -222,35 +259,27 @@ def meetings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, at.select("hub", "i", "j", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
 
 
-def meet(docs: DataFrame, pairs: DataFrame, k: int, make: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs (src, dst) whose sets pass `test` on what `make` gives of each; made from the texts, once per meeting."""
+def exact(arrays: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) that link, by the sorted arrays (rep, arr) of their sets."""
     at, to = meetings(pairs)
-    rows = only(docs.select("doc_id", "text"), to, ["doc_id"], "inner").select("hub", "i", "j", "doc_id", "text")
-
-    def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            texts = texts_of(part.column("text"))
-            new = [i == 0 or t != texts[i - 1] for i, t in enumerate(texts)]  # the rows of one text follow each other
-            own = [make(s) for s in sets_of([t for t, x in zip(texts, new, strict=True) if x], k)]
-            arrs = pa.array([own[i] for i in (np.cumsum(new) - 1).tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "i", "j", "doc_id")), arrs], names=["hub", "i", "j", "src", "arr"])
-
-    made = map_arrow(rows, arrays, "hub long, i int, j int, src long, arr binary")
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    both = made.select("hub", "i", "j", F.lit(0).alias("kind"), "src", none("dst", "long"), "arr").union(at.select("hub", "i", "j", F.lit(1), "src", "dst", none("arr", "binary")))
+    made = arrays.join(to.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "i", "j", F.lit(0).alias("kind"), F.col("rep").alias("src"), none("dst", "long"), "arr")
+    both = made.union(at.select("hub", "i", "j", F.lit(1), "src", "dst", none("arr", "binary")))
     spread = both.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}  # what each id's set gave; more than one if it is repeated
+        key, sets = None, {}
         for batch in batches:
             src, dst = [], []
             for *here, kind, s, d, arr in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "kind", "src", "dst", "arr")), strict=True):
                 if here != key:
                     key, sets = here, {}
                 if not kind:
-                    sets.setdefault(s, []).append(arr)
-                elif any(test(a, b) for a in sets[s] for b in sets[d]):
+                    sets[s] = np.frombuffer(arr, np.uint64)
+                    continue
+                a, b = sets[s], sets[d]
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * same >= percent * (len(a) + len(b) - same):
                     src.append(s)
                     dst.append(d)
             if src:
@@ -259,28 +288,25 @@ def meet(docs: DataFrame, pairs: DataFrame, k: int, make: Callable[[np.ndarray],
     return shared(spread.select("hub", "i", "j", "kind", "src", "dst", "arr").mapInArrow(check, "src long, dst long"))
 
 
-def exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) that link: those that a longer bitmap lets pass, then by their sorted arrays."""
+def arrays_of(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(rep, arr) of the sets (rep, set_id, doc_id): their sorted shingles, made again from the text of one document each."""
+    rows = only(docs.select("doc_id", "text"), sets.select("doc_id").distinct(), ["doc_id"])
 
-    def counted(s: np.ndarray) -> bytes:
-        return len(s).to_bytes(8, "little") + bitmap(s, 4)
-
-    def may(a: bytes, b: bytes) -> bool:
-        size = min(len(a), len(b)) - 8
-        n = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
-        most = (n - int(np.bitwise_count(fold([a[8:]], size) ^ fold([b[8:]], size)).sum())) // 2
-        return 100 * most >= percent * (n - most)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def alike(a: bytes, b: bytes) -> bool:
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        same = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * same >= percent * (len(a) + len(b) - same)
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            made = [s.tobytes() for s in sets_of(texts_of(part.column("text")), k)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "set_id", "arr"])
 
-    return meet(docs, meet(docs, pairs, k, counted, may), k, np.ndarray.tobytes, alike)
+    # A repeated id has several rows; only those with the set in question count, and one of them is enough.
+    made = map_arrow(rows, run, "doc_id long, set_id binary, arr binary")
+    return made.join(sets, ["doc_id", "set_id"]).select("rep", "arr").dropDuplicates(["rep"])
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(src, dst) of representatives (rep, n, bits, pre) that link: enough of the links to connect all that are connected."""
+    """(src, dst) of the sets (rep, set_id, doc_id, n, bits, pre) that link: enough to connect all that links connect."""
     made = shared(blocks(reps))
     one = made.select(F.col("name").alias("tile"), F.lit(2).alias("side"), "reps").dropDuplicates(["tile"])
     split = made.where("part >= 0")
@@ -289,26 +315,36 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     two = two.select(F.concat("name_a", "name_b").alias("tile"), "reps_a", "reps_b").dropDuplicates(["tile"])
     two = two.select("tile", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("reps_a").alias("reps")), F.struct(F.lit(1).alias("side"), F.col("reps_b").alias("reps")))).alias("x")).select("tile", "x.*")
     rows = one.union(two).select("tile", "side", F.explode("reps").alias("rep"))
-    bits = only(reps.select("rep", "n", "bits"), made.select(F.explode("reps").alias("rep")).distinct(), ["rep"])
-    tiles = only(rows, bits, ["rep"], "inner")
-    known = exact(docs, shared(candidates(tiles.withColumn("label", F.col("rep")), percent, True)), k, percent)
+    likely = shared(flagged(rows.join(reps.select("rep", "n", F.col("short").alias("bits")), "rep"), percent))
+    release(docs.sparkSession)
+    left = likely.select("rep").distinct()
+    held = shared(only(reps.select("rep", "set_id", "doc_id", "n", "bits"), left, ["rep"]))
+    tiles = likely.join(held.select("rep", "n", "bits"), "rep")
+    arrays = shared(arrays_of(docs, held.select("rep", "set_id", "doc_id"), k))
+    known = exact(arrays, shared(candidates(tiles.withColumn("label", F.col("rep")), percent, True)), percent)
     comps = connected_components(known).withColumnRenamed("node", "rep")
-    tiles = only(tiles, comps, ["rep"], "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = tiles.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile")
-    rest = shared(candidates(only(tiles, mixed, ["tile"]), percent, False))
-    return known.union(exact(docs, rest, k, percent))
+    tiles = tiles.join(comps, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    rest = shared(candidates(tiles, percent, False))
+    return known.union(exact(arrays, rest, percent))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document; a null doc_id is left out."""
+    """(doc_id, n_shingles, component_id) per row of docs; a null doc_id is left out."""
     prepare(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     sets = shared(set_table(docs, k, percent))
-    names = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = only(sets, names.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bits", "pre")
-    comps = connected_components(shared(links(docs, reps, k, percent)))
-    member = names.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("c"))
-    return sets.select("doc_id", "set_id", "n").join(member, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    full = sets.where("n > 0").withColumn("rep", F.xxhash64("set_id"))
+    names = shared(full.groupBy("rep", "set_id").agg(F.min("doc_id").alias("doc_id")))
+    reps = full.join(names, ["rep", "set_id", "doc_id"], "left_semi").dropDuplicates(["rep"])
+    several = sets.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b").select("doc_id")
+    same = shared(full.select("doc_id", "rep").join(several, "doc_id", "left_semi").distinct())
+    bound = same.join(same.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").select(F.col("rep").alias("src"), "dst")
+    comps = connected_components(shared(links(docs, reps, k, percent).union(bound))).withColumnRenamed("node", "rep")
+    group = shared(names.join(comps, "rep", "left").select("set_id", "rep", "doc_id", F.coalesce("component", "rep").alias("g")))
+    least = group.join(group.groupBy("g").agg(F.min("doc_id").alias("c")), "g").select("set_id", "rep", "c")
+    own = same.join(least, "rep").groupBy("doc_id").agg(F.min("c").alias("own"))
+    out = sets.select("doc_id", "set_id", "n").join(least.select("set_id", "c"), "set_id", "left").join(own, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "c", "doc_id").alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
