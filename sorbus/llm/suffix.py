@@ -1,7 +1,8 @@
 """Removal of repeated byte strings (operator 6).
 
 Each string of `size` bytes has a key: the least hash of its grams of size/2 bytes, so equal strings meet under one key.
-Consecutive strings of one key form a segment. Equal segments collapse to their first occurrence; all others are
+Consecutive strings of one key form a segment. Equal segments collapse to their first occurrence: within a batch of texts
+before anything is shuffled, so a segment that many texts share is one row a batch, then under their key. All others are
 repeats throughout. Under keys with several different segments, or one in which
 the key's gram occurs twice (a short period), the first occurrences are compared by a Burrows-Wheeler
 transform: intervals of suffixes that agree in l bytes are extended backward to l + 1, all intervals of a length at once,
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorbus.llm.common import map_arrow, mix64, prepare, table, texts_of
-from sorbus.operators.graph import shared
+from sorbus.llm.common import Stored, map_arrow, mix64, prepare, table, texts_of
+from sorbus.operators.graph import release, shared
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 GROUP_BYTES = 1_000_000
+SLICE_BYTES = 8 << 20  # of text whose segments are collapsed at once, but a longer text is a slice of its own
 POWERS = {}
 
 
@@ -47,7 +49,7 @@ def segments(raw: bytes, size: int) -> list[np.ndarray]:
     """Keys, content hashes, starts and lengths of the segments of a text, and whether the key's gram occurs twice in it."""
     n, k = len(raw), size // 2
     if n < size:
-        return [np.empty(0, np.int64)] * 5
+        return [*[np.empty(0, np.int64)] * 4, np.empty(0, bool)]
     b, inv = powers(n + 1)
     p = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[np.frombuffer(raw, np.uint8)] * b[:n], out=p[1:])
@@ -81,17 +83,102 @@ def raw_of(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+SEGMENT = ["key", "sh", "doc_id", "th", "pos", "n", "twice"]
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in some column; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def split_repeats(key: np.ndarray, sh: np.ndarray, doc: np.ndarray, th: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in this order: which open a (key, sh), and which repeat its opening at another place."""
+    first = changes(key, sh)
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return first, (doc != doc[lead]) | (th != th[lead]) | (pos != pos[lead])
+
+
 def segment_table(docs: DataFrame, size: int) -> DataFrame:
+    """Rows SEGMENT: the first of equal segments in a slice of texts; and, with null `twice`, byte ranges that repeat one."""
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        total = np.cumsum([len(t) for t in texts_of(batch.column("text"))])
+        lo = 0
+        while lo < len(total):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, th = batch.column("doc_id"), batch.column("th")
-        for i, t in enumerate(texts_of(batch.column("text"))):
-            key, sh, at, n, twice = segments(raw_of(t), size)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sh), pa.repeat(ids[i], len(at)), pa.repeat(th[i], len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(twice)], names=["key", "sh", "doc_id", "th", "pos", "n", "twice"])
+        for part in slices(batch):
+            doc, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+            made = [segments(raw_of(t), size) for t in texts_of(part.column("text"))]
+            which = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+            if not len(which):
+                continue
+            key, sh, pos, n, twice = (np.concatenate([m[i] for m in made]) for i in range(5))
+            doc, th = doc[which], th[which]
+            order = np.lexsort((pos, th, doc, sh, key))
+            key, sh, doc, th, pos, n, twice = (x[order] for x in (key, sh, doc, th, pos, n, twice))
+            first, again = split_repeats(key, sh, doc, th, pos)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (key, sh, doc, th, pos, n, twice)], names=SEGMENT)
+            if again.any():
+                doc, th, pos, end = (x[again] for x in (doc, th, pos, pos + n))
+                order = np.lexsort((pos, th, doc))
+                doc, th, pos, end = (x[order] for x in (doc, th, pos, end))
+                new = np.flatnonzero(changes(doc, th) | np.append(True, pos[1:] > end[:-1]))  # ends rise within a text
+                end = end[np.append(new[1:], len(doc)) - 1]
+                doc, th, pos = doc[new], th[new], pos[new]
+                spread = mix64(doc.view(np.uint64) ^ mix64(pos.view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(new), np.int64)), pa.array(doc), pa.array(th), pa.array(pos), pa.array(end - pos), pa.nulls(len(new), pa.bool_())], names=SEGMENT)
 
     return map_arrow(docs, run, "key long, sh long, doc_id long, th long, pos long, n long, twice boolean")
 
 
+def settle(segs: DataFrame) -> DataFrame:
+    """(key, doc_id, th, pos, n): byte ranges that repeat a segment, with null key; and, under keys with several different
+    segments or a short period, the first of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stub, out = None, False  # the row that opens the last (key, sh), and whether the firsts of its key go out
+
+        def rows(keys: pa.Array, cols: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(c) for c in cols)], names=["key", "doc_id", "th", "pos", "n"])
+
+        for batch in batches:
+            done = batch.filter(batch.column("twice").is_null())
+            if done.num_rows:
+                yield rows(pa.nulls(done.num_rows, pa.int64()), [done.column(c).to_numpy() for c in SEGMENT[2:6]])
+            live = batch.filter(batch.column("twice").is_valid())
+            if not live.num_rows:
+                continue
+            cols = [live.column(c).to_numpy(zero_copy_only=False) for c in SEGMENT]
+            if stub is not None:
+                cols = [np.append(s, c).astype(c.dtype) for s, c in zip(stub, cols, strict=True)]
+            key, sh, doc, th, pos, n, twice = cols
+            first, again = split_repeats(key, sh, doc, th, pos)
+            if again.any():
+                yield rows(pa.nulls(int(again.sum()), pa.int64()), [c[again] for c in (doc, th, pos, n)])
+            runs = np.flatnonzero(changes(key))
+            mixed = (np.add.reduceat(first, runs, dtype=np.int64) > 1) | np.logical_or.reduceat(twice, runs)
+            held = stub is not None and out  # the stub has gone out, and so do all firsts of its key
+            mixed[0] |= held
+            go = first & np.repeat(mixed, np.diff(np.append(runs, len(key))))
+            if held:
+                go[0] = False
+            if go.any():
+                yield rows(pa.array(key[go]), [c[go] for c in (doc, th, pos, n)])
+            last = np.flatnonzero(first)[-1]
+            stub, out = [c[last] for c in cols], bool(mixed[-1])
+
+    spread = segs.repartition("key").sortWithinPartitions("key", "sh", "doc_id", "th", "pos")
+    return spread.select(*SEGMENT).mapInArrow(run, "key long, doc_id long, th long, pos long, n long")
+
+
 def suffix_array(s: np.ndarray, upto: int) -> np.ndarray:
     """Order of the suffixes by their first `upto` values at least (prefix doubling)."""
     rank, k, n = s.astype(np.int64), 1, len(s)
@@ -170,15 +257,15 @@ def text_hash() -> Column:
 
 
 def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
-    """(doc_id, th, a, b): byte ranges that repeat strings which start earlier."""
+    """(doc_id, th, spans): per text its byte ranges [a, b) that repeat strings which start earlier."""
     docs = docs.withColumn("th", text_hash())
-    segs = segment_table(docs, size)
-    firsts = shared(segs.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("f"), F.count("*").alias("c"), F.max("twice").alias("twice")))
-    again = firsts.where("c > 1").select("key", "sh", F.col("f.doc_id").alias("d0"), F.col("f.th").alias("t0"), F.col("f.pos").alias("p0"))
-    whole = segs.join(again, ["key", "sh"]).where("doc_id != d0 or th != t0 or pos != p0").select("doc_id", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
-    mixed = firsts.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t"), F.sum("f.n").alias("total")).where("c > 1 or t").select("key", (F.col("total") > GROUP_BYTES).alias("hot"))
-    own = firsts.join(mixed, "key").groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th")).agg(F.collect_list(F.struct("key", "hot", "f.pos", "f.n")).alias("segs"))
-    once = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    settled = Stored(settle(segment_table(docs, size)))
+    release(docs.sparkSession)
+    whole = settled.df.where("key is null").select("doc_id", "th", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))
+    firsts = settled.df.where("key is not null")
+    hot = firsts.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_BYTES).select("key", F.lit(True).alias("hot"))
+    own = firsts.join(hot, "key", "left").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"), "pos", "n")).alias("segs"))
+    once = docs.join(own, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for d, h, t, found in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts_of(batch.column("text")), batch.column("segs").to_pylist(), strict=True):
@@ -192,7 +279,7 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(made)), pa.array(made), pa.repeat(pa.scalar(d, pa.int64()), len(made)), pa.repeat(pa.scalar(h, pa.int64()), len(made)), pa.array(np.arange(lo, lo + len(made))), pa.nulls(len(made), pa.binary())], names=names)
 
     names = ["key", "whole", "doc_id", "th", "pos", "raw"]
-    pieces = map_arrow(once.join(own, ["doc_id", "th"]).select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "th", "pos")
+    pieces = map_arrow(once.select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "th", "pos")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, total, last = [], None, 0, None
@@ -219,14 +306,18 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
         if held:
             yield out()
 
-    return whole.union(pieces.mapInArrow(match, "doc_id long, th long, a long, b long"))
+    found = whole.union(pieces.mapInArrow(match, "doc_id long, th long, a long, b long"))
+    spans = shared(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    settled.drop()
+    release(docs.sparkSession)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """docs with `kept` (the remaining bytes), n_bytes, n_removed and n_spans; other columns pass through."""
     prepare(docs.sparkSession)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans__", "th__")
-    spans = ranges(docs.select("doc_id", "text").where("doc_id is not null"), size).groupBy("doc_id", F.col("th").alias("th__")).agg(F.collect_list(F.struct("a", "b")).alias("spans__"))
+    spans = ranges(docs.select("doc_id", "text").where("doc_id is not null"), size).select("doc_id", F.col("th").alias("th__"), F.col("spans").alias("spans__"))
     both = docs.withColumn("th__", text_hash()).join(spans, ["doc_id", "th__"], "left").drop("th__")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans__"), "kept binary, n_bytes long, n_removed long, n_spans long"])
 

@@ -138,8 +138,8 @@ def judged(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     return p, at
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.15) -> dict | None:
-    """A model of (text, label) rows; messages are held for one batch of documents at a time."""
+def train(rows: list[tuple[str, int]], steps: int = 110, rate: float = 0.15) -> dict | None:
+    """A model of (text, label) rows, from `steps` batches of documents; messages are held for one batch at a time."""
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
@@ -169,42 +169,42 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.15) -> d
         slots[w, : len(kept)] = kept
     n = len(names) + 1
     theta = np.concatenate([np.full(n, -0.5), np.zeros(8)])  # weights, moves, starts
-    m1, m2, step = np.zeros_like(theta), np.zeros_like(theta), 0
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     model = {"moves": np.zeros((2, 2)), "start": np.zeros((2, 2))}
     weigh = lambda: np.append(theta[:n], 0.0)[slots].sum(1)  # noqa: E731  of each distinct word
     ranges = list(batches(at))
     rng = np.random.default_rng(11)
-    for epoch in range(epochs):
-        for k in rng.permutation(len(ranges)).tolist():
-            lo, hi = ranges[k]
-            words = np.concatenate(docs[lo:hi])
-            if not len(words):
-                continue
-            begins = at[lo:hi][np.diff(at[lo : hi + 1]) > 0] - at[lo]
-            label = hot[words] & np.repeat(y[lo:hi] == 1, np.diff(at[lo : hi + 1]))
-            model["moves"], model["start"] = theta[n : n + 4].reshape(2, 2), theta[n + 4 :].reshape(2, 2)
-            p, m, a, b = marginals(weigh()[words], begins, model)
-            opens = np.zeros(len(words), bool)
-            opens[begins] = True
-            before = np.vstack([[0.5, 0.5], a[:-1]])
-            before[begins] = 0.5  # a document's first state follows either of two equal ones
-            xi = before[:, :, None] * m * b[:, None, :]
-            xi /= xi.sum((1, 2), keepdims=True)
-            lab = label.astype(int)
-            seen = np.zeros((len(words), 2, 2))
-            prev = np.append(0, lab[:-1])
-            seen[np.arange(len(words)), prev, lab] = 1
-            seen[opens] = 0
-            seen[np.flatnonzero(opens), :, lab[opens]] = 0.5
-            diff = xi - seen
-            by_word = np.bincount(words, p - lab, len(of_word))
-            times = np.bincount(words, minlength=len(of_word))
-            g = np.bincount(slots.ravel(), np.repeat(by_word, slots.shape[1]), n + 1)[:n]
-            count = np.bincount(slots.ravel(), np.repeat(times, slots.shape[1]), n + 1)[:n]
-            g = np.concatenate([g / (count + 1), diff[~opens].sum(0).ravel() / len(words), diff[opens].sum(0).ravel() / len(words)]) + 1e-3 * theta
-            step += 1
-            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-            theta = theta - rate * (1 - epoch / epochs) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+    order: list[int] = []
+    for step in range(1, steps + 1):
+        order = order or rng.permutation(len(ranges)).tolist()
+        lo, hi = ranges[order.pop()]
+        words = np.concatenate(docs[lo:hi])
+        if not len(words):
+            continue
+        begins = at[lo:hi][np.diff(at[lo : hi + 1]) > 0] - at[lo]
+        label = hot[words] & np.repeat(y[lo:hi] == 1, np.diff(at[lo : hi + 1]))
+        model["moves"], model["start"] = theta[n : n + 4].reshape(2, 2), theta[n + 4 :].reshape(2, 2)
+        p, m, a, b = marginals(weigh()[words], begins, model)
+        opens = np.zeros(len(words), bool)
+        opens[begins] = True
+        before = np.vstack([[0.5, 0.5], a[:-1]])
+        before[begins] = 0.5  # a document's first state follows either of two equal ones
+        xi = before[:, :, None] * m * b[:, None, :]
+        xi /= xi.sum((1, 2), keepdims=True)
+        lab = label.astype(int)
+        seen = np.zeros((len(words), 2, 2))
+        prev = np.append(0, lab[:-1])
+        seen[np.arange(len(words)), prev, lab] = 1
+        seen[opens] = 0
+        seen[np.flatnonzero(opens), :, lab[opens]] = 0.5
+        diff = xi - seen
+        by_word = np.bincount(words, p - lab, len(of_word))
+        times = np.bincount(words, minlength=len(of_word))
+        g = np.bincount(slots.ravel(), np.repeat(by_word, slots.shape[1]), n + 1)[:n]
+        count = np.bincount(slots.ravel(), np.repeat(times, slots.shape[1]), n + 1)[:n]
+        g = np.concatenate([g / (count + 1), diff[~opens].sum(0).ravel() / len(words), diff[opens].sum(0).ravel() / len(words)]) + 1e-3 * theta
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        theta = theta - rate * (1 - (step - 1) / steps) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
     model = {"weight": dict(zip([*names, RARE], theta[:n].tolist(), strict=True)), "moves": theta[n : n + 4].reshape(2, 2), "start": theta[n + 4 :].reshape(2, 2)}
     x = []
     for lo, hi in batches(at):
