@@ -1,25 +1,30 @@
 """Weighted least squares on high-cardinality group effects: residuals and coefficients.
 
 The rows are first aggregated to cells (one per combination of keys and slopes), which leaves the minimiser as it is. One
-effect has a closed form. Several are solved by LSMR on the driver while the cells number at most ``local_cells``
-(checked by a count), and beyond that by conjugate gradients whose vectors are DataFrames: a join and a grouped sum.
+effect has a closed form. Several are solved by LSMR, with vectors in arrays of the driver while the cells have at most
+LOCAL_BYTES (measured first), and in DataFrames beyond it: the same steps, the same rule of ending, the same statistics.
 """
 
 from __future__ import annotations
 
-import math
+import logging
+import time
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorbus.operators.graph import connected_components, shared
-from sorbus.plans.lsmr import lsmr
+from sorbus.plans.lsmr import Outcome, Rule, lsmr
+from sorbus.plans.spaces import ArraySpace, TableSpace, bytes_of, looked_up
 
-BROADCAST_LEVELS = 1_000_000
+LOCAL_BYTES = 128 << 20
+QUIET_SECONDS = 2.0  # no progress is told of work that takes less
+STRATEGIES = ("auto", "closed_form", "local", "distributed")
+log = logging.getLogger("sorbus")
 
 
 @dataclass(frozen=True, init=False)
@@ -38,6 +43,10 @@ class Effect:
     def __repr__(self) -> str:
         return "#".join(self.keys) + (f"*{self.slope}" if self.slope else "")
 
+    def slope_type(self, df: DataFrame) -> T.DataType:
+        """The type of the slope in df; an effect without one multiplies the integer 1."""
+        return df.schema[self.slope].dataType if self.slope else T.IntegerType()
+
 
 class Absorber:
     """Reusable state: the checked table, its effects and the weight column.
@@ -45,13 +54,23 @@ class Absorber:
     nulls: "error" rejects a null key, slope, weight or outcome (and NaN numbers), "drop" leaves such rows out.
     A zero weight gives a NaN residual; a group whose weighted squares of the slope sum to 0 has coefficient 0.
     An empty table gives an empty result.
+
+    strategy: "closed_form" (one effect only), "local" or "distributed"; "auto" takes the first that can do it.
+    double_precision: False solves in 32 bits. tol: by default the root of the precision's epsilon.
+    progress: steps are logged (logger "sorbus") once a solve has taken QUIET_SECONDS.
     """
 
-    def __init__(self, df: DataFrame, effects: list[Effect], weight: str | None = None, nulls: str = "error", tol: float = 1e-8, maxiter: int = 10_000, local_cells: int = 2_000_000, levels: DataFrame | None = None):
+    def __init__(
+        self, df: DataFrame, effects: list[Effect], weight: str | None = None, nulls: str = "error", tol: float | None = None, maxiter: int = 100_000,
+        local_bytes: int = LOCAL_BYTES, strategy: str = "auto", double_precision: bool = True, progress: bool = True,
+    ):
         self.df, self.effects, self.weight, self.nulls = df, list(effects), weight, nulls
-        self.tol, self.maxiter, self.local_cells = tol, maxiter, local_cells
+        self.tol = tol if tol is not None else float(np.finfo(np.float64 if double_precision else np.float32).eps ** 0.5)
+        self.maxiter, self.local_bytes, self.strategy, self.double_precision, self.progress = maxiter, local_bytes, strategy, double_precision, progress
         if not self.effects:
             raise ValueError("no effects")
+        if strategy not in STRATEGIES or (strategy == "closed_form" and len(self.effects) > 1):
+            raise ValueError(f"strategy {strategy} for {len(self.effects)} effects")
         kinds = dict((f.name, f.dataType) for f in df.schema.fields)
         for c in [*self.keys, *self.numbers([])]:
             if c not in kinds:
@@ -59,7 +78,19 @@ class Absorber:
         for c in self.numbers([]):
             if not isinstance(kinds[c], T.NumericType):
                 raise ValueError(f"column {c} is not numeric")
-        self.stats: dict[str, tuple[int, bool, int]] = {}
+        self.stats: dict[str, Outcome] = {}
+
+    def like(self, df: DataFrame, weight: str | None) -> Absorber:
+        return Absorber(df, self.effects, weight, self.nulls, self.tol, self.maxiter, self.local_bytes, self.strategy, self.double_precision, self.progress)
+
+    def prepared(self) -> Absorber:
+        """The same on a copy of the table in the shared folder: solves under other outcomes and weights read that."""
+        return self.like(shared(self.df), self.weight)
+
+    def size(self) -> tuple[int, list[int]]:
+        """Rows, and the levels of each effect."""
+        counts = [self.df.select(*e.keys).distinct().agg(F.count("*")).first()[0] for e in self.effects]
+        return self.df.count(), counts
 
     @property
     def keys(self) -> list[str]:
@@ -70,10 +101,10 @@ class Absorber:
 
     def with_weight(self, weight: str | None) -> Absorber:
         """The same table and effects under other weights."""
-        return Absorber(self.df, self.effects, weight, self.nulls, self.tol, self.maxiter, self.local_cells)
+        return self.like(self.df, weight)
 
     def subset(self, condition: Column | str) -> Absorber:
-        return Absorber(self.df.where(condition), self.effects, self.weight, self.nulls, self.tol, self.maxiter, self.local_cells)
+        return self.like(self.df.where(condition), self.weight)
 
     def checked(self, outcomes: list[str]) -> DataFrame:
         bad = F.lit(False)
@@ -110,96 +141,64 @@ class Absorber:
 
     def raw_coefficients(self, outcomes: list[str], warm: bool) -> list[DataFrame]:
         """Per effect its keys and one column __b{k}_{i} per outcome."""
-        if len(self.effects) == 1:
+        if len(self.effects) == 1 and self.strategy in ("auto", "closed_form"):
             e = self.effects[0]
             ss = F.sum(self.w() * self.x(e) * self.x(e)).alias("ss")
             sums = [F.sum(self.w() * self.x(e) * F.col(y).cast("double")).alias(f"s{i}") for i, y in enumerate(outcomes)]
             one = self.checked(outcomes).groupBy(*e.keys).agg(ss, *sums)
-            self.stats = {y: (1, True, 0) for y in outcomes}
-            return [one.select(*e.keys, *[F.when(F.col("ss") > 0, F.try_divide(f"s{i}", "ss")).otherwise(0.0).alias(f"__b0_{i}") for i in range(len(outcomes))])]
+            self.stats = {y: Outcome(1, True, 0) for y in outcomes}
+            return [shared(one.select(*e.keys, *[F.when(F.col("ss") > 0, F.try_divide(f"s{i}", "ss")).otherwise(0.0).alias(f"__b0_{i}") for i in range(len(outcomes))]))]
         cells = shared(self.cells(outcomes))
-        return (self.local if cells.count() <= self.local_cells else self.distributed)(cells, outcomes, warm)
+        here = self.strategy == "local" or (self.strategy != "distributed" and bytes_of(cells)[1] <= self.local_bytes)
+        return (self.local if here else self.distributed)(cells, outcomes, warm)
+
+    def solve(self, space: ArraySpace | TableSpace, outcomes: list[str], warm: bool) -> None:
+        began = time.monotonic()
+
+        def tell(step: int, left: int) -> None:
+            if self.progress and time.monotonic() - began > QUIET_SECONDS:
+                log.info("step %d, %d of %d outcomes left", step, left, len(outcomes))
+
+        found = lsmr(space, Rule(self.tol, self.tol, maxiter=max(1, self.maxiter - warm)), tell=tell)
+        self.stats = {y: Outcome(o.iterations + warm, o.converged, o.istop) for y, o in zip(outcomes, found, strict=True)}
 
     def local(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
         spark, pdf = cells.sparkSession, cells.toPandas()
+        first, _ = codes_of(pdf, list(self.effects[0].keys))
+        pdf = pdf.iloc[np.argsort(first, kind="stable")].reset_index(drop=True)
         w = np.sqrt(pdf["__w"].to_numpy(float))
-        parts = []
+        codes, sizes, scales, factors = [], [], [], []
         for e in self.effects:
-            codes, n = codes_of(pdf, list(e.keys))
+            g, n = codes_of(pdf, list(e.keys))
             x = pdf[f"__x_{e.slope}"].to_numpy(float) if e.slope else np.ones(len(pdf))
-            ss = np.bincount(codes, (w * x) ** 2, n)
-            scale = np.divide(1, np.sqrt(ss), out=np.zeros(n), where=ss > 0)
-            parts.append((codes, n, scale, x * w * scale[codes]))
-        edges = np.concatenate([[0], np.cumsum([p[1] for p in parts])])
-
-        def forward(z):
-            return sum(c * z[a + g] for (g, _, _, c), a in zip(parts, edges, strict=False))
-
-        def back(u):
-            return np.concatenate([np.bincount(g, c * u, n) for g, n, _, c in parts])
-
-        found = np.empty((edges[-1], len(outcomes)))
-        for i, y in enumerate(outcomes):
-            b = np.divide(pdf[f"__wy{i}"].to_numpy(float), w, out=np.zeros(len(w)), where=w > 0)
-            z0 = back(b) if warm else np.zeros(edges[-1])
-            z, it, ok, istop = lsmr(forward, back, b, z0, self.tol, self.tol, maxiter=max(1, self.maxiter - warm))
-            found[:, i], self.stats[y] = z, (it + warm, ok, istop)
-        out = []
-        kinds = {f.name: f for f in cells.schema.fields}
-        for k, (e, (g, n, s, _)) in enumerate(zip(self.effects, parts, strict=True)):
-            first = np.zeros(n, np.int64)
-            first[g[::-1]] = np.arange(len(g))[::-1]
-            levels = pdf[list(e.keys)].iloc[first].reset_index(drop=True)
+            ss = np.bincount(g, (w * x) ** 2, n)
+            s = np.divide(1, np.sqrt(ss), out=np.zeros(n), where=ss > 0)
+            codes, sizes, scales, factors = [*codes, g], [*sizes, n], [*scales, s], [*factors, x * w * s[g]]
+        b = [np.divide(pdf[f"__wy{i}"].to_numpy(float), w, out=np.zeros(len(w)), where=w > 0) for i in range(len(outcomes))]
+        space = ArraySpace(codes, sizes, factors, b, warm, np.float64 if self.double_precision else np.float32)
+        self.solve(space, outcomes, warm)
+        out, kinds = [], {f.name: f for f in cells.schema.fields}
+        for k, (e, g, n, s) in enumerate(zip(self.effects, codes, sizes, scales, strict=True)):
+            at = np.zeros(n, np.int64)
+            at[g[::-1]] = np.arange(len(g))[::-1]
+            levels = pdf[list(e.keys)].iloc[at].reset_index(drop=True)
             for i in range(len(outcomes)):
-                levels[f"__b{k}_{i}"] = found[edges[k] : edges[k + 1], i] * s
+                levels[f"__b{k}_{i}"] = space.x[i][space.edges[k] : space.edges[k + 1]].astype(float) * s
             schema = T.StructType([kinds[c] for c in e.keys] + [T.StructField(f"__b{k}_{i}", T.DoubleType()) for i in range(len(outcomes))])
             out.append(spark.createDataFrame(levels, schema))
         return out
 
     def distributed(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
-        """Conjugate gradients on the scaled normal equations; per iteration K joins and K grouped sums over the cells."""
-        names = [f"__c{k}" for k in range(len(self.effects))]
-        design = cells
-        for k, e in enumerate(self.effects):
-            x = F.col(f"__x_{e.slope}") if e.slope else F.lit(1.0)
-            ss = cells.groupBy(*e.keys).agg(F.sum(F.col("__w") * x * x).alias("ss"))
-            s = ss.select(*e.keys, F.when(F.col("ss") > 0, 1 / F.sqrt(F.when(F.col("ss") > 0, F.col("ss")))).otherwise(0.0).alias(f"__s{k}"))
-            design = design.join(s, list(e.keys)).withColumn(f"__c{k}", x * F.col(f"__s{k}") * F.sqrt("__w"))
-        design = shared(design)
-        tables = [design.groupBy(*e.keys).agg(F.first(f"__s{k}").alias("__s")) for k, e in enumerate(self.effects)]
-        for i, y in enumerate(outcomes):
-            rhs = F.when(F.col("__w") > 0, F.try_divide(F.col(f"__wy{i}"), F.sqrt("__w"))).otherwise(0.0)
-            state = []
-            for k, e in enumerate(self.effects):
-                state.append(shared(design.groupBy(*e.keys).agg(F.sum(rhs * F.col(names[k])).alias("r")).select(*e.keys, F.lit(0.0).alias("z"), "r", F.col("r").alias("p"))))
-            dot = lambda st, a, b: sum((t.agg(F.sum(F.col(a) * F.col(b))).first()[0] or 0.0) for t in st)
-            rr = start = dot(state, "r", "r")
-            it, ok = 0, rr == 0
-            while not ok and it < self.maxiter:
-                row = design
-                for k, e in enumerate(self.effects):
-                    row = row.join(state[k].select(*e.keys, F.col("p").alias(f"__p{k}")), list(e.keys))
-                row = shared(row.withColumn("__u", sum((F.col(names[k]) * F.col(f"__p{k}") for k in range(1, len(names))), F.col(names[0]) * F.col("__p0"))).select(*self.keys, *names, "__u"))
-                curve = row.agg(F.sum(F.col("__u") * F.col("__u"))).first()[0]
-                if not curve:
-                    break
-                a = rr / curve
-                for k, e in enumerate(self.effects):
-                    q = row.groupBy(*e.keys).agg(F.sum(F.col(names[k]) * F.col("__u")).alias("q"))
-                    state[k] = shared(state[k].join(q, list(e.keys)).select(*e.keys, (F.col("z") + a * F.col("p")).alias("z"), (F.col("r") - a * F.col("q")).alias("r"), "p"))
-                new = dot(state, "r", "r")
-                state = [t.withColumn("p", F.col("r") + (new / rr) * F.col("p")) for t in state]
-                rr, it = new, it + 1
-                ok = math.sqrt(rr) <= self.tol * math.sqrt(start)
-            self.stats[y] = (it, ok, 0)
-            tables = [t.join(state[k].select(*e.keys, "z"), list(e.keys)).withColumn(f"__b{k}_{i}", F.col("z") * F.col("__s")).drop("z") for k, (e, t) in enumerate(zip(self.effects, tables, strict=True))]
-        return [shared(t.drop("__s")) for t in tables]
+        effects = [(list(e.keys), F.col(f"__x_{e.slope}") if e.slope else F.lit(1.0)) for e in self.effects]
+        b = [F.when(F.col("__w") > 0, F.try_divide(F.col(f"__wy{i}"), F.sqrt("__w"))) for i in range(len(outcomes))]
+        space = TableSpace(cells, effects, "__w", b, warm, "double" if self.double_precision else "float")
+        self.solve(space, outcomes, warm)
+        return space.end()
 
     def expand(self, df: DataFrame, tables: list[DataFrame]) -> DataFrame:
-        """df with every level's columns looked up; a table goes to all executors only below BROADCAST_LEVELS rows."""
+        """df with every level's columns looked up."""
         for e, t in zip(self.effects, tables, strict=True):
-            small = len(tables) > 1 and t.count() <= BROADCAST_LEVELS
-            df = df.join(F.broadcast(t) if small else t, list(e.keys), "left")
+            df = looked_up(df, t, list(e.keys), "left")
         return df
 
     def residuals(self, outcomes: list[str], suffix: str = "_res") -> DataFrame:
@@ -223,20 +222,17 @@ class Absorber:
         tables = [t.withColumnRenamed(f"__b{k}_0", "coef") for k, t in enumerate(self.raw_coefficients([y], warm=False))]
         plain = [k for k, e in enumerate(self.effects) if not e.slope]
         if len(plain) > 1:
-            comps = components(self.checked([y]), [self.effects[k] for k in plain])
+            comps = level_components(self.checked([y]), [self.effects[k] for k in plain])
             shift = None
             for j, k in enumerate(plain):
                 keys = list(self.effects[k].keys)
-                own = comps.where(F.col("effect") == j).select("level", "component")
-                t = tables[k].withColumn("level", F.to_json(F.struct(*keys))).join(own, "level").drop("level")
+                tables[k] = tables[k].join(comps[j], keys)
                 if j:
-                    mean = t.groupBy("component").agg(F.avg("coef").alias(f"m{j}"))
-                    tables[k] = t.join(mean, "component").select(*keys, (F.col("coef") - F.col(f"m{j}")).alias("coef"))
+                    mean = shared(tables[k].groupBy("component").agg(F.avg("coef").alias(f"m{j}")))
+                    tables[k] = tables[k].join(mean, "component").select(*keys, (F.col("coef") - F.col(f"m{j}")).alias("coef"))
                     shift = mean if shift is None else shift.join(mean, "component")
-                else:
-                    first = t
             total = shift.select("component", sum((F.col(f"m{j}") for j in range(2, len(plain))), F.col("m1")).alias("m"))
-            tables[plain[0]] = first.join(total, "component").select(*self.effects[plain[0]].keys, (F.col("coef") + F.col("m")).alias("coef"))
+            tables[plain[0]] = tables[plain[0]].join(total, "component").select(*self.effects[plain[0]].keys, (F.col("coef") + F.col("m")).alias("coef"))
         if levels:
             tables = [t if n is None else n.select(*e.keys).distinct().join(t, list(e.keys), "left").withColumn("coef", F.coalesce("coef", F.lit(0.0))) for t, n, e in zip(tables, levels, self.effects, strict=True)]
         return tables
@@ -247,7 +243,7 @@ class Absorber:
         return self.expand(self.checked([y]), tables)
 
     def statistics(self) -> DataFrame:
-        rows = [(y, it, ok, istop) for y, (it, ok, istop) in self.stats.items()]
+        rows = [(y, o.iterations, o.converged, o.istop) for y, o in self.stats.items()]
         return self.df.sparkSession.createDataFrame(rows, "outcome string, iterations int, converged boolean, istop int")
 
 
@@ -266,30 +262,54 @@ def encode(df: DataFrame, effect: Effect, name: str = "code") -> DataFrame:
     keys = list(effect.keys)
     levels = shared(df.select(*keys).distinct().orderBy(*keys).withColumn("__p", F.spark_partition_id()))
     counts = levels.groupBy("__p").agg(F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__at"))
     local = levels.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
     return local.join(F.broadcast(before), "__p").select(*keys, (F.col("__at") + F.col("__k")).cast("long").alias(name))
 
 
-def components(df: DataFrame, effects: list[Effect]) -> DataFrame:
-    """(effect, level, component): levels linked when they share a row; level is the key tuple as JSON."""
-    node = lambda k, e: F.concat(F.lit(f"{k:03d}"), F.to_json(F.struct(*e.keys)))
-    first = node(0, effects[0])
-    edges = None
+def level_components(df: DataFrame, effects: list[Effect]) -> list[DataFrame]:
+    """Per effect (keys, component): levels of all effects are linked when they share a row; component is a number.
+
+    Levels are told by their key columns, as groupBy tells them, and numbered; what iterates are pairs of numbers.
+    """
+    every = list(dict.fromkeys(k for e in effects for k in e.keys))
+    pairs, levels = shared(df.select(*every).distinct()), []
+    linked = pairs
     for k, e in enumerate(effects):
-        pair = df.select(first.alias("src"), node(k, e).alias("dst")).distinct()
+        # The numbers are written before they are used, so they stay as they are.
+        t = shared(pairs.select(*e.keys).distinct().withColumn("node", F.monotonically_increasing_id() * len(effects) + k))
+        levels.append(t)
+        linked = looked_up(linked, t.withColumnRenamed("node", f"__n{k}"), list(e.keys))
+    linked = shared(linked.select(*[f"__n{k}" for k in range(len(effects))]))
+    edges = None
+    for k in range(1, len(effects)):
+        pair = linked.select(F.col("__n0").alias("src"), F.col(f"__n{k}").alias("dst")).distinct()
         edges = pair if edges is None else edges.union(pair)
-    return connected_components(edges).select(F.substring("node", 1, 3).cast("int").alias("effect"), F.expr("substring(node, 4)").alias("level"), "component")
+    found = shared(connected_components(edges if edges is not None else linked.select(F.col("__n0").alias("src"), F.col("__n0").alias("dst"))))
+    return [t.join(found, "node").drop("node") for t in levels]
+
+
+def components(df: DataFrame, effects: list[Effect]) -> DataFrame:
+    """(effect, level, component): as level_components, in one table; level is the key tuple as JSON."""
+    out = None
+    for k, (e, t) in enumerate(zip(effects, level_components(df, effects), strict=True)):
+        one = t.select(F.lit(k).alias("effect"), F.to_json(F.struct(*e.keys)).alias("level"), "component")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def by_precision(options: dict) -> dict:
+    """One-shot calls end at 1e-8, or 1e-6 in 32 bits, and after 10,000 steps."""
+    return {"tol": 1e-8 if options.get("double_precision", True) else 1e-6, "maxiter": 10_000} | {k: v for k, v in options.items() if k != "tol" or v is not None}
 
 
 def absorb(df: DataFrame, outcomes: list[str], effects: list[Effect], weight: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Residual columns and the statistics of the solver, in one call."""
-    a = Absorber(df, effects, weight, **options)
+    a = Absorber(df, effects, weight, **by_precision(options))
     return a.residuals(outcomes), a.statistics()
 
 
 def coefficients(df: DataFrame, y: str, effects: list[Effect], weight: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    a = Absorber(df, effects, weight, **options)
+    """Each row's level coefficients and the statistics of the solver, in one call."""
+    a = Absorber(df, effects, weight, **by_precision(options))
     return a.coefficients(y), a.statistics()

@@ -21,10 +21,10 @@ def residuals(df, effects, **k):
     return [r.y_res for r in Absorber(df, effects, tol=1e-13, **k).residuals(["y"]).orderBy("row_id").collect()]
 
 
-@pytest.mark.parametrize("cells", [1000, 0])
-def test_two_way(ten, cells):
+@pytest.mark.parametrize("strategy", ["local", "distributed"])
+def test_two_way(ten, strategy):
     a = 0.2015993617092465
-    assert residuals(ten, [Effect("p1"), Effect("p2")], local_cells=cells) == pytest.approx([-a, a] * 5, abs=1e-9)
+    assert residuals(ten, [Effect("p1"), Effect("p2")], strategy=strategy) == pytest.approx([-a, a] * 5, abs=1e-9)
 
 
 def test_weighted_and_slopes(ten):
