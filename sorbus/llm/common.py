@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sorbus.operators.graph import shared_folder
+from sorbus.operators.graph import Stored, shared_folder  # noqa: F401  Stored is for the operators
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -98,20 +97,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Stored:
-    """A table written in the shared folder, compressed, and its DataFrame; drop() when nothing will read it any more."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/stored-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class WordHashes(dict):
     """word, as text or as its bytes in lower case -> 64-bit hash, kept between batches up to a bound."""
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sorbus.llm.common import Stored, map_arrow, mix64, prepare, table, texts_of
@@ -179,20 +179,23 @@ def settle(segs: DataFrame) -> DataFrame:
     return spread.select(*SEGMENT).mapInArrow(run, "key long, doc_id long, th long, pos long, n long")
 
 
-def suffix_array(s: np.ndarray, upto: int) -> np.ndarray:
-    """Order of the suffixes by their first `upto` values at least (prefix doubling)."""
-    rank, k, n = s.astype(np.int64), 1, len(s)
+def suffix_array(s: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the suffixes by their first `upto` values at least (prefix doubling); and names, by place, of the strings
+    of the length, at most `upto`, that comes third."""
+    n, k, rank, named = len(s), 1, s.astype(np.int64), (s.astype(np.int64), 1)
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: max(0, n - k)] = rank[k:]
-        both = rank * (max(int(rank.max()), n) + 2) + nxt + 1
-        order = np.argsort(both, kind="stable")
-        new = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
+        nxt = np.zeros(n, np.int64)
+        nxt[: max(0, n - k)] = rank[k:] + 1
+        both = rank * (int(rank.max()) + 2) + nxt
+        order = np.argsort(both)
+        new = np.cumsum(np.append(False, both[order][1:] != both[order][:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = new
         k *= 2
+        if k <= upto:
+            named = rank, k
         if k > upto or new[-1] == n - 1:
-            return order
+            return order, *named
 
 
 def repeated(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,14 +205,17 @@ def repeated(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     for i, p in enumerate(parts):
         s[starts[i] : starts[i + 1] - 1] = np.frombuffer(p, np.uint8).astype(np.int64) + len(parts)
         s[starts[i + 1] - 1] = i  # ends differ, so no string that spans one repeats
-    sa = suffix_array(s, size)
+    sa, named, length = suffix_array(s, size)
     bwt = s[sa - 1]
     row_of = np.empty(len(s), np.int64)
     row_of[sa] = np.arange(len(s))
     lf = row_of[sa - 1]
-    rows, name = np.arange(len(s)), np.zeros(len(s), np.int64)
+    # The order is known from names of strings of `length`: the intervals of these are where the expansion sets out.
+    name = named[sa]
+    rows = np.flatnonzero(np.bincount(name)[name] > 1)
+    name = name[rows]
     spot = np.full(len(s), -1, np.int64)
-    for _ in range(size):
+    for _ in range(size - length):
         keep = bwt[rows] >= len(parts)  # an end is never extended over
         rows, name = rows[keep], name[keep]
         if not len(rows):
@@ -279,24 +285,19 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(made)), pa.array(made), pa.repeat(pa.scalar(d, pa.int64()), len(made)), pa.repeat(pa.scalar(h, pa.int64()), len(made)), pa.array(np.arange(lo, lo + len(made))), pa.nulls(len(made), pa.binary())], names=names)
 
     names = ["key", "whole", "doc_id", "th", "pos", "raw"]
-    pieces = map_arrow(once.select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary").repartition("key", "whole").sortWithinPartitions("key", "whole", "doc_id", "th", "pos")
+    pieces = Stored(map_arrow(once.select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary"))
+    release(docs.sparkSession)
+    cold = pieces.df.where("whole is null").select("key", "doc_id", "th", "pos", "raw").repartition("key").sortWithinPartitions("key", "doc_id", "th", "pos")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, total, last = [], None, 0, None
+        held, key, total = [], None, 0
 
         def out():
             r = later(held, size)
             return pa.RecordBatch.from_arrays([pa.array([x[0][i] for x in r], pa.int64()) for i in range(2)] + [pa.array([x[i] for x in r], pa.int64()) for i in (1, 2)], names=["doc_id", "th", "a", "b"])
 
         for batch in batches:
-            hot = batch.filter(batch.column("whole").is_valid())
-            if hot.num_rows:
-                name = np.stack([hot.column(c).to_numpy() for c in ("key", "whole")], 1)
-                again = np.concatenate([[last is not None and bool((name[0] == last).all())], (name[1:] == name[:-1]).all(1)])
-                last, pos = name[-1], hot.column("pos").to_numpy()[again]
-                yield pa.RecordBatch.from_arrays([pa.array(hot.column("doc_id").to_numpy()[again]), pa.array(hot.column("th").to_numpy()[again]), pa.array(pos), pa.array(pos + size)], names=["doc_id", "th", "a", "b"])
-            cold = batch.filter(batch.column("whole").is_null())
-            for k, d, h, p, r in zip(*(cold.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "raw")), strict=True):
+            for k, d, h, p, r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "raw")), strict=True):
                 if k != key and total > GROUP_BYTES:
                     yield out()
                     held, total = [], 0
@@ -306,9 +307,12 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
         if held:
             yield out()
 
-    found = whole.union(pieces.mapInArrow(match, "doc_id long, th long, a long, b long"))
+    first = F.min(F.struct("doc_id", "th", "pos")).over(Window.partitionBy("key", "whole"))
+    again = pieces.df.where("whole is not null").withColumn("first", first).where("first != struct(doc_id, th, pos)")
+    found = whole.union(cold.mapInArrow(match, "doc_id long, th long, a long, b long")).union(again.select("doc_id", "th", "pos", F.col("pos") + size))
     spans = shared(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     settled.drop()
+    pieces.drop()
     release(docs.sparkSession)
     return spans
 
