@@ -7,7 +7,8 @@ Tables, and what joins them:
     counts (slice, bucket, counts)        grams, grouped by bucket and n-gram: the numbers in the corpus
     scores (doc_id, n_words, log_score)   slices joined with counts by slice, summed per document
 
-A bucket is a range of hashes, so buckets partition the count tables, and there are as many as the corpus has BUCKET_BYTES.
+A bucket is a range of hashes, so buckets partition the count tables, and there are as many as the corpus has BUCKET_BYTES;
+they are counted in PASSES jobs.
 Columns of n-grams and numbers hold sorted arrays, as compressed differences: a row an n-gram would shuffle several times
 the text. A slice sends an n-gram once, so one that is in every document is a row a slice.
 
@@ -20,6 +21,7 @@ hashes.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ from sorbus.operators.graph import release, shared
 BACKOFF = 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 12 << 20
+PASSES = 2  # over the slices, each for its share of the buckets: less lies on disk at once
 BUCKET_BYTES = 8 << 20
 
 
@@ -103,8 +106,8 @@ def edges(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def gram_table(slices: DataFrame, order: int, buckets: int, asks: bool, tells: bool) -> DataFrame:
-    """(bucket, slice, asks, grams, n) of slices; n is 0 throughout where a slice only asks for counts."""
+def gram_table(slices: DataFrame, order: int, buckets: int, turn: int, asks: bool, tells: bool) -> DataFrame:
+    """(bucket, slice, asks, grams, n) of slices, for the buckets of this turn; n is 0 where a slice only asks for counts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, lens, texts, size in zip(*(batch.column(c).to_pylist() for c in ("slice", "lens", "texts", "bytes")), strict=True):
@@ -113,7 +116,7 @@ def gram_table(slices: DataFrame, order: int, buckets: int, asks: bool, tells: b
             n = n.astype(np.uint32) if tells else np.zeros(len(n), np.uint32)
             cut = [0, *np.searchsorted(found, edges(buckets)).tolist(), len(found)]
             for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-                if hi > lo:
+                if hi > lo and b % PASSES == turn:
                     steps = np.diff(found[lo:hi], prepend=np.uint64(0))
                     yield pa.RecordBatch.from_pylist([{"bucket": b, "slice": i, "asks": asks, "grams": packed(steps), "n": packed(n[lo:hi])}], pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("asks", pa.bool_()), ("grams", pa.binary()), ("n", pa.binary())]))
 
@@ -193,13 +196,17 @@ def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, corpus: DataF
     others = Stored(sliced(corpus)) if corpus is not None else None
     size, total = (others or slices).df.agg(F.sum("bytes"), F.sum("words")).first()
     buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
-    told = gram_table(slices.df, order, buckets, True, others is None)
-    if others is not None:
-        told = told.union(gram_table(others.df, order, buckets, False, True))
-    counts = Stored(count_table(told))
-    release(spark)
+    counts = []
+    for turn in range(PASSES):
+        told = gram_table(slices.df, order, buckets, turn, True, others is None)
+        if others is not None:
+            told = told.union(gram_table(others.df, order, buckets, turn, False, True))
+        counts.append(Stored(count_table(told)))
+        del told
+        release(spark)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    both = counts.df.select("slice", "bucket", "counts", none("ids", "binary"), none("lens", "binary"), none("texts", "binary"), none("bytes", "long"))
+    both = functools.reduce(DataFrame.union, [c.df for c in counts])
+    both = both.select("slice", "bucket", "counts", none("ids", "binary"), none("lens", "binary"), none("texts", "binary"), none("bytes", "long"))
     both = both.union(slices.df.select("slice", F.lit(2**31 - 1), none("counts", "binary"), "ids", "lens", "texts", "bytes"))
     words_in = int(total or 0)
 
@@ -217,7 +224,7 @@ def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, corpus: DataF
     spread = both.repartition("slice").sortWithinPartitions("slice", "bucket")
     scored = spread.select("counts", "ids", "lens", "texts", "bytes").mapInArrow(run, "doc_id long, n_words long, s double")
     out = shared(scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s")))
-    for x in (slices, counts, others):
+    for x in (slices, *counts, others):
         if x is not None:
             x.drop()
     release(spark)
