@@ -8,8 +8,8 @@ form it once. In a tile, bitmaps of parities (their length follows the set's siz
 counting bits: short ones first, which leave few rows of few tiles, then long ones. What passes is checked by an exact
 intersection of the sorted shingle arrays, made once more from the texts of the sets that are left.
 
-First each set's likeliest candidate is checked, then all candidates whose ends these links don't connect already: what
-is left out can't change a group.
+In each of ROUNDS rounds every set's likeliest candidate outside its group so far is checked, then all candidates whose
+ends are still in different groups: what is left out can't change a group.
 
 Null or wordless text: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one
 shingle. Rows that share an id are one document: it is linked by any of its texts. Shingles are compared by 64-bit hashes.
@@ -29,6 +29,7 @@ from sorbus.operators.graph import connected_components, release, shared
 
 BITS = 512
 SHORT, LONG = 0.5, 4  # bits per shingle of the two bitmaps, at least
+ROUNDS = 1  # of likeliest candidates, before all that are left
 BLOCK = 2_000
 MEET = 128
 BROADCAST_KEYS = 200_000  # rows of ids alone, so a few MB
@@ -150,7 +151,7 @@ def fold(bits: list[bytes], size: int) -> np.ndarray:
 def may_link(rows: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(p, q, like) of the rows (side, rep, n, bits, label) of a tile, sorted by n and rep: places p before q that may link.
 
-    Rows of one label (a negative one is alike with none) aren't compared, nor are rows of the same side 0 or 1.
+    Rows of one label aren't compared, nor are rows of the same side 0 or 1.
     """
     side, n, label = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 4))
     a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -174,7 +175,7 @@ def may_link(rows: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.n
         na, ny = n[z][:, None], n[y][None, :]
         most = np.minimum((na + ny - far) // 2, np.minimum(na, ny))
         before = z[:, None] < y[None, :] if one else np.ones((1, 1), bool)
-        other = (label[z][:, None] != label[y][None, :]) | (label[z][:, None] < 0)
+        other = label[z][:, None] != label[y][None, :]
         p, q = np.nonzero((100 * most >= percent * (na + ny - most)) & before & other)
         if len(p):
             yield z[p], y[q], (most / (na + ny - most))[p, q]
@@ -210,7 +211,7 @@ def flagged(tiles: DataFrame, percent: int) -> DataFrame:
                 at = np.flatnonzero(hit).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.binary()), pa.array([rows[i][0] for i in at], pa.int32()), pa.array([rows[i][1] for i in at], pa.int64())], names=["tile", "side", "rep"])
 
-    return in_tiles(tiles.withColumn("label", F.lit(-1))).mapInArrow(run, "tile binary, side int, rep long")
+    return in_tiles(tiles.withColumn("label", F.col("rep"))).mapInArrow(run, "tile binary, side int, rep long")
 
 
 def candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -259,12 +260,32 @@ def meetings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, at.select("hub", "i", "j", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
 
 
-def exact(arrays: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) that link, by the sorted arrays (rep, arr) of their sets."""
+def exact(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) that link, by the sorted shingle arrays of their sets (rep, set_id, doc_id).
+
+    Arrays are made from the texts where these lie and shuffled once, to their meetings.
+    """
     at, to = meetings(pairs)
+    wanted = shared(to.withColumnRenamed("doc_id", "rep").join(sets.select("rep", "set_id", "doc_id"), "rep"))
+    rows = only(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner").select("hub", "i", "j", "rep", "set_id", "doc_id", "text")
+
+    def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            texts, names = texts_of(part.column("text")), part.column("set_id").to_pylist()
+            new = np.cumsum([i == 0 or t != texts[i - 1] for i, t in enumerate(texts)]) - 1  # rows of one text follow each other
+            own = [s.tobytes() for s in sets_of([t for i, t in enumerate(texts) if i == 0 or t != texts[i - 1]], k)]
+            is_it = [xxhash.xxh3_128_digest(x) for x in own]
+            # A repeated id has several texts; only that whose set is the one in question counts.
+            good = pa.array([is_it[i] == n for i, n in zip(new.tolist(), names, strict=True)])
+            arrs = pa.array([own[i] for i in new.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "i", "j", "rep")), arrs], names=["hub", "i", "j", "src", "arr"]).filter(good)
+
+    made = map_arrow(rows, arrays, "hub long, i int, j int, src long, arr binary")
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    made = arrays.join(to.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "i", "j", F.lit(0).alias("kind"), F.col("rep").alias("src"), none("dst", "long"), "arr")
-    both = made.union(at.select("hub", "i", "j", F.lit(1), "src", "dst", none("arr", "binary")))
+    both = made.select("hub", "i", "j", F.lit(0).alias("kind"), "src", none("dst", "long"), "arr").union(at.select("hub", "i", "j", F.lit(1), "src", "dst", none("arr", "binary")))
     spread = both.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,23 +309,6 @@ def exact(arrays: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return shared(spread.select("hub", "i", "j", "kind", "src", "dst", "arr").mapInArrow(check, "src long, dst long"))
 
 
-def arrays_of(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(rep, arr) of the sets (rep, set_id, doc_id): their sorted shingles, made again from the text of one document each."""
-    rows = only(docs.select("doc_id", "text"), sets.select("doc_id").distinct(), ["doc_id"])
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            made = [s.tobytes() for s in sets_of(texts_of(part.column("text")), k)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "set_id", "arr"])
-
-    # A repeated id has several rows; only those with the set in question count, and one of them is enough.
-    made = map_arrow(rows, run, "doc_id long, set_id binary, arr binary")
-    return made.join(sets, ["doc_id", "set_id"]).select("rep", "arr").dropDuplicates(["rep"])
-
-
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(src, dst) of the sets (rep, set_id, doc_id, n, bits, pre) that link: enough to connect all that links connect."""
     made = shared(blocks(reps))
@@ -317,29 +321,40 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     rows = one.union(two).select("tile", "side", F.explode("reps").alias("rep"))
     likely = shared(flagged(rows.join(reps.select("rep", "n", F.col("short").alias("bits")), "rep"), percent))
     release(docs.sparkSession)
-    left = likely.select("rep").distinct()
-    held = shared(only(reps.select("rep", "set_id", "doc_id", "n", "bits"), left, ["rep"]))
-    tiles = likely.join(held.select("rep", "n", "bits"), "rep")
-    arrays = shared(arrays_of(docs, held.select("rep", "set_id", "doc_id"), k))
-    known = exact(arrays, shared(candidates(tiles.withColumn("label", F.col("rep")), percent, True)), percent)
-    comps = connected_components(known).withColumnRenamed("node", "rep")
-    tiles = tiles.join(comps, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    rest = shared(candidates(tiles, percent, False))
-    return known.union(exact(arrays, rest, percent))
+    known = None
+    for turn in range(ROUNDS + 1):
+        best = turn < ROUNDS
+        if known is None:
+            labelled = likely.withColumn("label", F.col("rep"))
+        else:
+            comps = connected_components(known).withColumnRenamed("node", "rep")
+            labelled = only(likely, comps, ["rep"], "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+            mixed = labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile")
+            labelled = labelled.join(mixed, "tile", "left_semi")
+        pairs = shared(candidates(labelled.join(reps.select("rep", "n", "bits"), "rep"), percent, best))
+        new = exact(docs, reps, pairs, k, percent)
+        known = new if known is None else shared(known.union(new))
+        release(docs.sparkSession)
+    return known
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs; a null doc_id is left out."""
     prepare(docs.sparkSession)
     docs = docs.where("doc_id is not null")
-    sets = shared(set_table(docs, k, percent))
-    full = sets.where("n > 0").withColumn("rep", F.xxhash64("set_id"))
-    names = shared(full.groupBy("rep", "set_id").agg(F.min("doc_id").alias("doc_id")))
-    reps = full.join(names, ["rep", "set_id", "doc_id"], "left_semi").dropDuplicates(["rep"])
+    wide = shared(set_table(docs, k, percent))
+    full = wide.where("n > 0").withColumn("rep", F.xxhash64("set_id"))
+    first = F.min(F.struct("doc_id", "n", "bits", "short", "pre")).alias("r")
+    reps = shared(full.groupBy("rep", "set_id").agg(first).select("rep", "set_id", "r.*"))
+    names = reps.select("rep", "set_id", "doc_id")
+    sets = shared(wide.select("doc_id", "set_id", "n"))
     several = sets.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b").select("doc_id")
-    same = shared(full.select("doc_id", "rep").join(several, "doc_id", "left_semi").distinct())
+    same = shared(sets.where("n > 0").select("doc_id", F.xxhash64("set_id").alias("rep")).join(several, "doc_id", "left_semi").distinct())
+    del wide, full
+    release(docs.sparkSession)
     bound = same.join(same.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").select(F.col("rep").alias("src"), "dst")
     comps = connected_components(shared(links(docs, reps, k, percent).union(bound))).withColumnRenamed("node", "rep")
+    release(docs.sparkSession)
     group = shared(names.join(comps, "rep", "left").select("set_id", "rep", "doc_id", F.coalesce("component", "rep").alias("g")))
     least = group.join(group.groupBy("g").agg(F.min("doc_id").alias("c")), "g").select("set_id", "rep", "c")
     own = same.join(least, "rep").groupBy("doc_id").agg(F.min("c").alias("own"))
