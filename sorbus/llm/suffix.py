@@ -7,8 +7,9 @@ repeats throughout. Under keys with several different segments, or one in which
 the key's gram occurs twice (a short period), the first occurrences are compared by a Burrows-Wheeler
 transform: intervals of suffixes that agree in l bytes are extended backward to l + 1, all intervals of a length at once,
 dropping those of one suffix, until `size`; what is left are exactly the repeated strings. Segments of more than
-GROUP_BYTES under one key are not compared together: each of their strings gets a second key, a hash of all its bytes,
-and the first of a key stays.
+GROUP_BYTES under one key are not compared together: they are cut again, by the least hash of longer grams, and equal
+ones collapse again. Where these still have more than GROUP_BYTES under one key, each string gets a third key, a hash of
+all its bytes, and the first of a key stays.
 
 Null text: empty. Texts below `size` bytes keep all. A row is its doc_id and its text (`th`, the hash of it): equal rows
 share their ranges, other texts of the same id are documents of their own, ordered by `th`. An empty table: no rows.
@@ -45,15 +46,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS["b"], POWERS["i"]
 
 
-def segments(raw: bytes, size: int) -> list[np.ndarray]:
-    """Keys, content hashes, starts and lengths of the segments of a text, and whether the key's gram occurs twice in it."""
-    n, k = len(raw), size // 2
+def segments(raw: bytes, size: int, k: int, seed: int = 0) -> list[np.ndarray]:
+    """Keys (least hashes of grams of k bytes, under a seed), content hashes, starts and lengths of the segments of a text,
+    and whether the key's gram occurs twice in it."""
+    n = len(raw)
     if n < size:
         return [*[np.empty(0, np.int64)] * 4, np.empty(0, bool)]
     b, inv = powers(n + 1)
     p = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[np.frombuffer(raw, np.uint8)] * b[:n], out=p[1:])
-    h = mix64((p[k:] - p[: n - k + 1]) * inv[: n - k + 1])
+    h = mix64((p[k:] - p[: n - k + 1]) * inv[: n - k + 1] + np.uint64(seed))
     width, m, span = size - k + 1, h, 1
     while span * 2 <= width:
         m = np.minimum(m[:-span], m[span:])
@@ -116,7 +118,7 @@ def segment_table(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             doc, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-            made = [segments(raw_of(t), size) for t in texts_of(part.column("text"))]
+            made = [segments(raw_of(t), size, size // 2) for t in texts_of(part.column("text"))]
             which = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
             if not len(which):
                 continue
@@ -276,18 +278,34 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for d, h, t, found in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts_of(batch.column("text")), batch.column("segs").to_pylist(), strict=True):
             raw = raw_of(t)
-            cold = [x for x in found if not x["hot"]]
-            if cold:
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in cold], pa.int64()), pa.nulls(len(cold), pa.int64()), pa.array([d] * len(cold), pa.int64()), pa.array([h] * len(cold), pa.int64()), pa.array([x["pos"] for x in cold], pa.int64()), pa.array([raw[x["pos"] : x["pos"] + x["n"]] for x in cold], pa.binary())], names=names)
+            rows = [(x["key"], None, d, h, x["pos"], raw[x["pos"] : x["pos"] + x["n"]], None) for x in found if not x["hot"]]
             for x in found:
                 for lo in range(x["pos"], x["pos"] + x["n"] - size + 1 if x["hot"] else 0, 65_536):
-                    made = string_hashes(raw[lo : min(lo + 65_535 + size, x["pos"] + x["n"])], size)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["key"], pa.int64()), len(made)), pa.array(made), pa.repeat(pa.scalar(d, pa.int64()), len(made)), pa.repeat(pa.scalar(h, pa.int64()), len(made)), pa.array(np.arange(lo, lo + len(made))), pa.nulls(len(made), pa.binary())], names=names)
-
-    names = ["key", "whole", "doc_id", "th", "pos", "raw"]
-    pieces = Stored(map_arrow(once.select("doc_id", "th", "text", "segs"), cut, "key long, whole long, doc_id long, th long, pos long, raw binary"))
+                    part = raw[lo : min(lo + 65_535 + size, x["pos"] + x["n"])]
+                    rows += [(key, sh, d, h, lo + at, part[at : at + n], twice) for key, sh, at, n, twice in zip(*(c.tolist() for c in segments(part, size, 9 * size // 10, 1)), strict=True)]
+            for lo in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[lo : lo + 10_000], strict=True), kinds, strict=True)], names=names)
+
+    names = ["key", "sh", "doc_id", "th", "pos", "raw", "twice"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    pieces = Stored(map_arrow(once.select("doc_id", "th", "text", "segs"), cut, "key long, sh long, doc_id long, th long, pos long, raw binary, twice boolean"))
     release(docs.sparkSession)
-    cold = pieces.df.where("whole is null").select("key", "doc_id", "th", "pos", "raw").repartition("key").sortWithinPartitions("key", "doc_id", "th", "pos")
+    # Those cut again: equal ones collapse; what is still different under one key is compared, or told apart by string.
+    here, one, several = F.struct("doc_id", "th", "pos"), Window.partitionBy("key", "sh"), Window.partitionBy("key")
+    finer = pieces.df.where("sh is not null").withColumn("opens", F.min(here).over(one) == here)
+    differ = (F.min("sh").over(several) != F.max("sh").over(several)) | F.max("twice").over(several)
+    finer = finer.withColumns({"differ": differ, "total": F.sum(F.when(F.col("opens"), F.length("raw"))).over(several)})
+    kind = F.when(~F.col("opens"), 0).when(F.col("differ"), F.when(F.col("total") > GROUP_BYTES, 2).otherwise(1))
+    finer = finer.select("key", "doc_id", "th", "pos", F.length("raw").alias("n"), F.when(F.col("opens"), F.col("raw")).alias("raw"), kind.alias("kind")).where("kind is not null")
+    finer = Stored(finer)
+    cold = pieces.df.where("sh is null").select("key", "doc_id", "th", "pos", "raw").union(finer.df.where("kind = 1").select("key", "doc_id", "th", "pos", "raw"))
+    cold = cold.repartition("key").sortWithinPartitions("key", "doc_id", "th", "pos")
+
+    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k, d, h, p, r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "raw")), strict=True):
+            made = string_hashes(r, size)
+            cols = [pa.repeat(pa.scalar(x, pa.int64()), len(made)) for x in (k, d, h)]
+            yield pa.RecordBatch.from_arrays([cols[0], pa.array(made), cols[1], cols[2], pa.array(p + np.arange(len(made)))], names=["key", "whole", "doc_id", "th", "pos"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, total = [], None, 0
@@ -307,12 +325,14 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
         if held:
             yield out()
 
-    first = F.min(F.struct("doc_id", "th", "pos")).over(Window.partitionBy("key", "whole"))
-    again = pieces.df.where("whole is not null").withColumn("first", first).where("first != struct(doc_id, th, pos)")
-    found = whole.union(cold.mapInArrow(match, "doc_id long, th long, a long, b long")).union(again.select("doc_id", "th", "pos", F.col("pos") + size))
+    hashed = map_arrow(finer.df.where("kind = 2").select("key", "doc_id", "th", "pos", "raw"), strings, "key long, whole long, doc_id long, th long, pos long")
+    again = hashed.withColumn("opens", F.min(here).over(Window.partitionBy("key", "whole")) == here).where("not opens")
+    found = whole.union(cold.mapInArrow(match, "doc_id long, th long, a long, b long"))
+    found = found.union(finer.df.where("kind = 0").select("doc_id", "th", "pos", F.col("pos") + F.col("n"))).union(again.select("doc_id", "th", "pos", F.col("pos") + size))
     spans = shared(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     settled.drop()
     pieces.drop()
+    finer.drop()
     release(docs.sparkSession)
     return spans
 
