@@ -337,13 +337,16 @@ def ranges(docs: DataFrame, size: int = 100) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
-    """docs with `kept` (the remaining bytes), n_bytes, n_removed and n_spans; other columns pass through."""
+def remove_repeats(docs: DataFrame, size: int = 100, as_text: bool = False) -> DataFrame:
+    """docs with `kept`, n_bytes, n_removed and n_spans; other columns pass through.
+
+    kept: the remaining bytes; or as text, which they are but for characters cut in two at a removed run: these go.
+    """
     prepare(docs.sparkSession)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans__", "th__")
     spans = ranges(docs.select("doc_id", "text").where("doc_id is not null"), size).select("doc_id", F.col("th").alias("th__"), F.col("spans").alias("spans__"))
     both = docs.withColumn("th__", text_hash()).join(spans, ["doc_id", "th__"], "left").drop("th__")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans__"), "kept binary, n_bytes long, n_removed long, n_spans long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans__"), f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         made = []
@@ -356,9 +359,10 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
                 elif b > end:
                     gone, end = gone + b - end, b
             parts.append(raw[end:])
-            made.append((b"".join(parts), len(raw), gone, n))
+            left = b"".join(parts)
+            made.append((left.decode("utf-8", "ignore") if as_text else left, len(raw), gone, n))
         kept = [c for c in batch.schema.names if c != "spans__"]
-        cols = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+        cols = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + cols, names=[*kept, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return map_arrow(both, run, schema)

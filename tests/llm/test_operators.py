@@ -83,9 +83,30 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     assert got[2].score > 0.7 > 0.3 > got[1].score and got[3].score == got[4].score < 0.5
     assert [(s.begin, s.end) for s in got[2].spans] == [(6, 10)] and got[1].spans == []
+    turkish = spark.createDataFrame([(1, "İ w3 vile w4")], "doc_id long, text string")  # lower case is a character longer
+    assert [(s.begin, s.end) for s in toxicity.score(turkish, model).first().spans] == [(5, 9)]
     assert toxicity.train([("a", 1)]) is None and toxicity.score(df, None).count() == 4
 
 
+def test_toxicity_query(spark):
+    """Held-out documents against their labels; and the marginals against all paths of a short text."""
+    d = "/root/testdata/sf0.01"
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall())
+    rows = QUERIES["op2_toxicity"](spark, d).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(p and y for p, y in held) >= 0.7 * sum(y for _, y in held) and sum(p and not y for p, y in held) <= 0.02 * len(held)
+    rng = np.random.default_rng(5)
+    model = {"moves": rng.normal(size=(2, 2)), "start": rng.normal(size=(2, 2))}
+    score = rng.normal(size=5)
+    weight = np.zeros((5, 2))
+    for path in range(32):
+        y = [path >> t & 1 for t in range(5)]
+        w = np.exp(model["start"][:, y[0]]).sum() * np.exp(sum(model["moves"][a, b] for a, b in zip(y, y[1:])) + score[np.array(y) == 1].sum())
+        weight[np.arange(5), y] += w
+    assert toxicity.marginals(score, np.array([0]), model)[0] == pytest.approx(weight[:, 1] / weight.sum(1))
+
+
 def test_forward_by_blocks():
     m = np.random.default_rng(2).random((300, 2, 2))
     v, want = np.array([0.5, 0.5]), []
@@ -108,13 +129,58 @@ def test_fingerprint(spark, texts):
 
 
 def test_html(spark):
-    tree = html.trained()
+    model = html.trained()
     page = "<head><title>T</title><style>x</style></head><body><nav><a href='/'>Home</a></nav><article><h1>Big  news</h1><p>One &amp; two<br>three</p><p>Four</article><footer>f</footer></body>"
-    assert html.main_text(page, tree) == "Big news\n\nOne & two three\n\nFour"
+    assert html.main_text(page, model) == "Big news\n\nOne & two three\n\nFour"
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, page, "z")], "page_id long, html string, text string")
     assert [r.n_chars for r in html.extract(df).orderBy("page_id").collect()][:2] == [0, 0]
 
 
+def test_html_of_all_pages(spark):
+    """The registered query against what a regular expression finds in the one layout that the pages have."""
+    from html import unescape
+
+    d = "/root/testdata/sf0.01"
+
+    def article(page):
+        body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1].replace("<br>", " ")
+        parts = (" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", body))
+        return "\n\n".join(x for x in parts if x)
+
+    want = {i: (url, article(page)) for i, url, page in duckdb.sql(f"select page_id, url, html from '{d}/pages.parquet'").fetchall()}
+    assert {r.page_id: (r.url, r.text) for r in QUERIES["op4_html"](spark, d).collect()} == want
+
+
+def test_html_layouts():
+    known, tree = html.trained()
+    used, todo = set(), [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            used.add(html.NAMES[t[0]])
+            todo += t[2:]
+    assert {"words", "links"} <= used and used & {"words before", "words after"} and used & {"links before", "links after"}
+    wrong = total = 0
+    for page in html.labelled_pages(150, seed=77):  # pages the tree was not grown on
+        kept = set(html.main_text(page, (known, tree)).split("\n\n"))
+        for b in html.blocks_of(page):
+            total += 1
+            wrong += (b.text in kept) != (b.text.lstrip("© |")[:1] == "m")
+    assert wrong < 0.03 * total
+    long = "word " * 40 + "end."
+    page = f'<ul class="menu"><li><a href=/>b</a></li></ul><article><div class="entry-header"><h1 class="post-header">A title</h1></div><p class="social-history">{long}</p><div class="share"><a href=x>Share</a> <a href=y>Post</a></div></article><div class="comments"><p>I liked it very much.</p></div>'
+    assert html.main_text(page, (known, tree)) == f"A title\n\n{long}"
+
+
+@pytest.mark.parametrize("page", ["<![foo]><p>x", "<a " * 40_000, "<div>" * 8000 + "</p>" * 8000, "<p><td>" + "<b>" * 8000 + "<div></div>" * 8000, '<a "' * 30_000 + ">", "<!--" * 30_000, "<script>" * 20_000, "<ul>" + "<li><b>" * 20_000, "<i><p>" + "<b>" * 8000 + "</i>" * 8000, "<", "</", "<>", "&#xFFFFFFFF;&", "<p a='"])
+def test_html_hostile(page):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(page, html.trained())
+    assert time.perf_counter() - began < 10
+
+
 def test_search_recall(spark):
     x = dict(duckdb.sql(f"select vec_id, embedding from '{D}/embeddings.parquet'").fetchall())
     got = defaultdict(set)
