@@ -9,12 +9,14 @@ from sorbus.llm import jaccard, langid, packing, suffix, toxicity
 from sorbus.llm.common import prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SURE = 0.5  # share of the network's probability that a document's language needs
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null texts and texts without a letter."""
+    """Documents without a recognisable language go: null texts, texts without a letter, and those of which the network
+    gives no language SURE of its pooled probability."""
     out = langid.predict(docs.select(*COLUMNS), langid.learn(table(spark, sf_dir, "documents")))
-    return out.where("lang_pred != 'und'").select(*COLUMNS)
+    return out.where(f"lang_pred != 'und' and lang_score >= {SURE}").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of 100 bytes and more that start earlier are removed; characters cut in two go."""
-    out = suffix.remove_repeats(docs.select(*COLUMNS))
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))))
+    """Bytes of passages of 100 bytes and more that start earlier are removed; characters cut in two go.
+
+    A null text stays null where nothing is removed from it; an emptied document stays, with an empty text.
+    """
+    out = suffix.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
