@@ -195,6 +195,7 @@ def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, corpus: DataF
     slices = Stored(sliced(docs))
     others = Stored(sliced(corpus)) if corpus is not None else None
     size, total = (others or slices).df.agg(F.sum("bytes"), F.sum("words")).first()
+    parts = max(1, slices.df.count())
     buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
     counts = []
     for turn in range(PASSES):
@@ -221,7 +222,7 @@ def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, corpus: DataF
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(words.astype(np.int64)), pa.array(score)], names=["doc_id", "n_words", "s"])
                 held = []
 
-    spread = both.repartition("slice").sortWithinPartitions("slice", "bucket")
+    spread = both.repartition(parts, "slice").sortWithinPartitions("slice", "bucket")
     scored = spread.select("counts", "ids", "lens", "texts", "bytes").mapInArrow(run, "doc_id long, n_words long, s double")
     out = shared(scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s")))
     for x in (slices, *counts, others):
