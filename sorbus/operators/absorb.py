@@ -21,7 +21,7 @@ from sorbus.operators.graph import connected_components, shared
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
 from sorbus.plans.spaces import ArraySpace, TableSpace, bytes_of, looked_up
 
-LOCAL_BYTES = 128 << 20
+LOCAL_BYTES = 256 << 20
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
 STRATEGIES = ("auto", "closed_form", "local", "distributed")
 log = logging.getLogger("sorbus")
@@ -163,7 +163,7 @@ class Absorber:
         self.stats = {y: Outcome(o.iterations + warm, o.converged, o.istop) for y, o in zip(outcomes, found, strict=True)}
 
     def local(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
-        spark, pdf = cells.sparkSession, cells.toPandas()
+        spark, pdf = cells.sparkSession, cells.toArrow().to_pandas()
         first, _ = codes_of(pdf, list(self.effects[0].keys))
         pdf = pdf.iloc[np.argsort(first, kind="stable")].reset_index(drop=True)
         w = np.sqrt(pdf["__w"].to_numpy(float))
@@ -188,10 +188,39 @@ class Absorber:
             out.append(spark.createDataFrame(levels, schema))
         return out
 
-    def distributed(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
+    def row_space(self, outcomes: list[str]) -> TableSpace:
+        """The problem's vectors over the rows as they are, not over cells; for its products apart from a solve."""
+        slopes = dict.fromkeys(e.slope for e in self.effects if e.slope)
+        cols = [*self.keys, *[F.col(c).cast("double").alias(f"__x_{c}") for c in slopes], self.w().alias("__w")]
+        rows = self.checked(outcomes).select(*cols, *[(self.w() * F.col(y).cast("double")).alias(f"__wy{i}") for i, y in enumerate(outcomes)])
+        return self.table_space(rows, outcomes, False)
+
+    def gathered(self, outcomes: list[str]) -> list[DataFrame]:
+        """Per effect its keys and g0, g1, ...: the scaled design's transpose times each weighted outcome."""
+        space = self.row_space(outcomes)
+        space.transposed(list(range(len(outcomes))), [0.0] * len(outcomes), "__g")
+        out = [shared(t.select(*e.keys, *[F.col(f"__g{i}").alias(f"g{i}") for i in range(len(outcomes))])) for e, t in zip(self.effects, space.levels, strict=True)]
+        space.drop()
+        return out
+
+    def scattered(self, value: Column) -> DataFrame:
+        """The rows' keys and `scattered`: the scaled design times a level column that may use the level's keys."""
+        space = self.row_space([])
+        space.m, space.u_scale = 1, [1.0]
+        space.rows = space.rows.withColumn("__u0", F.lit(0.0))
+        space.levels = [t.withColumn("__o0", value.cast("double")) for t in space.levels]
+        space.product([0], "__o", [1.0], [0.0])
+        out = shared(space.rows.select(*self.keys, F.col("__u0").alias("scattered")))
+        space.drop()
+        return out
+
+    def table_space(self, cells: DataFrame, outcomes: list[str], warm: bool) -> TableSpace:
         effects = [(list(e.keys), F.col(f"__x_{e.slope}") if e.slope else F.lit(1.0)) for e in self.effects]
         b = [F.when(F.col("__w") > 0, F.try_divide(F.col(f"__wy{i}"), F.sqrt("__w"))) for i in range(len(outcomes))]
-        space = TableSpace(cells, effects, "__w", b, warm, "double" if self.double_precision else "float")
+        return TableSpace(cells, effects, "__w", b, warm, "double" if self.double_precision else "float")
+
+    def distributed(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
+        space = self.table_space(cells, outcomes, warm)
         self.solve(space, outcomes, warm)
         return space.end()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorbus.operators.absorb import Absorber, Effect, components, encode
+from sorbus.operators.absorb import Absorber, Effect, absorb, coefficients, encode, level_components
 
 TIGHT = {"tol": 1e-14}
 PART, SUPP, LINE = Effect("l_partkey"), Effect("l_suppkey"), Effect("l_linenumber")
@@ -86,8 +86,9 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 
 def q16(spark: SparkSession, d: str) -> DataFrame:
     """Components of orders and parts: their sizes."""
-    c = components(lineitem(spark, d), [Effect("l_orderkey"), Effect("l_partkey")])
-    sizes = c.groupBy("component").agg(F.count_if(F.col("effect") == 0).alias("n_orders"), F.count_if(F.col("effect") == 1).alias("n_parts"))
+    orders, parts = level_components(lineitem(spark, d), [Effect("l_orderkey"), PART])
+    both = orders.select("component", F.lit(1).alias("o"), F.lit(0).alias("p")).union(parts.select("component", F.lit(0), F.lit(1)))
+    sizes = both.groupBy("component").agg(F.sum("o").alias("n_orders"), F.sum("p").alias("n_parts"))
     return sizes.groupBy("n_orders", "n_parts").agg(F.count("*").alias("n"))
 
 
@@ -100,18 +101,13 @@ def q18(spark: SparkSession, d: str) -> DataFrame:
     return a.scales(0).select("l_suppkey", r4(F.col("scale")).alias("scale"))
 
 
-def scaled(spark, d):
-    li = lineitem(spark, d)
-    s = Absorber(li, [SUPP], "l_quantity").scales(0)
-    return li.join(s, "l_suppkey").withColumn("cache", F.sqrt("l_quantity") * F.col("scale"))
-
-
 def q19(spark: SparkSession, d: str) -> DataFrame:
-    return scaled(spark, d).groupBy("l_suppkey").agg(r4(F.sum(F.col("cache") * F.sqrt("l_quantity") * F.col("y"))).alias("g"))
+    return Absorber(lineitem(spark, d), [SUPP], "l_quantity").gathered(["y"])[0].select("l_suppkey", r4(F.col("g0")).alias("g"))
 
 
 def q20(spark: SparkSession, d: str) -> DataFrame:
-    return scaled(spark, d).groupBy("l_suppkey").agg(r4(F.sum("cache")).alias("s"))
+    rows = Absorber(lineitem(spark, d), [SUPP], "l_quantity").scattered(F.lit(1.0))
+    return rows.groupBy("l_suppkey").agg(r4(F.sum("scattered")).alias("s"))
 
 
 def q21(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +129,38 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
     return worst[0].select("g").union(worst[1].select("g")).agg((F.max("g") < 1e-6).alias("orthogonal"))
 
 
+def q24(spark: SparkSession, d: str) -> DataFrame:
+    """Row-expanded coefficients."""
+    rows, _ = coefficients(events(spark, d), "y", [Effect("user_id"), Effect("event_type")], tol=1e-14)
+    return rows.select("event_id", r4(F.col("coef1")).alias("coef1"), r4(F.col("coef2")).alias("coef2"))
+
+
+def q25(spark: SparkSession, d: str) -> DataFrame:
+    """Two effects under one weight, then under another, from one prepared table."""
+    a = Absorber(lineitem(spark, d).withColumn("w2", F.col("l_tax") + 1).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "w2", "y"), [PART, SUPP], "l_quantity", **TIGHT).prepared()
+    one = lambda x, n: x.residuals(["y"]).select("l_orderkey", F.lit(n).alias("weights"), r4(F.col("y_res")).alias("res"))
+    return one(a, 1).union(one(a.with_weight("w2"), 2))
+
+
+def q26(spark: SparkSession, d: str) -> DataFrame:
+    """Two outcomes on two effects, solved together."""
+    res, stats = absorb(lineitem(spark, d), ["y", "y2"], [PART, SUPP], tol=1e-14)
+    long = res.select("l_orderkey", F.explode(F.array(*[F.struct(F.lit(y).alias("outcome"), r4(F.col(f"{y}_res")).alias("res")) for y in ("y", "y2")])).alias("o")).select("l_orderkey", "o.*")
+    return long.join(F.broadcast(stats.select("outcome", "converged")), "outcome")
+
+
+def q27(spark: SparkSession, d: str) -> DataFrame:
+    """As q08b, with vectors in DataFrames."""
+    a = Absorber(events(spark, d), [Effect("user_id"), Effect("event_type")], strategy="distributed", **TIGHT)
+    return a.residuals(["y"]).select("event_id", r4(F.col("y_res")).alias("res"))
+
+
+def q28(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, and levels of each effect."""
+    n, (users, types) = Absorber(events(spark, d), [Effect("user_id"), Effect("event_type")]).size()
+    return spark.createDataFrame([(n, users, types)], "n long, users long, types long")
+
+
 QUERIES = {
     "q01_one_way": residual(lineitem, [PART], ["l_orderkey", "l_partkey"]),
     "q02_one_way_weighted": residual(lineitem, [PART], ["l_orderkey", "l_partkey"], "l_quantity"),
@@ -148,8 +176,24 @@ QUERIES = {
     "q11_nested": residual(orders, [Effect("o_custkey"), Effect("c_nationkey")], ["o_orderkey"]),
     "q12_multi_outcome": q12, "q13_coef_one_way": q13, "q14_coef_two_way": q14, "q15_coef_components": q15, "q16_components": q16, "q17_encode": q17,
     "q18_scale": q18, "q19_cache_gather": q19, "q20_scatter": q20, "q21_update_weights": q21, "q22_subset": q22, "q23_orthogonality": q23,
+    "q24_coef_rows": q24, "q25_two_way_weights": q25, "q26_two_way_outcomes": q26, "q27_two_way_distributed": q27, "q28_size": q28,
 }
 
+def coefficient_sweeps(n: int = 40) -> str:
+    """Common table expressions: `f` has each event with its level coefficients a (user) and b (type) after n rounds; `m`
+    the mean of b over the types. The events' users and types are one component."""
+    inner = "select event_id, user_id, event_type, r - avg(r) over (partition by user_id) r, a + avg(r) over (partition by user_id) a, b, k from it where k < " + str(n)
+    return (
+        f"with recursive it as (select event_id, user_id, event_type, y r, 0.0::double a, 0.0::double b, 0 k from {EV} union all "
+        f"select event_id, user_id, event_type, r - avg(r) over (partition by event_type) r, a, b + avg(r) over (partition by event_type) b, k+1 from ({inner})), "
+        f"f as (select * from it where k={n}), lv as (select event_type, any_value(b) b from f group by 1), m as (select avg(b) m from lv) "
+    )
+
+
+def outcome_sweeps(y: str) -> str:
+    return f"select '{y}' as outcome, l_orderkey, res, true as converged from ({sweeps(LI.replace('ln(l_extendedprice) y', 'ln(l_extendedprice) y1').replace('y2', 'y') if y == 'y2' else LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], n=40)})"
+
+
 SLOPE = "y - x*coalesce(sum(x*y) over p/nullif(sum(x*x) over p,0),0)"
 SQL = {
     "q01_one_way": f"select l_orderkey, l_partkey, {r4s('y-avg(y) over (partition by l_partkey)')} from {LI}",
@@ -173,5 +217,12 @@ SQL = {
     "q20_scatter": "select l_suppkey, round(sum(sqrt(l_quantity))/sqrt(sum(l_quantity)),4)+0.0 as s from lineitem group by 1",
     "q21_update_weights": f"select l_orderkey, 1 as weights, {r4s('y-sum(l_quantity*y) over p/sum(l_quantity) over p')} from {LI} window p as (partition by l_partkey) union all select l_orderkey, 2, {r4s('y-sum((1+l_tax)*y) over p/sum(1+l_tax) over p')} from {LI} window p as (partition by l_partkey)",
     "q22_subset": f"select l_partkey, round(coalesce(avg(y) filter (l_quantity<3),0),4)+0.0 as coef from {LI} group by 1",
+    "q14_coef_two_way": coefficient_sweeps() + "select 1 as effect, user_id::varchar as level, round(any_value(a)+m.m,4)+0.0 as coef from f, m group by user_id, m.m union all select 2, event_type, round(b-m.m,4)+0.0 from lv, m",
+    "q16_components": "with recursive e as (select distinct 2*l_orderkey a, 2*l_partkey+1 b from lineitem), g as (select a, b from e union all select b, a from e union all select a, a from e union all select distinct b, b from e), it as (select distinct a node, a label, 0 k from g union all select g.a, min(it.label), max(it.k)+1 from it join g on g.b=it.node where it.k < 30 group by g.a), s as (select label, count(*) filter (node%2=0) o, count(*) filter (node%2=1) p from it where k=30 group by 1) select o as n_orders, p as n_parts, count(*) as n from s group by 1, 2",
     "q23_orthogonality": "select true as orthogonal",
+    "q24_coef_rows": coefficient_sweeps() + "select event_id, round(a+m.m,4)+0.0 as coef1, round(b-m.m,4)+0.0 as coef2 from f, m",
+    "q25_two_way_weights": f"select l_orderkey, 1 as weights, res from ({sweeps(LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], 'l_quantity', n=40)}) union all select l_orderkey, 2, res from ({sweeps(LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], '(1+l_tax)', n=40)})",
+    "q26_two_way_outcomes": f"{outcome_sweeps('y')} union all {outcome_sweeps('y2')}",
+    "q27_two_way_distributed": sweeps(EV, "event_id", ["user_id", "event_type"], n=40),
+    "q28_size": "select count(*) as n, count(distinct user_id) as users, count(distinct event_type) as types from events",
 }

@@ -222,6 +222,11 @@ class TableSpace:
     def end(self) -> list[DataFrame]:
         """Per effect its keys and __b{k}_{i}: the coefficient of outcome i."""
         out = [shared(t.select(*keys, *[(F.col("__s") * F.col(f"__x{i}")).cast("double").alias(f"__b{k}_{i}") for i in range(self.m)])) for k, (keys, t) in enumerate(zip(self.keys, self.levels, strict=True))]
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        """Deletes the written vectors."""
         self.olds = list(self.stored.values())
+        self.stored = {}
         self.then()
-        return out
