@@ -2,7 +2,10 @@
 
 A vector is coded as a sum of one full-dimensional codeword per book, found by beam search over residual codebooks; its
 code and squared norm are stored. Queries are scored from look-up tables of their inner products with all codewords; the
-best sixteenth of every block of rows, 400 at least, is ranked again on the original vectors, in double precision.
+best sixteenth of every block of rows, 400 at least, and all rows that score as the last of these, are ranked again on the
+original vectors, in double precision. So equal vectors, which have equal codes, are all ranked again, or none is.
+
+The queries are answered a block at a time: the driver and every executor hold one block, and each is a pass over the codes.
 
 Vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no
 part. Ties go to the smaller vec_id. Repeated ids: each row is a candidate for other ids. The codebooks are fitted on at
@@ -11,6 +14,7 @@ most `sample` rows; every row is coded and searched.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sorbus.llm.common import map_arrow, prepare, sample_rows, table
+from sorbus.operators.graph import shared, shared_folder
 
 BOOKS, WORDS, BEAM = 8, 256, 8
 SHARE = 16
@@ -96,7 +101,7 @@ def index(df: DataFrame, books: np.ndarray) -> DataFrame:
 def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sample: int = 20_000, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k rows of largest inner product.
 
-    Of every block of rows a sixteenth, `rerank` rows at least, is ranked again. The queries go out in blocks of at most `block` (a few MB, whatever the table's size), one pass over the codes each.
+    Of every block of rows a sixteenth, `rerank` rows at least, is ranked again. A block of queries is at most `block`.
     """
     spark = prepare(df.sparkSession)
     rows = usable(df)
@@ -110,7 +115,8 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     n_blocks = max(1, -(-asked.count() // (block // 2)))
     asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).checkpoint()
-    found = None
+    folder = f"{shared_folder(spark)}/found-{uuid.uuid4().hex}"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for i in range(n_blocks):
         got = asked.where(F.col("b") == i).orderBy("vec_id").select("vec_id", "v").toArrow()
         if not len(got):
@@ -127,20 +133,27 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
                 for m in range(len(lut)):
                     near += lut[m][:, code[:, m]]
                 top = min(max(rerank, -(-len(ids) // SHARE)), len(ids))
-                pick = np.argpartition(-near, top - 1, 1)[:, :top]
-                for j in range(len(pick)):
-                    cand = pick[j][ids[pick[j]] != qid[lo + j]]
+                least = np.partition(near, len(ids) - top, 1)[:, len(ids) - top]
+                for j in range(len(near)):
+                    cand = np.flatnonzero(near[j] >= least[j])
+                    cand = cand[ids[cand] != qid[lo + j]]
                     exact = np.array([np.dot(x[c], q[lo + j]) for c in cand]) if len(cand) <= k else x[cand] @ q[lo + j]
                     best = cand[np.lexsort((ids[cand], -exact))[:k]]
                     if len(best):
                         yield pa.RecordBatch.from_arrays([pa.repeat(int(qid[lo + j]), len(best)), pa.array(ids[best]), pa.array(np.array([float((x[c] * q[lo + j]).sum()) for c in best]))], names=["query_id", "vec_id", "score"])
 
         part = map_arrow(coded.select("vec_id", "v", "code"), run, SCHEMA)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        ranked = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(folder)
+        held.destroy()
+    schema = "query_id long, rank int, vec_id long, score double"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return spark.createDataFrame([], schema)
+    out = shared(spark.read.schema(schema).parquet(folder))
+    files.delete(path, True)
+    return out
 
 
 def op5_aq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
