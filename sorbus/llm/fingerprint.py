@@ -2,11 +2,13 @@
 
 Sketches of parts merge by union, and a share of the retained hashes estimates containment however unequal two texts
 are. Null or wordless text: an empty sketch. Two empty sketches are alike (1.0) only if the texts are the same. A text
-with fewer words than a shingle has one shingle. Repeated ids follow each other in the order of their texts.
+with fewer words than a shingle has one shingle. Repeated ids follow each other in the order of their texts; rows without
+an id are left out.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -20,9 +22,12 @@ from sorbus.llm.common import prepare, ragged, shingles, table
 from sorbus.llm.jaccard import words_of
 
 
-def sketch(text: str, k: int = 5, scale: int = 8) -> np.ndarray:
+SCALE = 2  # half of the hashes: short texts keep some, and an estimate from n shingles errs by about 1 / sqrt(2 n) at most
+
+
+def sketch(text: str, k: int = 5, scale: int = SCALE) -> np.ndarray:
     h, _ = shingles(*ragged([words_of(text)]), k)
-    return np.unique(h[h < np.uint64(2**64 // scale)])
+    return np.unique(h if scale <= 1 else h[h < np.uint64(2**64 // scale)])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,11 +48,11 @@ def likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
 
 
 def to_text(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+    return base64.b64encode(s.astype(">u8").tobytes()).decode()
 
 
 def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
+    return np.frombuffer(base64.b64decode(s), ">u8").astype(np.uint64)
 
 
 def edited(text: str, following: str) -> str:
@@ -72,8 +77,9 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.withColumn("extra", F.lit(0)).unionByName(extra)
 
 
-def fingerprints(docs: DataFrame, k: int = 5, scale: int = 8) -> DataFrame:
-    """Per document its sketch and that of its edited text, and how alike they and the next document's are."""
+def fingerprints(docs: DataFrame, k: int = 5, scale: int = SCALE) -> DataFrame:
+    """Per document its sketch and that of its edited text, how alike they and the next document's are, and the shares of its
+    shingles that these hold (containment)."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     parts = max(8, docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
@@ -90,12 +96,12 @@ def fingerprints(docs: DataFrame, k: int = 5, scale: int = 8) -> DataFrame:
                     e = edited(t0, t)
                     se = sketch(e, k, scale)
                     sha = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((d0, len(t0), sha, to_text(s0), to_text(se), likeness(s0, se, t0 == e), likeness(s0, s, t0 == t)))
+                    out.append((d0, len(t0), sha, to_text(s0), to_text(se), likeness(s0, se, t0 == e), likeness(s0, s, t0 == t), containment(s0, se), containment(s0, s)))
                 held = None if x else (b, d, t, s)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            for lo in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[lo : lo + 1000], strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "in_next"])
 
-    return rows.select("bucket", "extra", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("bucket", "extra", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double")
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
