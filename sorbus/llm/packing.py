@@ -1,9 +1,10 @@
 """Order-preserving packing (operator 1).
 
 The tokens of a partition's documents, in order, are cut into sequences. Cuts may fall at document ends, at sentence ends
-(at a price) and, where none is near, anywhere (at a higher price). f(j) = price(j) + min over i with tokens(i, j) <= size
-of f(i) + size - tokens(i, j): padding plus prices, with the least f(i) + position kept by a monotone queue. A sequence
-whose length is a power of two isn't padded; what is left at the end is cut into such lengths.
+(at a price) and, where none is near, anywhere (at a higher price). f(j) = price(j) + EACH + min over i with tokens(i, j) <= size
+of f(i) + padding(tokens(i, j)): padding is size - tokens, with the least f(i) + position kept by a monotone queue; or none
+where the length is a power of two, of which there are few to look at. EACH keeps sequences from getting short for that.
+What is left at the end of a partition is cut into such lengths.
 
 Null text counts as empty: only its end token. Repeated rows are packed each. An empty table gives no pieces.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sorbus.llm.bpe import parse_ranks
 from sorbus.llm.common import prepare, table, texts_of
 
-SENTENCE, INSIDE, STEP = 4.0, 12.0, 32
+SENTENCE, INSIDE, EACH, STEP = 4.0, 12.0, 24.0, 32
 END_OF_TEXT = "<|endoftext|>"  # the added token after the ranks
 HELD: dict[str, tuple] = {}
 
@@ -43,14 +44,20 @@ def choose_cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
     """Indices of the candidate positions where sequences end; at[0] = 0 and the last one always is one."""
     pos, cost = at.tolist(), price.tolist()
     n = len(pos)
-    f, back = [0.0] * n, [0] * n
+    f, back, place = [0.0] * n, [0] * n, {p: i for i, p in enumerate(pos)}
+    whole = [1 << b for b in range(size.bit_length())]
     queue: deque[int] = deque([0])
     for j in range(1, n):
         p = pos[j]
         while p - pos[queue[0]] > size:
             queue.popleft()
         i = queue[0]
-        f[j], back[j] = f[i] + size - p + pos[i] + cost[j], i
+        best = f[i] + size - p + pos[i]
+        for w in whole:
+            k = place.get(p - w)
+            if k is not None and f[k] < best:
+                best, i = f[k], k
+        f[j], back[j] = best + cost[j] + EACH, i
         v = f[j] + p
         while queue and f[queue[-1]] + pos[queue[-1]] >= v:
             queue.pop()
@@ -62,15 +69,16 @@ def choose_cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
     return cuts[::-1]
 
 
-def candidates(ids: np.ndarray, ends: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, ends: np.ndarray, lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    step = max(1, min(STEP, size))
     price = np.full(len(ids) + 1, np.inf)
     price[1:][ends[ids]] = SENTENCE
     price[np.cumsum(lengths)] = 0
     price[0] = price[-1] = 0
     at = np.flatnonzero(np.isfinite(price))
-    gaps = np.flatnonzero(np.diff(at) > STEP)
+    gaps = np.flatnonzero(np.diff(at) > step)
     for g in gaps:
-        price[np.arange(at[g] + STEP, at[g + 1], STEP)] = INSIDE
+        price[np.arange(at[g] + step, at[g + 1], step)] = INSIDE
     at = np.flatnonzero(np.isfinite(price))
     return at, price[at]
 
@@ -93,7 +101,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int
             if not lengths:
                 return None
             ids = np.concatenate([x[1][x[2] :] for x in held])
-            at, price = candidates(ids, ends, lengths)
+            at, price = candidates(ids, ends, lengths, size)
             cuts = at[choose_cuts(at, price, size)].tolist()
             tail = len(ids) if last else None
             if len(cuts) > 1 or last:

@@ -63,14 +63,27 @@ def test_packing_of_the_added_token(spark):
 
 def test_cuts_are_optimal():
     rng = np.random.default_rng(1)
+    pad = lambda n: 0 if n & (n - 1) == 0 else 8 - n
     for _ in range(30):
         at = np.concatenate([[0], np.cumsum(rng.integers(1, 6, 12))])
         price = rng.integers(0, 5, len(at)).astype(float)
         best = [0.0] + [np.inf] * 12
         for j in range(1, 13):
-            best[j] = min(best[i] + 8 - at[j] + at[i] + price[j] for i in range(j) if at[j] - at[i] <= 8)
+            best[j] = min(best[i] + pad(at[j] - at[i]) + price[j] + packing.EACH for i in range(j) if at[j] - at[i] <= 8)
         cuts = [0, *packing.choose_cuts(at, price, 8)]
-        assert sum(8 - at[j] + at[i] + price[j] for i, j in zip(cuts, cuts[1:])) == pytest.approx(best[12])
+        assert sum(pad(at[j] - at[i]) + price[j] + packing.EACH for i, j in zip(cuts, cuts[1:])) == pytest.approx(best[12])
+
+
+def test_packing_into_short_sequences(spark):
+    import public_tokenizers as p
+
+    df = spark.createDataFrame([(i, "some words and more of them " * i) for i in range(20)], "doc_id long, text string").coalesce(1)
+    for size in (1, 2, 7, 31):
+        got = packing.pack(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, size).collect()
+        length = Counter()
+        for r in got:
+            length[r.sequence_id] += r.length
+        assert max(length.values()) <= size and sum(length.values()) == sum({r.doc_id: r.doc_tokens for r in got}.values())
 
 
 def test_toxicity(spark):
@@ -124,6 +137,19 @@ def test_fingerprint(spark, texts):
         e = fingerprint.edited(texts[d], texts[ids[(k + 1) % len(ids)]])
         assert got[d].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert got[d].fingerprint == fingerprint.to_text(fingerprint.sketch(texts[d]))
+    exact = lambda t: fingerprint.sketch(t, scale=1)  # noqa: E731  every hash is below the threshold
+    off = []
+    for k, d in enumerate(ids):
+        t, n = texts[d], texts[ids[(k + 1) % len(ids)]]
+        e = fingerprint.edited(t, n)
+        assert got[d].n_chars == len(t) and (got[d].edited_fingerprint == got[d].fingerprint or t != e)
+        assert (fingerprint.from_text(got[d].edited_fingerprint) == fingerprint.sketch(e)).all()
+        for near, share, o in ((got[d].near_edited, got[d].in_edited, e), (got[d].near_next, got[d].in_next, n)):
+            a, b = exact(t), exact(o)
+            off.append(abs(near - fingerprint.likeness(a, b, t == o)))
+            assert abs(share - fingerprint.containment(a, b)) < 4 / np.sqrt(len(a) + 1)
+            assert off[-1] < 4 / np.sqrt(max(len(a), len(b)) + 1)
+    assert np.mean(off) < 0.03
     a, b = fingerprint.sketch("a b c d e f g h " * 3), fingerprint.sketch("z y x w v u")
     assert set(fingerprint.merge(a, b)) == set(a) | set(b)
 
@@ -197,6 +223,16 @@ def test_search_recall(spark):
     assert aq.search(bad.limit(0)).count() == 0
 
 
+def test_search_ties(spark):
+    """More copies of one vector than are ranked again, in two blocks of queries: the smaller ids come first."""
+    rows = [(i, [1.0, 2.0]) for i in range(3000)] + [(3000 + i, [1.0, -float(i)]) for i in range(50)]
+    got = aq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000, block=4).orderBy("query_id", "rank").collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.query_id].append(r.vec_id)
+    assert found[0] == list(range(1, 21)) and found[2000] == found[1000] == list(range(20)) and found[3000] == list(range(20))
+
+
 @pytest.mark.parametrize("n", [10_000, 20_000])
 def test_search_recall_beyond_the_budget(spark, n):
     """Isotropic vectors, all in one batch that is far larger than what is ranked again."""
