@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from sorbus.operators.absorb import Absorber, Effect, components
+from pyspark.sql import functions as F
+from sorbus.operators.absorb import Absorber, Effect, absorb, coefficients, components
+from sorbus.plans.lsmr import Outcome, Path, Rule, lsmr, rotate
 from sorbus.plans.queries import QUERIES, SQL
 
 Y = [0.5548445405298847, 0.9444014472663531, 0.0510866660400604, 0.9415750229576445, 0.697755708534771, 0.9664962514198971, 0.12752269572311858, 0.4633531422366297, 0.03341608526498096, 0.1647934493047556]
@@ -114,3 +116,144 @@ def test_two_way_coefficients_dense(spark):
     want = {(1, str(u)): c + shift for u, c in zip(users, coef)} | {(2, t): c - shift for t, c in zip(types, coef[len(users) :])}
     got = {(r.effect, r.level): r.coef for r in QUERIES["q14_coef_two_way"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: pytest.approx(v, abs=6e-5) for k, v in want.items()}
+
+
+def test_strategies_take_the_same_steps(spark, tmp_path):
+    """Vectors in arrays and in DataFrames: the same iterations, code and residuals, over a table of 600,000 rows too."""
+    rng = np.random.default_rng(8)
+    small = pd.DataFrame({"a": rng.integers(0, 40, 400), "b": rng.integers(0, 25, 400), "x": rng.normal(size=400), "w": rng.integers(0, 4, 400).astype(float), "y": rng.normal(size=400), "y2": rng.normal(size=400)})
+    effects = [Effect("a"), Effect("b"), Effect("a", slope="x")]
+    seen = {}
+    for strategy in ("local", "distributed"):
+        a = Absorber(spark.createDataFrame(small.assign(i=range(400))), effects, "w", tol=1e-10, strategy=strategy)
+        rows = a.residuals(["y", "y2"]).orderBy("i").select("y_res", "y2_res").toPandas()
+        seen[strategy] = rows, [tuple(r) for r in a.statistics().orderBy("outcome").collect()]
+    assert seen["local"][1] == seen["distributed"][1] and all(r[2] for r in seen["local"][1])
+    np.testing.assert_allclose(seen["local"][0], seen["distributed"][0], atol=1e-7)
+    assert seen["local"][0]["y_res"].isna().sum() == (small["w"] == 0).sum()
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_quantity").withColumn("y", F.log1p("l_quantity"))
+    both = {}
+    for strategy in ("local", "distributed"):
+        a = Absorber(li, [Effect("l_suppkey"), Effect("l_linenumber")], strategy=strategy)
+        got = a.residuals(["y"]).agg(F.count("*"), F.sum(F.col("y_res") ** 2)).first()
+        both[strategy] = a.stats["y"], got
+    assert both["local"][0] == both["distributed"][0] and both["local"][1][0] == both["distributed"][1][0] == 600_000
+    assert both["local"][1][1] == pytest.approx(both["distributed"][1][1], rel=1e-9)
+
+
+def test_five_rows_stop_alike(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (2, 1, 4.0), (2, 2, 5.5), (3, 2, 1.0)], "p int, q int, y double")
+    stats = []
+    for strategy in ("local", "distributed"):
+        a = Absorber(df, [Effect("p"), Effect("q")], tol=1e-13, strategy=strategy)
+        a.residuals(["y"]).collect()
+        stats.append(a.stats["y"])
+    assert stats[0] == stats[1] and stats[0].converged
+    few = Absorber(df, [Effect("p"), Effect("q")], tol=1e-13, maxiter=2)
+    few.residuals(["y"]).collect()
+    assert few.stats["y"].istop == 7 and not few.stats["y"].converged
+
+
+def test_many_outcomes_as_each(ten):
+    df = ten.withColumn("y2", F.col("y") * F.col("w") - 1).withColumn("zero", F.lit(0.0))
+    together = Absorber(df, [Effect("p1"), Effect("p2")], tol=1e-13)
+    rows = together.residuals(["y", "y2", "zero"]).orderBy("row_id").collect()
+    for y in ("y", "y2", "zero"):
+        alone = Absorber(df, [Effect("p1"), Effect("p2")], tol=1e-13)
+        assert [r[f"{y}_res"] for r in alone.residuals([y]).orderBy("row_id").collect()] == pytest.approx([r[f"{y}_res"] for r in rows], abs=1e-11)
+        assert together.stats[y] == alone.stats[y]
+    assert together.stats["zero"].iterations <= 1 and together.stats["zero"].converged
+
+
+def test_precision_strategy_size(ten):
+    a = 0.2015993617092465
+    for strategy in ("local", "distributed"):
+        rows, stats = absorb(ten, ["y"], [Effect("p1"), Effect("p2")], double_precision=False, strategy=strategy)
+        assert [r.y_res for r in rows.orderBy("row_id").collect()] == pytest.approx([-a, a] * 5, abs=1e-4) and stats.first().converged
+    one, _ = absorb(ten, ["y"], [Effect("p1")], strategy="local")
+    closed, _ = absorb(ten, ["y"], [Effect("p1")])
+    assert [r.y_res for r in one.orderBy("row_id").collect()] == pytest.approx([r.y_res for r in closed.orderBy("row_id").collect()])
+    with pytest.raises(ValueError, match="strategy"):
+        Absorber(ten, [Effect("p1"), Effect("p2")], strategy="closed_form")
+    assert Absorber(ten, [Effect("p1"), Effect("p2")]).size() == (10, [5, 5])
+    assert Effect("p1").slope_type(ten).simpleString() == "int" and Effect("p1", slope="slope").slope_type(ten).simpleString() == "double"
+    assert repr(Effect("p1", "p2", slope="slope")) == "p1#p2*slope"
+
+
+def test_coefficients_of_rows(ten):
+    rows, stats = coefficients(ten, "y", [Effect("p1"), Effect("p2")], tol=1e-13)
+    fit = [r.y - r.coef1 - r.coef2 for r in rows.orderBy("row_id").collect()]
+    assert fit == pytest.approx([-0.2015993617092465, 0.2015993617092465] * 5, abs=1e-9) and stats.first().converged
+
+
+def test_levels_of_signed_zero(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (2, -0.0, 4.0)], "f1 int, f2 double, y double")
+    one, two = Absorber(df, [Effect("f1"), Effect("f2")], tol=1e-13).level_coefficients("y")
+    assert [r.coef for r in one.orderBy("f1").collect()] == pytest.approx([1.0, 4.0]) and [r.coef for r in two.collect()] == pytest.approx([0.0])
+
+
+def dense(a, b, damp=0.0):
+    return np.linalg.lstsq(np.vstack([a, damp * np.eye(a.shape[1])]), np.append(b, np.zeros(a.shape[1])), rcond=None)[0]
+
+
+class Dense:
+    """A space over one matrix, for the solver alone."""
+
+    def __init__(self, a, bs):
+        self.a, self.u = a, [b.copy() for b in bs]
+        self.x = [np.zeros(a.shape[1]) for _ in bs]
+
+    def unit(self, x):
+        n = np.linalg.norm(x)
+        return (x / n if n else x), n
+
+    def start(self):
+        self.u, beta = map(list, zip(*map(self.unit, self.u)))
+        self.v, alpha = map(list, zip(*[self.unit(self.a.T @ u) for u in self.u]))
+        self.h, self.bar = [v.copy() for v in self.v], [np.zeros_like(v) for v in self.v]
+        return beta, alpha
+
+    def left(self, which, alpha):
+        out = [self.unit(self.a @ self.v[i] - a * self.u[i]) for i, a in zip(which, alpha)]
+        for i, (u, _) in zip(which, out):
+            self.u[i] = u
+        return [n for _, n in out]
+
+    def right(self, which, beta):
+        out = [self.unit(self.a.T @ self.u[i] - b * self.v[i]) for i, b in zip(which, beta)]
+        for i, (v, _) in zip(which, out):
+            self.v[i] = v
+        return [n for _, n in out]
+
+    def advance(self, which, keep, move, turn):
+        for i, k, m, t in zip(which, keep, move, turn):
+            self.bar[i] = self.h[i] - k * self.bar[i]
+            self.x[i] = self.x[i] + m * self.bar[i]
+            self.h[i] = self.v[i] - t * self.h[i]
+        return [np.linalg.norm(self.x[i]) for i in which]
+
+
+@pytest.mark.parametrize("damp", [0.0, 0.7])
+def test_lsmr_parts(damp):
+    rng = np.random.default_rng(2)
+    a, bs = rng.normal(size=(30, 12)), [rng.normal(size=30), np.zeros(30), rng.normal(size=30)]
+    space = Dense(a, bs)
+    out = lsmr(space, Rule(1e-13, 1e-13), damp)
+    for x, b in zip(space.x, bs):
+        np.testing.assert_allclose(x, dense(a, b, damp), atol=1e-9)
+    assert out[1] == Outcome(0, True, 0) and all(o.converged for o in out)
+    # The estimates against what they estimate, step by step.
+    space = Dense(a, bs[:1])
+    (beta,), (alpha,) = space.start()
+    path = Path(beta, alpha, damp)
+    for it in range(1, 9):
+        (b,) = space.left([0], [path.alpha])
+        (al,) = space.right([0], [b])
+        space.advance([0], *([m] for m in path.step(b, al)))
+        r = np.append(bs[0] - a @ space.x[0], -damp * space.x[0])
+        assert path.r == pytest.approx(np.linalg.norm(r), rel=1e-8)
+        assert abs(path.factors.zeta_bar) == pytest.approx(np.linalg.norm(a.T @ r[:30] + damp * r[30:]), rel=1e-6, abs=1e-9)
+    assert path.norm <= np.linalg.norm(a) * 1.01 and path.cond <= np.linalg.cond(a) * 1.5
+    assert rotate(0, 0) == (1.0, 0.0, 0.0) and rotate(3, 4) == (0.6, 0.8, 5.0)
+    assert Rule(1e-8, 1e-8, maxiter=5).code(5, 1, 0, 1, 1, 1, 1) == 7 and Rule(1e-8, 1e-8).code(1, 1, 1e-9, 1, 1, 1, 1) == 2
+    assert Rule(1e-8, 1e-8).code(1, 1e-9, 1, 1, 1, 1, 1) == 1 and Rule(1e-8, 1e-8).code(1, 1, 1, 1, 1e9, 1, 1) == 3
