@@ -31,7 +31,7 @@ BITS = 512
 SHORT, LONG = 0.5, 4  # bits per shingle of the two bitmaps, at least
 ROUNDS = 1  # of likeliest candidates, before all that are left
 BLOCK = 2_000
-MEET = 128
+MEET = 512
 BROADCAST_KEYS = 200_000  # rows of ids alone, so a few MB
 
 
@@ -248,15 +248,15 @@ def candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
 def meetings(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where the sets of pairs meet: (hub, i, j, src, dst) per pair, and (hub, i, j, doc_id) per set and meeting.
 
-    A pair meets at the least set that its src is paired with, so the pairs of a cluster share their sets' arrays. The sets
-    of a hub are dealt into buckets of some MEET; a meeting holds two buckets, however large the hub.
+    All pairs of a cluster meet at its least set, so its sets' arrays go there once. The sets of a hub are dealt into buckets
+    of some MEET; a meeting holds two buckets, however large the hub.
     """
-    ends = pairs.select(F.col("src").alias("n"), F.col("dst").alias("o")).union(pairs.select("dst", "src"))
-    hubs = ends.groupBy("n").agg(F.min(F.least("n", "o")).alias("hub"))
-    at = pairs.join(hubs.withColumnRenamed("n", "src"), "src")
+    hubs = connected_components(pairs).withColumnRenamed("component", "hub")
+    at = pairs.join(hubs.withColumnRenamed("node", "src"), "src")
     size = at.select("hub", F.explode(F.array("src", "dst")).alias("doc_id")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / MEET).alias("g"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
-    at = shared(at.join(size, "hub").select("hub", bucket("src").alias("i"), bucket("dst").alias("j"), "src", "dst"))
+    i, j = bucket("src"), bucket("dst")
+    at = shared(at.join(size, "hub").select("hub", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "src", "dst"))
     return at, at.select("hub", "i", "j", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
 
 
@@ -320,6 +320,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     two = two.select("tile", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("reps_a").alias("reps")), F.struct(F.lit(1).alias("side"), F.col("reps_b").alias("reps")))).alias("x")).select("tile", "x.*")
     rows = one.union(two).select("tile", "side", F.explode("reps").alias("rep"))
     likely = shared(flagged(rows.join(reps.select("rep", "n", F.col("short").alias("bits")), "rep"), percent))
+    held = shared(only(reps.select("rep", "set_id", "doc_id", "n", "bits"), likely.select("rep").distinct(), ["rep"]))
+    del reps, made, one, split, two, rows
     release(docs.sparkSession)
     known = None
     for turn in range(ROUNDS + 1):
@@ -331,8 +333,9 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
             labelled = only(likely, comps, ["rep"], "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
             mixed = labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile")
             labelled = labelled.join(mixed, "tile", "left_semi")
-        pairs = shared(candidates(labelled.join(reps.select("rep", "n", "bits"), "rep"), percent, best))
-        new = exact(docs, reps, pairs, k, percent)
+        pairs = shared(candidates(labelled.join(held.select("rep", "n", "bits"), "rep"), percent, best))
+        release(docs.sparkSession)
+        new = exact(docs, held, pairs, k, percent)
         known = new if known is None else shared(known.union(new))
         release(docs.sparkSession)
     return known
@@ -346,14 +349,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = wide.where("n > 0").withColumn("rep", F.xxhash64("set_id"))
     first = F.min(F.struct("doc_id", "n", "bits", "short", "pre")).alias("r")
     reps = shared(full.groupBy("rep", "set_id").agg(first).select("rep", "set_id", "r.*"))
-    names = reps.select("rep", "set_id", "doc_id")
+    names = shared(reps.select("rep", "set_id", "doc_id"))
     sets = shared(wide.select("doc_id", "set_id", "n"))
     several = sets.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b").select("doc_id")
     same = shared(sets.where("n > 0").select("doc_id", F.xxhash64("set_id").alias("rep")).join(several, "doc_id", "left_semi").distinct())
-    del wide, full
+    given = [reps]
+    del wide, full, reps
     release(docs.sparkSession)
     bound = same.join(same.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").select(F.col("rep").alias("src"), "dst")
-    comps = connected_components(shared(links(docs, reps, k, percent).union(bound))).withColumnRenamed("node", "rep")
+    comps = connected_components(shared(links(docs, given.pop(), k, percent).union(bound))).withColumnRenamed("node", "rep")
     release(docs.sparkSession)
     group = shared(names.join(comps, "rep", "left").select("set_id", "rep", "doc_id", F.coalesce("component", "rep").alias("g")))
     least = group.join(group.groupBy("g").agg(F.min("doc_id").alias("c")), "g").select("set_id", "rep", "c")
