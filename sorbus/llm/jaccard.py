@@ -157,8 +157,10 @@ def may_link(rows: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.n
     a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     bits, held, one = [r[3] for r in rows], {}, side[0] == 2
     width = np.array([len(x) for x in bits])
-    for x in range(0, len(b), 128):
-        y = b[x : x + 128]
+    # Sets of one width at a time, so that no short set's bitmap decides how far a long set's is folded.
+    edge = np.unique(np.concatenate([np.arange(0, len(b), 128), 1 + np.flatnonzero(np.diff(width[b])), [len(b)]]))
+    for x, end in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        y = b[x:end]
         # Both sides are sorted by size: only sizes that can link are compared, in a single tile each pair once.
         lo = np.searchsorted(n[a], -(-percent * n[y[0]] // 100))
         z = a[lo : np.searchsorted(n[a], n[y[-1]], "right")]
