@@ -1,23 +1,53 @@
-"""Seconds of the headline queries, as one line of JSON."""
+"""Seconds of the headline queries, of the published problems and of gathers, as one line of JSON.
+
+`value` is the sum over the headline queries; the others are listed beside them. Each is run twice, the second run counts.
+"""
 
 import json
 import os
 import time
 
 from pyspark.sql import SparkSession
-
+from sorbus.operators.absorb import Absorber
+from sorbus.plans import problems
 from sorbus.plans.queries import QUERIES
 
 HEADLINE = ("q01_one_way", "q06_intercept_slope", "q08_two_way", "q09_two_way_weighted", "q10_three_way", "q14_coef_two_way")
+#: Generated problem, its options, as the published timings have them.
+PROBLEMS = {
+    "simple": (problems.simple, {"tol": 1e-8}),
+    "hard": (problems.hard, {"tol": 1e-8, "maxiter": 300}),
+    "hard_32": (problems.hard, {"tol": 1e-6, "double_precision": False}),
+    "interacted": (problems.interacted, {"tol": 1e-8, "maxiter": 300}),
+}
+
+
+def timed(make) -> float:
+    for _ in range(2):
+        start = time.time()
+        make().write.format("noop").mode("overwrite").save()
+        took = time.time() - start
+    return round(took, 3)
+
 
 if __name__ == "__main__":
-    sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+    sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
-    for name in HEADLINE:
-        for _ in range(2):
-            start = time.time()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-            took[name] = round(time.time() - start, 3)
-    print(json.dumps({"metric": "absorption_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
+    took = {name: timed(lambda name=name: QUERIES[name](spark, sf)) for name in HEADLINE}
+    value, steps = round(sum(took.values()), 3), {}
+    for name, (make, options) in PROBLEMS.items():
+        rows, effects = make(spark)
+        rows = rows.cache()
+        rows.count()
+        a = Absorber(rows, effects, **options)
+        took[name] = timed(lambda a=a: a.residuals(["y"]))
+        steps[name] = a.stats["y"].iterations
+        rows.unpersist()
+    for n, groups in problems.GATHERS:
+        rows = problems.gather_rows(spark, n, groups).cache()
+        rows.count()
+        for kind in (problems.gather_hashed, problems.gather_sorted):
+            took[f"{kind.__name__}_{n}_{groups}"] = timed(lambda kind=kind, rows=rows: kind(rows))
+        rows.unpersist()
+    print(json.dumps({"metric": "absorption_total", "value": value, "unit": "sec", "queries": took, "sf": sf, "cpus": cpus, "iterations": steps}))

@@ -277,9 +277,13 @@ class Absorber:
 
 
 def codes_of(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, int]:
+    """Codes from 0 in the order of the keys, in which rows of near levels often lie near each other."""
     if len(pdf) == 0:
         return np.zeros(0, np.int64), 0
-    g = pdf.groupby(keys, sort=False, dropna=False)
+    if len(keys) == 1:
+        codes, levels = pd.factorize(pdf[keys[0]], sort=True, use_na_sentinel=False)
+        return codes.astype(np.int64), len(levels)
+    g = pdf.groupby(keys, sort=True, dropna=False, observed=True)
     return g.ngroup().to_numpy(np.int64), g.ngroups
 
 

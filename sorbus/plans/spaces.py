@@ -37,23 +37,25 @@ class ArraySpace:
         self.codes, self.sizes, self.kind = codes, sizes, kind
         self.factors = [f.astype(kind) for f in factors]
         self.edges = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        # Rows come sorted by the first effect: its sums are sums of runs.
-        self.runs = np.flatnonzero(np.append(True, codes[0][1:] != codes[0][:-1])) if len(codes[0]) and (np.diff(codes[0]) >= 0).all() and len(np.unique(codes[0])) == sizes[0] else None
+        # Of an effect by which the rows are sorted, and all of whose levels have rows, sums are sums of runs.
+        self.runs = [np.flatnonzero(np.append(True, np.diff(g) > 0)) if len(g) and (np.diff(g) >= 0).all() else None for g in codes]
+        self.runs = [r if r is not None and len(r) == n else None for r, n in zip(self.runs, sizes, strict=True)]
+        self.counts = [None if r is None else np.diff(np.append(r, len(codes[0]))) for r in self.runs]
         self.u = [x.astype(kind) for x in b]
         self.warm = warm
 
     def forward(self, z: np.ndarray) -> np.ndarray:
         out = None
-        for g, f, a, e in zip(self.codes, self.factors, self.edges, self.edges[1:], strict=False):
-            term = z[a:e][g]
+        for g, f, c, a, e in zip(self.codes, self.factors, self.counts, self.edges, self.edges[1:], strict=False):
+            term = z[a:e][g] if c is None else np.repeat(z[a:e], c)
             term *= f
             out = term if out is None else np.add(out, term, out=out)
         return out
 
     def back(self, u: np.ndarray) -> np.ndarray:
         out = np.empty(self.edges[-1], self.kind)
-        for k, (g, f, a, e) in enumerate(zip(self.codes, self.factors, self.edges, self.edges[1:], strict=False)):
-            out[a:e] = np.add.reduceat(f * u, self.runs) if k == 0 and self.runs is not None else np.bincount(g, f * u, e - a)
+        for g, f, r, a, e in zip(self.codes, self.factors, self.runs, self.edges, self.edges[1:], strict=False):
+            out[a:e] = np.bincount(g, f * u, e - a) if r is None else np.add.reduceat(f * u, r)
         return out
 
     def scaled(self, x: np.ndarray) -> float:
