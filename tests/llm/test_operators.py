@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from sorbus.llm import aq, bpe, fingerprint, html, jaccard, langid, lm, packing, suffix, toxicity
 from sorbus.llm.queries import QUERIES, SQL
 
@@ -386,3 +387,128 @@ def test_pipeline(spark, texts):
     assert counts[0] == sum(any(c.isalpha() for c in t) for t in texts.values()) and counts == sorted(counts, reverse=True)
     assert counts[-1] > 0.6 * counts[0]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, D).select("doc_id").distinct().count() == counts[-1]
+
+
+def test_jaccard_of_repeated_ids(spark):
+    a, b = "aa bb cc dd ee ff gg hh", "xx yy zz ww vv uu tt ss"
+    df = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (7, ""), (11, "q"), (12, None), (12, a + " new"), (3, "r s")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.jaccard_groups(df).collect())
+    assert got == [(3, 1, 3), (3, 4, 3), (7, 0, 3), (7, 4, 3), (7, 4, 3), (9, 4, 3), (11, 1, 11), (12, 0, 3), (12, 5, 3)]
+
+
+def test_widths_in_a_tile():
+    """A short set in a tile doesn't shorten the bitmaps by which long sets are judged."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    far = np.concatenate([base[:3400], rng.integers(0, 2**63, 600).astype(np.uint64)])  # likeness 0.74
+    near = np.concatenate([base[:3900], rng.integers(0, 2**63, 100).astype(np.uint64)])
+    sets = sorted((np.unique(s) for s in (rng.integers(0, 2**63, 60).astype(np.uint64), base, far, near)), key=len)
+    rows = [(2, i, len(s), jaccard.bitmap(s, jaccard.LONG), i) for i, s in enumerate(sets)]
+    found = {(int(p), int(q)) for ps, qs, _ in jaccard.may_link(rows, 85) for p, q in zip(ps, qs)}
+    like = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for j in range(4) for i in range(j)}
+    assert found == {p for p, x in like.items() if x >= 0.85} and len(found) == 1
+
+
+def test_lm_over_another_corpus(spark, monkeypatch):
+    """Slices and buckets of any size, and counts of another table, give what counting by hand gives."""
+    monkeypatch.setattr(lm, "SLICE_BYTES", 40)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 16)
+    corpus = [(1, "a b c a b"), (2, "A b c d"), (3, "c d"), (4, None), (5, "")]
+    docs = [(1, "a b c a b"), (2, "A b c d"), (2, "c d"), (9, " "), (10, None)]
+    n = Counter()
+    for _, t in corpus:
+        w = (t or "").lower().split()
+        n.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    total = sum(c for g, c in n.items() if len(g) == 1)
+
+    def score(g):
+        if len(g) == 1:
+            return np.log(n[g] / total)
+        return np.log(n[g] / n[g[:-1]]) if n[g] >= 2 else np.log(0.4) + score(g[1:])
+
+    want = {}
+    for d, t in docs:
+        w = (t or "").lower().split()
+        m, s = want.get(d, (0, 0.0))
+        want[d] = m + len(w), s + sum(score(tuple(w[max(0, i - 2) : i + 1])) for i in range(len(w)))
+    schema = "doc_id long, text string"
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm.lm_scores(spark.createDataFrame(docs, schema), corpus=spark.createDataFrame(corpus, schema)).collect()}
+    assert got == {d: (m, pytest.approx(s, abs=1e-4) if m else None) for d, (m, s) in want.items()}
+
+
+def test_bpe_query(spark, texts):
+    import public_tokenizers as p
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb").read().splitlines())}
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {d: (len(ids := enc.encode_ordinary(t)), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())) for d, t in texts.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op9_bpe"](spark, D).collect()} == want
+
+
+def test_language_by_plain_loops():
+    """The scores of texts against the recurrences written out byte by byte."""
+    model = langid.train([("the cat and the dog " * 9, "en"), ("le chat et la souris " * 9, "fr"), ("der hund und die katze " * 9, "de")])
+    h, sig = langid.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def states(raw, d):
+        s, out = np.zeros(h), {}
+        for t in range(len(raw)) if d == "f" else reversed(range(len(raw))):
+            e = model["e" + d][raw[t]].astype(float)
+            gate = sig(e[: 2 * h] + s @ model["u" + d])
+            cand = np.tanh(e[2 * h :] + (gate[h:] * s) @ model["c" + d])
+            s = s + gate[:h] * (cand - s)
+            out[t] = s
+        return out
+
+    for text in ("the dog et la souris", "x", "der hund " * 30, "é" * 100):
+        raw = text.encode()
+        padded = list(raw) + [langid.PAD] * (-len(raw) % langid.WINDOW)
+        logs = np.zeros(len(model["classes"]))
+        for lo in range(0, len(padded), langid.WINDOW):
+            part = padded[lo : lo + langid.WINDOW]
+            f, b = states(part, "f"), states(part, "b")
+            for t, byte in enumerate(part):
+                if byte != langid.PAD:
+                    o = np.concatenate([f[t], b[t]]) @ model["w"] + model["b"]
+                    logs += o - np.log(np.exp(o).sum())
+        p = np.exp(4 * (logs - logs.max()) / len(raw))
+        p /= p.sum()
+        (lang,), (score,) = langid.predict_texts([text], model)
+        assert lang == model["classes"][int(p.argmax())] and score == pytest.approx(p.max(), rel=1e-3)
+
+
+def test_odd_texts_meet_trained_models(spark, odd):
+    labels = spark.createDataFrame([(d, int(d % 2)) for d in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(d, ("foul " if d % 2 else "fair ") * 20 + f"w{d % 7}", "en" if d % 3 else "fr") for d in range(400)] + [(5, None, None), (6, "", "en")], "doc_id long, text string, lang string")
+    long = odd.union(spark.createDataFrame([(20, "foul words é " * 300_000, "en", "a", 1), (None, "x", None, None, None)], SCHEMA)).withColumn("score", F.lit("s")).withColumn("lang_score", F.lit(1))
+    tox = toxicity.learn(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(long, tox).collect()}
+    assert len(got) == 11 and got[1].score == got[2].score < 0.5 and 0 <= got[20].score <= 1 and got[20].score > 0.7 and len(got[20].spans) >= 300_000
+    lang = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.predict(long, lang).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == got[8].lang_pred == "und" and got[20].lang_pred in ("en", "fr") and len(got) == 11
+    assert toxicity.score(long.limit(0), tox).count() == langid.predict(long.limit(0), lang).count() == 0
+    assert toxicity.learn(docs.limit(0), labels) is None and langid.learn(docs.limit(0)) is None
+
+
+def test_samples_are_bounded(spark):
+    from sorbus.llm.common import sample_rows
+
+    df = spark.range(3000).select(F.col("id").alias("k"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("t"))
+    rows = sample_rows(df, "k", "t", 200, 1 << 20)
+    assert len(rows) == 200 == len({r.k for r in rows}) and rows == sample_rows(df.repartition(7), "k", "t", 200, 1 << 20)
+    few = sample_rows(df, "k", "t", 200, 500)
+    assert 0 < sum(2 * len(r.t) for r in few) <= 500 and len(sample_rows(df.limit(20), "k", "t", 200, 1 << 20)) == 20
+    assert sample_rows(df.limit(0), "k", "t", 5, 5) == [] and len(sample_rows(spark.range(50).select(F.lit(1).alias("k"), F.lit("a").alias("t")), "k", "t", 9, 99)) == 9
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd):
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, D).checkpoint()
+            assert docs.columns == corpus_pipeline.COLUMNS
+        ids = [r.doc_id for r in docs.collect()]
+        assert len(ids) == len(set(ids)) and 1 not in ids and 8 not in ids
+        assert set(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, D).collect()) == set(ids)
