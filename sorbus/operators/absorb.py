@@ -1,32 +1,46 @@
 """Weighted least squares on high-cardinality group effects: residuals and coefficients.
 
-The rows are first aggregated to cells (one per combination of keys and slopes), which leaves the minimiser as it is. One
-effect has a closed form. Several are solved by LSMR, with vectors in arrays of the driver while the cells have at most
-LOCAL_BYTES (measured first), and in DataFrames beyond it: the same steps, the same rule of ending, the same statistics.
+Effects that all share one key have a closed form: per level a small Gram matrix, by one aggregation of the rows. Other
+problems are solved by LSMR, whose steps are the same wherever its vectors live (see `strategy`). There the rows are first
+aggregated to cells (one per combination of keys and slopes), which leaves the minimiser as it is, and effects that share a
+key are made orthogonal within each level.
+
+Inside, all columns have private names; an input column may have any name.
 """
 
 from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorbus.operators.graph import connected_components, shared
+from sorbus.operators.graph import Stored, connected_components, shared
+from sorbus.plans.blocks import roots, solved, solved_shifted
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
-from sorbus.plans.spaces import ArraySpace, TableSpace, bytes_of, looked_up
+from sorbus.plans.packed import PackedSpace, Term, by_code, numbered, packed
+from sorbus.plans.spaces import BROADCAST_BYTES, ArraySpace, TableSpace, bytes_of, looked_up
 
-LOCAL_BYTES = 256 << 20
+LOCAL_BYTES = 32 << 20
+LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
+VECTORS = 7  # of which LSMR holds so many over the levels
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
-STRATEGIES = ("auto", "closed_form", "local", "distributed")
+STRATEGIES = ("auto", "closed_form", "local", "packed", "distributed")
 log = logging.getLogger("sorbus")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True, init=False)
 class Effect:
     """A group effect: its key columns and, if it multiplies a continuous column, that slope."""
@@ -48,158 +62,429 @@ class Effect:
         return df.schema[self.slope].dataType if self.slope else T.IntegerType()
 
 
+@dataclass
+class Solved:
+    """Coefficients of the effects of one key: keys named __k{j}, and __b{k}_{i} of effect k and outcome i.
+
+    size: its bytes, if known. code: where the rows already hold codes of the key, the column by which they meet the table.
+    """
+
+    effects: list[int]
+    keys: list[int]
+    table: DataFrame
+    size: int | None = None
+    code: str | None = None
+
+
+@dataclass
+class Design:
+    """What prepared() keeps: the rows with a code per key, the levels' tables, and the rows packed into blocks."""
+
+    rows: DataFrame
+    codes: list[str]
+    levels: list[DataFrame]
+    counts: list[int]
+    blocks: Stored
+    numbers: dict[str, str]
+
+
+@dataclass(frozen=True)
+class Options:
+    nulls: str = "error"
+    tol: float | None = None
+    maxiter: int = 100_000
+    local_bytes: int = LOCAL_BYTES
+    strategy: str = "auto"
+    double_precision: bool = True
+    progress: bool = True
+    damp: float = 0.0
+    start: dict[str, list[DataFrame]] = field(default_factory=dict)
+    level_bytes: int = LEVEL_BYTES
+
+    @property
+    def tolerance(self) -> float:
+        return self.tol if self.tol is not None else float(np.finfo(np.float64 if self.double_precision else np.float32).eps ** 0.5)
+
+
 class Absorber:
     """Reusable state: the checked table, its effects and the weight column.
 
     nulls: "error" rejects a null key, slope, weight or outcome (and NaN numbers), "drop" leaves such rows out.
     A zero weight gives a NaN residual; a group whose weighted squares of the slope sum to 0 has coefficient 0.
-    An empty table gives an empty result.
-
-    strategy: "closed_form" (one effect only), "local" or "distributed"; "auto" takes the first that can do it.
-    double_precision: False solves in 32 bits. tol: by default the root of the precision's epsilon.
+    An empty table gives an empty result. An output column replaces an input column of its name, but not a key.
+
+    strategy: "closed_form" (effects of one key only), "local" (arrays of the driver), "packed" (rows in blocks of arrays,
+    of which each round is one pass; the levels' vectors on the driver) or "distributed" (every vector in a DataFrame).
+    "auto" takes the closed form if it can; "local" while the cells have at most local_bytes, or a 64th of the driver's
+    memory if that is less; "packed" while the levels' vectors have at most level_bytes; both measured first.
+    double_precision: False solves in 32 bits ("local" and "distributed"). tol: by default the root of the precision's epsilon.
+    damp: adds damp squared times the squares of the scaled coefficients (each column at length 1) to what is minimised.
+    start: per outcome the tables of level_coefficients() from which its solve goes on; the outcome less their fit is solved.
     progress: steps are logged (logger "sorbus") once a solve has taken QUIET_SECONDS.
     """
 
-    def __init__(
-        self, df: DataFrame, effects: list[Effect], weight: str | None = None, nulls: str = "error", tol: float | None = None, maxiter: int = 100_000,
-        local_bytes: int = LOCAL_BYTES, strategy: str = "auto", double_precision: bool = True, progress: bool = True,
-    ):
-        self.df, self.effects, self.weight, self.nulls = df, list(effects), weight, nulls
-        self.tol = tol if tol is not None else float(np.finfo(np.float64 if double_precision else np.float32).eps ** 0.5)
-        self.maxiter, self.local_bytes, self.strategy, self.double_precision, self.progress = maxiter, local_bytes, strategy, double_precision, progress
+    def __init__(self, df: DataFrame, effects: list[Effect], weight: str | None = None, nulls: str = "error", tol: float | None = None, maxiter: int = 100_000, **options):
+        self.df, self.effects, self.weight, self.universe, self.design = df, list(effects), weight, None, None
+        self.options = Options(nulls, tol, maxiter, **options)
+        kinds = dict((f.name, f.dataType) for f in df.schema.fields)
         if not self.effects:
             raise ValueError("no effects")
-        if strategy not in STRATEGIES or (strategy == "closed_form" and len(self.effects) > 1):
-            raise ValueError(f"strategy {strategy} for {len(self.effects)} effects")
-        kinds = dict((f.name, f.dataType) for f in df.schema.fields)
+        #: Effects by key: those whose Gram matrices are solved, or made orthogonal, together.
+        self.groups: list[list[int]] = []
+        where: dict = {}
+        for k, e in enumerate(self.effects):
+            group = where.setdefault(k if self.options.damp else frozenset(e.keys), [])
+            if not group:
+                self.groups.append(group)
+            group.append(k)
+        strategy = self.options.strategy
+        if strategy not in STRATEGIES or (strategy == "closed_form" and len(self.groups) > 1):
+            raise ValueError(f"strategy {strategy} for {len(self.effects)} effects on {len(self.groups)} keys")
+        if self.options.damp < 0 or (self.options.damp and self.options.start):
+            raise ValueError("damp must be 0 or more, and 0 where a solve goes on from coefficients")
         for c in [*self.keys, *self.numbers([])]:
             if c not in kinds:
                 raise ValueError(f"no column {c}")
         for c in self.numbers([]):
             if not isinstance(kinds[c], T.NumericType):
                 raise ValueError(f"column {c} is not numeric")
+        self.tag = "__a"  # no column of the table begins with it
+        while any(c.startswith(self.tag) for c in df.columns):
+            self.tag += "_"
         self.stats: dict[str, Outcome] = {}
 
     def like(self, df: DataFrame, weight: str | None) -> Absorber:
-        return Absorber(df, self.effects, weight, self.nulls, self.tol, self.maxiter, self.local_bytes, self.strategy, self.double_precision, self.progress)
+        out = Absorber(df, self.effects, weight)
+        out.options, out.groups, out.universe = self.options, self.groups, self.universe
+        return out
 
     def prepared(self) -> Absorber:
-        """The same on a copy of the table in the shared folder: solves under other outcomes and weights read that."""
-        return self.like(shared(self.df), self.weight)
+        """The same with a design in the shared folder: levels numbered, rows with their codes, and blocks of all numeric
+        columns by code. Solves under other weights and outcomes read the blocks; nothing is grouped by key columns again.
+        """
+        kinds = [f for f in self.df.schema.fields if isinstance(f.dataType, T.NumericType)]
+        rows, levels, counts = self.checked([], weight=False), [], []
+        for g in self.groups:
+            keys = [column(c) for c in self.effects[g[0]].keys]
+            held = numbered(rows.select(*[k.alias(f"__k{j}") for k, j in zip(keys, self.key_numbers(g), strict=True)]).distinct(), "__code")
+            n, size = bytes_of(held)
+            rows = self.matched(rows, held.withColumnRenamed("__code", f"{self.tag}c{len(levels)}"), self.key_numbers(g), size, "inner")
+            levels.append(held)
+            counts.append(n)
+        held = Stored(rows)
+        codes, numbers = [f"{self.tag}c{j}" for j in range(len(levels))], {f.name: f"n{i}" for i, f in enumerate(kinds)}
+        plain = held.df.select(*[F.col(c).alias(f"c{j}") for j, c in enumerate(codes)], *[column(f.name).cast("double").alias(numbers[f.name]) for f in kinds])
+        out = self.like(self.df, self.weight)
+        out.design = Design(held.df, codes, levels, counts, packed(plain, [f"c{j}" for j in range(len(codes))], list(numbers.values())), numbers)
+        return out
 
     def size(self) -> tuple[int, list[int]]:
-        """Rows, and the levels of each effect."""
-        counts = [self.df.select(*e.keys).distinct().agg(F.count("*")).first()[0] for e in self.effects]
-        return self.df.count(), counts
+        """Rows, and the levels of each effect; a subset has those of the whole table."""
+        if self.design:
+            return self.design.rows.count(), [self.design.counts[j] for k in range(len(self.effects)) for j, g in enumerate(self.groups) if k in g]
+        of = self.df if self.universe is None else self.universe
+        return self.df.count(), [of.select(*[column(c) for c in e.keys]).distinct().count() for e in self.effects]
 
     @property
     def keys(self) -> list[str]:
         return list(dict.fromkeys(k for e in self.effects for k in e.keys))
 
+    def key_numbers(self, group: list[int]) -> list[int]:
+        return [self.keys.index(c) for c in self.effects[group[0]].keys]
+
     def numbers(self, outcomes: list[str]) -> list[str]:
         return list(dict.fromkeys([e.slope for e in self.effects if e.slope] + ([self.weight] if self.weight else []) + outcomes))
 
     def with_weight(self, weight: str | None) -> Absorber:
-        """The same table and effects under other weights."""
-        return self.like(self.df, weight)
+        """The same table, effects and design under other weights."""
+        out = self.like(self.df, weight)
+        out.design = self.design
+        return out
 
-    def subset(self, condition: Column | str) -> Absorber:
-        return self.like(self.df.where(condition), self.weight)
+    def subset(self, rows: Column | str | range | list[int]) -> Absorber:
+        """The rows for which a condition holds, or those at positions from 0, in the table's own order (a negative position
+        counts from the end). The levels stay those of the whole table."""
+        if isinstance(rows, (Column, str)):
+            picked = self.df.where(rows)
+        else:
+            name = f"{self.tag}at"
+            table = numbered(self.df, name)
+            n = table.count()
+            low, high = (min(rows), max(rows)) if len(rows) else (0, -1)
+            if low < -n or high >= n:
+                raise IndexError(f"positions {low} to {high} of {n} rows")
+            if isinstance(rows, range) and low >= 0:
+                at = F.col(name)
+                inside = at.between(low, high) & (F.pmod(at - rows.start, F.lit(abs(rows.step))) == 0)
+                picked = table.where(inside).drop(name)
+            else:
+                wanted = self.df.sparkSession.createDataFrame([(i % n,) for i in set(rows)], f"{name} long")
+                picked = table.join(wanted, name, "left_semi").drop(name)
+        out = self.like(picked, self.weight)
+        out.universe = self.df if self.universe is None else self.universe
+        return out
 
-    def checked(self, outcomes: list[str]) -> DataFrame:
-        bad = F.lit(False)
+    def checked(self, outcomes: list[str], weight: bool = True, df: DataFrame | None = None) -> DataFrame:
+        df, bad = self.df if df is None else df, F.lit(False)
         for c in self.keys:
-            bad = bad | F.col(c).isNull()
+            bad = bad | column(c).isNull()
         for c in self.numbers(outcomes):
-            bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
-        if self.nulls == "drop":
-            df = self.df.where(~bad)
+            if weight or c != self.weight:
+                bad = bad | column(c).isNull() | F.isnan(column(c).cast("double"))
+        if self.options.nulls == "drop":
+            df = df.where(~bad)
         else:
-            df = self.df.where(F.when(bad, F.raise_error(F.lit("null or NaN in a key, slope, weight or outcome")).cast("boolean")).otherwise(True))
-        if self.weight:
-            ok = F.when(F.col(self.weight) < 0, F.raise_error(F.lit("negative weight")).cast("boolean")).otherwise(True)
+            df = df.where(F.when(bad, F.raise_error(F.lit("null or NaN in a key, slope, weight or outcome")).cast("boolean")).otherwise(True))
+        if self.weight and weight:
+            ok = F.when(column(self.weight) < 0, F.raise_error(F.lit("negative weight")).cast("boolean")).otherwise(True)
             df = df.where(ok)
         return df
 
     def x(self, e: Effect) -> Column:
-        return F.col(e.slope).cast("double") if e.slope else F.lit(1.0)
+        return column(e.slope).cast("double") if e.slope else F.lit(1.0)
 
     def w(self) -> Column:
-        return F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        return column(self.weight).cast("double") if self.weight else F.lit(1.0)
+
+    def slope_name(self, e: Effect) -> str | None:
+        return f"__x{list(dict.fromkeys(f.slope for f in self.effects if f.slope)).index(e.slope)}" if e.slope else None
+
+    def plain(self, outcomes: list[str]) -> DataFrame:
+        """The checked rows under private names: __k{j}, __x{j}, __w and __y{i}, less the fit that a solve starts from."""
+        rows, less = self.checked(outcomes), {}
+        for i, y in enumerate(outcomes):
+            for k, t in enumerate(self.options.start.get(y, [])):
+                name, e = f"{self.tag}s{k}_{i}", self.effects[k]
+                table = t.select(*[column(c).alias(f"__k{self.keys.index(c)}") for c in e.keys], column("coef").alias(name))
+                rows = self.matched(rows, table, [self.keys.index(c) for c in e.keys], bytes_of(table)[1])
+                less[i] = less.get(i, F.lit(0.0)) + self.x(e) * F.coalesce(F.col(name), F.lit(0.0))
+        slopes = {self.slope_name(e): self.x(e) for e in self.effects if e.slope}
+        numbers = [self.w().alias("__w"), *[(column(y).cast("double") - less.get(i, F.lit(0.0))).alias(f"__y{i}") for i, y in enumerate(outcomes)]]
+        return rows.select(*[column(c).alias(f"__k{j}") for j, c in enumerate(self.keys)], *[x.alias(c) for c, x in slopes.items()], *numbers)
+
+    def inner_x(self, k: int) -> Column:
+        e = self.effects[k]
+        return F.col(self.slope_name(e)) if e.slope else F.lit(1.0)
+
+    def matched(self, df: DataFrame, table: DataFrame, keys: list[int], size: int | None, how: str = "left") -> DataFrame:
+        """df with the columns of table (keys named __k{j}) by its own key columns; if its size is known, and small, the
+        table goes to all executors, else Spark chooses."""
+        own = {f"__k{j}": f"{self.tag}k{j}" for j in keys}
+        table = table.withColumnsRenamed(own)
+        on = [column(self.keys[j]) == F.col(f"{self.tag}k{j}") for j in keys]
+        if size is not None and size <= BROADCAST_BYTES:
+            table = F.broadcast(table)
+        return df.join(table, on, how).drop(*own.values())
 
     def scales(self, k: int) -> DataFrame:
         """Per level of effect k: 1 over the root of the weighted squares of its slope, or 0 where these sum to 0."""
         e = self.effects[k]
-        ss = F.sum(self.w() * self.x(e) * self.x(e))
-        return self.checked([]).groupBy(*e.keys).agg(ss.alias("ss")).select(*e.keys, F.when(F.col("ss") > 0, 1 / F.sqrt(F.when(F.col("ss") > 0, F.col("ss")))).otherwise(0.0).alias("scale"))
+        keys = [self.keys.index(c) for c in e.keys]
+        ss = self.plain([]).groupBy(*[f"__k{j}" for j in keys]).agg(F.sum(F.col("__w") * self.inner_x(k) * self.inner_x(k)).alias("__ss"))
+        scale = F.when(F.col("__ss") > 0, 1 / F.sqrt(F.when(F.col("__ss") > 0, F.col("__ss")))).otherwise(0.0)
+        return ss.select(*[F.col(f"__k{j}").alias(c) for j, c in zip(keys, e.keys, strict=True)], scale.alias(self.free("scale", e)))
+
+    def free(self, name: str, e: Effect) -> str:
+        if name in e.keys:
+            raise ValueError(f"the column {name} of the result is named like a key")
+        return name
 
     def cells(self, outcomes: list[str]) -> DataFrame:
-        slopes = list(dict.fromkeys(e.slope for e in self.effects if e.slope))
-        by = [*[F.col(k) for k in self.keys], *[F.col(s).cast("double").alias(f"__x_{s}") for s in slopes]]
-        sums = [F.sum(self.w()).alias("__w"), *[F.sum(self.w() * F.col(y).cast("double")).alias(f"__wy{i}") for i, y in enumerate(outcomes)]]
-        return self.checked(outcomes).groupBy(*by).agg(*sums)
-
-    def raw_coefficients(self, outcomes: list[str], warm: bool) -> list[DataFrame]:
-        """Per effect its keys and one column __b{k}_{i} per outcome."""
-        if len(self.effects) == 1 and self.strategy in ("auto", "closed_form"):
-            e = self.effects[0]
-            ss = F.sum(self.w() * self.x(e) * self.x(e)).alias("ss")
-            sums = [F.sum(self.w() * self.x(e) * F.col(y).cast("double")).alias(f"s{i}") for i, y in enumerate(outcomes)]
-            one = self.checked(outcomes).groupBy(*e.keys).agg(ss, *sums)
+        slopes = dict.fromkeys(self.slope_name(e) for e in self.effects if e.slope)
+        by = [*[f"__k{j}" for j in range(len(self.keys))], *slopes]
+        sums = [F.sum("__w").alias("__w"), *[F.sum(F.col("__w") * F.col(f"__y{i}")).alias(f"__wy{i}") for i in range(len(outcomes))]]
+        return self.plain(outcomes).groupBy(*by).agg(*sums)
+
+    def raw_coefficients(self, outcomes: list[str], warm: bool) -> list[Solved]:
+        o = self.options
+        if self.design and o.strategy in ("auto", "packed", "closed_form") and not o.start and (found := self.from_design(outcomes, warm)):
+            return found
+        if len(self.groups) == 1 and o.strategy in ("auto", "closed_form"):
             self.stats = {y: Outcome(1, True, 0) for y in outcomes}
-            return [shared(one.select(*e.keys, *[F.when(F.col("ss") > 0, F.try_divide(f"s{i}", "ss")).otherwise(0.0).alias(f"__b0_{i}") for i in range(len(outcomes))]))]
+            return [self.closed_form(outcomes)]
         cells = shared(self.cells(outcomes))
-        here = self.strategy == "local" or (self.strategy != "distributed" and bytes_of(cells)[1] <= self.local_bytes)
-        return (self.local if here else self.distributed)(cells, outcomes, warm)
-
-    def solve(self, space: ArraySpace | TableSpace, outcomes: list[str], warm: bool) -> None:
+        if o.strategy == "local":
+            return self.local(cells, outcomes, warm)
+        if o.strategy == "auto":
+            most = min(o.local_bytes, cells.sparkSession._jvm.java.lang.Runtime.getRuntime().maxMemory() // 64)
+            if bytes_of(cells)[1] <= most:
+                return self.local(cells, outcomes, warm)
+        if o.strategy == "packed" or (o.strategy == "auto" and o.double_precision):
+            levels = [numbered(cells.select(*[f"__k{j}" for j in self.key_numbers(g)]).distinct(), "__code") for g in self.groups]
+            sizes = [bytes_of(t) for t in levels]
+            total = sum(n * len(g) for (n, _), g in zip(sizes, self.groups, strict=True))
+            if o.strategy == "packed" or 8 * VECTORS * len(outcomes) * total <= o.level_bytes:
+                return self.pack(cells, levels, sizes, outcomes, warm)
+        return self.distributed(cells, outcomes, warm)
+
+    def closed_form(self, outcomes: list[str]) -> Solved:
+        """One aggregation by the key all effects share; nothing is written. Slopes are taken from their mean first, if
+        there is an intercept, so that one that lies far from 0 costs no digits."""
+        group, m, keys = self.groups[0], len(outcomes), self.key_numbers(self.groups[0])
+        rows, by = self.plain(outcomes), [f"__k{j}" for j in keys]
+        if len(group) == 1:
+            (k,) = group
+            x = self.inner_x(k)
+            more = 1 + self.options.damp**2
+            sums = [F.sum(F.col("__w") * x * F.col(f"__y{i}")).alias(f"__s{i}") for i in range(m)]
+            one = rows.groupBy(*by).agg(F.sum(F.col("__w") * x * x).alias("__ss"), *sums)
+            value = [F.when(F.col("__ss") > 0, F.try_divide(F.col(f"__s{i}"), F.col("__ss") * more)).otherwise(0.0).alias(f"__b{k}_{i}") for i in range(m)]
+            return Solved(group, keys, one.select(*by, *value))
+        unit = next((a for a, k in enumerate(group) if not self.effects[k].slope), None)
+        p, shift = len(group), np.zeros(len(group))
+        if unit is not None:
+            slopes = [a for a, k in enumerate(group) if self.effects[k].slope]
+            means = rows.agg(*[F.avg(self.inner_x(group[a])) for a in slopes]).first() if slopes else []
+            shift[slopes] = [x or 0.0 for x in means]
+        x = [self.inner_x(k) - F.lit(float(shift[a])) for a, k in enumerate(group)]
+        pairs = [(a, b) for a in range(p) for b in range(a + 1)]
+        gram = [F.sum(F.col("__w") * x[a] * x[b]) for a, b in pairs]
+        right = [F.sum(F.col("__w") * x[a] * F.col(f"__y{i}")) for a in range(p) for i in range(m)]
+        sums = rows.groupBy(*by).agg(F.array(*gram).alias("__gram"), F.array(*right).alias("__right"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                flat = batch.column("__gram").flatten().to_numpy(zero_copy_only=False).reshape(n, len(pairs))
+                r = batch.column("__right").flatten().to_numpy(zero_copy_only=False).reshape(n, p, m)
+                g = np.empty((n, p, p))
+                for j, (a, b) in enumerate(pairs):
+                    g[:, a, b] = g[:, b, a] = flat[:, j]
+                out = (solved_shifted(g, r, unit, shift) if unit is not None else solved(g, r)[0]) if n else r
+                found = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), p * m).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], found], names=[*by, "__b"])
+
+        schema = T.StructType([*[sums.schema[c] for c in by], T.StructField("__b", T.ArrayType(T.DoubleType()))])
+        table = sums.mapInArrow(run, schema)
+        value = [F.col("__b")[a * m + i].alias(f"__b{k}_{i}") for a, k in enumerate(group) for i in range(m)]
+        return Solved(group, keys, table.select(*by, *value))
+
+    def solve(self, space: ArraySpace | TableSpace | PackedSpace, outcomes: list[str], warm: bool) -> None:
         began = time.monotonic()
 
         def tell(step: int, left: int) -> None:
-            if self.progress and time.monotonic() - began > QUIET_SECONDS:
+            if self.options.progress and time.monotonic() - began > QUIET_SECONDS:
                 log.info("step %d, %d of %d outcomes left", step, left, len(outcomes))
 
-        found = lsmr(space, Rule(self.tol, self.tol, maxiter=max(1, self.maxiter - warm)), tell=tell)
+        tol = self.options.tolerance
+        found = lsmr(space, Rule(tol, tol, maxiter=max(1, self.options.maxiter - warm)), self.options.damp, tell=tell)
         self.stats = {y: Outcome(o.iterations + warm, o.converged, o.istop) for y, o in zip(outcomes, found, strict=True)}
 
-    def local(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
+    def warmed(self, warm: bool) -> bool:
+        return warm and not self.options.damp and not self.options.start
+
+    def terms(self, slope: dict[str | None, str | None]) -> list[Term]:
+        return [Term(f"c{j}", slope[self.effects[k].slope], a) for k in range(len(self.effects)) for j, g in enumerate(self.groups) for a, i in enumerate(g) if i == k]
+
+    def by_level(self, space: PackedSpace, counts: list[int]) -> list[list[tuple[str, np.ndarray]]]:
+        """Per key the columns __b{k}_{i} by code."""
+        found = space.coefficients()
+        return [[(f"__b{k}_{i}", b[k]) for k in g for i, b in enumerate(found)] for g in self.groups]
+
+    def pack(self, cells: DataFrame, levels: list[DataFrame], sizes: list[tuple[int, int]], outcomes: list[str], warm: bool) -> list[Solved]:
+        coded = cells
+        for j, (g, t, (_, size)) in enumerate(zip(self.groups, levels, sizes, strict=True)):
+            coded = looked_up(coded, t.withColumnRenamed("__code", f"c{j}"), [f"__k{i}" for i in self.key_numbers(g)], size=size)
+        slopes = {e.slope: "n" + self.slope_name(e)[3:] for e in self.effects if e.slope}
+        wy = [f"nwy{i}" for i in range(len(outcomes))]
+        numbers = [*[F.col(f"__x{c[1:]}").alias(c) for c in slopes.values()], F.col("__w").alias("nw"), *[F.col(f"__wy{i}").alias(c) for i, c in enumerate(wy)]]
+        codes = [f"c{j}" for j in range(len(levels))]
+        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy])
+        counts = [n for n, _ in sizes]
+        space = PackedSpace(blocks.df, self.terms({None: None} | slopes), dict(zip(codes, counts, strict=True)), "nw", wy, True, self.warmed(warm))
+        self.solve(space, outcomes, self.warmed(warm))
+        blocks.drop()
+        out = []
+        for g, t, (n, size), b in zip(self.groups, levels, sizes, self.by_level(space, counts), strict=True):
+            small = by_code(t.sparkSession, "__code", b)
+            bytes_ = 8 * n * (1 + len(b))
+            table = t.join(F.broadcast(small) if bytes_ <= BROADCAST_BYTES else small, "__code").drop("__code")
+            out.append(Solved(g, self.key_numbers(g), table, size + bytes_))
+        return out
+
+    def from_design(self, outcomes: list[str], warm: bool) -> list[Solved]:
+        """Solves on the blocks; none, if rows must be left out for what their weights or outcomes hold."""
+        d = self.design
+        weight, ys = d.numbers.get(self.weight) if self.weight else None, [d.numbers.get(y) for y in outcomes]
+        if None in ys or (self.weight and not weight):
+            raise ValueError("a weight or an outcome is not a numeric column")
+        codes = [f"c{j}" for j in range(len(d.codes))]
+        total = sum(n * len(g) for n, g in zip(d.counts, self.groups, strict=True))
+        if self.options.strategy == "auto" and 8 * VECTORS * len(outcomes) * total > self.options.level_bytes:
+            return []
+        bad = [F.isnan(column(c).cast("double")) | column(c).isNull() for c in [*outcomes, *([self.weight] if self.weight else [])]]
+        wrong = d.rows.agg(F.count_if(any_of(bad)), F.count_if(self.w() < 0)).first()
+        if wrong[1]:
+            raise ValueError("negative weight")
+        if wrong[0]:
+            if self.options.nulls == "error":
+                raise ValueError("null or NaN in a key, slope, weight or outcome")
+            return []
+        terms = self.terms({None: None} | {e.slope: d.numbers[e.slope] for e in self.effects if e.slope})
+        one = len(self.groups) == 1 and not self.options.damp
+        space = PackedSpace(d.blocks.df, terms, dict(zip(codes, d.counts, strict=True)), weight, ys, False, self.warmed(warm) and not one)
+        if one:  # all columns are at right angles, so A'b is the solution
+            every = list(range(len(ys)))
+            space.x = space.products(every, [np.zeros(space.edges[-1])] * len(ys), True)[0]
+            self.stats = {y: Outcome(1, True, 0) for y in outcomes}
+        else:
+            self.solve(space, outcomes, self.warmed(warm))
+        out = []
+        for j, (g, n, b) in enumerate(zip(self.groups, d.counts, self.by_level(space, d.counts), strict=True)):
+            out.append(Solved(g, self.key_numbers(g), by_code(d.rows.sparkSession, d.codes[j], b), 8 * n * (1 + len(b)), d.codes[j]))
+        return out
+
+    def local(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[Solved]:
         spark, pdf = cells.sparkSession, cells.toArrow().to_pandas()
-        first, _ = codes_of(pdf, list(self.effects[0].keys))
+        names = [[f"__k{j}" for j in self.key_numbers(g)] for g in self.groups]
+        first, _ = codes_of(pdf, names[0])
         pdf = pdf.iloc[np.argsort(first, kind="stable")].reset_index(drop=True)
         w = np.sqrt(pdf["__w"].to_numpy(float))
-        codes, sizes, scales, factors = [], [], [], []
-        for e in self.effects:
-            g, n = codes_of(pdf, list(e.keys))
-            x = pdf[f"__x_{e.slope}"].to_numpy(float) if e.slope else np.ones(len(pdf))
-            ss = np.bincount(g, (w * x) ** 2, n)
-            s = np.divide(1, np.sqrt(ss), out=np.zeros(n), where=ss > 0)
-            codes, sizes, scales, factors = [*codes, g], [*sizes, n], [*scales, s], [*factors, x * w * s[g]]
+        codes, sizes, factors, back = {}, {}, {}, []
+        for group, by in zip(self.groups, names, strict=True):
+            g, n = codes_of(pdf, by)
+            x = [pdf[self.slope_name(self.effects[k])].to_numpy(float) * w if self.effects[k].slope else w for k in group]
+            gram = np.empty((n, len(group), len(group)))
+            for a in range(len(group)):
+                for b in range(a + 1):
+                    gram[:, a, b] = gram[:, b, a] = np.bincount(g, x[a] * x[b], n)
+            root, _ = roots(gram)
+            back.append((g, n, root))
+            for q, k in enumerate(group):
+                codes[k], sizes[k], factors[k] = g, n, sum(x[a] * root[g, a, q] for a in range(len(group)))
+        every = range(len(self.effects))
         b = [np.divide(pdf[f"__wy{i}"].to_numpy(float), w, out=np.zeros(len(w)), where=w > 0) for i in range(len(outcomes))]
-        space = ArraySpace(codes, sizes, factors, b, warm, np.float64 if self.double_precision else np.float32)
+        warm = self.warmed(warm)
+        space = ArraySpace([codes[k] for k in every], [sizes[k] for k in every], [factors[k] for k in every], b, warm, np.float64 if self.options.double_precision else np.float32)
         self.solve(space, outcomes, warm)
         out, kinds = [], {f.name: f for f in cells.schema.fields}
-        for k, (e, g, n, s) in enumerate(zip(self.effects, codes, sizes, scales, strict=True)):
+        for group, by, (g, n, root) in zip(self.groups, names, back, strict=True):
             at = np.zeros(n, np.int64)
             at[g[::-1]] = np.arange(len(g))[::-1]
-            levels = pdf[list(e.keys)].iloc[at].reset_index(drop=True)
+            levels, made = pdf[by].iloc[at].reset_index(drop=True), {}
             for i in range(len(outcomes)):
-                levels[f"__b{k}_{i}"] = space.x[i][space.edges[k] : space.edges[k + 1]].astype(float) * s
-            schema = T.StructType([kinds[c] for c in e.keys] + [T.StructField(f"__b{k}_{i}", T.DoubleType()) for i in range(len(outcomes))])
-            out.append(spark.createDataFrame(levels, schema))
+                z = np.stack([space.x[i][space.edges[k] : space.edges[k + 1]].astype(float) for k in group], 1)
+                beta = np.einsum("lpq,lq->lp", root, z)
+                made |= {f"__b{k}_{i}": beta[:, a] for a, k in enumerate(group)}
+            table = levels.assign(**made)
+            schema = T.StructType([kinds[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in made])
+            texts = sum(int(table[c].str.len().sum()) * 4 for c in by if isinstance(kinds[c].dataType, T.StringType))
+            out.append(Solved(group, self.key_numbers(group), spark.createDataFrame(table, schema), texts + 8 * n * len(table.columns)))
         return out
 
     def row_space(self, outcomes: list[str]) -> TableSpace:
         """The problem's vectors over the rows as they are, not over cells; for its products apart from a solve."""
-        slopes = dict.fromkeys(e.slope for e in self.effects if e.slope)
-        cols = [*self.keys, *[F.col(c).cast("double").alias(f"__x_{c}") for c in slopes], self.w().alias("__w")]
-        rows = self.checked(outcomes).select(*cols, *[(self.w() * F.col(y).cast("double")).alias(f"__wy{i}") for i, y in enumerate(outcomes)])
-        return self.table_space(rows, outcomes, False)
+        rows = self.plain(outcomes)
+        return self.table_space(rows.withColumns({f"__wy{i}": F.col("__w") * F.col(f"__y{i}") for i in range(len(outcomes))}), outcomes, False)
+
+    def own_keys(self, e: Effect) -> list[Column]:
+        return [F.col(f"__k{self.keys.index(c)}").alias(c) for c in e.keys]
 
     def gathered(self, outcomes: list[str]) -> list[DataFrame]:
         """Per effect its keys and g0, g1, ...: the scaled design's transpose times each weighted outcome."""
         space = self.row_space(outcomes)
         space.transposed(list(range(len(outcomes))), [0.0] * len(outcomes), "__g")
-        out = [shared(t.select(*e.keys, *[F.col(f"__g{i}").alias(f"g{i}") for i in range(len(outcomes))])) for e, t in zip(self.effects, space.levels, strict=True)]
+        out = [shared(t.select(*self.own_keys(e), *[F.col(f"__g{i}").alias(self.free(f"g{i}", e)) for i in range(len(outcomes))])) for e, t in zip(self.effects, space.levels, strict=True)]
         space.drop()
         return out
 
@@ -208,74 +493,124 @@ class Absorber:
         space = self.row_space([])
         space.m, space.u_scale = 1, [1.0]
         space.rows = space.rows.withColumn("__u0", F.lit(0.0))
-        space.levels = [t.withColumn("__o0", value.cast("double")) for t in space.levels]
+        named = [t.withColumns({c: k for c, k in zip(e.keys, [F.col(f"__k{self.keys.index(c)}") for c in e.keys], strict=True)}) for e, t in zip(self.effects, space.levels, strict=True)]
+        space.levels = [t.withColumn("__o0", value.cast("double")).drop(*e.keys) for e, t in zip(self.effects, named, strict=True)]
         space.product([0], "__o", [1.0], [0.0])
-        out = shared(space.rows.select(*self.keys, F.col("__u0").alias("scattered")))
+        out = shared(space.rows.select(*[F.col(f"__k{j}").alias(c) for j, c in enumerate(self.keys)], F.col("__u0").alias("scattered")))
         space.drop()
         return out
 
     def table_space(self, cells: DataFrame, outcomes: list[str], warm: bool) -> TableSpace:
-        effects = [(list(e.keys), F.col(f"__x_{e.slope}") if e.slope else F.lit(1.0)) for e in self.effects]
+        groups = [([f"__k{j}" for j in self.key_numbers(g)], {k: self.inner_x(k) for k in g}) for g in self.groups]
         b = [F.when(F.col("__w") > 0, F.try_divide(F.col(f"__wy{i}"), F.sqrt("__w"))) for i in range(len(outcomes))]
-        return TableSpace(cells, effects, "__w", b, warm, "double" if self.double_precision else "float")
+        return TableSpace(cells, groups, "__w", b, warm, "double" if self.options.double_precision else "float")
 
-    def distributed(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[DataFrame]:
+    def distributed(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[Solved]:
+        warm = self.warmed(warm)
         space = self.table_space(cells, outcomes, warm)
         self.solve(space, outcomes, warm)
-        return space.end()
-
-    def expand(self, df: DataFrame, tables: list[DataFrame]) -> DataFrame:
-        """df with every level's columns looked up."""
-        for e, t in zip(self.effects, tables, strict=True):
-            df = looked_up(df, t, list(e.keys), "left")
+        return [Solved(g, self.key_numbers(g), t, size) for g, (t, size) in zip(self.groups, space.end(), strict=True)]
+
+    def rows_with(self, found: list[Solved], outcomes: list[str]) -> DataFrame:
+        """The checked rows with every level's columns looked up, __b{k}_{i} under private names."""
+        coded = all(s.code for s in found)
+        df = self.checked(outcomes, df=self.design.rows if coded else None)
+        for s in found:
+            table = s.table.withColumnsRenamed({f"__b{k}_{i}": f"{self.tag}b{k}_{i}" for k in s.effects for i in range(len(outcomes))})
+            if coded:
+                df = df.join(F.broadcast(table) if s.size <= BROADCAST_BYTES else table, s.code, "left")
+            else:
+                df = self.matched(df, table, s.keys, s.size)
         return df
 
+    def finished(self, df: DataFrame, new: dict[str, Column]) -> DataFrame:
+        """The table's columns, without those that `new` replaces, and the new ones."""
+        if taken := sorted(set(new) & set(self.keys)):
+            raise ValueError(f"the columns {', '.join(taken)} of the result are named like keys")
+        return df.select(*[column(c) for c in self.df.columns if c not in new], *[x.alias(c) for c, x in new.items()])
+
     def residuals(self, outcomes: list[str], suffix: str = "_res") -> DataFrame:
         """The table with a residual column per outcome."""
         outcomes = list(outcomes)
-        tables = self.raw_coefficients(outcomes, warm=True)
-        df = self.expand(self.checked(outcomes), tables)
+        df, new = self.rows_with(self.raw_coefficients(outcomes, warm=True), outcomes), {}
         for i, y in enumerate(outcomes):
             fit = F.lit(0.0)
             for k, e in enumerate(self.effects):
-                fit = fit + self.x(e) * F.coalesce(F.col(f"__b{k}_{i}"), F.lit(0.0))
-            res = F.col(y).cast("double") - fit
-            df = df.withColumn(y + suffix, F.when(self.w() == 0, F.lit(float("nan"))).otherwise(res) if self.weight else res)
-        return df.drop(*[f"__b{k}_{i}" for k in range(len(self.effects)) for i in range(len(outcomes))])
-
-    def level_coefficients(self, y: str, levels: list[DataFrame | None] | None = None) -> list[DataFrame]:
-        """Per effect (keys, coef), normalised within the components that the effects without slope connect.
-
-        Given `levels` (tables of keys, or None), groups not in the table are kept with coefficient 0.
-        """
-        tables = [t.withColumnRenamed(f"__b{k}_0", "coef") for k, t in enumerate(self.raw_coefficients([y], warm=False))]
+                fit = fit + self.x(e) * F.coalesce(F.col(f"{self.tag}b{k}_{i}"), F.lit(0.0))
+            for k, t in enumerate(self.options.start.get(y, [])):
+                name, e = f"{self.tag}s{k}_{i}", self.effects[k]
+                table = t.select(*[column(c).alias(f"__k{self.keys.index(c)}") for c in e.keys], column("coef").alias(name))
+                df = self.matched(df, table, [self.keys.index(c) for c in e.keys], bytes_of(table)[1])
+                fit = fit + self.x(e) * F.coalesce(F.col(name), F.lit(0.0))
+            res = column(y).cast("double") - fit
+            new[y + suffix] = F.when(self.w() == 0, F.lit(float("nan"))).otherwise(res) if self.weight else res
+        return self.finished(df, new)
+
+    def inner_coefficients(self, y: str) -> list[DataFrame]:
+        """Per effect (__k{j}, __coef), normalised within the components that the effects without slope connect."""
+        tables: list = [None] * len(self.effects)
+        for s in self.raw_coefficients([y], warm=False):
+            t = s.table
+            if s.code:
+                t = self.design.levels[self.groups.index(s.effects)].withColumnRenamed("__code", s.code).join(t, s.code)
+            for k in s.effects:
+                tables[k] = t.select(*[f"__k{j}" for j in s.keys], F.col(f"__b{k}_0").alias("__coef"))
+        for k, t in enumerate(self.options.start.get(y, [])):
+            keys = [f"__k{self.keys.index(c)}" for c in self.effects[k].keys]
+            begun = t.select(*[column(c).alias(n) for c, n in zip(self.effects[k].keys, keys, strict=True)], column("coef").alias("__begun"))
+            tables[k] = tables[k].join(begun, keys, "left").select(*keys, (F.col("__coef") + F.coalesce("__begun", F.lit(0.0))).alias("__coef"))
         plain = [k for k, e in enumerate(self.effects) if not e.slope]
         if len(plain) > 1:
-            comps = level_components(self.checked([y]), [self.effects[k] for k in plain])
+            sets = [[f"__k{self.keys.index(c)}" for c in self.effects[k].keys] for k in plain]
+            comps = linked_levels(self.plain([y]), sets)
             shift = None
-            for j, k in enumerate(plain):
-                keys = list(self.effects[k].keys)
+            for j, (k, keys) in enumerate(zip(plain, sets, strict=True)):
                 tables[k] = tables[k].join(comps[j], keys)
                 if j:
-                    mean = shared(tables[k].groupBy("component").agg(F.avg("coef").alias(f"m{j}")))
-                    tables[k] = tables[k].join(mean, "component").select(*keys, (F.col("coef") - F.col(f"m{j}")).alias("coef"))
-                    shift = mean if shift is None else shift.join(mean, "component")
-            total = shift.select("component", sum((F.col(f"m{j}") for j in range(2, len(plain))), F.col("m1")).alias("m"))
-            tables[plain[0]] = tables[plain[0]].join(total, "component").select(*self.effects[plain[0]].keys, (F.col("coef") + F.col("m")).alias("coef"))
-        if levels:
-            tables = [t if n is None else n.select(*e.keys).distinct().join(t, list(e.keys), "left").withColumn("coef", F.coalesce("coef", F.lit(0.0))) for t, n, e in zip(tables, levels, self.effects, strict=True)]
+                    mean = shared(tables[k].groupBy("__component").agg(F.avg("__coef").alias(f"__m{j}")))
+                    tables[k] = tables[k].join(mean, "__component").select(*keys, (F.col("__coef") - F.col(f"__m{j}")).alias("__coef"))
+                    shift = mean if shift is None else shift.join(mean, "__component")
+            total = shift.select("__component", sum((F.col(f"__m{j}") for j in range(2, len(plain))), F.col("__m1")).alias("__m"))
+            tables[plain[0]] = tables[plain[0]].join(total, "__component").select(*sets[0], (F.col("__coef") + F.col("__m")).alias("__coef"))
         return tables
 
+    def level_coefficients(self, y: str, levels: list[DataFrame | None] | None = None, name: str = "coef") -> list[DataFrame]:
+        """Per effect its keys and `name`, normalised within the components that the effects without slope connect.
+
+        Given `levels` (tables of keys, or None), and in a subset, groups not in the table are kept with coefficient 0.
+        """
+        out = []
+        for k, (e, t) in enumerate(zip(self.effects, self.inner_coefficients(y), strict=True)):
+            t = t.select(*self.own_keys(e), F.col("__coef").alias(self.free(name, e)))
+            every = levels[k] if levels else self.universe
+            if every is not None:
+                keys = every.select(*[column(c) for c in e.keys]).distinct()
+                t = keys.join(t, list(e.keys), "left").select(*[column(c) for c in e.keys], F.coalesce(column(name), F.lit(0.0)).alias(name))
+            out.append(t)
+        return out
+
     def coefficients(self, y: str, prefix: str = "coef") -> DataFrame:
         """The table with one column per effect: the coefficient of the row's level."""
-        tables = [t.withColumnRenamed("coef", f"{prefix}{k + 1}") for k, t in enumerate(self.level_coefficients(y))]
-        return self.expand(self.checked([y]), tables)
+        df, new = None, {}
+        for k, (e, t) in enumerate(zip(self.effects, self.inner_coefficients(y), strict=True)):
+            name = f"{self.tag}b{k}"
+            df = self.checked([y]) if df is None else df
+            df = self.matched(df, t.withColumnRenamed("__coef", name), [self.keys.index(c) for c in e.keys], None)
+            new[f"{prefix}{k + 1}"] = F.col(name)
+        return self.finished(df, new)
 
     def statistics(self) -> DataFrame:
         rows = [(y, o.iterations, o.converged, o.istop) for y, o in self.stats.items()]
         return self.df.sparkSession.createDataFrame(rows, "outcome string, iterations int, converged boolean, istop int")
 
 
+def any_of(terms: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | t
+    return out
+
+
 def codes_of(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, int]:
     """Codes from 0 in the order of the keys, in which rows of near levels often lie near each other."""
     if len(pdf) == 0:
@@ -288,45 +623,61 @@ def codes_of(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, int]:
 
 
 def encode(df: DataFrame, effect: Effect, name: str = "code") -> DataFrame:
-    """Dense codes from 1 per distinct key tuple, in key order: (keys, code).
+    """Dense codes from 1 per distinct key tuple, in key order: the keys and `name`.
 
     The order within range partitions is numbered apart; only one count per partition meets in the last step.
     """
-    keys = list(effect.keys)
-    levels = shared(df.select(*keys).distinct().orderBy(*keys).withColumn("__p", F.spark_partition_id()))
+    if name in effect.keys:
+        raise ValueError(f"the column {name} of the result is named like a key")
+    keys = [f"__k{j}" for j in range(len(effect.keys))]
+    plain = df.select(*[column(c).alias(k) for c, k in zip(effect.keys, keys, strict=True)])
+    levels = shared(plain.distinct().orderBy(*keys).withColumn("__p", F.spark_partition_id()))
     counts = levels.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__at"))
-    local = levels.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
-    return local.join(F.broadcast(before), "__p").select(*keys, (F.col("__at") + F.col("__k")).cast("long").alias(name))
-
+    local = levels.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+    named = [F.col(k).alias(c) for c, k in zip(effect.keys, keys, strict=True)]
+    return local.join(F.broadcast(before), "__p").select(*named, (F.col("__at") + F.col("__i")).cast("long").alias(name))
 
-def level_components(df: DataFrame, effects: list[Effect]) -> list[DataFrame]:
-    """Per effect (keys, component): levels of all effects are linked when they share a row; component is a number.
 
-    Levels are told by their key columns, as groupBy tells them, and numbered; what iterates are pairs of numbers.
+def linked_levels(df: DataFrame, sets: list[list[str]]) -> list[DataFrame]:
+    """Per set of key columns (keys, __component): levels of all sets are linked when they share a row; a component is a
+    number. Levels are told by their key columns, as groupBy tells them, and numbered; what iterates are pairs of numbers.
     """
-    every = list(dict.fromkeys(k for e in effects for k in e.keys))
+    every = list(dict.fromkeys(c for keys in sets for c in keys))
     pairs, levels = shared(df.select(*every).distinct()), []
     linked = pairs
-    for k, e in enumerate(effects):
+    for k, keys in enumerate(sets):
         # The numbers are written before they are used, so they stay as they are.
-        t = shared(pairs.select(*e.keys).distinct().withColumn("node", F.monotonically_increasing_id() * len(effects) + k))
+        t = shared(pairs.select(*keys).distinct().withColumn("__node", F.monotonically_increasing_id() * len(sets) + k))
         levels.append(t)
-        linked = looked_up(linked, t.withColumnRenamed("node", f"__n{k}"), list(e.keys))
-    linked = shared(linked.select(*[f"__n{k}" for k in range(len(effects))]))
+        linked = looked_up(linked, t.withColumnRenamed("__node", f"__n{k}"), keys)
+    linked = shared(linked.select(*[f"__n{k}" for k in range(len(sets))]))
     edges = None
-    for k in range(1, len(effects)):
+    for k in range(1, len(sets)):
         pair = linked.select(F.col("__n0").alias("src"), F.col(f"__n{k}").alias("dst")).distinct()
         edges = pair if edges is None else edges.union(pair)
     found = shared(connected_components(edges if edges is not None else linked.select(F.col("__n0").alias("src"), F.col("__n0").alias("dst"))))
-    return [t.join(found, "node").drop("node") for t in levels]
+    found = found.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    return [t.join(found, "__node").drop("__node") for t in levels]
+
+
+def level_components(df: DataFrame, effects: list[Effect], name: str = "component") -> list[DataFrame]:
+    """Per effect its keys and `name`, a number: levels of all effects are linked when they share a row."""
+    every = list(dict.fromkeys(k for e in effects for k in e.keys))
+    if name in every:
+        raise ValueError(f"the column {name} of the result is named like a key")
+    plain = df.select(*[column(c).alias(f"__k{j}") for j, c in enumerate(every)])
+    found = linked_levels(plain, [[f"__k{every.index(c)}" for c in e.keys] for e in effects])
+    return [t.select(*[F.col(f"__k{every.index(c)}").alias(c) for c in e.keys], F.col("__component").alias(name)) for e, t in zip(effects, found, strict=True)]
 
 
 def components(df: DataFrame, effects: list[Effect]) -> DataFrame:
     """(effect, level, component): as level_components, in one table; level is the key tuple as JSON."""
-    out = None
-    for k, (e, t) in enumerate(zip(effects, level_components(df, effects), strict=True)):
-        one = t.select(F.lit(k).alias("effect"), F.to_json(F.struct(*e.keys)).alias("level"), "component")
+    out, name = None, "component"
+    while any(name in e.keys for e in effects):
+        name += "_"
+    for k, (e, t) in enumerate(zip(effects, level_components(df, effects, name), strict=True)):
+        one = t.select(F.lit(k).alias("effect"), F.to_json(F.struct(*[column(c) for c in e.keys])).alias("level"), column(name).alias("component"))
         out = one if out is None else out.union(one)
     return out
 

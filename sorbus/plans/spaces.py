@@ -1,18 +1,22 @@
 """The vectors of a weighted least squares problem on group effects, as arrays or as DataFrames.
 
 Rows are cells: distinct combinations of keys and slopes with their summed weight. Column l of effect k is the slope times
-the root of the weight times the level's scale. Both spaces do the same arithmetic, so LSMR takes the same steps in them.
+the root of the weight, at right angles to the others of its key, and of length 1. All spaces do the same arithmetic, so LSMR takes the same steps in them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sorbus.operators.graph import Stored, shared
+from sorbus.plans.blocks import roots
 
 BROADCAST_BYTES = 64 << 20
 
@@ -30,6 +34,29 @@ def looked_up(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inne
     return df.join(F.broadcast(table) if small else table, keys, how)
 
 
+def level_roots(rows: DataFrame, keys: list[str], x: list[Column], weight: str) -> DataFrame:
+    """keys and __r{p}_{q}: per level the matrix that makes the columns x, times the weight's root, orthonormal; of one
+    column, 1 over the root of its weighted squares, or 0."""
+    n = len(x)
+    if n == 1:
+        ss = rows.groupBy(*keys).agg(F.sum(F.col(weight) * x[0] * x[0]).alias("__ss"))
+        return ss.select(*keys, F.when(F.col("__ss") > 0, 1 / F.sqrt(F.when(F.col("__ss") > 0, F.col("__ss")))).otherwise(0.0).alias("__r0_0"))
+    pairs = [(a, b) for a in range(n) for b in range(a + 1)]
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.col(weight) * x[a] * x[b]).alias(f"__g{a}_{b}") for a, b in pairs])
+    names = [f"__r{p}_{q}" for p in range(n) for q in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = np.empty((batch.num_rows, n, n))
+            for a, b in pairs:
+                gram[:, a, b] = gram[:, b, a] = batch.column(f"__g{a}_{b}").to_numpy(zero_copy_only=False)
+            root = roots(gram)[0].reshape(-1, n * n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *[pa.array(c) for c in root.T.copy()]], names=[*keys, *names])
+
+    kinds = [*[sums.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in names]]
+    return sums.mapInArrow(run, T.StructType(kinds))
+
+
 class ArraySpace:
     """Arrays of one machine. codes, factors: per effect each row's level and its entry of A; b: one array per outcome."""
 
@@ -114,23 +141,29 @@ class TableSpace:
     ones are there: at most two versions of them take space.
     """
 
-    def __init__(self, cells: DataFrame, effects: list[tuple[list[str], Column]], weight: str, b: list[Column], warm: bool, kind: str = "double"):
+    def __init__(self, cells: DataFrame, groups: list[tuple[list[str], dict[int, Column]]], weight: str, b: list[Column], warm: bool, kind: str = "double"):
+        """groups: key columns and, by the effect's number, what each effect of that key multiplies."""
         self.m, self.kind, self.warm = len(b), kind, warm
         self.stored: dict[int, Stored] = {}
         self.olds: list[Stored | None] = []
-        self.keys = [list(keys) for keys, _ in effects]
-        self.all_keys = list(dict.fromkeys(k for keys in self.keys for k in keys))
-        design, self.levels, self.size = cells, [], []
-        for k, (keys, x) in enumerate(effects):
-            ss = cells.groupBy(*keys).agg(F.sum(F.col(weight) * x * x).alias("ss"))
-            s = shared(ss.select(*keys, F.when(F.col("ss") > 0, 1 / F.sqrt(F.when(F.col("ss") > 0, F.col("ss")))).otherwise(0.0).alias("__s")))
-            rows, size = bytes_of(s)
-            self.levels.append(s)
-            self.size.append(size + 8 * rows * self.m)
-            design = looked_up(design, s.withColumnRenamed("__s", f"__s{k}"), keys, size=size).withColumn(f"__c{k}", x * F.col(f"__s{k}") * F.sqrt(weight))
+        n = sum(len(g) for _, g in groups)
+        self.groups, self.roots = groups, []
+        self.keys: list[list[str]] = [[]] * n
+        self.all_keys = list(dict.fromkeys(k for keys, _ in groups for k in keys))
+        design, self.levels, self.size = cells, [None] * n, [0] * n
+        for keys, effects in groups:
+            table = shared(level_roots(cells, keys, list(effects.values()), weight))
+            rows, size = bytes_of(table)
+            self.roots.append(table)
+            design = looked_up(design, table, keys, size=size)
+            for q, k in enumerate(effects):
+                self.keys[k], self.levels[k], self.size[k] = keys, table.select(*keys), size + 8 * rows * self.m
+                turned = sum((x * F.col(f"__r{p}_{q}") for p, x in enumerate(effects.values())), F.lit(0.0))
+                design = design.withColumn(f"__c{k}", turned * F.sqrt(weight))
+            design = design.drop(*[c for c in table.columns if c not in keys])
         u = [F.coalesce(c, F.lit(0.0)).alias(f"__u{i}") for i, c in enumerate(b)]
         self.held = self.levels  # what self.levels are made from
-        self.rows = shared(design.select(*self.all_keys, *[f"__c{k}" for k in range(len(effects))], *u))
+        self.rows = shared(design.select(*self.all_keys, *[f"__c{k}" for k in range(n)], *u))
         self.u_scale, self.v_scale = [1.0] * self.m, [1.0] * self.m
 
     def hold(self, df: DataFrame, old: DataFrame) -> DataFrame:
@@ -221,9 +254,15 @@ class TableSpace:
         self.levels = tables  # written with the next v
         return self.lengths(tables, [f"__x{i}" for i in which])
 
-    def end(self) -> list[DataFrame]:
-        """Per effect its keys and __b{k}_{i}: the coefficient of outcome i."""
-        out = [shared(t.select(*keys, *[(F.col("__s") * F.col(f"__x{i}")).cast("double").alias(f"__b{k}_{i}") for i in range(self.m)])) for k, (keys, t) in enumerate(zip(self.keys, self.levels, strict=True))]
+    def end(self) -> list[tuple[DataFrame, int]]:
+        """Per key its columns and __b{k}_{i}, the coefficient of effect k and outcome i; and the table's bytes."""
+        out = []
+        for (keys, effects), table in zip(self.groups, self.roots, strict=True):
+            for q, k in enumerate(effects):
+                table = table.join(self.levels[k].select(*keys, *[F.col(f"__x{i}").alias(f"__z{q}_{i}") for i in range(self.m)]), keys)
+            value = lambda p, i, n=len(effects): sum((F.col(f"__r{p}_{q}") * F.col(f"__z{q}_{i}") for q in range(n)), F.lit(0.0))
+            made = shared(table.select(*keys, *[value(p, i).cast("double").alias(f"__b{k}_{i}") for p, k in enumerate(effects) for i in range(self.m)]))
+            out.append((made, bytes_of(made)[1]))
         self.drop()
         return out
 
