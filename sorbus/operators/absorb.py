@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorbus.operators.graph import Stored, connected_components, shared
-from sorbus.plans.blocks import roots, solved, solved_shifted
+from sorbus.plans.blocks import roots, solved
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
 from sorbus.plans.packed import PackedSpace, Term, by_code, numbered, packed
 from sorbus.plans.spaces import BROADCAST_BYTES, ArraySpace, TableSpace, bytes_of, looked_up
@@ -350,7 +350,7 @@ class Absorber:
                 g = np.empty((n, p, p))
                 for j, (a, b) in enumerate(pairs):
                     g[:, a, b] = g[:, b, a] = flat[:, j]
-                out = (solved_shifted(g, r, unit, shift) if unit is not None else solved(g, r)[0]) if n else r
+                out = solved(g, r, unit, shift if unit is not None else None) if n else r
                 found = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), p * m).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], found], names=[*by, "__b"])
 

@@ -19,12 +19,10 @@ def scaled(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, gram * s[:, :, None] * s[:, None, :]
 
 
-def directions(corr: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(eigenvalues, eigenvectors, kept): those that count, by CUTOFF or as many of the largest as rank says."""
+def directions(corr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(eigenvalues, eigenvectors, which of them count)."""
     value, vector = np.linalg.eigh(corr)
-    p = corr.shape[1]
-    kept = value > np.maximum(value[:, -1:], 0) * CUTOFF if rank is None else np.arange(p)[None] >= p - rank[:, None]
-    return value, vector, kept & (value > 0)
+    return value, vector, (value > np.maximum(value[:, -1:], 0) * CUTOFF) & (value > 0)
 
 
 def roots(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,23 +38,40 @@ def roots(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[:, :, None] * vector * np.where(kept, 1 / root, 0)[:, None, :], np.where(kept, root, 0)[:, :, None] * vector.transpose(0, 2, 1) * length[:, None, :]
 
 
-def solved(gram: np.ndarray, right: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients (levels, p, m), rank) of gram times coefficients = right (levels, p, m)."""
+def solved(gram: np.ndarray, right: np.ndarray, unit: int | None = None, shift: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients (levels, p, m) of gram times coefficients = right (levels, p, m).
+
+    With `shift`, the columns are given less these numbers (0 for `unit`, the column of ones), so that slopes that lie far
+    from 0 cost no digits; the coefficients, and which solution is the shortest, are those of the columns as they were.
+    """
     s, corr = scaled(gram)
-    value, vector, kept = directions(corr, rank)
+    value, vector, kept = directions(corr)
     z = np.einsum("lpq,lpm->lqm", vector, right * s[:, :, None])
     z *= np.where(kept, 1 / np.where(kept, value, 1), 0)[:, :, None]
-    return np.einsum("lpq,lqm->lpm", vector, z) * s[:, :, None], kept.sum(1)
-
-
-def solved_shifted(gram: np.ndarray, right: np.ndarray, unit: int, shift: np.ndarray) -> np.ndarray:
-    """As solved(), of columns from which `shift` was taken (0 for `unit`, the column of ones): so slopes that lie far from 0
-    cost no digits. Coefficients are those of the columns as they were."""
-    out, rank = solved(gram, right)
+    out = np.einsum("lpq,lqm->lpm", vector, z) * s[:, :, None]
+    if shift is None:
+        return out
     out[:, unit] -= np.einsum("p,lpm->lm", shift, out)
-    short = rank < gram.shape[1]
+    short = ~kept.all(1)
     if short.any():
-        back = np.eye(len(shift))
-        back[:, unit] += shift
-        out[short] = solved(back @ gram[short] @ back.T, back @ right[short], rank[short])[0]
+        free = np.where(s > 0, s, 1)[short][:, :, None] * vector[short] * ~kept[short][:, None, :]
+        free[:, unit] -= np.einsum("p,lpq->lq", shift, free)
+        out[short] = shortest(out[short], free, *lengths(gram[short], unit, shift))
     return out
+
+
+def lengths(gram: np.ndarray, unit: int, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the columns with `shift` added back (levels, p), and what they could be; what is rounding only is 0."""
+    terms = np.stack([np.einsum("lpp->lp", gram), 2 * gram[:, :, unit] * shift, shift**2 * gram[:, unit, unit][:, None]])
+    square, most = terms.sum(0), np.abs(terms).sum(0)
+    return np.sqrt(np.where(square > 1e-13 * most, square, 0)), np.sqrt(most)
+
+
+def shortest(some: np.ndarray, free: np.ndarray, length: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of the solutions `some` (levels, p, m) plus any combination of `free` (levels, p, q), the shortest in columns scaled
+    by `length`; a column of length 0 has coefficient 0, and a direction that has only such columns is none."""
+    z, n = some * length[:, :, None], free * length[:, :, None]
+    size, could = np.linalg.norm(n, axis=1, keepdims=True), np.linalg.norm(free * most[:, :, None], axis=1, keepdims=True)
+    n = np.divide(n, size, out=np.zeros_like(n), where=size > 1e-6 * could)
+    z -= n @ (np.linalg.pinv(n, rcond=1e-9) @ z)
+    return np.divide(z, length[:, :, None], out=np.zeros_like(z), where=length[:, :, None] > 0)

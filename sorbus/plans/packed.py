@@ -26,6 +26,7 @@ from sorbus.operators.graph import Stored, shared
 from sorbus.plans.blocks import roots
 
 BLOCK, SEGMENT = 1 << 16, 1 << 14
+TASK, LEAST = 16, 4096  # blocks of a task at most, and rows of one at least, of large and small designs
 NOISE = 1e-14  # share of the squared length of A v below which what is left of it is rounding
 
 
@@ -61,7 +62,10 @@ def packed(rows: DataFrame, codes: list[str], numbers: list[str]) -> Stored:
         if count:
             yield made()
 
-    laid = rows.select(*names).repartitionByRange(*codes).sortWithinPartitions(*codes)
+    plain, cores = rows.select(*names), rows.sparkSession.sparkContext.defaultParallelism
+    n = plain.count()
+    parts = max(1, n // (TASK * BLOCK), min(cores, n // LEAST))  # a number, so Spark doesn't merge what is to be spread
+    laid = plain.repartitionByRange(parts, *codes).sortWithinPartitions(*codes)
     return Stored(laid.mapInArrow(run, ", ".join(["n int", *[f"{c} binary" for c in names]])))
 
 

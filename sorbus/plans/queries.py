@@ -29,9 +29,9 @@ def r4(c):
     return F.round(c, 4) + F.lit(0.0)
 
 
-def residual(table, effects, keys, weight=None, y="y"):
+def residual(table, effects, keys, weight=None, y="y", **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return Absorber(table(spark, d), effects, weight, **TIGHT).residuals([y]).select(*keys, r4(F.col(f"{y}_res")).alias("res"))
+        return Absorber(table(spark, d), effects, weight, **TIGHT | options).residuals([y]).select(*keys, r4(F.col(f"{y}_res")).alias("res"))
 
     return run
 
@@ -72,8 +72,8 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
     return Absorber(lineitem(spark, d), [SUPP]).level_coefficients("y")[0].select("l_suppkey", r4(F.col("coef")).alias("coef"))
 
 
-def q14(spark: SparkSession, d: str) -> DataFrame:
-    u, t = Absorber(events(spark, d), [Effect("user_id"), Effect("event_type")], **TIGHT).level_coefficients("y")
+def q14(spark: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
+    u, t = Absorber(events(spark, d), [Effect("user_id"), Effect("event_type")], strategy=strategy, **TIGHT).level_coefficients("y")
     pair = lambda df, k, e: df.select(F.lit(e).alias("effect"), F.col(k).cast("string").alias("level"), r4(F.col("coef")).alias("coef"))
     return pair(u, "user_id", 1).union(pair(t, "event_type", 2))
 
@@ -161,6 +161,37 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, users, types)], "n long, users long, types long")
 
 
+def q32(spark: SparkSession, d: str) -> DataFrame:
+    """As q14, from a packed design."""
+    return q14(spark, d, "packed")
+
+
+def q34(spark: SparkSession, d: str) -> DataFrame:
+    """Two rows of three by position, and the orders of the whole table: those that are left without a row have 0."""
+    li = lineitem(spark, d)
+    a = Absorber(li, [Effect("l_suppkey")])
+    part = a.subset(range(0, li.count(), 3))
+    return part.level_coefficients("y")[0].select("l_suppkey", r4(F.col("coef")).alias("coef"))
+
+
+def q35(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of three effects, each level's of the second and third less their mean."""
+    effects = [SUPP, LINE, Effect("l_returnflag")]
+    tables = Absorber(lineitem(spark, d), effects, **TIGHT).level_coefficients("y")
+    out = None
+    for k, (e, t) in enumerate(zip(effects, tables, strict=True)):
+        one = t.select(F.lit(k + 1).alias("effect"), F.col(e.keys[0]).cast("string").alias("level"), r4(F.col("coef")).alias("coef"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def q37(spark: SparkSession, d: str) -> DataFrame:
+    """As q08, on from the coefficients of a solve that was stopped after three steps."""
+    li = lineitem(spark, d)
+    begun = Absorber(li, [PART, SUPP], maxiter=3, **TIGHT).level_coefficients("y")
+    return Absorber(li, [PART, SUPP], start={"y": begun}, **TIGHT).residuals(["y"]).select("l_orderkey", r4(F.col("y_res")).alias("res"))
+
+
 QUERIES = {
     "q01_one_way": residual(lineitem, [PART], ["l_orderkey", "l_partkey"]),
     "q02_one_way_weighted": residual(lineitem, [PART], ["l_orderkey", "l_partkey"], "l_quantity"),
@@ -177,6 +208,15 @@ QUERIES = {
     "q12_multi_outcome": q12, "q13_coef_one_way": q13, "q14_coef_two_way": q14, "q15_coef_components": q15, "q16_components": q16, "q17_encode": q17,
     "q18_scale": q18, "q19_cache_gather": q19, "q20_scatter": q20, "q21_update_weights": q21, "q22_subset": q22, "q23_orthogonality": q23,
     "q24_coef_rows": q24, "q25_two_way_weights": q25, "q26_two_way_outcomes": q26, "q27_two_way_distributed": q27, "q28_size": q28,
+    "q29_two_way_packed": residual(lineitem, [PART, SUPP], ["l_orderkey"], strategy="packed"),
+    "q30_three_way_packed": residual(lineitem, [PART, SUPP, LINE], ["l_orderkey"], "l_quantity", strategy="packed"),
+    "q31_nested_packed": residual(orders, [Effect("o_custkey"), Effect("c_nationkey")], ["o_orderkey"], strategy="packed"),
+    "q32_coef_packed": q32,
+    "q33_three_slopes": residual(lineitem, [SUPP, *[Effect("l_suppkey", slope=c) for c in ("l_quantity", "l_discount", "l_tax")]], ["l_orderkey"]),
+    "q34_subset_positions": q34, "q35_coef_three_way": q35,
+    "q36_damped": residual(lineitem, [Effect("l_suppkey", slope="l_quantity")], ["l_orderkey"], "l_tax", damp=0.5, nulls="drop"),
+    "q37_from_coefficients": q37,
+    "q38_slope_and_other_key": residual(lineitem, [SUPP, Effect("l_suppkey", slope="l_quantity"), Effect("l_linenumber")], ["l_orderkey"], strategy="packed"),
 }
 
 def coefficient_sweeps(n: int = 40) -> str:
@@ -194,6 +234,37 @@ def outcome_sweeps(y: str) -> str:
     return f"select '{y}' as outcome, l_orderkey, res, true as converged from ({sweeps(LI.replace('ln(l_extendedprice) y', 'ln(l_extendedprice) y1').replace('y2', 'y') if y == 'y2' else LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], n=40)})"
 
 
+def three_slopes() -> str:
+    """Each of the slopes, and then the outcome, less its projection on those before it, supplier by supplier."""
+    p, names = "over (partition by l_suppkey)", ["x1", "x2", "x3", "y"]
+    out = f"(select l_orderkey, l_suppkey, {', '.join(f'{c} - avg({c}) {p} as {c}' for c in names)} from (select *, l_quantity x1, l_discount x2, l_tax x3 from {LI}))"
+    for j, x in enumerate(names[:3]):
+        less = [f"{c} - {x}*coalesce(sum({x}*{c}) {p}/nullif(sum({x}*{x}) {p}, 0), 0) as {c}" for c in names[j + 1 :]]
+        out = f"(select l_orderkey, l_suppkey, {', '.join([*names[: j + 1], *less])} from {out})"
+    return f"select l_orderkey, {r4s('y')} from {out}"
+
+
+def slope_sweeps(n: int = 60) -> str:
+    """Alternating regressions on intercept and slope within suppliers, and means of line numbers."""
+    line = f"select l_orderkey, l_suppkey, l_linenumber, x, r - avg(r) over (partition by l_linenumber) as r, k from it where k < {n}"
+    fit = f"select l_orderkey, l_suppkey, l_linenumber, x, r - coalesce(regr_intercept(r, x) over p, avg(r) over p) - x*coalesce(regr_slope(r, x) over p, 0) as r, k+1 from ({line}) window p as (partition by l_suppkey)"
+    return f"with recursive it as (select l_orderkey, l_suppkey, l_linenumber, l_quantity x, y r, 0 k from {LI} union all {fit}) select l_orderkey, {r4s('r')} from it where k={n}"
+
+
+def three_way_coefficients(n: int = 40) -> str:
+    step, cols = f"select * from it where k < {n}", "l_suppkey, l_linenumber, l_returnflag"
+    for key, name in (("l_suppkey", "a"), ("l_linenumber", "b"), ("l_returnflag", "c")):
+        mean = f"avg(r) over (partition by {key})"
+        step = f"select {cols}, r - {mean} as r, {', '.join(f'{v} + {mean} as {v}' if v == name else v for v in 'abc')}, k from ({step})"
+    level = lambda key, v: f"(select {key}::varchar as level, any_value({v}) as v from f group by 1)"
+    return (
+        f"with recursive it as (select {cols}, y r, 0.0::double a, 0.0::double b, 0.0::double c, 0 k from {LI} union all select {cols}, r, a, b, c, k+1 from ({step})), "
+        f"f as (select * from it where k={n}), b as (select *, avg(v) over () m from {level('l_linenumber', 'b')}), c as (select *, avg(v) over () m from {level('l_returnflag', 'c')}), "
+        f"m as (select (select any_value(m) from b) + (select any_value(m) from c) as m) "
+        f"select 1 as effect, level, round(v+m, 4)+0.0 as coef from {level('l_suppkey', 'a')}, m union all select 2, level, round(v-m, 4)+0.0 from b union all select 3, level, round(v-m, 4)+0.0 from c"
+    )
+
+
 SLOPE = "y - x*coalesce(sum(x*y) over p/nullif(sum(x*x) over p,0),0)"
 SQL = {
     "q01_one_way": f"select l_orderkey, l_partkey, {r4s('y-avg(y) over (partition by l_partkey)')} from {LI}",
@@ -224,5 +295,15 @@ SQL = {
     "q25_two_way_weights": f"select l_orderkey, 1 as weights, res from ({sweeps(LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], 'l_quantity', n=40)}) union all select l_orderkey, 2, res from ({sweeps(LI, 'l_orderkey', ['l_partkey', 'l_suppkey'], '(1+l_tax)', n=40)})",
     "q26_two_way_outcomes": f"{outcome_sweeps('y')} union all {outcome_sweeps('y2')}",
     "q27_two_way_distributed": sweeps(EV, "event_id", ["user_id", "event_type"], n=40),
+    "q29_two_way_packed": sweeps(LI, "l_orderkey", ["l_partkey", "l_suppkey"], n=40),
+    "q30_three_way_packed": sweeps(LI, "l_orderkey", ["l_partkey", "l_suppkey", "l_linenumber"], "l_quantity", n=40),
+    "q31_nested_packed": f"select o_orderkey, {r4s('y-avg(y) over (partition by o_custkey)')} from {OC}",
+    "q32_coef_packed": coefficient_sweeps() + "select 1 as effect, user_id::varchar as level, round(any_value(a)+m.m,4)+0.0 as coef from f, m group by user_id, m.m union all select 2, event_type, round(b-m.m,4)+0.0 from lv, m",
+    "q33_three_slopes": three_slopes(),
+    "q34_subset_positions": f"select l_suppkey, round(coalesce(avg(y) filter (i % 3 = 0), 0), 4)+0.0 as coef from (select *, row_number() over () - 1 as i from {LI}) group by 1",
+    "q35_coef_three_way": three_way_coefficients(),
+    "q36_damped": f"select l_orderkey, case when l_tax = 0 then 'nan'::double else round(y - l_quantity*coalesce(sum(l_tax*l_quantity*y) over p/nullif(1.25*sum(l_tax*l_quantity*l_quantity) over p, 0), 0), 4)+0.0 end as res from {LI} window p as (partition by l_suppkey)",
+    "q37_from_coefficients": sweeps(LI, "l_orderkey", ["l_partkey", "l_suppkey"], n=40),
+    "q38_slope_and_other_key": slope_sweeps(),
     "q28_size": "select count(*) as n, count(distinct user_id) as users, count(distinct event_type) as types from events",
 }
