@@ -1,9 +1,9 @@
 """Weighted least squares on high-cardinality group effects: residuals and coefficients.
 
 Effects that all share one key have a closed form: per level a small Gram matrix, by one aggregation of the rows. Other
-problems are solved by LSMR, whose steps are the same wherever its vectors live (see `strategy`). There the rows are first
-aggregated to cells (one per combination of keys and slopes), which leaves the minimiser as it is, and effects that share a
-key are made orthogonal within each level.
+problems are solved by LSMR, whose steps are the same wherever its vectors live (see `strategy`). There rows of the same
+keys and slopes are first added up to cells, which leaves the minimiser as it is, and effects that share a key are made
+orthogonal within each level.
 
 Inside, all columns have private names; an input column may have any name.
 """
@@ -115,7 +115,7 @@ class Absorber:
 
     strategy: "closed_form" (effects of one key only), "local" (arrays of the driver), "packed" (rows in blocks of arrays,
     of which each round is one pass; the levels' vectors on the driver) or "distributed" (every vector in a DataFrame).
-    "auto" takes the closed form if it can; "local" while the cells have at most local_bytes, or a 64th of the driver's
+    "auto" takes the closed form if it can; "local" while the rows have at most local_bytes, or a 64th of the driver's
     memory if that is less; "packed" while the levels' vectors have at most level_bytes; both measured first.
     double_precision: False solves in 32 bits ("local" and "distributed"). tol: by default the root of the precision's epsilon.
     damp: adds damp squared times the squares of the scaled coefficients (each column at length 1) to what is minimised.
@@ -302,20 +302,20 @@ class Absorber:
         if len(self.groups) == 1 and o.strategy in ("auto", "closed_form"):
             self.stats = {y: Outcome(1, True, 0) for y in outcomes}
             return [self.closed_form(outcomes)]
-        cells = shared(self.cells(outcomes))
-        if o.strategy == "local":
-            return self.local(cells, outcomes, warm)
+        local = o.strategy == "local"
         if o.strategy == "auto":
-            most = min(o.local_bytes, cells.sparkSession._jvm.java.lang.Runtime.getRuntime().maxMemory() // 64)
-            if bytes_of(cells)[1] <= most:
-                return self.local(cells, outcomes, warm)
+            rows = self.plain(outcomes)
+            most = min(o.local_bytes, rows.sparkSession._jvm.java.lang.Runtime.getRuntime().maxMemory() // 64)
+            local = bytes_of(rows)[1] <= most
+        if local:
+            return self.local(shared(self.cells(outcomes)), outcomes, warm)
         if o.strategy == "packed" or (o.strategy == "auto" and o.double_precision):
-            levels = [numbered(cells.select(*[f"__k{j}" for j in self.key_numbers(g)]).distinct(), "__code") for g in self.groups]
+            levels = [numbered(self.plain([]).select(*[f"__k{j}" for j in self.key_numbers(g)]).distinct(), "__code") for g in self.groups]
             sizes = [bytes_of(t) for t in levels]
             total = sum(n * len(g) for (n, _), g in zip(sizes, self.groups, strict=True))
             if o.strategy == "packed" or 8 * VECTORS * len(outcomes) * total <= o.level_bytes:
-                return self.pack(cells, levels, sizes, outcomes, warm)
-        return self.distributed(cells, outcomes, warm)
+                return self.pack(levels, sizes, outcomes, warm)
+        return self.distributed(shared(self.cells(outcomes)), outcomes, warm)
 
     def closed_form(self, outcomes: list[str]) -> Solved:
         """One aggregation by the key all effects share; nothing is written. Slopes are taken from their mean first, if
@@ -381,15 +381,15 @@ class Absorber:
         found = space.coefficients()
         return [[(f"__b{k}_{i}", b[k]) for k in g for i, b in enumerate(found)] for g in self.groups]
 
-    def pack(self, cells: DataFrame, levels: list[DataFrame], sizes: list[tuple[int, int]], outcomes: list[str], warm: bool) -> list[Solved]:
-        coded = cells
+    def pack(self, levels: list[DataFrame], sizes: list[tuple[int, int]], outcomes: list[str], warm: bool) -> list[Solved]:
+        coded = self.plain(outcomes)
         for j, (g, t, (_, size)) in enumerate(zip(self.groups, levels, sizes, strict=True)):
             coded = looked_up(coded, t.withColumnRenamed("__code", f"c{j}"), [f"__k{i}" for i in self.key_numbers(g)], size=size)
         slopes = {e.slope: "n" + self.slope_name(e)[3:] for e in self.effects if e.slope}
         wy = [f"nwy{i}" for i in range(len(outcomes))]
-        numbers = [*[F.col(f"__x{c[1:]}").alias(c) for c in slopes.values()], F.col("__w").alias("nw"), *[F.col(f"__wy{i}").alias(c) for i, c in enumerate(wy)]]
+        numbers = [*[F.col(f"__x{c[1:]}").alias(c) for c in slopes.values()], F.col("__w").alias("nw"), *[(F.col("__w") * F.col(f"__y{i}")).alias(c) for i, c in enumerate(wy)]]
         codes = [f"c{j}" for j in range(len(levels))]
-        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy])
+        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy], ("nw", *wy))
         counts = [n for n, _ in sizes]
         space = PackedSpace(blocks.df, self.terms({None: None} | slopes), dict(zip(codes, counts, strict=True)), "nw", wy, True, self.warmed(warm))
         self.solve(space, outcomes, self.warmed(warm))

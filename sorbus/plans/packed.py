@@ -40,27 +40,48 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__id") + F.col("__by")).drop("__id", "__p", "__by")
 
 
-def packed(rows: DataFrame, codes: list[str], numbers: list[str]) -> Stored:
-    """Blocks of rows: n, and per column its values as binary: 32-bit codes, 64-bit floats."""
+def merged_cells(columns: list[np.ndarray], summed: list[bool]) -> list[np.ndarray]:
+    """Neighbouring rows that differ in summed columns only become one."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c, s in zip(columns, summed, strict=True):
+        if not s:
+            new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return columns if len(at) == len(new) else [np.add.reduceat(c, at) if s else c[at] for c, s in zip(columns, summed, strict=True)]
+
+
+def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[str, ...] = ()) -> Stored:
+    """Blocks of rows: n, and per column its values as binary: 32-bit codes, 64-bit floats.
+
+    Of numbers in `sums`, rows that agree in all others are added up, as far as they lie side by side.
+    """
     names = [*codes, *numbers]
     kinds = dict.fromkeys(codes, np.dtype("<i4")) | dict.fromkeys(numbers, np.dtype("<f8"))
+    summed = [c in sums for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
 
-        def made() -> pa.RecordBatch:
-            whole = [np.concatenate([h[i] for h in held]).astype(kinds[c]).tobytes() for i, c in enumerate(names)]
-            return pa.RecordBatch.from_arrays([pa.array([count], pa.int32()), *[pa.array([x], pa.binary()) for x in whole]], names=["n", *names])
+        def joined() -> list[np.ndarray]:
+            whole = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            return merged_cells(whole, summed) if sums else whole
+
+        def made(whole: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([len(whole[0])], pa.int32()), *[pa.array([x.astype(kinds[c]).tobytes()], pa.binary()) for x, c in zip(whole, names, strict=True)]], names=["n", *names])
 
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             count += batch.num_rows
             if count >= BLOCK:
-                yield made()
-                held, count = [], 0
+                whole = joined()
+                held, count = [whole], len(whole[0])
+                if count >= BLOCK // 2:
+                    yield made(whole)
+                    held, count = [], 0
         if count:
-            yield made()
+            yield made(joined())
 
     plain, cores = rows.select(*names), rows.sparkSession.sparkContext.defaultParallelism
     n = plain.count()

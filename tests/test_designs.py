@@ -279,3 +279,14 @@ def test_strategies_by_measured_size(spark, monkeypatch):
     for options in ({}, {"local_bytes": 0}, {"local_bytes": 0, "level_bytes": 10}, {"local_bytes": 0, "double_precision": False}):
         Absorber(df, [A, B], **options).raw_coefficients(["y"], True)
     assert used == ["local", "pack", "distributed", "distributed"]
+
+
+def test_neighbours_that_agree_become_one_cell():
+    rng = np.random.default_rng(6)
+    c0, x = np.sort(rng.integers(0, 5, 60)), rng.integers(0, 2, 60).astype(float)
+    w, wy = rng.random(60), rng.random(60)
+    made = packed.merged_cells([c0, x, w, wy], [False, False, True, True])
+    assert len(made[0]) < 60 and made[2].sum() == pytest.approx(w.sum())
+    same = lambda c, s, v: [v[(c == a) & (s == b)].sum() for a in range(5) for b in (0, 1)]
+    np.testing.assert_allclose(same(made[0], made[1], made[3]), same(c0, x, wy))
+    assert ((np.diff(made[0]) != 0) | (np.diff(made[1]) != 0)).all()
