@@ -1,7 +1,10 @@
 """Exact Jaccard join on word shingles (operator 8) and the groups that its links form.
 
 Texts with the same shingle set are collapsed first, so a group of copies is one representative. Two sets with
-100 |A & B| >= t |A | B| share one of the first n - ceil(t n / 100) + 1 shingles of each in hash order (prefix filter).
+100 |A & B| >= t |A | B| share one of the first n - ceil(t n / 100) + 1 shingles of each, in one order for all (prefix
+filter): by rising frequency, so that passages which many texts share come last, then by hash. Frequencies are counted over
+all texts, CHUNK_ROWS at a time, from FEW texts of these on; the FREQUENT most frequent shingles go to all executors, the
+others count as rare. Which they are decides only how many sets meet: every order finds all links.
 Rows of these prefixes meet by shingle, ordered by size; a shingle that one set alone has ends there. The sets of a shingle
 form a tile, or blocks of BLOCK sets each, of which every two whose sizes can link form one; shingles with the same sets
 form it once. In a tile, bitmaps of parities (their length follows the set's size) give an upper bound of the overlap by
@@ -33,6 +36,7 @@ ROUNDS = 1  # of likeliest candidates, before all that are left
 BLOCK = 2_000
 MEET = 512
 BROADCAST_KEYS = 200_000  # rows of ids alone, so a few MB
+CHUNK_ROWS, FEW, FREQUENT = 1000, 3, 100_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -51,8 +55,36 @@ def bitmap(s: np.ndarray, per: float) -> bytes:
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
-def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles that several of CHUNK_ROWS texts share, the most frequent last; FREQUENT at most."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, CHUNK_ROWS):
+            found, n = np.unique(shingles(*ragged([words_of(t) for t in texts_of(batch.column("text").slice(at, CHUNK_ROWS))]), k)[0], return_counts=True)
+            often = n >= FEW
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["tok", "n"])
+
+    counts = map_arrow(docs.select("text"), run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    return np.array([r.tok for r in counts.orderBy(F.desc("n"), "tok").limit(FREQUENT).select("tok").collect()], np.int64)[::-1].view(np.uint64)
+
+
+def set_table(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, set_id, n, bits, short, pre): a 128-bit name of the set, its size, bitmaps and prefix; no text, no whole set."""
+    by_hash = np.argsort(frequent)
+    known = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
+
+    def prefix(s: np.ndarray) -> bytes:
+        length = len(s) - -(-percent * len(s) // 100) + 1
+        hashes, ranks = known.value
+        if not len(hashes) or not len(s):
+            return s[:length].tobytes()
+        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+        often = hashes[at] == s
+        rare = s[~often][:length]
+        if len(rare) == length:
+            return rare.tobytes()
+        last = s[often][np.argsort(ranks[at[often]])]
+        return np.concatenate([rare, last[: length - len(rare)]]).tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -61,7 +93,7 @@ def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
             part = batch.slice(at, 500)
             found = sets_of(texts_of(part.column("text")), k)
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
-            pre = pa.array([s[: len(s) - -(-percent * len(s) // 100) + 1].tobytes() for s in found], pa.binary())
+            pre = pa.array([prefix(s) for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s, LONG) for s in found], pa.binary()), pa.array([bitmap(s, SHORT) for s in found], pa.binary()), pre], names=["doc_id", "set_id", "n", "bits", "short", "pre"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, set_id binary, n long, bits binary, short binary, pre binary")
@@ -347,7 +379,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs; a null doc_id is left out."""
     prepare(docs.sparkSession)
     docs = docs.where("doc_id is not null")
-    wide = shared(set_table(docs, k, percent))
+    wide = shared(set_table(docs, k, percent, frequent_shingles(docs, k)))
     full = wide.where("n > 0").withColumn("rep", F.xxhash64("set_id"))
     first = F.min(F.struct("doc_id", "n", "bits", "short", "pre")).alias("r")
     reps = shared(full.groupBy("rep", "set_id").agg(first).select("rep", "set_id", "r.*"))

@@ -217,3 +217,26 @@ def test_negatives_of_empty_tables(spark):
     df = spark.createDataFrame([(1, 1, [1.0])], "vec_id long, label int, embedding array<float>")
     assert negatives.mine(df).count() == 0 and negatives.mine(df.limit(0)).count() == 0
     assert negatives.mine(df.limit(0)).columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+# --- 8: prefixes by rising frequency
+
+
+def test_shared_passages_form_no_tiles(spark):
+    """Texts that share a passage, and else nothing: it comes last in their prefixes, so they don't meet; near copies do."""
+    from sorbus.llm import jaccard
+
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"common{i}" for i in range(40))
+    own = lambda i, n=200: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, f"{passage} {own(i)}") for i in range(300)] + [(1000 + i, f"{passage} {own(i)} {rng.integers(9)}") for i in range(0, 300, 50)]
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string").coalesce(2)
+    frequent = jaccard.frequent_shingles(docs, 4)
+    assert 37 <= len(frequent) <= 60
+    reps = jaccard.set_table(docs, 4, 85, frequent).withColumn("rep", jaccard.F.col("doc_id"))
+    tiles = jaccard.blocks(reps).collect()
+    assert tiles and max(len(r.reps) for r in tiles) <= 3
+    plain = jaccard.blocks(jaccard.set_table(docs, 4, 85, frequent[:0]).withColumn("rep", jaccard.F.col("doc_id"))).collect()
+    assert max(len(r.reps) for r in plain) > 100
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs, 4, 85).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
