@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorbus.operators.graph import Stored, connected_components, shared
-from sorbus.plans.blocks import roots, solved
+from sorbus.plans.blocks import solved
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
-from sorbus.plans.packed import PackedSpace, Term, by_code, numbered, packed
-from sorbus.plans.spaces import BROADCAST_BYTES, ArraySpace, TableSpace, bytes_of, looked_up
+from sorbus.plans.packed import CellSpace, LevelSpace, PackedSpace, Term, by_code, numbered, packed
+from sorbus.plans.spaces import BROADCAST_BYTES, TableSpace, bytes_of, looked_up
 
 LOCAL_BYTES = 32 << 20
 LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
@@ -359,7 +359,7 @@ class Absorber:
         value = [F.col("__b")[a * m + i].alias(f"__b{k}_{i}") for a, k in enumerate(group) for i in range(m)]
         return Solved(group, keys, table.select(*by, *value))
 
-    def solve(self, space: ArraySpace | TableSpace | PackedSpace, outcomes: list[str], warm: bool) -> None:
+    def solve(self, space: LevelSpace | TableSpace, outcomes: list[str], warm: bool) -> None:
         began = time.monotonic()
 
         def tell(step: int, left: int) -> None:
@@ -376,7 +376,7 @@ class Absorber:
     def terms(self, slope: dict[str | None, str | None]) -> list[Term]:
         return [Term(f"c{j}", slope[self.effects[k].slope], a) for k in range(len(self.effects)) for j, g in enumerate(self.groups) for a, i in enumerate(g) if i == k]
 
-    def by_level(self, space: PackedSpace, counts: list[int]) -> list[list[tuple[str, np.ndarray]]]:
+    def by_level(self, space: LevelSpace) -> list[list[tuple[str, np.ndarray]]]:
         """Per key the columns __b{k}_{i} by code."""
         found = space.coefficients()
         return [[(f"__b{k}_{i}", b[k]) for k in g for i, b in enumerate(found)] for g in self.groups]
@@ -395,7 +395,7 @@ class Absorber:
         self.solve(space, outcomes, self.warmed(warm))
         blocks.drop()
         out = []
-        for g, t, (n, size), b in zip(self.groups, levels, sizes, self.by_level(space, counts), strict=True):
+        for g, t, (n, size), b in zip(self.groups, levels, sizes, self.by_level(space), strict=True):
             small = by_code(t.sparkSession, "__code", b)
             bytes_ = 8 * n * (1 + len(b))
             table = t.join(F.broadcast(small) if bytes_ <= BROADCAST_BYTES else small, "__code").drop("__code")
@@ -430,7 +430,7 @@ class Absorber:
         else:
             self.solve(space, outcomes, self.warmed(warm))
         out = []
-        for j, (g, n, b) in enumerate(zip(self.groups, d.counts, self.by_level(space, d.counts), strict=True)):
+        for j, (g, n, b) in enumerate(zip(self.groups, d.counts, self.by_level(space), strict=True)):
             out.append(Solved(g, self.key_numbers(g), by_code(d.rows.sparkSession, d.codes[j], b), 8 * n * (1 + len(b)), d.codes[j]))
         return out
 
@@ -439,35 +439,23 @@ class Absorber:
         names = [[f"__k{j}" for j in self.key_numbers(g)] for g in self.groups]
         first, _ = codes_of(pdf, names[0])
         pdf = pdf.iloc[np.argsort(first, kind="stable")].reset_index(drop=True)
-        w = np.sqrt(pdf["__w"].to_numpy(float))
-        codes, sizes, factors, back = {}, {}, {}, []
-        for group, by in zip(self.groups, names, strict=True):
-            g, n = codes_of(pdf, by)
-            x = [pdf[self.slope_name(self.effects[k])].to_numpy(float) * w if self.effects[k].slope else w for k in group]
-            gram = np.empty((n, len(group), len(group)))
-            for a in range(len(group)):
-                for b in range(a + 1):
-                    gram[:, a, b] = gram[:, b, a] = np.bincount(g, x[a] * x[b], n)
-            root, _ = roots(gram)
-            back.append((g, n, root))
-            for q, k in enumerate(group):
-                codes[k], sizes[k], factors[k] = g, n, sum(x[a] * root[g, a, q] for a in range(len(group)))
-        every = range(len(self.effects))
-        b = [np.divide(pdf[f"__wy{i}"].to_numpy(float), w, out=np.zeros(len(w)), where=w > 0) for i in range(len(outcomes))]
+        w, codes, levels = pdf["__w"].to_numpy(float), {}, {}
+        for j, by in enumerate(names):
+            codes[f"c{j}"], levels[f"c{j}"] = codes_of(pdf, by)
+        names_of = {e.slope: self.slope_name(e) for e in self.effects if e.slope}
+        slopes = {c: pdf[c].to_numpy(float) for c in names_of.values()}
+        root = np.sqrt(w)
+        b = [np.divide(pdf[f"__wy{i}"].to_numpy(float), root, out=np.zeros(len(w)), where=root > 0) for i in range(len(outcomes))]
         warm = self.warmed(warm)
-        space = ArraySpace([codes[k] for k in every], [sizes[k] for k in every], [factors[k] for k in every], b, warm, np.float64 if self.options.double_precision else np.float32)
+        space = CellSpace(self.terms({None: None} | names_of), levels, codes, slopes, None if (w == 1).all() else w, b, warm, np.float64 if self.options.double_precision else np.float32)
         self.solve(space, outcomes, warm)
         out, kinds = [], {f.name: f for f in cells.schema.fields}
-        for group, by, (g, n, root) in zip(self.groups, names, back, strict=True):
+        for j, (group, by, columns) in enumerate(zip(self.groups, names, self.by_level(space), strict=True)):
+            g, n = codes[f"c{j}"], levels[f"c{j}"]
             at = np.zeros(n, np.int64)
             at[g[::-1]] = np.arange(len(g))[::-1]
-            levels, made = pdf[by].iloc[at].reset_index(drop=True), {}
-            for i in range(len(outcomes)):
-                z = np.stack([space.x[i][space.edges[k] : space.edges[k + 1]].astype(float) for k in group], 1)
-                beta = np.einsum("lpq,lq->lp", root, z)
-                made |= {f"__b{k}_{i}": beta[:, a] for a, k in enumerate(group)}
-            table = levels.assign(**made)
-            schema = T.StructType([kinds[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in made])
+            table = pdf[by].iloc[at].reset_index(drop=True).assign(**dict(columns))
+            schema = T.StructType([kinds[c] for c in by] + [T.StructField(c, T.DoubleType()) for c, _ in columns])
             texts = sum(int(table[c].str.len().sum()) * 4 for c in by if isinstance(kinds[c].dataType, T.StringType))
             out.append(Solved(group, self.key_numbers(group), spark.createDataFrame(table, schema), texts + 8 * n * len(table.columns)))
         return out

@@ -1,4 +1,6 @@
-"""A design stored as blocks of arrays, and LSMR's vectors over it: rows never move again, and no round writes any.
+"""LSMR's vectors over the levels alone, of rows that the driver holds or of a design stored as blocks of arrays.
+
+In such a design rows never move again, and no round writes any.
 
 Levels are numbered once. The rows, dealt and sorted by their codes, are packed into blocks of at most BLOCK rows: an array of
 codes per key, an array per slope, weight and outcome. Equal codes lie together, but a code with many rows spreads over
@@ -14,7 +16,9 @@ from A'A v and the length of A v, as u's own recurrence says. In exact arithmeti
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,94 +153,52 @@ class Pass:
         return [total[a:b] for a, b in zip(edges, edges[1:], strict=False)], numbers
 
 
-class PackedSpace:
-    """LSMR's vectors over a packed design. terms: the effects; levels: per column of codes how many; weight: its column or
-    None; outcomes: their columns, `summed` if they are already multiplied by the weight and added up.
+class LevelSpace:
+    """LSMR's v, h, h-bar and x over the levels of all effects; u is not stored.
 
-    start: per outcome the coefficients (a list of arrays, one per effect) from which the solve begins, or None: then from
-    A'b if warm, else from 0. Effects that share a column of codes are made orthogonal level by level (blocks.roots).
+    terms: the effects; levels: per column of codes how many; grams: per column its levels' Gram matrices, by which effects
+    that share it are made orthogonal, level by level (blocks.roots). A solve begins from A'b if warm, else from 0.
     """
 
-    def __init__(self, blocks: DataFrame, terms: list[Term], levels: dict[str, int], weight: str | None, outcomes: list[str], summed: bool, warm: bool, start: list | None = None):
-        self.terms, self.weight, self.outcomes, self.summed, self.warm, self.given = terms, weight, outcomes, summed, warm, start
+    noise = NOISE
+
+    def __init__(self, terms: list[Term], levels: dict[str, int], outcomes: int, grams: dict[str, np.ndarray], warm: bool):
+        self.terms, self.levels, self.n_outcomes, self.warm = terms, levels, outcomes, warm
         self.groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
-        self.levels = levels
-        self.columns = [*levels, *dict.fromkeys(t.slope for t in terms if t.slope), *([weight] if weight else [])]
-        self.blocks = blocks
         self.sizes = [levels[t.code] for t in terms]
         self.edges = np.concatenate([[0], np.cumsum(self.sizes)]).astype(int)
-        pairs = [(c, a, b) for c, of in self.groups.items() for a in range(len(of)) for b in range(a + 1)]
-        terms_, weight_ = self.terms, weight
-        groups = self.groups
+        self.roots = {c: roots(g)[0] for c, g in grams.items()}
 
-        def gram(block, _):
-            w = block[weight_] if weight_ else np.ones(len(block[terms_[0].code]))
-            for j, (c, a, b) in enumerate(pairs):
-                one, two = terms_[groups[c][a]], terms_[groups[c][b]]
-                yield j, block[c], w * (block[one.slope] if one.slope else 1.0) * (block[two.slope] if two.slope else 1.0)
+    def products(self, which: list[int], values: list[np.ndarray], rest: bool) -> tuple[list[np.ndarray], list[float]]:
+        """Per outcome in `which` A'r and r's squared length, where r is b - A z (rest) or A z, in one pass for all."""
+        raise NotImplementedError
 
-        sums, _ = Pass(blocks, self.columns, [levels[c] for c, _, _ in pairs], 0).run(gram)
-        self.roots, self.inverse = {}, {}
-        for c, of in self.groups.items():
-            g = np.empty((levels[c], len(of), len(of)))
-            for (d, a, b), x in zip(pairs, sums, strict=True):
-                if d == c:
-                    g[:, a, b] = g[:, b, a] = x
-            self.roots[c], self.inverse[c] = roots(g)
-
-    def level_product(self, z: np.ndarray, by: dict[str, np.ndarray], turned: bool) -> np.ndarray:
-        """Per level the matrix of `by`, or its transpose, times the key's effects' values."""
+    def level_product(self, z: np.ndarray, turned: bool) -> np.ndarray:
+        """Per level the matrix of its root, or its transpose, times the key's effects' values."""
         out = np.empty_like(z)
         for c, of in self.groups.items():
+            root = self.roots[c]
+            if len(of) == 1:
+                a, b = self.edges[of[0]], self.edges[of[0] + 1]
+                np.multiply(z[a:b], root[:, 0, 0], out=out[a:b])
+                continue
             x = np.stack([z[self.edges[k] : self.edges[k + 1]] for k in of], 1)
-            x = np.einsum("lqp,lq->lp" if turned else "lpq,lq->lp", by[c], x)
+            x = np.einsum("lqp,lq->lp" if turned else "lpq,lq->lp", root, x)
             for j, k in enumerate(of):
                 out[self.edges[k] : self.edges[k + 1]] = x[:, j]
         return out
 
-    def products(self, which: list[int], values: list[np.ndarray], rest: bool) -> tuple[list[np.ndarray], list[float]]:
-        """Per outcome in `which` A'r and r's squared length, where r is b - A z (rest) or A z, in one pass for all."""
-        terms, edges, weight, summed, n = self.terms, self.edges, self.weight, self.summed, len(self.terms)
-        names = [self.outcomes[i] for i in which]
-        coefficients = np.array([self.level_product(z, self.roots, False) for z in values])
-
-        def kernel(block, held):
-            root = np.sqrt(block[weight]) if weight else None
-            for j, y in enumerate(names):
-                fit = 0.0
-                for k, t in enumerate(terms):
-                    part = held[j, edges[k] : edges[k + 1]][block[t.code]]
-                    fit = fit + (part * block[t.slope] if t.slope else part)
-                if root is not None:
-                    fit = fit * root
-                if rest:
-                    b = block[y]
-                    if root is not None:
-                        b = np.divide(b, root, out=np.zeros(len(b)), where=root > 0) if summed else b * root
-                    fit = b - fit
-                yield -1, j, float(fit @ fit)
-                back = fit if root is None else fit * root
-                for k, t in enumerate(terms):
-                    yield j * n + k, block[t.code], back * block[t.slope] if t.slope else back
-
-        columns = [*self.columns, *(names if rest else [])]
-        sums, numbers = Pass(self.blocks, list(dict.fromkeys(columns)), self.sizes * len(which), len(which)).run(kernel, coefficients)
-        out = [self.level_product(np.concatenate(sums[j * n : (j + 1) * n]), self.roots, True) for j in range(len(which))]
-        return out, numbers.tolist()
-
     def start(self):
-        every, zero = list(range(len(self.outcomes))), np.zeros(self.edges[-1])
+        every, zero = list(range(self.n_outcomes)), np.zeros(self.edges[-1])
         self.x = [zero.copy() for _ in every]
-        if self.given is not None:
-            self.x = [self.level_product(np.concatenate(x), self.inverse, False) for x in self.given]
-        elif self.warm:
+        if self.warm:
             self.x = self.products(every, self.x, True)[0]
         back, squares = self.products(every, self.x, True)
         self.beta = [math.sqrt(s) for s in squares]
         self.v = [g / b if b else g for g, b in zip(back, self.beta, strict=True)]
         self.alpha = [float(np.linalg.norm(v)) for v in self.v]
         self.v = [v / a if a else v for v, a in zip(self.v, self.alpha, strict=True)]
-        self.before = [zero for _ in every]
+        self.before = [zero.copy() for _ in every]
         self.h, self.bar, self.back = [v.copy() for v in self.v], [zero.copy() for _ in every], [zero for _ in every]
         return list(self.beta), list(self.alpha)
 
@@ -247,35 +209,170 @@ class PackedSpace:
         for i, a, g, s in zip(which, alpha, back, squares, strict=True):
             self.back[i] = g
             left = s - a * a
-            out.append(math.sqrt(left) if left > NOISE * s else 0.0)
+            out.append(math.sqrt(left) if left > self.noise * s else 0.0)
         return out
 
     def right(self, which, beta):
         """A' of the new u is (A'A v - alpha A' of the old u) / beta, and A' of the old u is alpha v + its beta v before."""
         out = []
         for i, b in zip(which, beta, strict=True):
-            v, a = self.v[i], self.alpha[i]
-            new = (self.back[i] - a * (a * v + self.beta[i] * self.before[i])) / b - b * v if b else np.zeros_like(v)
-            self.before[i], self.beta[i], self.alpha[i] = v, b, float(np.linalg.norm(new))
-            self.v[i] = new / self.alpha[i] if self.alpha[i] else new
+            v, a, new, before = self.v[i], self.alpha[i], self.back[i], self.before[i]
+            if b:
+                before *= -a * self.beta[i] / b
+                new /= b
+                new += before
+                np.multiply(v, a * a / b + b, out=before)
+                new -= before
+            else:
+                new = np.zeros_like(v)
+            self.before[i], self.beta[i], self.alpha[i] = v, b, math.sqrt(float(new @ new))
+            if self.alpha[i]:
+                new /= self.alpha[i]
+            self.v[i] = new
             out.append(self.alpha[i])
         return out
 
     def advance(self, which, keep, move, turn):
         out = []
         for i, k, m, t in zip(which, keep, move, turn, strict=True):
-            self.bar[i] = self.h[i] - k * self.bar[i]
-            self.x[i] = self.x[i] + m * self.bar[i]
-            self.h[i] = self.v[i] - t * self.h[i]
-            out.append(float(np.linalg.norm(self.x[i])))
+            bar, h, x = self.bar[i], self.h[i], self.x[i]
+            bar *= -k
+            bar += h
+            x += m * bar
+            h *= -t
+            h += self.v[i]
+            out.append(math.sqrt(float(x @ x)))
         return out
 
     def coefficients(self) -> list[list[np.ndarray]]:
         """Per outcome and effect the coefficients by code."""
-        every = [self.level_product(x, self.roots, False) for x in self.x]
+        every = [self.level_product(x, False) for x in self.x]
         return [[b[a:e] for a, e in zip(self.edges, self.edges[1:], strict=False)] for b in every]
 
 
+def gram_pairs(groups: dict[str, list[int]]) -> list[tuple[str, int, int]]:
+    return [(c, a, b) for c, of in groups.items() for a in range(len(of)) for b in range(a + 1)]
+
+
+def gram_matrices(groups: dict[str, list[int]], levels: dict[str, int], sums: list[np.ndarray]) -> dict[str, np.ndarray]:
+    out = {c: np.empty((levels[c], len(of), len(of))) for c, of in groups.items()}
+    for (c, a, b), x in zip(gram_pairs(groups), sums, strict=True):
+        out[c][:, a, b] = out[c][:, b, a] = x
+    return out
+
+
+class CellSpace(LevelSpace):
+    """Rows that the driver holds, sorted by their first codes, in one part per core.
+
+    codes, slopes: arrays by the terms' names; weight: an array of weights or None; b: one array per outcome, times the
+    root of the weight. kind: of what is computed per row; sums over rows are of 64 bits.
+    """
+
+    def __init__(self, terms: list[Term], levels: dict[str, int], codes: dict[str, np.ndarray], slopes: dict[str, np.ndarray], weight: np.ndarray | None, b: list[np.ndarray], warm: bool, kind: type = np.float64):
+        n = len(next(iter(codes.values())))
+        cores = max(1, min(8, os.cpu_count() or 1, n // 20_000))
+        edge = np.linspace(0, n, cores + 1).astype(int).tolist()
+        self.parts = []
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            part = {"b": [x[lo:hi].astype(kind) for x in b], "root": None if weight is None else np.sqrt(weight[lo:hi]).astype(kind), "codes": {}}
+            for c, g in codes.items():
+                low = int(g[lo:hi].min()) if hi > lo else 0
+                part["codes"][c] = low, (g[lo:hi] - low).astype(np.intp)
+            part["slopes"] = {s: x[lo:hi].astype(kind) for s, x in slopes.items()}
+            self.parts.append(part)
+        self.pool, self.kind = ThreadPoolExecutor(cores), kind
+        self.noise = NOISE if kind is np.float64 else 1e-6
+        groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
+        sums = []
+        for c, one, two in gram_pairs(groups):
+            x = [slopes[terms[groups[c][a]].slope] if terms[groups[c][a]].slope else 1.0 for a in (one, two)]
+            sums.append(np.bincount(codes[c], (1.0 if weight is None else weight) * x[0] * x[1] * np.ones(n), levels[c]))
+        super().__init__(terms, levels, len(b), gram_matrices(groups, levels, sums), warm)
+
+    def products(self, which, values, rest):
+        return tuple(map(list, zip(*[self.product(i, self.level_product(z, False).astype(self.kind), rest) for i, z in zip(which, values, strict=True)], strict=True)))
+
+    def product(self, i: int, coefficients: np.ndarray, rest: bool) -> tuple[np.ndarray, float]:
+        def one(part: dict) -> tuple[list, float]:
+            fit = None
+            for k, t in enumerate(self.terms):
+                low, g = part["codes"][t.code]
+                x = coefficients[self.edges[k] + low : self.edges[k + 1]][g]
+                if t.slope:
+                    x *= part["slopes"][t.slope]
+                fit = x if fit is None else np.add(fit, x, out=fit)
+            root = part["root"]
+            if root is not None:
+                fit *= root
+            if rest:
+                fit = part["b"][i] - fit
+            square = float(np.dot(fit, fit))
+            if root is not None:
+                fit *= root
+            out = []
+            for t in self.terms:
+                low, g = part["codes"][t.code]
+                out.append((low, np.bincount(g, fit * part["slopes"][t.slope] if t.slope else fit)))
+            return out, square
+
+        total, length = np.zeros(self.edges[-1]), 0.0
+        for sums, square in self.pool.map(one, self.parts):
+            length += square
+            for k, (low, s) in enumerate(sums):
+                begin = self.edges[k] + low
+                total[begin : begin + len(s)] += s
+        return self.level_product(total, True), length
+
+
+class PackedSpace(LevelSpace):
+    """A packed design. weight: its column or None; outcomes: their columns, `summed` if they are already multiplied by the
+    weight and added up."""
+
+    def __init__(self, blocks: DataFrame, terms: list[Term], levels: dict[str, int], weight: str | None, outcomes: list[str], summed: bool, warm: bool):
+        self.blocks, self.weight, self.outcomes, self.summed = blocks, weight, outcomes, summed
+        self.columns = [*levels, *dict.fromkeys(t.slope for t in terms if t.slope), *([weight] if weight else [])]
+        groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
+        pairs = gram_pairs(groups)
+
+        def gram(block, _):
+            w = block[weight] if weight else np.ones(len(block[terms[0].code]))
+            for j, (c, a, b) in enumerate(pairs):
+                one, two = terms[groups[c][a]], terms[groups[c][b]]
+                yield j, block[c], w * (block[one.slope] if one.slope else 1.0) * (block[two.slope] if two.slope else 1.0)
+
+        sums, _ = Pass(blocks, self.columns, [levels[c] for c, _, _ in pairs], 0).run(gram)
+        super().__init__(terms, levels, len(outcomes), gram_matrices(groups, levels, sums), warm)
+
+    def products(self, which, values, rest):
+        terms, edges, weight, summed, n = self.terms, self.edges, self.weight, self.summed, len(self.terms)
+        names = [self.outcomes[i] for i in which]
+        coefficients = np.array([self.level_product(z, False) for z in values])
+
+        def kernel(block, held):
+            root = np.sqrt(block[weight]) if weight else None
+            for j, y in enumerate(names):
+                fit = 0.0
+                for k, t in enumerate(terms):
+                    part = held[j, edges[k] : edges[k + 1]][block[t.code]]
+                    fit = fit + (part * block[t.slope] if t.slope else part)
+                if root is not None:
+                    fit = fit * root
+                if rest:
+                    b = block[y]
+                    if root is not None:
+                        b = np.divide(b, root, out=np.zeros(len(b)), where=root > 0) if summed else b * root
+                    fit = b - fit
+                yield -1, j, float(fit @ fit)
+                back = fit if root is None else fit * root
+                for k, t in enumerate(terms):
+                    yield j * n + k, block[t.code], back * block[t.slope] if t.slope else back
+
+        columns = [*self.columns, *(names if rest else [])]
+        sums, numbers = Pass(self.blocks, list(dict.fromkeys(columns)), self.sizes * len(which), len(which)).run(kernel, coefficients)
+        out = [self.level_product(np.concatenate(sums[j * n : (j + 1) * n]), True) for j in range(len(which))]
+        return out, numbers.tolist()
+
+
 def by_code(spark, name: str, columns: list[tuple[str, np.ndarray]]) -> DataFrame:
     """A table of a column of codes from 0 and columns by code."""
     n = len(columns[0][1])
