@@ -32,7 +32,8 @@ LOCAL_BYTES = 32 << 20
 LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
 VECTORS = 7  # of which LSMR holds so many over the levels
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
-STRATEGIES = ("auto", "closed_form", "local", "packed", "distributed")
+COMPONENT_ROWS = 1 << 20  # cells of the components that one task solves together; a larger component is solved apart
+STRATEGIES = ("auto", "closed_form", "local", "packed", "components", "distributed")
 log = logging.getLogger("sorbus")
 
 
@@ -114,9 +115,11 @@ class Absorber:
     An empty table gives an empty result. An output column replaces an input column of its name, but not a key.
 
     strategy: "closed_form" (effects of one key only), "local" (arrays of the driver), "packed" (rows in blocks of arrays,
-    of which each round is one pass; the levels' vectors on the driver) or "distributed" (every vector in a DataFrame).
-    "auto" takes the closed form if it can; "local" while the rows have at most local_bytes, or a 64th of the driver's
-    memory if that is less; "packed" while the levels' vectors have at most level_bytes; both measured first.
+    of which each round is one pass; the levels' vectors on the driver), "components" (those of few cells are solved in the
+    tasks that hold them, several together; each stops by itself, and only larger ones go the next way) or "distributed"
+    (every vector in a DataFrame). "auto" takes the closed form if it can; "local" while the rows have at most local_bytes, or
+    a 64th of the driver's memory if that is less; "packed" while the levels' vectors have at most level_bytes, both measured
+    first; else "components".
     double_precision: False solves in 32 bits ("local" and "distributed"). tol: by default the root of the precision's epsilon.
     damp: adds damp squared times the squares of the scaled coefficients (each column at length 1) to what is minimised.
     start: per outcome the tables of level_coefficients() from which its solve goes on; the outcome less their fit is solved.
@@ -309,12 +312,15 @@ class Absorber:
             local = bytes_of(rows)[1] <= most
         if local:
             return self.local(shared(self.cells(outcomes)), outcomes, warm)
+        if o.strategy == "components":
+            return self.by_component(shared(self.cells(outcomes)), outcomes, warm)
         if o.strategy == "packed" or (o.strategy == "auto" and o.double_precision):
             levels = [numbered(self.plain([]).select(*[f"__k{j}" for j in self.key_numbers(g)]).distinct(), "__code") for g in self.groups]
             sizes = [bytes_of(t) for t in levels]
             total = sum(n * len(g) for (n, _), g in zip(sizes, self.groups, strict=True))
             if o.strategy == "packed" or 8 * VECTORS * len(outcomes) * total <= o.level_bytes:
                 return self.pack(levels, sizes, outcomes, warm)
+            return self.by_component(shared(self.cells(outcomes)), outcomes, warm)
         return self.distributed(shared(self.cells(outcomes)), outcomes, warm)
 
     def closed_form(self, outcomes: list[str]) -> Solved:
@@ -460,6 +466,61 @@ class Absorber:
             out.append(Solved(group, self.key_numbers(group), spark.createDataFrame(table, schema), texts + 8 * n * len(table.columns)))
         return out
 
+    def by_component(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[Solved]:
+        """Levels that share no cell, however far they are followed, share no equation: components are dealt into buckets of
+        some COMPONENT_ROWS cells, and a task solves a bucket's. What a larger component has is solved in DataFrames."""
+        sets = [[f"__k{j}" for j in self.key_numbers(g)] for g in self.groups]
+        comps = linked_levels(cells, sets)
+        by = shared(looked_up(cells, comps[0], sets[0]))
+        sizes = by.groupBy("__component").agg(F.count("*").alias("__n"))
+        large = shared(sizes.where(F.col("__n") > COMPONENT_ROWS).select("__component"))  # cells / COMPONENT_ROWS rows at most
+        found: list[Solved] = []
+        if large.count():
+            found = self.distributed(shared(by.join(F.broadcast(large), "__component", "left_semi").drop("__component")), outcomes, warm)
+            by = shared(by.join(F.broadcast(large), "__component", "left_anti"))
+        beyond = dict(self.stats)
+        n = max(1, by.count() // (COMPONENT_ROWS // 2), min(by.sparkSession.sparkContext.defaultParallelism, by.count() // 4096))
+        coded = by.withColumn("__bucket", F.pmod(F.xxhash64("__component"), F.lit(n)).cast("int"))
+        levels = []
+        for j, keys in enumerate(sets):
+            t = numbered(by.select(*keys).distinct(), "__code")
+            levels.append(t)
+            coded = looked_up(coded, t.withColumnRenamed("__code", f"c{j}"), keys)
+        slopes = {e.slope: self.slope_name(e) for e in self.effects if e.slope}
+        codes, wy, m = [f"c{j}" for j in range(len(sets))], [f"__wy{i}" for i in range(len(outcomes))], len(outcomes)
+        terms, warm, tol = self.terms({None: None} | slopes), self.warmed(warm), self.options.tolerance
+        rule, damp, groups = Rule(tol, tol, maxiter=max(1, self.options.maxiter - warm)), self.options.damp, self.groups
+        kind = np.float64 if self.options.double_precision else np.float32
+
+        def run(table: pa.Table) -> pa.Table:
+            column_of = {c: table.column(c).to_numpy() for c in [*codes, *slopes.values(), "__w", *wy]}
+            order = np.argsort(column_of["c0"], kind="stable")
+            column_of = {c: x[order] for c, x in column_of.items()}
+            own = {c: np.unique(column_of[c], return_inverse=True) for c in codes}
+            w = column_of["__w"]
+            b = [np.divide(column_of[c], np.sqrt(w), out=np.zeros(len(w)), where=w > 0) for c in wy]
+            space = CellSpace(terms, {c: len(u) for c, (u, _) in own.items()}, {c: at for c, (_, at) in own.items()}, {s: column_of[s] for s in slopes.values()}, w, b, warm, kind, 1)
+            ends = lsmr(space, rule, damp)
+            rows = [(-1, i, [float(e.iterations + warm), float(e.converged), float(e.istop)]) for i, e in enumerate(ends)]
+            beta = space.coefficients()
+            for j, g in enumerate(groups):
+                values = np.stack([beta[i][k] for k in g for i in range(m)], 1)
+                rows += [(j, int(c), v) for c, v in zip(own[codes[j]][0], values.tolist(), strict=True)]
+            return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["set", "code", "b"])
+
+        solved_here = shared(coded.groupBy("__bucket").applyInArrow(run, "set int, code long, b array<double>"))
+        told = solved_here.where("set = -1").groupBy("code").agg(F.max(F.col("b")[0]), F.min(F.col("b")[1]), F.max(F.col("b")[2])).collect()
+        here = {outcomes[r.code]: Outcome(int(r[1]), bool(r[2]), int(r[3])) for r in told}
+        self.stats = {y: max([o for o in (beyond.get(y) if found else None, here.get(y)) if o] or [Outcome(0, True, 0)], key=lambda o: (not o.converged, o.iterations)) for y in outcomes}
+        out = []
+        for j, (g, t) in enumerate(zip(self.groups, levels, strict=True)):
+            b = solved_here.where(F.col("set") == j).select(F.col("code").alias("__code"), *[F.col("b")[a * m + i].alias(f"__b{k}_{i}") for a, k in enumerate(g) for i in range(m)])
+            table = t.join(b, "__code").drop("__code")
+            if found:
+                table = table.unionByName(found[j].table)
+            out.append(Solved(g, self.key_numbers(g), shared(table)))
+        return out
+
     def row_space(self, outcomes: list[str]) -> TableSpace:
         """The problem's vectors over the rows as they are, not over cells; for its products apart from a solve."""
         rows = self.plain(outcomes)

@@ -262,15 +262,15 @@ def gram_matrices(groups: dict[str, list[int]], levels: dict[str, int], sums: li
 
 
 class CellSpace(LevelSpace):
-    """Rows that the driver holds, sorted by their first codes, in one part per core.
+    """Rows that one process holds, sorted by their first codes, in one part per core.
 
     codes, slopes: arrays by the terms' names; weight: an array of weights or None; b: one array per outcome, times the
     root of the weight. kind: of what is computed per row; sums over rows are of 64 bits.
     """
 
-    def __init__(self, terms: list[Term], levels: dict[str, int], codes: dict[str, np.ndarray], slopes: dict[str, np.ndarray], weight: np.ndarray | None, b: list[np.ndarray], warm: bool, kind: type = np.float64):
+    def __init__(self, terms: list[Term], levels: dict[str, int], codes: dict[str, np.ndarray], slopes: dict[str, np.ndarray], weight: np.ndarray | None, b: list[np.ndarray], warm: bool, kind: type = np.float64, cores: int = 8):
         n = len(next(iter(codes.values())))
-        cores = max(1, min(8, os.cpu_count() or 1, n // 20_000))
+        cores = max(1, min(cores, os.cpu_count() or 1, n // 20_000))
         edge = np.linspace(0, n, cores + 1).astype(int).tolist()
         self.parts = []
         for lo, hi in zip(edge, edge[1:], strict=False):

@@ -217,6 +217,7 @@ QUERIES = {
     "q36_damped": residual(lineitem, [Effect("l_suppkey", slope="l_quantity")], ["l_orderkey"], "l_tax", damp=0.5, nulls="drop"),
     "q37_from_coefficients": q37,
     "q38_slope_and_other_key": residual(lineitem, [SUPP, Effect("l_suppkey", slope="l_quantity"), Effect("l_linenumber")], ["l_orderkey"], strategy="packed"),
+    "q39_nested_by_component": residual(orders, [Effect("o_custkey"), Effect("c_nationkey")], ["o_orderkey"], strategy="components"),
 }
 
 def coefficient_sweeps(n: int = 40) -> str:
@@ -305,5 +306,6 @@ SQL = {
     "q36_damped": f"select l_orderkey, case when l_tax = 0 then 'nan'::double else round(y - l_quantity*coalesce(sum(l_tax*l_quantity*y) over p/nullif(1.25*sum(l_tax*l_quantity*l_quantity) over p, 0), 0), 4)+0.0 end as res from {LI} window p as (partition by l_suppkey)",
     "q37_from_coefficients": sweeps(LI, "l_orderkey", ["l_partkey", "l_suppkey"], n=40),
     "q38_slope_and_other_key": slope_sweeps(),
+    "q39_nested_by_component": f"select o_orderkey, {r4s('y-avg(y) over (partition by o_custkey)')} from {OC}",
     "q28_size": "select count(*) as n, count(distinct user_id) as users, count(distinct event_type) as types from events",
 }

@@ -273,12 +273,12 @@ def test_progress_is_told_of_long_solves_only(spark, monkeypatch, caplog):
 
 def test_strategies_by_measured_size(spark, monkeypatch):
     used = []
-    for name in ("local", "pack", "distributed"):
+    for name in ("local", "pack", "by_component", "distributed"):
         monkeypatch.setattr(Absorber, name, lambda self, *a, name=name: used.append(name) or [])
     df = spark.createDataFrame(table())
     for options in ({}, {"local_bytes": 0}, {"local_bytes": 0, "level_bytes": 10}, {"local_bytes": 0, "double_precision": False}):
         Absorber(df, [A, B], **options).raw_coefficients(["y"], True)
-    assert used == ["local", "pack", "distributed", "distributed"]
+    assert used == ["local", "pack", "by_component", "distributed"]
 
 
 def test_neighbours_that_agree_become_one_cell():
@@ -290,3 +290,29 @@ def test_neighbours_that_agree_become_one_cell():
     same = lambda c, s, v: [v[(c == a) & (s == b)].sum() for a in range(5) for b in (0, 1)]
     np.testing.assert_allclose(same(made[0], made[1], made[3]), same(c0, x, wy))
     assert ((np.diff(made[0]) != 0) | (np.diff(made[1]) != 0)).all()
+
+
+def test_components_are_solved_where_they_lie(spark, monkeypatch):
+    """Thousands of small components and one large one: the driver gets no cell, and only the large one goes further."""
+    rng = np.random.default_rng(9)
+    small = pd.DataFrame({"a": np.repeat(np.arange(1000), 4), "b": np.repeat(np.arange(1000) * 2, 4) + rng.integers(0, 2, 4000), "x": rng.normal(size=4000)})
+    big = pd.DataFrame({"a": 5000 + rng.integers(0, 12, 600), "b": 5000 + rng.integers(0, 9, 600), "x": rng.normal(size=600)})
+    f = pd.concat([small, big], ignore_index=True).assign(i=range(4600), y=rng.normal(size=4600), w=rng.integers(0, 3, 4600).astype(float))
+    calls, real = [], Absorber.distributed
+    monkeypatch.setattr(Absorber, "distributed", lambda self, cells, *a: calls.append(cells.count()) or self.local(cells, *a))
+    want = {}
+    for w in (None, "w"):
+        _, (want[w],) = solved(spark, f, [A, B], w=w, strategy="local")
+        a, (got,) = solved(spark, f, [A, B], w=w, strategy="components")
+        np.testing.assert_allclose(got, want[w], atol=1e-9)
+        assert a.stats["y"].converged and not calls
+    monkeypatch.setattr(module, "COMPONENT_ROWS", 50)
+    a, (got,) = solved(spark, f, [A, B, Effect("b", slope="x")], strategy="components")
+    _, (all_,) = solved(spark, f, [A, B, Effect("b", slope="x")], strategy="local")
+    np.testing.assert_allclose(got, all_, atol=1e-8)
+    assert len(calls) == 1 and 90 < calls[0] <= 600 and a.stats["y"].converged and real
+    b = Absorber(spark.createDataFrame(f), [A, B], tol=1e-13, strategy="components")
+    c = Absorber(spark.createDataFrame(f), [A, B], tol=1e-13, strategy="local")
+    for s, t in zip(b.level_coefficients("y"), c.level_coefficients("y"), strict=True):
+        key = s.columns[0]
+        np.testing.assert_allclose(s.orderBy(key).toPandas()["coef"], t.orderBy(key).toPandas()["coef"], atol=1e-7)
