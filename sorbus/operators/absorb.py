@@ -178,7 +178,7 @@ class Absorber:
         codes, numbers = [f"{self.tag}c{j}" for j in range(len(levels))], {f.name: f"n{i}" for i, f in enumerate(kinds)}
         plain = held.df.select(*[F.col(c).alias(f"c{j}") for j, c in enumerate(codes)], *[column(f.name).cast("double").alias(numbers[f.name]) for f in kinds])
         out = self.like(self.df, self.weight)
-        out.design = Design(held.df, codes, levels, counts, packed(plain, [f"c{j}" for j in range(len(codes))], list(numbers.values())), numbers)
+        out.design = Design(held.df, codes, levels, counts, packed(plain, [f"c{j}" for j in range(len(codes))], list(numbers.values()), levels=sum(counts)), numbers)
         return out
 
     def size(self) -> tuple[int, list[int]]:
@@ -395,7 +395,7 @@ class Absorber:
         wy = [f"nwy{i}" for i in range(len(outcomes))]
         numbers = [*[F.col(f"__x{c[1:]}").alias(c) for c in slopes.values()], F.col("__w").alias("nw"), *[(F.col("__w") * F.col(f"__y{i}")).alias(c) for i, c in enumerate(wy)]]
         codes = [f"c{j}" for j in range(len(levels))]
-        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy], ("nw", *wy))
+        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy], ("nw", *wy), sum(n for n, _ in sizes))
         counts = [n for n, _ in sizes]
         space = PackedSpace(blocks.df, self.terms({None: None} | slopes), dict(zip(codes, counts, strict=True)), "nw", wy, True, self.warmed(warm))
         self.solve(space, outcomes, self.warmed(warm))

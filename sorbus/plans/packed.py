@@ -2,9 +2,9 @@
 
 In such a design rows never move again, and no round writes any.
 
-Levels are numbered once. The rows, dealt and sorted by their codes, are packed into blocks of at most BLOCK rows: an array of
-codes per key, an array per slope, weight and outcome. Equal codes lie together, but a code with many rows spreads over
-blocks and partitions, so no task grows with a level.
+Levels are numbered once. The rows, dealt by ranges of their codes (or, if levels are few, left where they lie) and sorted a
+few blocks at a time, are packed into blocks of at most BLOCK rows: an array of codes per key, an array per slope, weight and
+outcome. A code with many rows spreads over blocks and partitions, so no task grows with a level.
 
 A round is one pass over the blocks for all effects and outcomes: each task gathers the levels' values, multiplies, and sums
 into levels again, in bounded memory; what it has summed travels by segments of SEGMENT levels, of which only those that it
@@ -31,6 +31,7 @@ from sorbus.plans.blocks import roots
 
 BLOCK, SEGMENT = 1 << 16, 1 << 14
 TASK, LEAST = 16, 4096  # blocks of a task at most, and rows of one at least, of large and small designs
+CHUNK_BLOCKS, FEWER = 4, 4  # blocks that are sorted together; rows per level and task from which rows stay where they lie
 NOISE = 1e-14  # share of the squared length of A v below which what is left of it is rounding
 
 
@@ -55,10 +56,12 @@ def merged_cells(columns: list[np.ndarray], summed: list[bool]) -> list[np.ndarr
     return columns if len(at) == len(new) else [np.add.reduceat(c, at) if s else c[at] for c, s in zip(columns, summed, strict=True)]
 
 
-def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[str, ...] = ()) -> Stored:
+def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[str, ...] = (), levels: int | None = None) -> Stored:
     """Blocks of rows: n, and per column its values as binary: 32-bit codes, 64-bit floats.
 
-    Of numbers in `sums`, rows that agree in all others are added up, as far as they lie side by side.
+    Of numbers in `sums`, rows that agree in all others are added up, as far as they lie in one run of CHUNK_BLOCKS blocks.
+    Rows are dealt by ranges of their codes, so that a task's sums are of few levels; unless there are so few levels, of all
+    keys, that every task may have sums of them all: then rows are packed where they lie.
     """
     names = [*codes, *numbers]
     kinds = dict.fromkeys(codes, np.dtype("<i4")) | dict.fromkeys(numbers, np.dtype("<f8"))
@@ -68,30 +71,32 @@ def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[st
         held: list[list[np.ndarray]] = []
         count = 0
 
-        def joined() -> list[np.ndarray]:
+        def made() -> Iterator[pa.RecordBatch]:
             whole = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
-            return merged_cells(whole, summed) if sums else whole
-
-        def made(whole: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([len(whole[0])], pa.int32()), *[pa.array([x.astype(kinds[c]).tobytes()], pa.binary()) for x, c in zip(whole, names, strict=True)]], names=["n", *names])
+            order = np.lexsort(whole[: len(codes)][::-1])
+            whole = [x[order] for x in whole]
+            whole = merged_cells(whole, summed) if sums else whole
+            for at in range(0, len(whole[0]), BLOCK):
+                part = [x[at : at + BLOCK] for x in whole]
+                yield pa.RecordBatch.from_arrays([pa.array([len(part[0])], pa.int32()), *[pa.array([x.astype(kinds[c]).tobytes()], pa.binary()) for x, c in zip(part, names, strict=True)]], names=["n", *names])
 
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             count += batch.num_rows
-            if count >= BLOCK:
-                whole = joined()
-                held, count = [whole], len(whole[0])
-                if count >= BLOCK // 2:
-                    yield made(whole)
-                    held, count = [], 0
+            if count >= CHUNK_BLOCKS * BLOCK:
+                yield from made()
+                held, count = [], 0
         if count:
-            yield made(joined())
+            yield from made()
 
     plain, cores = rows.select(*names), rows.sparkSession.sparkContext.defaultParallelism
-    n = plain.count()
+    seen = plain.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    n = seen[1] or 0
     parts = max(1, n // (TASK * BLOCK), min(cores, n // LEAST))  # a number, so Spark doesn't merge what is to be spread
-    laid = plain.repartitionByRange(parts, *codes).sortWithinPartitions(*codes)
-    return Stored(laid.mapInArrow(run, ", ".join(["n int", *[f"{c} binary" for c in names]])))
+    even = seen[0] >= min(parts, cores) and seen[2] * min(seen[0], cores) <= 2 * n
+    if levels is None or not even or levels * seen[0] > n // FEWER:
+        plain = plain.repartitionByRange(parts, *codes)
+    return Stored(plain.mapInArrow(run, ", ".join(["n int", *[f"{c} binary" for c in names]])))
 
 
 @dataclass
