@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 from sorbus.operators.graph import Stored, connected_components, shared
 from sorbus.plans.blocks import solved
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
-from sorbus.plans.packed import CellSpace, LevelSpace, PackedSpace, Term, by_code, numbered, packed
+from sorbus.plans.packed import RESTARTS, CellSpace, LevelSpace, PackedSpace, Term, by_code, numbered, packed
 from sorbus.plans.spaces import BROADCAST_BYTES, TableSpace, bytes_of, looked_up
 
 LOCAL_BYTES = 32 << 20
 LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
 VECTORS = 7  # of which LSMR holds so many over the levels
+LEAST_SLOPE = 1e-12  # of the residual itself, which rounding lets no solve fall much below
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
 COMPONENT_ROWS = 1 << 20  # cells of the components that one task solves together; a larger component is solved apart
 STRATEGIES = ("auto", "closed_form", "local", "packed", "components", "distributed")
@@ -373,7 +374,14 @@ class Absorber:
                 log.info("step %d, %d of %d outcomes left", step, left, len(outcomes))
 
         tol = self.options.tolerance
-        found = lsmr(space, Rule(tol, tol, maxiter=max(1, self.options.maxiter - warm)), self.options.damp, tell=tell)
+        most = max(1, self.options.maxiter - warm)
+        found = lsmr(space, Rule(tol, tol, maxiter=most), self.options.damp, tell=tell)
+        for _ in range(RESTARTS if isinstance(space, PackedSpace) and not self.options.damp else 0):
+            left = most - max((o.iterations for o in found), default=0)
+            if left <= 0 or not (open_ := space.restarted(max(tol, LEAST_SLOPE))):
+                break
+            more = lsmr(space, Rule(tol, tol, maxiter=left), tell=tell)
+            found = [Outcome(o.iterations + m.iterations, m.converged, m.istop) if i in open_ else o for i, (o, m) in enumerate(zip(found, more, strict=True))]
         self.stats = {y: Outcome(o.iterations + warm, o.converged, o.istop) for y, o in zip(outcomes, found, strict=True)}
 
     def warmed(self, warm: bool) -> bool:

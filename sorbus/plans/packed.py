@@ -32,7 +32,9 @@ from sorbus.plans.blocks import roots
 BLOCK, SEGMENT = 1 << 16, 1 << 14
 TASK, LEAST = 16, 4096  # blocks of a task at most, and rows of one at least, of large and small designs
 CHUNK_BLOCKS, FEWER = 4, 4  # blocks that are sorted together; rows per level and task from which rows stay where they lie
-NOISE = 1e-14  # share of the squared length of A v below which what is left of it is rounding
+NOISE = 1e-13  # share of the squared length of A v below which what is left of it is rounding
+LOST = 1e-14  # share of A'A v below which what is left of it is rounding
+RESTARTS = 5
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -159,20 +161,22 @@ class Pass:
 
 
 class LevelSpace:
-    """LSMR's v, h, h-bar and x over the levels of all effects; u is not stored.
+    """LSMR's v, h, h-bar and x over the levels of all effects; u is not stored, but where a space has its own steps.
+
+    What u's recurrence gives without u has lost the digits by which A v and alpha u agree. So lengths that rounding alone could
+    have made are 0, which ends the solve; and restarted() tells, from the residual itself, whether it is solved.
 
     terms: the effects; levels: per column of codes how many; grams: per column its levels' Gram matrices, by which effects
     that share it are made orthogonal, level by level (blocks.roots). A solve begins from A'b if warm, else from 0.
     """
 
-    noise = NOISE
-
     def __init__(self, terms: list[Term], levels: dict[str, int], outcomes: int, grams: dict[str, np.ndarray], warm: bool):
         self.terms, self.levels, self.n_outcomes, self.warm = terms, levels, outcomes, warm
         self.groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
         self.sizes = [levels[t.code] for t in terms]
         self.edges = np.concatenate([[0], np.cumsum(self.sizes)]).astype(int)
         self.roots = {c: roots(g)[0] for c, g in grams.items()}
+        self.begun, self.largest = None, 0.0
 
     def products(self, which: list[int], values: list[np.ndarray], rest: bool) -> tuple[list[np.ndarray], list[float]]:
         """Per outcome in `which` A'r and r's squared length, where r is b - A z (rest) or A z, in one pass for all."""
@@ -195,7 +199,7 @@ class LevelSpace:
 
     def start(self):
         every, zero = list(range(self.n_outcomes)), np.zeros(self.edges[-1])
-        self.x = [zero.copy() for _ in every]
+        self.x = self.begun or [zero.copy() for _ in every]
         if self.warm:
             self.x = self.products(every, self.x, True)[0]
         back, squares = self.products(every, self.x, True)
@@ -212,16 +216,25 @@ class LevelSpace:
         back, squares = self.products(which, [self.v[i] for i in which], False)
         out = []
         for i, a, g, s in zip(which, alpha, back, squares, strict=True):
-            self.back[i] = g
+            self.back[i], self.largest = g, max(self.largest, math.sqrt(s))
             left = s - a * a
-            out.append(math.sqrt(left) if left > self.noise * s else 0.0)
+            out.append(math.sqrt(left) if left > NOISE * s else 0.0)
         return out
 
+    def restarted(self, atol: float) -> list[int]:
+        """A solve may begin again from x: start() will. The outcomes whose residual r has an A'r of more than atol times the
+        lengths of r and of A, whose estimate is the largest A v seen."""
+        every = list(range(self.n_outcomes))
+        back, squares = self.products(every, self.x, True)
+        self.warm, self.begun = False, self.x
+        return [i for i, g, s in zip(every, back, squares, strict=True) if np.linalg.norm(g) > atol * self.largest * math.sqrt(s)]
+
     def right(self, which, beta):
         """A' of the new u is (A'A v - alpha A' of the old u) / beta, and A' of the old u is alpha v + its beta v before."""
         out = []
         for i, b in zip(which, beta, strict=True):
             v, a, new, before = self.v[i], self.alpha[i], self.back[i], self.before[i]
+            rounding = LOST * math.sqrt(float(new @ new)) / b if b else 0.0
             if b:
                 before *= -a * self.beta[i] / b
                 new /= b
@@ -230,7 +243,8 @@ class LevelSpace:
                 new -= before
             else:
                 new = np.zeros_like(v)
-            self.before[i], self.beta[i], self.alpha[i] = v, b, math.sqrt(float(new @ new))
+            length = math.sqrt(float(new @ new))
+            self.before[i], self.beta[i], self.alpha[i] = v, b, length if length > rounding else 0.0
             if self.alpha[i]:
                 new /= self.alpha[i]
             self.v[i] = new
@@ -286,7 +300,6 @@ class CellSpace(LevelSpace):
             part["slopes"] = {s: x[lo:hi].astype(kind) for s, x in slopes.items()}
             self.parts.append(part)
         self.pool, self.kind = ThreadPoolExecutor(cores), kind
-        self.noise = NOISE if kind is np.float64 else 1e-6
         groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
         sums = []
         for c, one, two in gram_pairs(groups):
@@ -294,39 +307,74 @@ class CellSpace(LevelSpace):
             sums.append(np.bincount(codes[c], (1.0 if weight is None else weight) * x[0] * x[1] * np.ones(n), levels[c]))
         super().__init__(terms, levels, len(b), gram_matrices(groups, levels, sums), warm)
 
-    def products(self, which, values, rest):
-        return tuple(map(list, zip(*[self.product(i, self.level_product(z, False).astype(self.kind), rest) for i, z in zip(which, values, strict=True)], strict=True)))
-
-    def product(self, i: int, coefficients: np.ndarray, rest: bool) -> tuple[np.ndarray, float]:
-        def one(part: dict) -> tuple[list, float]:
-            fit = None
-            for k, t in enumerate(self.terms):
-                low, g = part["codes"][t.code]
-                x = coefficients[self.edges[k] + low : self.edges[k + 1]][g]
-                if t.slope:
-                    x *= part["slopes"][t.slope]
-                fit = x if fit is None else np.add(fit, x, out=fit)
-            root = part["root"]
-            if root is not None:
-                fit *= root
-            if rest:
-                fit = part["b"][i] - fit
-            square = float(np.dot(fit, fit))
-            if root is not None:
-                fit *= root
-            out = []
+    def forward(self, part: dict, coefficients: np.ndarray) -> np.ndarray:
+        fit = None
+        for k, t in enumerate(self.terms):
+            low, g = part["codes"][t.code]
+            x = coefficients[self.edges[k] + low : self.edges[k + 1]][g]
+            if t.slope:
+                x *= part["slopes"][t.slope]
+            fit = x if fit is None else np.add(fit, x, out=fit)
+        if part["root"] is not None:
+            fit *= part["root"]
+        return fit
+
+    def moved(self, i: int, z: np.ndarray, scale: float, old: float) -> float:
+        """u := scale A z + old u; its length."""
+        coefficients = (self.level_product(z, False) * scale).astype(self.kind)
+
+        def one(part: dict) -> float:
+            u = part["u"][i]
+            u *= self.kind(old)
+            u += self.forward(part, coefficients)
+            return float(np.dot(u, u))
+
+        return math.sqrt(sum(self.pool.map(one, self.parts)))
+
+    def gathered(self, i: int) -> np.ndarray:
+        """A'u."""
+
+        def one(part: dict) -> list:
+            u, out = part["u"][i], []
+            if part["root"] is not None:
+                u = u * part["root"]
             for t in self.terms:
                 low, g = part["codes"][t.code]
-                out.append((low, np.bincount(g, fit * part["slopes"][t.slope] if t.slope else fit)))
-            return out, square
+                out.append((low, np.bincount(g, u * part["slopes"][t.slope] if t.slope else u)))
+            return out
 
-        total, length = np.zeros(self.edges[-1]), 0.0
-        for sums, square in self.pool.map(one, self.parts):
-            length += square
+        total = np.zeros(self.edges[-1])
+        for sums in self.pool.map(one, self.parts):
             for k, (low, s) in enumerate(sums):
                 begin = self.edges[k] + low
                 total[begin : begin + len(s)] += s
-        return self.level_product(total, True), length
+        return self.level_product(total, True)
+
+    def start(self):
+        every, zero = list(range(self.n_outcomes)), np.zeros(self.edges[-1])
+        for part in self.parts:
+            part["u"] = [x.copy() for x in part["b"]]
+        self.x = [self.gathered(i) if self.warm else zero.copy() for i in every]
+        self.beta = [self.moved(i, self.x[i], -1.0, 1.0) for i in every]  # u is kept unscaled, beta times what it stands for
+        self.v = [self.gathered(i) / b if b else zero.copy() for i, b in zip(every, self.beta, strict=True)]
+        self.alpha = [math.sqrt(float(v @ v)) for v in self.v]
+        self.v = [v / a if a else v for v, a in zip(self.v, self.alpha, strict=True)]
+        self.h, self.bar = [v.copy() for v in self.v], [zero.copy() for _ in every]
+        return list(self.beta), list(self.alpha)
+
+    def left(self, which, alpha):
+        for i, a in zip(which, alpha, strict=True):
+            self.beta[i] = self.moved(i, self.v[i], 1.0, -a / self.beta[i] if self.beta[i] else 0.0)
+        return [self.beta[i] for i in which]
+
+    def right(self, which, beta):
+        for i, b in zip(which, beta, strict=True):
+            new = self.v[i] * -b
+            if b:
+                new += self.gathered(i) / b
+            self.alpha[i] = math.sqrt(float(new @ new))
+            self.v[i] = new / self.alpha[i] if self.alpha[i] else new
+        return [self.alpha[i] for i in which]
 
 
 class PackedSpace(LevelSpace):
