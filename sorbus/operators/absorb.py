@@ -31,6 +31,7 @@ from sorbus.plans.spaces import BROADCAST_BYTES, TableSpace, bytes_of, looked_up
 LOCAL_BYTES = 32 << 20
 LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
 VECTORS = 7  # of which LSMR holds so many over the levels
+BEYOND = 10  # times what was asked, from which a packed solve goes on
 LEAST_SLOPE = 1e-12  # of the residual itself, which rounding lets no solve fall much below
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
 COMPONENT_ROWS = 1 << 20  # cells of the components that one task solves together; a larger component is solved apart
@@ -378,7 +379,7 @@ class Absorber:
         found = lsmr(space, Rule(tol, tol, maxiter=most), self.options.damp, tell=tell)
         for _ in range(RESTARTS if isinstance(space, PackedSpace) and not self.options.damp else 0):
             left = most - max((o.iterations for o in found), default=0)
-            if left <= 0 or not (open_ := space.restarted(max(tol, LEAST_SLOPE))):
+            if left <= 0 or not (open_ := space.restarted(BEYOND * max(tol, LEAST_SLOPE))):
                 break
             more = lsmr(space, Rule(tol, tol, maxiter=left), tell=tell)
             found = [Outcome(o.iterations + m.iterations, m.converged, m.istop) if i in open_ else o for i, (o, m) in enumerate(zip(found, more, strict=True))]
