@@ -139,20 +139,51 @@ def test_fingerprint(spark, texts):
         assert got[d].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert got[d].fingerprint == fingerprint.to_text(fingerprint.sketch(texts[d]))
     exact = lambda t: fingerprint.sketch(t, scale=1)  # noqa: E731  every hash is below the threshold
-    off = []
+    off, shares = [], []
     for k, d in enumerate(ids):
         t, n = texts[d], texts[ids[(k + 1) % len(ids)]]
         e = fingerprint.edited(t, n)
         assert got[d].n_chars == len(t) and (got[d].edited_fingerprint == got[d].fingerprint or t != e)
-        assert (fingerprint.from_text(got[d].edited_fingerprint) == fingerprint.sketch(e)).all()
+        back, made = fingerprint.from_text(got[d].edited_fingerprint), fingerprint.sketch(e)
+        assert back.bound == made.bound and (back.hashes == made.hashes).all()
         for near, share, o in ((got[d].near_edited, got[d].in_edited, e), (got[d].near_next, got[d].in_next, n)):
             a, b = exact(t), exact(o)
             off.append(abs(near - fingerprint.likeness(a, b, t == o)))
-            assert abs(share - fingerprint.containment(a, b)) < 4 / np.sqrt(len(a) + 1)
-            assert off[-1] < 4 / np.sqrt(max(len(a), len(b)) + 1)
-    assert np.mean(off) < 0.03
-    a, b = fingerprint.sketch("a b c d e f g h " * 3), fingerprint.sketch("z y x w v u")
-    assert set(fingerprint.merge(a, b)) == set(a) | set(b)
+            used = fingerprint.compared(fingerprint.sketch(t), fingerprint.sketch(o))[0]
+            shares.append((share - fingerprint.containment(a, b)) * np.sqrt(used))
+            assert off[-1] < 0.4
+    assert np.mean(off) < 0.03 and np.max(np.abs(shares)) < 2.5
+    long = [r for r in got.values() if r.n_chars > 2000]
+    assert sum(len(r.fingerprint) for r in long) < sum(r.n_chars for r in long) / 10
+
+
+def test_sketch_bounds():
+    """What is kept, and that sketches merge to that of the texts together, however unequal they are."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 300_000)]
+    whole, part = " ".join(words), " ".join(words[7000:7400])
+    w, p, every = fingerprint.sketch(whole), fingerprint.sketch(part), fingerprint.sketch(whole, scale=1)
+    assert w.bound == 2**40 // fingerprint.SCALE and len(every.hashes) == 299_996
+    assert (w.hashes == every.hashes[every.hashes < w.bound]).all() and abs(len(w.hashes) / len(every.hashes) * fingerprint.SCALE - 1) < 0.05
+    assert len(p.hashes) == fingerprint.LEAST and p.bound > w.bound
+    assert fingerprint.containment(p, w) == 1 and fingerprint.containment(w, p) < 0.01
+    both = fingerprint.sketch(f"{whole} {part}")
+    merged = fingerprint.merge(w, p)
+    assert merged.bound == w.bound and set(merged.hashes) <= set(both.hashes) and len(both.hashes) - len(merged.hashes) <= 4
+    few = fingerprint.sketch("a b c d e f")
+    assert few.bound == 2**40 and len(few.hashes) == 2 and fingerprint.from_text(fingerprint.to_text(few)).bound == 2**40
+    none = fingerprint.sketch("")
+    assert fingerprint.likeness(none, none, True) == 1 and fingerprint.likeness(none, few, False) == 0
+
+
+def test_fingerprint_of_a_long_text_and_many_ranges(spark):
+    rows = [(i, f"a{i} b c d e f g", i) for i in range(0, 900, 3)] + [(450, "x y z " * 1_000_000, 1), (901, None, 2), (None, "lost", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket long").repartition(40)
+    got = {(r.doc_id, r.n_chars): r for r in fingerprint.fingerprints(df).collect()}
+    assert len(got) == 302 and got[450, 6_000_000].in_next == 0 and got[901, 0].near_edited == 1
+    order = sorted(((d, t or "") for d, t, _ in rows if d is not None))
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        assert got[d, len(t)].edited_sha256 == hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest()
 
 
 def test_html(spark):
