@@ -1,15 +1,17 @@
 """Nearest neighbours by additive quantisation (operator 5).
 
 A vector is coded as a sum of one full-dimensional codeword per book, found by beam search over residual codebooks; its
-code and squared norm are stored. Queries are scored from look-up tables of their inner products with all codewords; the
-best sixteenth of every block of rows, 400 at least, and all rows that score as the last of these, are ranked again on the
-original vectors, in double precision. So equal vectors, which have equal codes, are all ranked again, or none is.
+code and squared norm are stored. Queries are scored from look-up tables of their inner products with all codewords. Each
+query has a least score: that which the best sixteenth of the sample, 400 rows of the table at least, reach. All rows that
+score as much are ranked again on the original vectors, in double precision. So what is ranked again does not depend on how
+the rows lie in files, partitions or batches, and equal vectors, which have equal codes, are all ranked again, or none is.
 
 The queries are answered a block at a time: the driver and every executor hold one block, and each is a pass over the codes.
 
 Vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no
-part. Ties go to the smaller vec_id. Repeated ids: each row is a candidate for other ids. The codebooks are fitted on at
-most `sample` rows; every row is coded and searched.
+part. Ties go to the smaller vec_id. Repeated ids: each row is a candidate for other ids; the query is the row of the least
+vector, component by component. Other columns, whatever their names, are not read. An empty table gives no rows. The
+codebooks and least scores are fitted on at most `sample` rows (64 MB); every row is coded and searched.
 """
 
 from __future__ import annotations
@@ -98,10 +100,32 @@ def index(df: DataFrame, books: np.ndarray) -> DataFrame:
     return map_arrow(df, run, "vec_id long, v array<double>, code binary, norm double")
 
 
+def scored(q: np.ndarray, code: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Inner products (queries, rows) of queries with coded rows, by look-up tables."""
+    lut = np.einsum("qd,mwd->mqw", q, books).astype(np.float32)
+    near = np.zeros((len(q), len(code)), np.float32)
+    for m in range(len(lut)):
+        near += lut[m][:, code[:, m]]
+    return near
+
+
+def least_scores(q: np.ndarray, code: np.ndarray, books: np.ndarray, rows: int, rerank: int) -> np.ndarray:
+    """Per query the score that a sixteenth of the coded sample, or as much as stands for `rerank` of all rows, reaches."""
+    top = min(len(code), -(-len(code) * max(1, min(rows, max(rerank, -(-rows // SHARE)))) // max(1, rows)))
+    if top == len(code):
+        return np.full(len(q), -np.inf)
+    out = np.empty(len(q))
+    for lo in range(0, len(q), 64):
+        part = q[lo : lo + 64]
+        rounding = 1e-5 * np.abs(np.einsum("qd,mwd->mqw", part, books)).max(2).sum(0)  # ties stay ties in any order of sums
+        out[lo : lo + 64] = np.partition(scored(part, code, books), len(code) - top, 1)[:, len(code) - top] - rounding
+    return out
+
+
 def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sample: int = 20_000, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k rows of largest inner product.
 
-    Of every block of rows a sixteenth, `rerank` rows at least, is ranked again. A block of queries is at most `block`.
+    About a sixteenth of all rows, `rerank` rows at least, is ranked again. A block of queries is at most `block`.
     """
     spark = prepare(df.sparkSession)
     rows = usable(df)
@@ -112,7 +136,8 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
     rows = rows.where(F.size("v") == dim)
     learned = np.array([r.v for r in sample_rows(rows, "vec_id", "v", sample, SAMPLE_BYTES)], float)
     coded = index(rows, books := fit(learned)).checkpoint()
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    n_rows, seen = coded.count(), encode(learned, books)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // (block // 2)))
     asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).checkpoint()
     folder = f"{shared_folder(spark)}/found-{uuid.uuid4().hex}"
@@ -121,21 +146,17 @@ def search(df: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sampl
         got = asked.where(F.col("b") == i).orderBy("vec_id").select("vec_id", "v").toArrow()
         if not len(got):
             continue
-        held = spark.sparkContext.broadcast((np.array(got["vec_id"].to_pylist()), np.array(got["v"].to_pylist(), float)))
+        q = np.array(got["v"].to_pylist(), float)
+        held = spark.sparkContext.broadcast((np.array(got["vec_id"].to_pylist()), q, least_scores(q, seen, books, n_rows, rerank)))
 
         def run(batch: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
+            qid, q, least = held.value
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             ids, x = batch.column("vec_id").to_numpy(zero_copy_only=False), vectors(batch.column("v"), dim)
             for lo in range(0, len(q), 128):
-                lut = np.einsum("qd,mwd->mqw", q[lo : lo + 128], books).astype(np.float32)
-                near = np.zeros((lut.shape[1], len(ids)), np.float32)
-                for m in range(len(lut)):
-                    near += lut[m][:, code[:, m]]
-                top = min(max(rerank, -(-len(ids) // SHARE)), len(ids))
-                least = np.partition(near, len(ids) - top, 1)[:, len(ids) - top]
+                near = scored(q[lo : lo + 128], code, books)
                 for j in range(len(near)):
-                    cand = np.flatnonzero(near[j] >= least[j])
+                    cand = np.flatnonzero(near[j] >= least[lo + j])
                     cand = cand[ids[cand] != qid[lo + j]]
                     exact = np.array([np.dot(x[c], q[lo + j]) for c in cand]) if len(cand) <= k else x[cand] @ q[lo + j]
                     best = cand[np.lexsort((ids[cand], -exact))[:k]]

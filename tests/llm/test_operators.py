@@ -265,6 +265,30 @@ def test_search_ties(spark):
     assert found[0] == list(range(1, 21)) and found[2000] == found[1000] == list(range(20)) and found[3000] == list(range(20))
 
 
+def test_search_of_repeated_ids_in_any_order_of_rows(spark):
+    """A repeated id's query is its least vector; columns with clashing names are not read; batches and files don't matter."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 2900, rng.standard_normal(8).round(3).tolist(), float(i)) for i in range(3000)]
+    rows += [(40, None, 0.0), (40, [0.0] * 8, 0.0), (None, [1.0] * 8, 0.0), (80, [1.0] * 7, 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double").withColumn("v", F.lit(1)).withColumn("query_id", F.lit(2))
+    first = sorted(tuple(r) for r in aq.search(df.coalesce(1)).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        assert sorted(tuple(r) for r in aq.search(df.repartition(7)).collect()) == first
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(first) == 20 * 145
+    held = [(i, v) for i, v, _ in rows if i is not None and v and len(v) == 8 and any(v)]
+    hits = 0
+    for q in (0, 20, 80, 2880):
+        mine = np.array(min(v for i, v in held if i == q))
+        want = sorted((-float((np.array(v) * mine).sum()), i) for i, v in held if i != q)[:20]
+        got = [(i, s) for a, _, i, s in first if a == q]
+        assert got == sorted(got, key=lambda x: (-x[1], x[0]))
+        hits += len({(i, round(-s, 9)) for s, i in want} & {(i, round(s, 9)) for i, s in got})
+    assert hits >= 72
+
+
 @pytest.mark.parametrize("n", [10_000, 20_000])
 def test_search_recall_beyond_the_budget(spark, n):
     """Isotropic vectors, all in one batch that is far larger than what is ranked again."""
