@@ -221,7 +221,7 @@ def blocks_of(html: str, known: dict[str, float] | None = None, keep_names: bool
 #: Columns of `features`. Link densities are shares of the words; a missing neighbour has no words and no links.
 NAMES = (
     "words", "links", "words before", "links before", "words after", "links after", "words two before", "words two after", "least mark", "largest mark",
-    "heading", "item", "in article", "in main", "in nav", "in header", "in footer", "in aside", "in form", "page has article", "share of the page before",
+    "heading", "item", "in article", "in main", "in nav", "in header", "in footer", "in aside", "in form", "page has article", "largest mark of the page", "share of the page", "share of the page before",
 )
 
 
@@ -244,10 +244,12 @@ def features(blocks: list[Block]) -> np.ndarray:
     page = np.full(n, float((inside[2] + inside[3]).any()))
     total = np.cumsum(words)
     cols = [words, links, shifted(words, 1), shifted(links, 1), shifted(words, -1), shifted(links, -1), shifted(words, 2), shifted(words, -2), marks[:, 0], marks[:, 1], *inside, page]
-    return np.stack([*cols, (total - words) / max(1.0, total[-1] if n else 1.0)], 1) if n else np.zeros((0, len(NAMES)))
+    if not n:
+        return np.zeros((0, len(NAMES)))
+    return np.stack([*cols, np.full(n, marks[:, 1].max()), words / total[-1], (total - words) / total[-1]], 1)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 3) -> tuple | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 8) -> tuple | float:
     """A tree of (feature, threshold, at most, above), by the least Gini impurity; leaves are shares of label 1."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
@@ -278,8 +280,8 @@ def decide(tree: tuple | float, row: list[float]) -> float:
     return tree
 
 
-def labelled_pages(n: int = 900, seed: int = 3) -> list[str]:
-    """Pages of many layouts. What belongs to the article is marked: its words begin with "m", those of all else with "b"."""
+def labelled_pages(n: int = 1600, seed: int = 3) -> list[str]:
+    """Pages of many layouts, a quarter of them with names that say nothing. What belongs to the article is marked: its words begin with "m", those of all else with "b"."""
     rng = np.random.default_rng(seed)
 
     def some(kind: str, lo: int, hi: int) -> str:
@@ -295,6 +297,8 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[str]:
         return f'<a href="/x">{some("b", lo, hi)}</a>'
 
     def named(*of: str) -> str:
+        if nameless:  # names that say nothing, or none
+            return pick("", "", f' class="c{int(rng.integers(99))}"', f' id="{pick("x", "y", "z")}{int(rng.integers(99))}"')
         return f' {pick("class", "class", "id")}="{pick(*of)}"'
 
     def paragraph() -> str:
@@ -323,7 +327,7 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[str]:
                 parts.append(f"<figure><img src=x><figcaption>{some('m', 3, 15)}</figcaption></figure>")
             else:
                 parts.append("<table>" + "".join(f"<tr><td>{some('m', 1, 4)}</td><td>{some('m', 1, 6)}</td></tr>" for _ in range(3)) + "</table>")
-        if chance(0.15):
+        if not nameless and chance(0.15):  # without a name it could not be told apart
             parts.insert(int(rng.integers(len(parts) + 1)), f"<div{named('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner')}>{some('b', 3, 18)}</div>")
         if chance(0.2):
             parts.append(f"<div{named('share', 'social', 'sharing', 'share-buttons')}>{' '.join(link() for _ in range(4))}</div>")
@@ -368,9 +372,32 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[str]:
         words = pick(f"&copy; {some('b', 2, 20)}", f"<p>{some('b', 3, 30)}</p>", f"{' '.join(link() for _ in range(4))} {some('b', 2, 9)}", f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul><p>&copy; {some('b', 3, 9)}</p>")
         return pick(f"<footer>{words}</footer>", f"<footer>{words}</footer>", f"<div{named('footer', 'site-footer', 'copyright', 'colophon')}>{words}</div>")
 
-    out = []
+    def cell(inner: str) -> str:
+        return f"<td{pick('', ' valign=top', ' width=200')}>{inner}</td>"
+
+    def plain() -> str:
+        runs = [some("m", 1, 9), *(some("m", 5, 120) for _ in range(int(rng.integers(0, 5))))]
+        return pick("\n\n".join(runs), "<br><br>".join(runs), f"<pre>{' '.join(runs)}</pre>", "".join(f"<p>{r}" for r in runs))
+
+    told_by_name = (notice, advert, comments)  # sentences like any others
+    out, nameless = [], False
     for _ in range(n):
+        nameless = chance(0.25)
+        if chance(0.04):
+            out.append(pick("{}", "<html><body>{}</body></html>", "<div>{}</div>").format(plain()))
+            continue
         inner = title() + body()
+        if chance(0.06):  # laid out by a table
+            sides = [cell("<br>".join(link() for _ in range(int(rng.integers(3, 8))))), cell(inner), cell(pick(some("b", 3, 18), f"<p>{some('b', 3, 18)}</p>", f"{some('b', 2, 12)} {link()}"))]
+            if chance(0.4):
+                del sides[int(rng.choice([0, 2]))]
+            rows = [f"<tr>{''.join(sides)}</tr>"]
+            if chance(0.5):
+                rows.insert(0, f"<tr><td colspan={len(sides)}>{some('b', 1, 4)} {' | '.join(link() for _ in range(4))}</td></tr>")
+            if chance(0.5):
+                rows.append(f"<tr><td colspan={len(sides)}>&copy; {some('b', 2, 9)}</td></tr>")
+            out.append(f"<html><body><table>{''.join(rows)}</table></body></html>")
+            continue
         shell = rng.random()
         if shell < 0.45:
             held = f"<article{pick('', '', named('post', 'entry', 'article'))}>{inner}</article>"
@@ -381,8 +408,11 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[str]:
             held = pick(inner, f"<div>{inner}</div>", f"<div><div>{inner}</div></div>")
         else:
             held = f"<div{named('content', 'post', 'entry-content', 'article-body', 'story', 'post-content', 'main-content', 'text')}>{inner}</div>"
-        before = [f() for f, p in ((top, 0.9), (notice, 0.3), (advert, 0.5), (aside, 0.15)) if chance(p)]
-        after = [f() for f, p in ((advert, 0.25), (aside, 0.4), (form, 0.25), (comments, 0.45), (notice, 0.15), (foot, 0.9)) if chance(p)]
+        if chance(0.15):  # nothing but the article
+            out.append(pick(held, f"<html><head><title>b</title></head><body>{held}</body></html>", inner))
+            continue
+        before = [f() for f, p in ((top, 0.9), (notice, 0.3), (advert, 0.5), (aside, 0.15)) if chance(p) and not (nameless and f in told_by_name)]
+        after = [f() for f, p in ((advert, 0.25), (aside, 0.4), (form, 0.25), (comments, 0.45), (notice, 0.15), (foot, 0.9)) if chance(p) and not (nameless and f in told_by_name)]
         out.append(f"<html><head><title>b</title></head><body>{''.join(before)}{held}{''.join(after)}</body></html>")
     return out
 

@@ -209,6 +209,39 @@ def test_html_of_all_pages(spark):
     assert {r.page_id: (r.url, r.text) for r in QUERIES["op4_html"](spark, d).collect()} == want
 
 
+RIVER = "The river rose by two metres overnight and flooded the lower part of the town, where most shops had closed before noon."
+MAYOR = "Nobody was hurt, said the mayor, but the old bridge will stay shut until engineers have looked at its piers next week."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div id="inhalt"><h1>Hochwasser</h1><p>{RIVER}</p></div>', ["Hochwasser", RIVER]),
+        (f"<h1>High water</h1><p>{RIVER}</p><p>It rained again.</p><p>{MAYOR}</p>", ["High water", RIVER, "It rained again.", MAYOR]),
+        ("A note in a file without any markup, as mail programs write it.", ["A note in a file without any markup, as mail programs write it."]),
+        (f"<table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td><h1>High water</h1><p>{RIVER}</p><p>{MAYOR}</p></td><td>Buy one, get one free, today only</td></tr></table>", ["High water", RIVER, MAYOR]),
+        (f'<body><div class="wrap7"><div class="k1"><a href=/>Start</a> | <a href=/n>News</a> | <a href=/s>Sport</a></div><div class="k2"><h1>High water</h1><p>{RIVER}</p><p>{MAYOR}</p></div><div class="k3"><a href=/i>Imprint</a> <a href=/p>Privacy</a></div></div></body>', ["High water", RIVER, MAYOR]),
+        (f"<body><nav><a href=/>Start</a></nav><main><h1>High water</h1><p>{RIVER}</p><blockquote><p>{MAYOR}</p></blockquote></main><footer>&copy; Town Paper</footer></body>", ["High water", RIVER, MAYOR]),
+        (f'<body><article class="zeitung"><h1>High water</h1><p>{RIVER}</p><p>{MAYOR}</p></article><section id="comments"><h3>Comments</h3><p>My cellar is full of water too, and nobody came to help us.</p></section></body>', ["High water", RIVER, MAYOR]),
+    ],
+)
+def test_html_of_pages_written_by_hand(page, want):
+    """None comes from what the tree was grown on; most have no names, or some that it has never seen."""
+    assert html.main_text(page, html.trained()) == "\n\n".join(want)
+
+
+def test_html_tree_does_not_set_out_from_names():
+    assert "mark" not in html.NAMES[html.trained()[1][0]]
+
+
+def test_html_tables(spark):
+    df = spark.createDataFrame([(1, f"<p>{RIVER}", 5), (1, f"<p>{RIVER}", 5), (2, f"<h1>Long</h1>" + f"<p>{RIVER} " * 20_000, 6)], "page_id long, html string, n_chars long")
+    got = sorted(tuple(r) for r in html.extract(df).select("page_id", "text", "n_chars").collect())
+    assert got[0] == got[1] == (1, RIVER, len(RIVER))
+    assert got[2][2] == len(got[2][1]) == len("Long") + 20_000 * (len(RIVER) + 2)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_html_layouts():
     known, tree = html.trained()
     used, todo = set(), [tree]
