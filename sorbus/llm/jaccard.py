@@ -5,9 +5,11 @@ Texts with the same shingle set are collapsed first, so a group of copies is one
 filter): by rising frequency, so that passages which many texts share come last, then by hash. Frequencies are counted over
 all texts, CHUNK_ROWS at a time, from FEW texts of these on; the FREQUENT most frequent shingles go to all executors, the
 others count as rare. Which they are decides only how many sets meet: every order finds all links.
-Rows of these prefixes meet by shingle, ordered by size; a shingle that one set alone has ends there. The sets of a shingle
-form a tile, or blocks of BLOCK sets each, of which every two whose sizes can link form one; shingles with the same sets
-form it once. In a tile, bitmaps of parities (their length follows the set's size) give an upper bound of the overlap by
+Rows of these prefixes meet by shingle, ordered by size; a shingle that one set alone has ends there. If a shingle at place
+i of A is the first one that A and B share, they share n - i at most (position filter), so A reaches sets of at most
+(100 n - (100 + t) i) / t shingles: the sets of a shingle are cut where none of the smaller ones reaches the next. What holds
+together forms a tile, or blocks of BLOCK sets each, of which every two whose sizes can link form one; shingles with the same
+sets form it once. In a tile, bitmaps of parities (their length follows the set's size) give an upper bound of the overlap by
 counting bits: short ones first, which leave few rows of few tiles, then long ones. What passes is checked by an exact
 intersection of the sorted shingle arrays, made once more from the texts of the sets that are left.
 
@@ -100,14 +102,28 @@ def set_table(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
+    """(tok, rep, size): a set's prefix; size is n times 2 ** 32 and the shingle's place, so its order is n's."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             pre = part.column("pre").to_pylist()
-            rows = pa.array(np.repeat(np.arange(len(pre)), [len(x) // 8 for x in pre]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(pre), np.int64)), part.column("rep").take(rows), part.column("n").take(rows)], names=["tok", "rep", "n"])
+            lengths = np.array([len(x) // 8 for x in pre], np.int64)
+            rows = np.repeat(np.arange(len(pre)), lengths)
+            place = np.arange(len(rows)) - (np.cumsum(lengths) - lengths)[rows]
+            size = (part.column("n").to_numpy()[rows] << 32) + place
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(pre), np.int64)), part.column("rep").take(pa.array(rows)), pa.array(size)], names=["tok", "rep", "size"])
+
+    return map_arrow(reps.select("rep", "n", "pre"), run, "tok long, rep long, size long")
 
-    return map_arrow(reps.select("rep", "n", "pre"), run, "tok long, rep long, n long")
+
+def cuts(tok: np.ndarray, n: np.ndarray, reach: np.ndarray, percent: int) -> np.ndarray:
+    """Where rows sorted by tok and n begin a new run: another tok, or a size that no row before it with this tok reaches."""
+    new = np.concatenate([[True], tok[1:] != tok[:-1]])
+    base = np.cumsum(new) << 40  # more than any reach
+    most = np.maximum.accumulate(base + reach) - base
+    new[1:] |= most[:-1] < percent * n[1:]
+    return np.flatnonzero(np.concatenate([new, [True]]))
 
 
 def only(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
@@ -116,9 +132,9 @@ def only(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi")
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
-def blocks(reps: DataFrame) -> DataFrame:
-    """(tok, part, name, lo, hi, reps): the sets with a shingle, by size, in blocks; part is -1 where there is but one."""
-    rows = prefixes(reps).repartition("tok").sortWithinPartitions("tok", "n", "rep")
+def blocks(reps: DataFrame, percent: int) -> DataFrame:
+    """(tok, part, name, lo, hi, reps): runs of sets with a shingle, by size, in blocks; part is -1 where there is but one."""
+    rows = prefixes(reps).repartition("tok").sortWithinPartitions("tok", "size", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,7 +143,7 @@ def blocks(reps: DataFrame) -> DataFrame:
         out: list[tuple] = []
 
         def block(tok: int, part: int, rep: np.ndarray, n: np.ndarray) -> None:
-            name = xxhash.xxh3_128_digest(rep.tobytes())
+            name = xxhash.xxh3_128_digest(np.sort(rep).tobytes())
             if part < 0:
                 if name in seen:
                     return
@@ -143,11 +159,11 @@ def blocks(reps: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in cols[5]]).astype(np.int32), pa.array(np.concatenate(cols[5])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)] + [flat], names=["tok", "part", "name", "lo", "hi", "reps"])
 
-        tok = rep = n = np.empty(0, np.int64)
-        part = 0  # of the last group: blocks already out
+        tok = rep = n = reach = np.empty(0, np.int64)
+        part = 0  # of the last run: blocks already out
 
         def group(lo: int, hi: int, done: int, last: bool) -> tuple[int, int]:
-            """Blocks of rows lo to hi, of which `done` are out before; all rows go if it is the last of the group."""
+            """Blocks of the run lo to hi, of which `done` are out before; all rows go if it ends here."""
             while hi - lo > BLOCK:
                 block(int(tok[lo]), done, rep[lo : lo + BLOCK], n[lo : lo + BLOCK])
                 lo, done = lo + BLOCK, done + 1
@@ -156,12 +172,22 @@ def blocks(reps: DataFrame) -> DataFrame:
             return lo, done
 
         for batch in batches:
-            tok, rep, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((tok, "tok"), (rep, "rep"), (n, "n")))
-            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
-            for g in np.flatnonzero((np.diff(at)[:-1] > 1) | ((np.arange(len(at) - 2) == 0) & (part > 0))).tolist():
+            if not batch.num_rows:
+                continue
+            size = batch.column("size").to_numpy()
+            more = (batch.column("tok").to_numpy(), batch.column("rep").to_numpy(), size >> 32, 100 * (size >> 32) - (100 + percent) * (size & 0xFFFFFFFF))
+            tok, rep, n, reach = (np.concatenate(x) for x in zip((tok, rep, n, reach), more, strict=True))
+            at = cuts(tok, n, reach, percent)
+            rows_of, lo = np.diff(at), at[:-1]
+            # Of two rows, the larger set must reach the smaller one too.
+            go = (rows_of > 2) | ((rows_of == 2) & (reach[np.minimum(lo + 1, len(tok) - 1)] >= percent * n[lo]))
+            go[0] |= part > 0
+            for g in np.flatnonzero(go[:-1]).tolist():
                 group(at[g], at[g + 1], part if g == 0 else 0, True)
             lo, part = group(at[-2], at[-1], part if len(at) == 2 else 0, False)
-            tok, rep, n = tok[lo:], rep[lo:], n[lo:]
+            if part:
+                reach[lo] = reach[at[-2] :].max()  # what is out reaches on
+            tok, rep, n, reach = tok[lo:], rep[lo:], n[lo:], reach[lo:]
             if len(out):
                 yield made()
         if len(tok):
@@ -345,11 +371,11 @@ def exact(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: i
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(src, dst) of the sets (rep, set_id, doc_id, n, bits, pre) that link: enough to connect all that links connect."""
-    made = shared(blocks(reps))
+    made = shared(blocks(reps, percent))
     one = made.select(F.col("name").alias("tile"), F.lit(2).alias("side"), "reps").dropDuplicates(["tile"])
     split = made.where("part >= 0")
     at = lambda x: split.select("tok", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "name", "lo", "hi", "reps")])
-    two = at("a").join(at("b"), "tok").where(f"part_a < part_b and 100 * hi_a >= {percent} * lo_b")
+    two = at("a").join(at("b"), "tok").where(f"part_a < part_b and hi_a <= hi_b and 100 * hi_a >= {percent} * lo_b")
     two = two.select(F.concat("name_a", "name_b").alias("tile"), "reps_a", "reps_b").dropDuplicates(["tile"])
     two = two.select("tile", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("reps_a").alias("reps")), F.struct(F.lit(1).alias("side"), F.col("reps_b").alias("reps")))).alias("x")).select("tile", "x.*")
     rows = one.union(two).select("tile", "side", F.explode("reps").alias("rep"))

@@ -497,6 +497,26 @@ def test_widths_in_a_tile():
     assert found == {p for p, x in like.items() if x >= 0.85} and len(found) == 1
 
 
+def test_runs_of_a_shingle():
+    """Two sets that can link by their sizes and the shingle's places lie in one run; sets that none reaches don't."""
+    rng = np.random.default_rng(2)
+    for percent in (50, 80, 85, 100):
+        n = rng.integers(1, 400, 600)
+        place = (rng.random(600) * (n - -(-percent * n // 100) + 1)).astype(np.int64)
+        tok = rng.integers(-3, 3, 600)
+        order = np.lexsort((place, n, tok))
+        tok, n, place = tok[order], n[order], place[order]
+        reach = 100 * n - (100 + percent) * place
+        at = jaccard.cuts(tok, n, reach, percent)
+        run = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for i in range(600):
+            for j in range(i + 1, 600):
+                most = min(n[i] - place[i], n[j] - place[j])  # shared, if this shingle is the first shared one
+                if tok[i] == tok[j] and 100 * most >= percent * (n[i] + n[j] - most):
+                    assert run[i] == run[j]
+        assert all(tok[c] != tok[c - 1] or (reach[(tok == tok[c]) & (np.arange(600) < c)] < percent * n[c]).all() for c in at[1:-1])
+
+
 def test_lm_over_another_corpus(spark, monkeypatch):
     """Slices and buckets of any size, and counts of another table, give what counting by hand gives."""
     monkeypatch.setattr(lm, "SLICE_BYTES", 40)
