@@ -25,14 +25,15 @@ from pyspark.sql import types as T
 from sorbus.operators.graph import Stored, connected_components, shared
 from sorbus.plans.blocks import solved
 from sorbus.plans.lsmr import Outcome, Rule, lsmr
-from sorbus.plans.packed import RESTARTS, CellSpace, LevelSpace, PackedSpace, Term, by_code, numbered, packed
+from sorbus.plans.packed import BLOCK, CHUNK_BLOCKS, HELD, RESTARTS, UNSOLVED, CellSpace, LevelSpace, PackedSpace, Term, by_code, numbered, packed
 from sorbus.plans.spaces import BROADCAST_BYTES, TableSpace, bytes_of, looked_up
 
 LOCAL_BYTES = 32 << 20
 LEVEL_BYTES = 256 << 20  # of the driver, for the levels' vectors of a packed design
-VECTORS = 7  # of which LSMR holds so many over the levels
+VECTORS = 8 + HELD  # of which LSMR holds so many over the levels
+ELIMINATED = 50_000  # levels of an effect from which a packed design eliminates it
 BEYOND = 10  # times what was asked, from which a packed solve goes on
-LEAST_SLOPE = 1e-12  # of the residual itself, which rounding lets no solve fall much below
+LEAST_SLOPE = 1e-13  # of the residual itself, which rounding lets no solve fall much below
 QUIET_SECONDS = 2.0  # no progress is told of work that takes less
 COMPONENT_ROWS = 1 << 20  # cells of the components that one task solves together; a larger component is solved apart
 STRATEGIES = ("auto", "closed_form", "local", "packed", "components", "distributed")
@@ -89,6 +90,7 @@ class Design:
     counts: list[int]
     blocks: Stored
     numbers: dict[str, str]
+    gone: int | None
 
 
 @dataclass(frozen=True)
@@ -178,9 +180,10 @@ class Absorber:
             counts.append(n)
         held = Stored(rows)
         codes, numbers = [f"{self.tag}c{j}" for j in range(len(levels))], {f.name: f"n{i}" for i, f in enumerate(kinds)}
+        gone = self.largest(counts)
         plain = held.df.select(*[F.col(c).alias(f"c{j}") for j, c in enumerate(codes)], *[column(f.name).cast("double").alias(numbers[f.name]) for f in kinds])
         out = self.like(self.df, self.weight)
-        out.design = Design(held.df, codes, levels, counts, packed(plain, [f"c{j}" for j in range(len(codes))], list(numbers.values()), levels=sum(counts)), numbers)
+        out.design = Design(held.df, codes, levels, counts, packed(plain, first([f"c{j}" for j in range(len(codes))], gone), list(numbers.values()), levels=sum(counts), whole=gone is not None), numbers, gone)
         return out
 
     def size(self) -> tuple[int, list[int]]:
@@ -319,12 +322,27 @@ class Absorber:
         if o.strategy == "packed" or (o.strategy == "auto" and o.double_precision):
             levels = [numbered(self.plain([]).select(*[f"__k{j}" for j in self.key_numbers(g)]).distinct(), "__code") for g in self.groups]
             sizes = [bytes_of(t) for t in levels]
-            total = sum(n * len(g) for (n, _), g in zip(sizes, self.groups, strict=True))
+            gone = self.largest([n for n, _ in sizes]) if self.unique(warm) else None
+            total = sum(n * len(g) for j, ((n, _), g) in enumerate(zip(sizes, self.groups, strict=True)) if j != gone)
             if o.strategy == "packed" or 8 * VECTORS * len(outcomes) * total <= o.level_bytes:
-                return self.pack(levels, sizes, outcomes, warm)
+                return self.pack(levels, sizes, outcomes, warm, gone)
             return self.by_component(shared(self.cells(outcomes)), outcomes, warm)
         return self.distributed(shared(self.cells(outcomes)), outcomes, warm)
 
+    def unique(self, residuals: bool) -> bool:
+        """Is what is asked for unique? Residuals are, and the normalised coefficients of two effects without slopes; of
+        others the shortest are wanted, of all effects together, and none may be eliminated."""
+        return residuals or (len(self.effects) == len(self.groups) == 2 and not any(e.slope for e in self.effects))
+
+    def largest(self, counts: list[int]) -> int | None:
+        """The key that a packed design eliminates: that of the most levels, from ELIMINATED on, if it has one effect and no
+        level of more rows than are sorted together. None if damped: then the effect's own coefficients are damped too."""
+        j = int(np.argmax(counts))
+        if len(counts) < 2 or counts[j] < ELIMINATED or len(self.groups[j]) > 1 or self.options.damp:
+            return None
+        rows = self.df.groupBy(*[column(c) for c in self.effects[self.groups[j][0]].keys]).agg(F.count("*").alias("__n"))
+        return j if rows.agg(F.max("__n")).first()[0] <= CHUNK_BLOCKS * BLOCK else None
+
     def closed_form(self, outcomes: list[str]) -> Solved:
         """One aggregation by the key all effects share; nothing is written. Slopes are taken from their mean first, if
         there is an intercept, so that one that lies far from 0 costs no digits."""
@@ -377,12 +395,16 @@ class Absorber:
         tol = self.options.tolerance
         most = max(1, self.options.maxiter - warm)
         found = lsmr(space, Rule(tol, tol, maxiter=most), self.options.damp, tell=tell)
-        for _ in range(RESTARTS if isinstance(space, PackedSpace) and not self.options.damp else 0):
+        enough = BEYOND * max(tol, LEAST_SLOPE)
+        for n in range(RESTARTS + 1 if isinstance(space, PackedSpace) and not self.options.damp else 0):
             left = most - max((o.iterations for o in found), default=0)
-            if left <= 0 or not (open_ := space.restarted(BEYOND * max(tol, LEAST_SLOPE))):
+            if not (open_ := space.restarted(enough)) or left <= 0 or n == RESTARTS:
                 break
-            more = lsmr(space, Rule(tol, tol, maxiter=left), tell=tell)
+            steps = max(1, max(o.iterations for o in found) // 2 ** (n + 1))  # fewer, if rounding has spoilt what so many made
+            more = lsmr(space, Rule(tol, tol, maxiter=min(left, steps) if space.worse else left), tell=tell)
             found = [Outcome(o.iterations + m.iterations, m.converged, m.istop) if i in open_ else o for i, (o, m) in enumerate(zip(found, more, strict=True))]
+        if isinstance(space, PackedSpace) and not self.options.damp:
+            found = [Outcome(o.iterations, slope <= enough or (o.converged and slope <= max(tol, UNSOLVED)), o.istop) for o, slope in zip(found, space.slopes, strict=True)]
         self.stats = {y: Outcome(o.iterations + warm, o.converged, o.istop) for y, o in zip(outcomes, found, strict=True)}
 
     def warmed(self, warm: bool) -> bool:
@@ -391,40 +413,50 @@ class Absorber:
     def terms(self, slope: dict[str | None, str | None]) -> list[Term]:
         return [Term(f"c{j}", slope[self.effects[k].slope], a) for k in range(len(self.effects)) for j, g in enumerate(self.groups) for a, i in enumerate(g) if i == k]
 
-    def by_level(self, space: LevelSpace) -> list[list[tuple[str, np.ndarray]]]:
-        """Per key the columns __b{k}_{i} by code."""
+    def by_level(self, space: LevelSpace, gone: int | None = None) -> list[list[tuple[str, np.ndarray]]]:
+        """Per key the columns __b{k}_{i} by code; none of an eliminated one."""
         found = space.coefficients()
-        return [[(f"__b{k}_{i}", b[k]) for k in g for i, b in enumerate(found)] for g in self.groups]
+        place = {k: n for n, k in enumerate(k for k in range(len(self.effects)) if gone is None or k not in self.groups[gone])}
+        return [[(f"__b{k}_{i}", b[place[k]]) for k in g if k in place for i, b in enumerate(found)] for g in self.groups]
+
+    def packed_space(self, blocks: DataFrame, slopes: dict, counts: list[int], weight: str | None, ys: list[str], summed: bool, warm: bool, gone: int | None) -> PackedSpace:
+        terms, away = self.terms(slopes), f"c{gone}"
+        levels = {f"c{j}": n for j, n in enumerate(counts) if j != gone}
+        return PackedSpace(blocks, [t for t in terms if t.code != away], levels, weight, ys, summed, warm, next((t for t in terms if t.code == away), None))
 
-    def pack(self, levels: list[DataFrame], sizes: list[tuple[int, int]], outcomes: list[str], warm: bool) -> list[Solved]:
+    def pack(self, levels: list[DataFrame], sizes: list[tuple[int, int]], outcomes: list[str], warm: bool, gone: int | None = None) -> list[Solved]:
         coded = self.plain(outcomes)
         for j, (g, t, (_, size)) in enumerate(zip(self.groups, levels, sizes, strict=True)):
             coded = looked_up(coded, t.withColumnRenamed("__code", f"c{j}"), [f"__k{i}" for i in self.key_numbers(g)], size=size)
         slopes = {e.slope: "n" + self.slope_name(e)[3:] for e in self.effects if e.slope}
         wy = [f"nwy{i}" for i in range(len(outcomes))]
         numbers = [*[F.col(f"__x{c[1:]}").alias(c) for c in slopes.values()], F.col("__w").alias("nw"), *[(F.col("__w") * F.col(f"__y{i}")).alias(c) for i, c in enumerate(wy)]]
-        codes = [f"c{j}" for j in range(len(levels))]
-        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy], ("nw", *wy), sum(n for n, _ in sizes))
-        counts = [n for n, _ in sizes]
-        space = PackedSpace(blocks.df, self.terms({None: None} | slopes), dict(zip(codes, counts, strict=True)), "nw", wy, True, self.warmed(warm))
+        codes, counts = first([f"c{j}" for j in range(len(levels))], gone), [n for n, _ in sizes]
+        blocks = packed(coded.select(*codes, *numbers), codes, [*slopes.values(), "nw", *wy], ("nw", *wy), sum(counts), gone is not None)
+        space = self.packed_space(blocks.df, {None: None} | slopes, counts, "nw", wy, True, self.warmed(warm), gone)
         self.solve(space, outcomes, self.warmed(warm))
-        blocks.drop()
         out = []
-        for g, t, (n, size), b in zip(self.groups, levels, sizes, self.by_level(space), strict=True):
-            small = by_code(t.sparkSession, "__code", b)
-            bytes_ = 8 * n * (1 + len(b))
+        for j, (g, t, (n, size), b) in enumerate(zip(self.groups, levels, sizes, self.by_level(space, gone), strict=True)):
+            small = self.absent(space, g, "__code", len(outcomes)) if j == gone else by_code(t.sparkSession, "__code", b)
+            bytes_ = 8 * n * (1 + len(g) * len(outcomes))
             table = t.join(F.broadcast(small) if bytes_ <= BROADCAST_BYTES else small, "__code").drop("__code")
             out.append(Solved(g, self.key_numbers(g), table, size + bytes_))
+        blocks.drop()
         return out
 
+    def absent(self, space: PackedSpace, group: list[int], code: str, outcomes: int) -> DataFrame:
+        """The coefficients of the eliminated key's effect by code."""
+        return space.eliminated(code, [f"__b{group[0]}_{i}" for i in range(outcomes)])
+
     def from_design(self, outcomes: list[str], warm: bool) -> list[Solved]:
         """Solves on the blocks; none, if rows must be left out for what their weights or outcomes hold."""
         d = self.design
         weight, ys = d.numbers.get(self.weight) if self.weight else None, [d.numbers.get(y) for y in outcomes]
         if None in ys or (self.weight and not weight):
             raise ValueError("a weight or an outcome is not a numeric column")
-        codes = [f"c{j}" for j in range(len(d.codes))]
-        total = sum(n * len(g) for n, g in zip(d.counts, self.groups, strict=True))
+        if d.gone is not None and not self.unique(warm):
+            return []
+        total = sum(n * len(g) for j, (n, g) in enumerate(zip(d.counts, self.groups, strict=True)) if j != d.gone)
         if self.options.strategy == "auto" and 8 * VECTORS * len(outcomes) * total > self.options.level_bytes:
             return []
         bad = [F.isnan(column(c).cast("double")) | column(c).isNull() for c in [*outcomes, *([self.weight] if self.weight else [])]]
@@ -435,9 +467,9 @@ class Absorber:
             if self.options.nulls == "error":
                 raise ValueError("null or NaN in a key, slope, weight or outcome")
             return []
-        terms = self.terms({None: None} | {e.slope: d.numbers[e.slope] for e in self.effects if e.slope})
+        slopes = {None: None} | {e.slope: d.numbers[e.slope] for e in self.effects if e.slope}
         one = len(self.groups) == 1 and not self.options.damp
-        space = PackedSpace(d.blocks.df, terms, dict(zip(codes, d.counts, strict=True)), weight, ys, False, self.warmed(warm) and not one)
+        space = self.packed_space(d.blocks.df, slopes, d.counts, weight, ys, False, self.warmed(warm) and not one, d.gone)
         if one:  # all columns are at right angles, so A'b is the solution
             every = list(range(len(ys)))
             space.x = space.products(every, [np.zeros(space.edges[-1])] * len(ys), True)[0]
@@ -445,8 +477,9 @@ class Absorber:
         else:
             self.solve(space, outcomes, self.warmed(warm))
         out = []
-        for j, (g, n, b) in enumerate(zip(self.groups, d.counts, self.by_level(space), strict=True)):
-            out.append(Solved(g, self.key_numbers(g), by_code(d.rows.sparkSession, d.codes[j], b), 8 * n * (1 + len(b)), d.codes[j]))
+        for j, (g, n, b) in enumerate(zip(self.groups, d.counts, self.by_level(space, d.gone), strict=True)):
+            table = self.absent(space, g, d.codes[j], len(ys)) if j == d.gone else by_code(d.rows.sparkSession, d.codes[j], b)
+            out.append(Solved(g, self.key_numbers(g), table, 8 * n * (1 + len(g) * len(ys)), d.codes[j]))
         return out
 
     def local(self, cells: DataFrame, outcomes: list[str], warm: bool) -> list[Solved]:
@@ -662,6 +695,11 @@ class Absorber:
         return self.df.sparkSession.createDataFrame(rows, "outcome string, iterations int, converged boolean, istop int")
 
 
+def first(names: list[str], at: int | None) -> list[str]:
+    """names, that at `at` before the others."""
+    return names if at is None else [names[at], *[c for j, c in enumerate(names) if j != at]]
+
+
 def any_of(terms: list[Column]) -> Column:
     out = F.lit(False)
     for t in terms:

@@ -11,12 +11,16 @@ into levels again, in bounded memory; what it has summed travels by segments of
 touched, and is summed by segment. The levels' vectors, 8 bytes a level, effect and outcome each, are arrays of the driver
 and are broadcast; the caller measures them first. u is not stored at all: LSMR needs its length and A'u, and both follow
 from A'A v and the length of A v, as u's own recurrence says. In exact arithmetic the steps are those of the other spaces.
+
+The effect with the most levels may be eliminated: rows are then dealt and sorted so that each of its levels lies in one block,
+every product takes the rows' projection on them away there, and the driver has vectors of the other effects only.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -27,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorbus.operators.graph import Stored, shared
-from sorbus.plans.blocks import roots
+from sorbus.plans.blocks import CUTOFF, roots
 
 BLOCK, SEGMENT = 1 << 16, 1 << 14
 TASK, LEAST = 16, 4096  # blocks of a task at most, and rows of one at least, of large and small designs
 CHUNK_BLOCKS, FEWER = 4, 4  # blocks that are sorted together; rows per level and task from which rows stay where they lie
 NOISE = 1e-13  # share of the squared length of A v below which what is left of it is rounding
-LOST = 1e-14  # share of A'A v below which what is left of it is rounding
+LOST = 1e-12  # share of A'A v below which what is left of it is rounding
 RESTARTS = 5
+HELD = 12  # of the last v, to which a new one is made orthogonal
+EXACT = 1e-13  # of the first residual: what is left is rounding, and has no slope
+UNSOLVED = 1e-9  # a slope of the residual itself that no rounding explains
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -58,12 +65,14 @@ def merged_cells(columns: list[np.ndarray], summed: list[bool]) -> list[np.ndarr
     return columns if len(at) == len(new) else [np.add.reduceat(c, at) if s else c[at] for c, s in zip(columns, summed, strict=True)]
 
 
-def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[str, ...] = (), levels: int | None = None) -> Stored:
+def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[str, ...] = (), levels: int | None = None, whole: bool = False) -> Stored:
     """Blocks of rows: n, and per column its values as binary: 32-bit codes, 64-bit floats.
 
     Of numbers in `sums`, rows that agree in all others are added up, as far as they lie in one run of CHUNK_BLOCKS blocks.
     Rows are dealt by ranges of their codes, so that a task's sums are of few levels; unless there are so few levels, of all
     keys, that every task may have sums of them all: then rows are packed where they lie.
+
+    whole: all rows of a level of the first code lie in one block, however many; the caller knows that no level has too many.
     """
     names = [*codes, *numbers]
     kinds = dict.fromkeys(codes, np.dtype("<i4")) | dict.fromkeys(numbers, np.dtype("<f8"))
@@ -71,32 +80,45 @@ def packed(rows: DataFrame, codes: list[str], numbers: list[str], sums: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        count = 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            whole = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
-            order = np.lexsort(whole[: len(codes)][::-1])
-            whole = [x[order] for x in whole]
-            whole = merged_cells(whole, summed) if sums else whole
-            for at in range(0, len(whole[0]), BLOCK):
-                part = [x[at : at + BLOCK] for x in whole]
+        count, most = 0, CHUNK_BLOCKS * BLOCK
+
+        def made(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count
+            chunk = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            held, count = [], 0
+            if whole and not last:  # rows come sorted, and those of the last level may go on
+                keep = int(np.searchsorted(chunk[0], chunk[0][-1]))
+                held, count = [[x[keep:] for x in chunk]], len(chunk[0]) - keep
+                chunk = [x[:keep] for x in chunk]
+            order = np.lexsort(chunk[: len(codes)][::-1])
+            chunk = [x[order] for x in chunk]
+            chunk = merged_cells(chunk, summed) if sums else chunk
+            at = 0
+            while at < len(chunk[0]):
+                end = at + BLOCK
+                if whole and end < len(chunk[0]):
+                    end = int(np.searchsorted(chunk[0], chunk[0][end - 1], "right"))
+                part = [x[at:end] for x in chunk]
+                at = end
                 yield pa.RecordBatch.from_arrays([pa.array([len(part[0])], pa.int32()), *[pa.array([x.astype(kinds[c]).tobytes()], pa.binary()) for x, c in zip(part, names, strict=True)]], names=["n", *names])
 
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             count += batch.num_rows
-            if count >= CHUNK_BLOCKS * BLOCK:
-                yield from made()
-                held, count = [], 0
+            if count >= most:
+                yield from made(False)
+                most = max(CHUNK_BLOCKS * BLOCK, 2 * count)
         if count:
-            yield from made()
+            yield from made(True)
 
     plain, cores = rows.select(*names), rows.sparkSession.sparkContext.defaultParallelism
     seen = plain.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n"), F.max("n")).first()
     n = seen[1] or 0
     parts = max(1, n // (TASK * BLOCK), min(cores, n // LEAST))  # a number, so Spark doesn't merge what is to be spread
     even = seen[0] >= min(parts, cores) and seen[2] * min(seen[0], cores) <= 2 * n
-    if levels is None or not even or levels * seen[0] > n // FEWER:
+    if whole:
+        plain = plain.repartitionByRange(parts, codes[0]).sortWithinPartitions(*codes)
+    elif levels is None or not even or levels * seen[0] > n // FEWER:
         plain = plain.repartitionByRange(parts, *codes)
     return Stored(plain.mapInArrow(run, ", ".join(["n int", *[f"{c} binary" for c in names]])))
 
@@ -110,6 +132,12 @@ class Term:
     place: int
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), "<i4" if c[0] == "c" else "<f8") for c in columns}
+
+
 class Pass:
     """One pass over the blocks: per block some vectors over levels, summed over all blocks, and a few numbers besides."""
 
@@ -123,18 +151,16 @@ class Pass:
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, numbers, touched = np.zeros(edges[-1]), np.zeros(extra), np.zeros(edges[-1] // SEGMENT + 1, bool)
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    block = {c: np.frombuffer(batch.column(c)[i].as_buffer(), "<i4" if c[0] == "c" else "<f8") for c in columns}
-                    for which, at, values in kernel(block, sent.value):
-                        if which < 0:
-                            numbers[at] += values
-                        elif len(at):
-                            low = int(at.min())
-                            sums = np.bincount(at - low, values)
-                            begin = edges[which] + low
-                            total[begin : begin + len(sums)] += sums
-                            touched[begin // SEGMENT : (begin + len(sums) - 1) // SEGMENT + 1] = True
+            for block in blocks_of(batches, columns):
+                for which, at, values in kernel(block, sent.value):
+                    if which < 0:
+                        numbers[at] += values
+                    elif len(at):
+                        low = int(at.min())
+                        sums = np.bincount(at - low, values)
+                        begin = edges[which] + low
+                        total[begin : begin + len(sums)] += sums
+                        touched[begin // SEGMENT : (begin + len(sums) - 1) // SEGMENT + 1] = True
             segments = np.flatnonzero(touched).tolist()
             sums = [total[s * SEGMENT : (s + 1) * SEGMENT].tobytes() for s in segments]
             yield pa.RecordBatch.from_arrays([pa.array([-1, *segments], pa.int32()), pa.array([numbers.tobytes(), *sums], pa.binary())], names=["segment", "sums"])
@@ -176,7 +202,7 @@ class LevelSpace:
         self.sizes = [levels[t.code] for t in terms]
         self.edges = np.concatenate([[0], np.cumsum(self.sizes)]).astype(int)
         self.roots = {c: roots(g)[0] for c, g in grams.items()}
-        self.begun, self.largest = None, 0.0
+        self.begun, self.largest, self.best, self.length = None, 0.0, [None] * outcomes, None
 
     def products(self, which: list[int], values: list[np.ndarray], rest: bool) -> tuple[list[np.ndarray], list[float]]:
         """Per outcome in `which` A'r and r's squared length, where r is b - A z (rest) or A z, in one pass for all."""
@@ -204,11 +230,14 @@ class LevelSpace:
             self.x = self.products(every, self.x, True)[0]
         back, squares = self.products(every, self.x, True)
         self.beta = [math.sqrt(s) for s in squares]
+        self.length = self.length or list(self.beta)
         self.v = [g / b if b else g for g, b in zip(back, self.beta, strict=True)]
         self.alpha = [float(np.linalg.norm(v)) for v in self.v]
         self.v = [v / a if a else v for v, a in zip(self.v, self.alpha, strict=True)]
+        self.best = [b or (a, x.copy()) for b, a, x in zip(self.best, self.alpha, self.x, strict=True)]
         self.before = [zero.copy() for _ in every]
         self.h, self.bar, self.back = [v.copy() for v in self.v], [zero.copy() for _ in every], [zero for _ in every]
+        self.held = [deque([v], HELD) for v in self.v]
         return list(self.beta), list(self.alpha)
 
     def left(self, which, alpha):
@@ -223,11 +252,22 @@ class LevelSpace:
 
     def restarted(self, atol: float) -> list[int]:
         """A solve may begin again from x: start() will. The outcomes whose residual r has an A'r of more than atol times the
-        lengths of r and of A, whose estimate is the largest A v seen."""
+        lengths of r and of A, whose estimate is the largest A v seen: their slope. An x that made it worse is given up for the
+        one before."""
         every = list(range(self.n_outcomes))
         back, squares = self.products(every, self.x, True)
-        self.warm, self.begun = False, self.x
-        return [i for i, g, s in zip(every, back, squares, strict=True) if np.linalg.norm(g) > atol * self.largest * math.sqrt(s)]
+        exact = [EXACT * b for b in self.length]
+        slopes = [float(np.linalg.norm(g)) / math.sqrt(s) if s > e * e else 0.0 for g, s, e in zip(back, squares, exact, strict=True)]
+        self.worse = False
+        for i, x in enumerate(self.x):
+            if slopes[i] <= self.best[i][0]:
+                self.best[i] = slopes[i], x.copy()
+            else:
+                self.worse = True
+        self.slopes = [b[0] / self.largest if self.largest else 0.0 for b in self.best]
+        self.warm, self.x = False, [b[1].copy() for b in self.best]
+        self.begun = self.x
+        return [i for i in every if self.slopes[i] > atol]
 
     def right(self, which, beta):
         """A' of the new u is (A'A v - alpha A' of the old u) / beta, and A' of the old u is alpha v + its beta v before."""
@@ -241,13 +281,18 @@ class LevelSpace:
                 new += before
                 np.multiply(v, a * a / b + b, out=before)
                 new -= before
+                for old in [*self.held[i], *self.held[i]]:  # else a short new v is what rounding left of the old ones
+                    new -= float(old @ new) * old
             else:
                 new = np.zeros_like(v)
             length = math.sqrt(float(new @ new))
-            self.before[i], self.beta[i], self.alpha[i] = v, b, length if length > rounding else 0.0
+            # The columns of a key are at right angles, so A is no longer than the root of the number of keys, and alpha not either.
+            possible = rounding < length < 1.01 * math.sqrt(len(self.groups))
+            self.before[i], self.beta[i], self.alpha[i] = v, b, length if possible else 0.0
             if self.alpha[i]:
                 new /= self.alpha[i]
             self.v[i] = new
+            self.held[i].append(new)
             out.append(self.alpha[i])
         return out
 
@@ -377,32 +422,73 @@ class CellSpace(LevelSpace):
         return [self.alpha[i] for i in which]
 
 
+class Projection:
+    """The rows of a block, sorted by the eliminated effect's code, less their fit by that effect alone."""
+
+    def __init__(self, block: dict[str, np.ndarray], gone: Term, root: np.ndarray | None):
+        code = block[gone.code]
+        self.at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        self.codes, self.count = code[self.at], np.diff(np.append(self.at, len(code)))
+        self.column = np.ones(len(code)) if root is None else root
+        if gone.slope:
+            self.column = self.column * block[gone.slope]
+        square = np.add.reduceat(self.column * self.column, self.at)
+        self.inverse = np.divide(1, square, out=np.zeros_like(square), where=square > 0)
+
+    def rest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of rows, and the effect's coefficients by level. The second time takes the rounding of the first away."""
+        total = np.zeros(len(self.at))
+        for _ in range(2):
+            one = np.add.reduceat(self.column * rows, self.at) * self.inverse
+            rows = rows - self.column * np.repeat(one, self.count)
+            total += one
+        return rows, total
+
+    def shared(self, code: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By another effect's code: the products of two columns that lie in the eliminated ones."""
+        level = np.repeat(np.arange(len(self.at)), self.count)
+        cells, where = np.unique(level * (int(code.max()) + 1) + code, return_inverse=True)
+        sums = [np.bincount(where, self.column * x) for x in (one, two)]
+        level, code = np.divmod(cells, int(code.max()) + 1)
+        return code, sums[0] * sums[1] * self.inverse[level]
+
+
 class PackedSpace(LevelSpace):
     """A packed design. weight: its column or None; outcomes: their columns, `summed` if they are already multiplied by the
-    weight and added up."""
+    weight and added up. gone: an effect that is eliminated; the terms and levels are of the others."""
 
-    def __init__(self, blocks: DataFrame, terms: list[Term], levels: dict[str, int], weight: str | None, outcomes: list[str], summed: bool, warm: bool):
-        self.blocks, self.weight, self.outcomes, self.summed = blocks, weight, outcomes, summed
-        self.columns = [*levels, *dict.fromkeys(t.slope for t in terms if t.slope), *([weight] if weight else [])]
+    def __init__(self, blocks: DataFrame, terms: list[Term], levels: dict[str, int], weight: str | None, outcomes: list[str], summed: bool, warm: bool, gone: Term | None = None):
+        self.blocks, self.weight, self.outcomes, self.summed, self.gone = blocks, weight, outcomes, summed, gone
+        every = [*terms, *([gone] if gone else [])]
+        self.columns = [*levels, *([gone.code] if gone else []), *dict.fromkeys(t.slope for t in every if t.slope), *([weight] if weight else [])]
         groups = {c: [k for k, t in enumerate(terms) if t.code == c] for c in levels}
         pairs = gram_pairs(groups)
 
         def gram(block, _):
-            w = block[weight] if weight else np.ones(len(block[terms[0].code]))
+            root = np.sqrt(block[weight]) if weight else np.ones(len(block[terms[0].code]))
+            w = block[weight] if weight else root
+            away = Projection(block, gone, root) if gone else None
             for j, (c, a, b) in enumerate(pairs):
-                one, two = terms[groups[c][a]], terms[groups[c][b]]
-                yield j, block[c], w * (block[one.slope] if one.slope else 1.0) * (block[two.slope] if two.slope else 1.0)
-
-        sums, _ = Pass(blocks, self.columns, [levels[c] for c, _, _ in pairs], 0).run(gram)
-        super().__init__(terms, levels, len(outcomes), gram_matrices(groups, levels, sums), warm)
-
-    def products(self, which, values, rest):
-        terms, edges, weight, summed, n = self.terms, self.edges, self.weight, self.summed, len(self.terms)
-        names = [self.outcomes[i] for i in which]
-        coefficients = np.array([self.level_product(z, False) for z in values])
-
-        def kernel(block, held):
-            root = np.sqrt(block[weight]) if weight else None
+                x = [block[t.slope] if t.slope else 1.0 for t in (terms[groups[c][a]], terms[groups[c][b]])]
+                yield j, block[c], w * x[0] * x[1]
+                if gone:
+                    yield len(pairs) + j, *away.shared(block[c], root * x[0], root * x[1])
+
+        sums, _ = Pass(blocks, self.columns, [levels[c] for c, _, _ in pairs] * (2 if gone else 1), 0).run(gram)
+        grams = gram_matrices(groups, levels, sums[: len(pairs)])
+        if gone:
+            for c, less in gram_matrices(groups, levels, sums[len(pairs) :]).items():
+                whole = np.einsum("lpp->lp", grams[c])
+                left = grams[c] - less
+                own = np.einsum("lpp->lp", left) > CUTOFF * whole  # else the column lies in the eliminated ones
+                grams[c] = left * own[:, :, None] * own[:, None, :]
+        super().__init__(terms, levels, len(outcomes), grams, warm)
+
+    def fits(self, names: list[str], rest: bool):
+        """A function of a block and coefficients: per outcome the rows' fit, or what it leaves (rest), times their weights' roots."""
+        terms, edges, weight, summed = self.terms, self.edges, self.weight, self.summed
+
+        def run(block, held, root):
             for j, y in enumerate(names):
                 fit = 0.0
                 for k, t in enumerate(terms):
@@ -415,6 +501,21 @@ class PackedSpace(LevelSpace):
                     if root is not None:
                         b = np.divide(b, root, out=np.zeros(len(b)), where=root > 0) if summed else b * root
                     fit = b - fit
+                yield j, fit
+
+        return lambda block, held: run(block, held, np.sqrt(block[weight]) if weight else None)
+
+    def products(self, which, values, rest):
+        terms, weight, gone, n = self.terms, self.weight, self.gone, len(self.terms)
+        names = [self.outcomes[i] for i in which]
+        coefficients, fits = np.array([self.level_product(z, False) for z in values]), self.fits(names, rest)
+
+        def kernel(block, held):
+            root = np.sqrt(block[weight]) if weight else None
+            away = Projection(block, gone, root) if gone else None
+            for j, fit in fits(block, held):
+                if gone:
+                    fit, _ = away.rest(fit)
                 yield -1, j, float(fit @ fit)
                 back = fit if root is None else fit * root
                 for k, t in enumerate(terms):
@@ -425,6 +526,22 @@ class PackedSpace(LevelSpace):
         out = [self.level_product(np.concatenate(sums[j * n : (j + 1) * n]), True) for j in range(len(which))]
         return out, numbers.tolist()
 
+    def eliminated(self, code: str, columns: list[str]) -> DataFrame:
+        """code and a column per outcome: the eliminated effect's coefficients, written by the tasks that hold the rows."""
+        gone, weight, names = self.gone, self.weight, self.outcomes
+        used, fits = list(dict.fromkeys([*self.columns, *names])), self.fits(names, True)
+        sent = self.blocks.sparkSession.sparkContext.broadcast(np.array([self.level_product(x, False) for x in self.x]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks_of(batches, used):
+                away = Projection(block, gone, np.sqrt(block[weight]) if weight else None)
+                found = [away.rest(fit)[1] for _, fit in fits(block, sent.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(away.codes.astype(np.int64)), *map(pa.array, found)], names=[code, *columns])
+
+        out = shared(self.blocks.select(*used).mapInArrow(run, ", ".join([f"{code} long", *[f"{c} double" for c in columns]])))
+        sent.destroy()
+        return out
+
 
 def by_code(spark, name: str, columns: list[tuple[str, np.ndarray]]) -> DataFrame:
     """A table of a column of codes from 0 and columns by code."""

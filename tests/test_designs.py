@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sorbus.operators import absorb as module
 from sorbus.operators.absorb import Absorber, Effect, components, encode, level_components
 from sorbus.plans import blocks, packed
+from sorbus.plans.lsmr import Rule, lsmr
 
 
 def table(n=300, seed=1, **more):
@@ -316,3 +317,55 @@ def test_components_are_solved_where_they_lie(spark, monkeypatch):
     for s, t in zip(b.level_coefficients("y"), c.level_coefficients("y"), strict=True):
         key = s.columns[0]
         np.testing.assert_allclose(s.orderBy(key).toPandas()["coef"], t.orderBy(key).toPandas()["coef"], atol=1e-7)
+
+
+@pytest.mark.parametrize("effects", [[A, B], [A, B, C], [Effect("a", slope="x"), B, Effect("b", slope="z")], [A, Effect("d")]])
+def test_the_largest_effect_is_eliminated(spark, effects, monkeypatch):
+    """The driver's vectors are of the other effects; nested ones (each a has one d), heavy levels and weights of 0 included."""
+    monkeypatch.setattr(packed, "BLOCK", 40)
+    f = table(d=lambda t: t["a"] % 3)
+    _, want = solved(spark, f, effects, ("y", "y2"), "w", strategy="local")
+    monkeypatch.setattr(module, "ELIMINATED", 12)
+    sizes, real = [], packed.LevelSpace.__init__
+    monkeypatch.setattr(packed.LevelSpace, "__init__", lambda self, *a: real(self, *a) or sizes.append(self.edges[-1]))
+    a, got = solved(spark, f, effects, ("y", "y2"), "w", strategy="packed")
+    np.testing.assert_allclose(got, want, atol=1e-10)
+    assert sizes == [sum(f[e.keys[0]].nunique() for e in effects[1:])] and all(a.stats[y].converged for y in ("y", "y2"))
+    b = Absorber(spark.createDataFrame(f), effects, "w", tol=1e-13).prepared()
+    np.testing.assert_allclose(b.residuals(["y2"]).orderBy("i").toPandas()["y2_res"], want[1], atol=1e-10)
+    for w in (a, b) if len(effects) == 2 else ():
+        for s, t in zip(w.level_coefficients("y"), Absorber(spark.createDataFrame(f), effects, "w", tol=1e-13).level_coefficients("y"), strict=True):
+            np.testing.assert_allclose(s.orderBy(s.columns[0]).toPandas()["coef"], t.orderBy(s.columns[0]).toPandas()["coef"], atol=1e-9)
+    monkeypatch.setattr(packed, "BLOCK", 5)
+    assert Absorber(spark.createDataFrame(f), [A, B]).largest([12, 9]) == 0
+    monkeypatch.setattr(module, "BLOCK", 5)
+    assert Absorber(spark.createDataFrame(f), [A, B]).largest([12, 9]) is None  # a level's rows are more than are sorted together
+
+
+class Held(packed.LevelSpace):
+    """Two effects' rows as arrays, with the recurrence of packed designs."""
+
+    def __init__(self, codes, y, levels):
+        self.codes, self.y = codes, y
+        super().__init__([packed.Term(c, None, 0) for c in codes], levels, 1, {c: np.bincount(g, minlength=levels[c]).astype(float)[:, None, None] for c, g in codes.items()}, True)
+
+    def products(self, which, values, rest):
+        z = self.level_product(values[0], False)
+        r = sum(z[self.edges[k] : self.edges[k + 1]][g] for k, g in enumerate(self.codes.values()))
+        r = self.y - r if rest else r
+        return [self.level_product(np.concatenate([np.bincount(g, r, self.levels[c]) for c, g in self.codes.items()]), True)], [float(r @ r)]
+
+
+@pytest.mark.parametrize("kind", ["binary", "nested"])
+def test_rounding_makes_no_steps(kind):
+    """v ends after a few steps; what rounding leaves of it is no new one, and x stays within reach."""
+    for seed in (0, 1):
+        rng = np.random.default_rng(seed)
+        n, a = 60_000, rng.integers(0, 2000, 60_000)
+        b = a % 25 if kind == "nested" else (rng.random(n) < 0.5).astype(int)
+        space, rule = Held({"c0": a, "c1": b}, 10 + rng.normal(size=n), {"c0": 2000, "c1": int(b.max()) + 1}), Rule(1e-14, 1e-14)
+        steps = lsmr(space, rule)[0].iterations
+        while space.restarted(1e-11):
+            steps += lsmr(space, rule)[0].iterations
+            assert steps < 40
+        assert np.linalg.norm(space.x[0]) < 1e7 and space.slopes[0] <= 1e-11
