@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sorbus.operators.graph import Stored, shared
 from sorbus.plans.blocks import roots
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20  # of a table that passes the driver on its way to all executors
 
 
 def bytes_of(df: DataFrame) -> tuple[int, int]:

@@ -10,6 +10,7 @@ from sorbus.operators import absorb as module
 from sorbus.operators.absorb import Absorber, Effect, components, encode, level_components
 from sorbus.plans import blocks, packed
 from sorbus.plans.lsmr import Rule, lsmr
+from sorbus.plans.spaces import looked_up
 
 
 def table(n=300, seed=1, **more):
@@ -369,3 +370,11 @@ def test_rounding_makes_no_steps(kind):
             steps += lsmr(space, rule)[0].iterations
             assert steps < 40
         assert np.linalg.norm(space.x[0]) < 1e7 and space.slopes[0] <= 1e-11
+
+
+def test_tables_beyond_some_megabytes_stay_off_the_driver(spark):
+    df, t = spark.createDataFrame(table()), spark.createDataFrame(pd.DataFrame({"a": [1], "v": [1.0]}))
+    hinted = lambda size: "broadcast" in looked_up(df, t, ["a"], size=size)._jdf.queryExecution().logical().toString()
+    assert hinted(1 << 20) and not hinted(20 << 20)
+    matched = lambda size: "broadcast" in Absorber(df, [A, B]).matched(df, t.withColumnRenamed("a", "__k0"), [0], size)._jdf.queryExecution().logical().toString()
+    assert matched(1 << 20) and not matched(20 << 20)
