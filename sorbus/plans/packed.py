@@ -23,17 +23,19 @@ import os
 from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorbus.operators.graph import Stored, shared
 from sorbus.plans.blocks import CUTOFF, roots
 
 BLOCK, SEGMENT = 1 << 16, 1 << 14
+READ = 4  # blocks or segments that a task's Python reads together, of some MB: else what it holds grows with its partition
 TASK, LEAST = 16, 4096  # blocks of a task at most, and rows of one at least, of large and small designs
 CHUNK_BLOCKS, FEWER = 4, 4  # blocks that are sorted together; rows per level and task from which rows stay where they lie
 NOISE = 1e-13  # share of the squared length of A v below which what is left of it is rounding
@@ -138,6 +140,18 @@ def blocks_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
             yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), "<i4" if c[0] == "c" else "<f8") for c in columns}
 
 
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun inside hand READ rows at a time to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, READ)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Pass:
     """One pass over the blocks: per block some vectors over levels, summed over all blocks, and a few numbers besides."""
 
@@ -174,7 +188,8 @@ class Pass:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["segment", "sums"])
 
         kind = "segment int, sums binary"
-        got = self.blocks.select(*columns).mapInArrow(part, kind).repartition("segment").mapInArrow(merged, kind).collect()
+        with few_at_once(spark):
+            got = self.blocks.select(*columns).mapInArrow(part, kind).repartition("segment").mapInArrow(merged, kind).collect()
         sent.destroy()
         total, numbers = np.zeros(edges[-1]), np.zeros(extra)
         for r in got:
@@ -538,7 +553,8 @@ class PackedSpace(LevelSpace):
                 found = [away.rest(fit)[1] for _, fit in fits(block, sent.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(away.codes.astype(np.int64)), *map(pa.array, found)], names=[code, *columns])
 
-        out = shared(self.blocks.select(*used).mapInArrow(run, ", ".join([f"{code} long", *[f"{c} double" for c in columns]])))
+        with few_at_once(self.blocks.sparkSession):
+            out = shared(self.blocks.select(*used).mapInArrow(run, ", ".join([f"{code} long", *[f"{c} double" for c in columns]])))
         sent.destroy()
         return out
 

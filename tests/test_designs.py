@@ -4,6 +4,7 @@ import logging
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sorbus.operators import absorb as module
@@ -372,6 +373,35 @@ def test_rounding_makes_no_steps(kind):
         assert np.linalg.norm(space.x[0]) < 1e7 and space.slopes[0] <= 1e-11
 
 
+def test_a_pass_reads_few_blocks_at_once(spark):
+    """What a task holds follows from READ, not from its partition; the session's own setting comes back, also after an error."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(0, 50, 1, 1)
+    seen = lambda: [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    before, whole = spark.conf.get(key), seen()
+    with packed.few_at_once(spark):
+        few = seen()
+    assert whole == [50] and max(few) == packed.READ and sum(few) == 50 and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), packed.few_at_once(spark):
+        1 / 0
+    assert spark.conf.get(key) == before
+
+
+def test_passes_read_under_that_bound(spark, monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK", 20)
+    monkeypatch.setattr(module, "ELIMINATED", 12)
+    bounds, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for cls, name in ((packed.Pass, "run"), (packed.PackedSpace, "eliminated")):
+        monkeypatch.setattr(cls, name, lambda self, *a, real=getattr(cls, name): (bounds.append(spark.conf.get(key)), real(self, *a))[1])
+    real = packed.few_at_once
+    monkeypatch.setattr(packed, "few_at_once", lambda s: bounds.append("few") or real(s))
+    f = table()
+    _, (want,) = solved(spark, f, [A, B], strategy="local")
+    _, (got,) = solved(spark, f, [A, B], strategy="packed")
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    assert bounds.count("few") * 2 == len(bounds) > 4 and spark.conf.get(key) not in ("4", "few")
+
+
 def test_tables_beyond_some_megabytes_stay_off_the_driver(spark):
     df, t = spark.createDataFrame(table()), spark.createDataFrame(pd.DataFrame({"a": [1], "v": [1.0]}))
     hinted = lambda size: "broadcast" in looked_up(df, t, ["a"], size=size)._jdf.queryExecution().logical().toString()
