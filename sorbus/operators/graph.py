@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20  # edges that one task holds together
+CHUNK = 1 << 20  # edges that end in one task
+FOREST = 1 << 18  # edges that each task makes a forest of together: some 50 MB of its Python, however many it has
 HOT = 100_000  # edges to one node beyond which it is looked up apart
 
 
@@ -59,7 +60,7 @@ def release(spark: SparkSession) -> None:
 def forest(edges: DataFrame, chunk: int | None = None) -> DataFrame:
     """Edges (src, dst) that connect what `edges` connect, at most one per node and chunk: each chunk of a partition's edges
     becomes stars around the least node of each of its components. No edge moves."""
-    chunk = CHUNK if chunk is None else chunk
+    chunk = min(CHUNK, FOREST) if chunk is None else chunk
 
     def stars(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -92,8 +93,9 @@ def forest(edges: DataFrame, chunk: int | None = None) -> DataFrame:
             held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst")))
             n += batch.num_rows
             if n >= chunk:
-                yield made()
+                out = made()
                 held, n = [], 0
+                yield out
         if n:
             yield made()
 
@@ -131,7 +133,7 @@ def connected_components(edges: DataFrame, hot: int | None = None) -> DataFrame:
     e = shared(forest(e.where("src != dst")))
     n = e.count()
     if n <= CHUNK:
-        e = shared(forest(e.coalesce(1)))
+        e = shared(forest(e.coalesce(1), CHUNK))
     before = None
     while n > CHUNK:
         large = hung_lower(e, hot).where("src != dst").distinct()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from sorbus.operators import graph
 from sorbus.operators.graph import connected_components, forest
+from sorbus.plans.packed import few_at_once
 
 
 def by_union_find(pairs):
@@ -64,3 +65,16 @@ def test_a_star_spreads(spark, monkeypatch):
     assert len(busy) == 8 and max(r["count"] for r in busy) <= 2 * min(r["count"] for r in busy)
     got = connected_components(leaves.union(chain), hot=500).groupBy("component").count().collect()
     assert {r.component: r["count"] for r in got} == {0: 40_001, 50_000: 2001}
+
+
+def test_what_makes_a_forest_together_is_bounded(spark, monkeypatch):
+    """A partition of many edges becomes several forests, each of FOREST edges; one of them all is made only at the end."""
+    pairs = [p for p in random_graph(3) if None not in p and p[0] != p[1]]
+    edges = spark.createDataFrame(pairs, "src long, dst long").coalesce(1)
+    one = forest(edges).count()
+    monkeypatch.setattr(graph, "FOREST", 50)
+    with few_at_once(spark):  # FOREST is looked at between batches
+        made = forest(edges).collect()
+        assert len(made) > one == forest(edges, graph.CHUNK).count()
+    assert by_union_find([(r.src, r.dst) for r in made]) == by_union_find(pairs)
+    assert {r.node: r.component for r in connected_components(edges).collect()} == by_union_find(pairs)
