@@ -5,11 +5,12 @@ import logging
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from sorbus.operators import absorb as module
 from sorbus.operators.absorb import Absorber, Effect, components, encode, level_components
-from sorbus.plans import blocks, packed
+from sorbus.plans import blocks, packed, queries
 from sorbus.plans.lsmr import Rule, lsmr
 from sorbus.plans.spaces import looked_up
 
@@ -408,3 +409,34 @@ def test_tables_beyond_some_megabytes_stay_off_the_driver(spark):
     assert hinted(1 << 20) and not hinted(20 << 20)
     matched = lambda size: "broadcast" in Absorber(df, [A, B]).matched(df, t.withColumnRenamed("a", "__k0"), [0], size)._jdf.queryExecution().logical().toString()
     assert matched(1 << 20) and not matched(20 << 20)
+
+
+@pytest.fixture(scope="module")
+def many_parts(tmp_path_factory):
+    """A folder of lineitem alone: 60,000 parts of 4 rows, 300 suppliers."""
+    rng, n, d = np.random.default_rng(11), 240_000, tmp_path_factory.mktemp("parts")
+    columns = {"l_orderkey": np.arange(n), "l_partkey": np.arange(n) % 60_000, "l_suppkey": rng.integers(0, 300, n), "l_linenumber": rng.integers(1, 8, n).astype(np.int32), "l_quantity": rng.integers(0, 51, n).astype(float)}
+    pq.write_table(pa.table(columns | {"l_extendedprice": rng.lognormal(9, 1, n)}), d / "lineitem.parquet")
+    return str(d)
+
+
+def results_of_stages(spark):
+    """Bytes of results that tasks have sent to the driver, by stage."""
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize(("name", "plain"), [("q09_two_way_weighted", "q09_two_way_weighted")])
+def test_rounds_send_the_driver_no_vectors_of_the_largest_effect(spark, many_parts, monkeypatch, name, plain):
+    """What the driver gets are a few tables of the parts, on their way to executors; not 480 kB a round."""
+    rows = lambda df: df.toPandas().sort_values(df.columns[0]).to_numpy(float)
+    want = rows(queries.QUERIES[plain](spark, many_parts))  # solved by the driver
+    monkeypatch.setitem(queries.TIGHT, "local_bytes", 0)
+    made, real = [], module.PackedSpace.__init__
+    monkeypatch.setattr(module.PackedSpace, "__init__", lambda self, *a, **k: made.append(self) or real(self, *a, **k))
+    before = results_of_stages(spark)
+    out = queries.QUERIES[name](spark, many_parts)
+    sent = sum(size for s, size in results_of_stages(spark).items() if s not in before)
+    assert len(made) == 1 and sent < 3 << 20
+    np.testing.assert_allclose(rows(out), want, atol=1.01e-4)
