@@ -427,7 +427,7 @@ def results_of_stages(spark):
     return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize(("name", "plain"), [("q09_two_way_weighted", "q09_two_way_weighted"), ("q10_three_way", "q10_three_way"), ("q23_orthogonality", "q23_orthogonality")])
+@pytest.mark.parametrize(("name", "plain"), [("q09_two_way_weighted", "q09_two_way_weighted"), ("q10_three_way", "q10_three_way"), ("q23_orthogonality", "q23_orthogonality"), ("q29_two_way_packed", "q08_two_way")])
 def test_rounds_send_the_driver_no_vectors_of_the_largest_effect(spark, many_parts, monkeypatch, name, plain):
     """What the driver gets are a few tables of the parts, on their way to executors; not 480 kB a round."""
     rows = lambda df: df.toPandas().sort_values(df.columns[0]).to_numpy(float)
